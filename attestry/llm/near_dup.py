@@ -87,30 +87,29 @@ def shingle_sets(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
 
 
 def frequent_shingles(sets: DataFrame, rows: int) -> np.ndarray:
-    """The shingles of at least 1/FREQUENT_PART of all documents, and of FREQUENT ones, sorted; all rows are counted.
+    """The shingles of about 1/FREQUENT_PART of all documents and of FREQUENT ones at least, sorted; all rows are read.
 
-    Their number is bounded by FREQUENT_PART times the mean size of a set, whatever the number of documents.
+    Their number is bounded by a multiple of FREQUENT_PART times the mean size of a set, whatever the number of
+    documents. Counts leave out shingles that some millions of neighbours hold once: which shingles stand last is a
+    matter of speed only, for any one global order gives the same links.
     """
-    share = 2 * FREQUENT_PART
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, docs, size = [], 0, 0
+        held, size = [], 0
 
         def flush() -> pa.RecordBatch:
             t, c = np.unique(np.concatenate(held), return_counts=True)
-            often = c >= max(1, docs / share)
-            return pa.RecordBatch.from_arrays([pa.array(t[often].astype(np.int64)), pa.array(c[often])], ["t", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(t[c > 1].astype(np.int64)), pa.array(c[c > 1])], ["t", "c"])
 
         for batch in batches:
             t, _ = _sets(batch.column(0))
-            held, docs, size = [*held, t], docs + batch.num_rows, size + len(t)
+            held, size = [*held, t], size + len(t)
             if size > 4_000_000:
                 yield flush()
-                held, docs, size = [], 0, 0
+                held, size = [], 0
         if size:
             yield flush()
 
-    # a task that saw few documents reports all its shingles; those seen once there are left out unless that is enough
     least = max(FREQUENT, rows // FREQUENT_PART)
     counts = sets.select("items").mapInArrow(run, "t long, c long").groupBy("t").agg(F.sum("c").alias("c"))
     found = counts.where(F.col("c") >= least // 2).select("t").toArrow().column(0).to_numpy()
@@ -139,41 +138,48 @@ def prefixes(sets: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
     return sets.select("cls", "items").mapInArrow(run, "t long, cls long, n long")
 
 
-def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets reach the threshold; exact."""
+def compared(pairs: DataFrame, sets: DataFrame, percent: int, group: Column) -> DataFrame:
+    """(a, b, far, similar) for pairs (a, b) of classes: their Jaccard distance, and the exact test of the threshold.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint8) for v in (x, y))
-                x, y = _unpack(x), _unpack(y)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+    Pairs are dealt to groups, and each group gets the sets that its pairs name once, not once a pair.
+    """
 
-    one = sets.select(F.col("cls").alias("a"), F.col("items").alias("x"))
-    two = sets.select(F.col("cls").alias("b"), F.col("items").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        at = {c: _unpack(np.frombuffer(v.as_buffer(), np.uint8)) for c, v in zip(sets["cls"].to_pylist(), sets["items"], strict=True)}
+        a, b = pairs["a"].to_pylist(), pairs["b"].to_pylist()
+        far, similar = [], []
+        for x, y in zip(a, b, strict=True):
+            x, y = at[x], at[y]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            union = len(x) + len(y) - both
+            far.append(1 - both / union)
+            similar.append(100 * both >= percent * union)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "far": pa.array(far, pa.float64()), "similar": pa.array(similar, pa.bool_())})
+
+    pairs = keep(pairs.select("a", "b", group.alias("g")), "pairs")
+    named = pairs.select("g", F.col("a").alias("cls")).unionByName(pairs.select("g", F.col("b").alias("cls"))).distinct()
+    dealt = named.join(sets, "cls").select(F.col("g").alias("h"), "cls", "items")
+    return pairs.groupBy("g").cogroup(dealt.groupBy("h")).applyInArrow(run, "a long, b long, far double, similar boolean")
 
 
 def near_links(sets: DataFrame, rows: int, percent: int) -> DataFrame:
     """Links (a, b) between set classes that connect exactly those classes that links of the full join connect."""
-    tokens = keep(prefixes(sets, frequent_shingles(sets, rows), percent), "prefixes")
+    tokens = prefixes(sets, frequent_shingles(sets, rows), percent)
     # the matrix of shingles and sets: a shingle of one set only opens nothing
     shared = tokens.groupBy("t").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("t")
-    hits = tokens.join(shared, "t").groupBy("t", "cls").agg(F.first("n").alias("n"))
-    hits = keep(hits, "hits")
-    hits = _enough(hits, hits, percent)
-    spark = sets.sparkSession
+    hits = keep(tokens.join(shared, "t").groupBy("t", "cls").agg(F.first("n").alias("n")), "hits")
+    hits = keep(_enough(hits, hits, percent), "hits")
     members = hits.select("cls").distinct()
     own = keep(semi_join(sets, members, "cls").groupBy("cls").agg(F.first("items").alias("items")), "members")
-    links = spark.createDataFrame([], "a long, b long")
-    label = None
+    tasks = max(8, members.count() // 2_000)
+    # a set that shares most of its shingles is likely what the others of its group were copied from
+    weight = hits.groupBy("cls").agg((F.count("*") / F.first("n")).alias("w"))
+    hits = keep(hits.join(weight, "cls"), "hits")
+    links, label = sets.sparkSession.createDataFrame([], "a long, b long"), None
+    seen = sets.sparkSession.createDataFrame([], "cls long, leader long, far double")
     for _ in range(LEADER_ROUNDS):
         groups = _unions(hits, label)
-        # each set meets the leader of the group whose union holds most of its prefix
-        lead = groups.groupBy("t").agg(F.min(F.struct("comp", "cls", "n")).alias("l")).select(
+        lead = groups.groupBy("t").agg(F.max(F.struct("w", "cls", "comp", "n")).alias("l")).select(
             "t", F.col("l.comp").alias("l_comp"), F.col("l.cls").alias("l_cls"), F.col("l.n").alias("l_n")
         )
         met = groups.join(lead, "t").where("comp <> l_comp").where(_sizes("n", "l_n", percent))
@@ -181,17 +187,30 @@ def near_links(sets: DataFrame, rows: int, percent: int) -> DataFrame:
         met = met.where(F.col("k") >= least_shared(F.col("n"), percent))
         best = met.groupBy("cls").agg(F.max(F.struct("k", "l_cls")).alias("m"))
         best = best.select(F.col("cls").alias("a"), F.col("m.l_cls").alias("b"))
-        links = keep(links.unionByName(similar_pairs(best, own, percent)), "links")
+        tested = keep(compared(best, own, percent, F.pmod(F.xxhash64("a"), F.lit(tasks))), "tested")
+        links = keep(links.unionByName(tested.where("similar").select("a", "b")), "links")
+        seen = seen.unionByName(tested.select(F.col("a").alias("cls"), F.col("b").alias("leader"), "far")).unionByName(
+            tested.select(F.col("b").alias("cls"), F.col("b").alias("leader"), F.lit(0.0).alias("far")).distinct()
+        )
         label = keep(components(links), "labels")
         hits = keep(_enough(hits, _open(hits, label), percent), "open")
-    # what is still open: sets that share enough with sets of other groups. Each pair is compared once
-    groups = _unions(hits, label)
-    right = groups.select("t", F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
-    pairs = groups.select("t", F.col("cls").alias("a"), "n", "comp").join(right, "t")
-    pairs = pairs.where("a < b and comp <> comp_b").where(_sizes("n", "n_b", percent))
-    pairs = pairs.groupBy("a", "b", "n", "n_b").agg(F.count("*").alias("k"))
-    pairs = pairs.where(F.col("k") >= F.greatest(least_shared(F.col("n"), percent), least_shared(F.col("n_b"), percent)))
-    return keep(links.unionByName(similar_pairs(pairs.select("a", "b"), own, percent)), "links")
+    # what is still open: sets that share enough with sets of other groups. Each pair is compared once. The distance
+    # is a metric, so two sets whose distances from the same leader differ by more than a link allows are told apart
+    leader = seen.groupBy("cls").agg(F.min(F.struct("leader", "far")).alias("s")).select("cls", "s.leader", "s.far")
+    groups = _unions(hits, label).join(leader, "cls", "left")
+    groups = groups.select("t", "cls", "n", "comp", F.coalesce("leader", "cls").alias("leader"), F.coalesce("far", F.lit(0.0)).alias("far"))
+    a, b = (groups.select("t", *[F.col(c).alias(f"{c}_{x}") for c in ("cls", "n", "comp", "leader", "far")]) for x in "ab")
+    apart = (F.col("leader_a") == F.col("leader_b")) & (F.abs(F.col("far_a") - F.col("far_b")) > 1 - percent / 100 + 1e-9)
+    pairs = a.join(b, "t").where("cls_a < cls_b and comp_a <> comp_b").where(_sizes("n_a", "n_b", percent)).where(~apart)
+    pairs = pairs.groupBy("cls_a", "cls_b").agg(F.count("*").alias("k"), *[F.first(c).alias(c) for c in ("n_a", "n_b", "leader_a", "leader_b")])
+    pairs = pairs.where(F.col("k") >= F.greatest(least_shared(F.col("n_a"), percent), least_shared(F.col("n_b"), percent)))
+    pairs = keep(pairs.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"), "leader_a", "leader_b"), "pairs")
+    # the sets of one leader are dealt in blocks, and a group compares one block with another
+    many = pairs.count()
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(max(1, many // 60_000)))
+    group = F.pmod(F.xxhash64("leader_a", "leader_b", block("a"), block("b")), F.lit(max(8, many // 5_000)))
+    tested = compared(pairs, own, percent, group)
+    return keep(links.unionByName(tested.where("similar").select("a", "b")), "links")
 
 
 def _sizes(a: str, b: str, percent: int) -> Column:
