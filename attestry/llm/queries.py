@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import contaminated
 from .exact_dedup import exact_dedup
 from .mixing import mix_documents
 from .near_dup import near_duplicates
+from .quality import quality_scores
 from .secrets import scan_secrets
 
 
@@ -18,6 +20,15 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, percent=90).drop("text_hash")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.drop("text_hash")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -30,7 +41,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op3_source_mixing, op4_ngram_jaccard, op8_exact_dedup, op9_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_quality, op3_source_mixing, op4_ngram_jaccard, op5_decontamination, op8_exact_dedup, op9_secret_scan)}
 
 ORACLES = {
     "op8_exact_dedup": """
