@@ -65,26 +65,32 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def words(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each word, first word of each row and the end, byte start, byte end) of a text column."""
-    data, offsets = raw(column)
+def span_hashes(data: np.ndarray, lower: bool = True):
+    """A function of arrays (starts, ends) that gives the hash of each stretch of bytes."""
+    power, inverse = powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((_LOWER if lower else _EXACT)[data] * power[: len(data)], out=sums[1:])
+    return lambda starts, ends: mix((sums[ends] - sums[starts]) * inverse[starts])
+
+
+def runs(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first run of each row and the end, byte start, byte end) of the runs of bytes that `inside` marks."""
     n = len(data)
     first = np.zeros(n + 1, bool)
     first[offsets[offsets < n]] = True
     first[n] = True
-    gap = _SPACE[data]
-    inside = ~gap
-    before = np.ones(n, bool)
-    before[1:] = gap[:-1]
-    after = np.ones(n, bool)
-    after[:-1] = gap[1:]
+    before, after = np.ones(n, bool), np.ones(n, bool)
+    before[1:], after[:-1] = ~inside[:-1], ~inside[1:]
     starts = np.flatnonzero(inside & (before | first[:n]))
     ends = np.flatnonzero(inside & (after | first[1:])) + 1
-    power, inverse = powers(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((_LOWER if lower else _EXACT)[data] * power[:n], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * inverse[starts])
-    return hashes, np.searchsorted(starts, offsets), starts, ends
+    return np.searchsorted(starts, offsets), starts, ends
+
+
+def words(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, first word of each row and the end, byte start, byte end) of a text column."""
+    data, offsets = raw(column)
+    first, starts, ends = runs(data, offsets, ~_SPACE[data])
+    return span_hashes(data, lower)(starts, ends), first, starts, ends
 
 
 def shingles(hashes: np.ndarray, firsts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

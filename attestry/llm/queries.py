@@ -10,6 +10,8 @@ from .mixing import mix_documents
 from .near_dup import near_duplicates
 from .quality import quality_scores
 from .secrets import scan_secrets
+from .toxicity import toxicity_scores
+from .warc import archived_pages
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +31,14 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text_hash")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(table(spark, sf_dir, "pages"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -41,9 +51,24 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op3_source_mixing, op4_ngram_jaccard, op5_decontamination, op8_exact_dedup, op9_secret_scan)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality, op3_source_mixing, op4_ngram_jaccard, op5_decontamination, op6_toxicity, op7_warc, op8_exact_dedup,
+        op9_secret_scan,
+    )
+}
 
 ORACLES = {
+    "op7_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, octet_length(encode(html)) AS n, sha256(html) AS h FROM p),
+        g AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY h) END AS f FROM d)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
+               CASE WHEN f IS NOT NULL AND page_id <> f THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id <> f THEN f END AS refers_to
+        FROM g
+    """,
     "op8_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256

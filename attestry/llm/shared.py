@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: A key with at least 1/HEAVY_PARTS of all rows is heavy; there are at most HEAVY_PARTS such keys.
@@ -34,6 +36,20 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def open_shared(path: str, mode: str):
+    """Opens a file of the shared folder in a task: mode "rb" can seek, "wb" writes a new file."""
+    if path.startswith(("file:", "/")):
+        local = path if path.startswith("/") else path.removeprefix("file:").replace("///", "/", 1)
+        local = "/" + local.lstrip("/")
+        if mode == "wb":
+            os.makedirs(os.path.dirname(local), exist_ok=True)
+        return open(local, mode)
+    system, inner = fs.FileSystem.from_uri(path)
+    if mode == "wb":
+        system.create_dir(inner.rpartition("/")[0], recursive=True)
+    return system.open_input_file(inner) if mode == "rb" else system.open_output_stream(inner)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
