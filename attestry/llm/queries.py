@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import contaminated
 from .exact_dedup import exact_dedup
+from .lm import lm_scores
 from .mixing import mix_documents
 from .near_dup import near_duplicates
 from .quality import quality_scores
@@ -51,11 +52,15 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality, op3_source_mixing, op4_ngram_jaccard, op5_decontamination, op6_toxicity, op7_warc, op8_exact_dedup,
-        op9_secret_scan,
+        op9_secret_scan, op10_lm_scoring,
     )
 }
 

@@ -36,11 +36,17 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def local_path(path: str) -> str | None:
+    """The path of a file that is mounted on this machine; None where another file system holds it."""
+    if path.startswith(("file:", "/")):
+        return "/" + path.removeprefix("file:").lstrip("/")
+    return None
+
+
 def open_shared(path: str, mode: str):
     """Opens a file of the shared folder in a task: mode "rb" can seek, "wb" writes a new file."""
-    if path.startswith(("file:", "/")):
-        local = path if path.startswith("/") else path.removeprefix("file:").replace("///", "/", 1)
-        local = "/" + local.lstrip("/")
+    local = local_path(path)
+    if local is not None:
         if mode == "wb":
             os.makedirs(os.path.dirname(local), exist_ok=True)
         return open(local, mode)
