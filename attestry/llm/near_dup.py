@@ -29,15 +29,21 @@ def _need(n, percent: int):
 
 
 def prefix_sizes(n, percent: int):
-    """(length of the prefix, least number of its shingles that a partner's prefix shares)."""
-    p = n - _need(n, percent) + 1
-    least = 1 + p // 2
-    return np.minimum(p + least - 1, n), np.minimum(least, n)
+    """(length of the prefix of a set of n shingles, how many of them a partner of at least that size shares)."""
+    need = _need(n, percent)
+    least = np.minimum(1 + (n - need + 1) // 2, np.maximum(need, 1))
+    return np.minimum(n - need + least, n), least
 
 
 def least_shared(n: Column, percent: int) -> Column:
-    p = n - F.floor((n * percent + 99) / 100) + 1
-    return F.least(F.lit(1) + F.floor(p / 2), n).cast("long")
+    """The second of prefix_sizes, as a column. Two sets share the smaller of theirs."""
+    need = F.floor((n * percent + 99) / 100)
+    return F.least(F.lit(1) + F.floor((n - need + 1) / 2), F.greatest(need, F.lit(1))).cast("long")
+
+
+def least_of_any(n: Column, percent: int) -> Column:
+    """What a set of n shingles shares with any partner: least_shared of the smallest set that can be one."""
+    return least_shared(F.floor((n * percent + 99) / 100), percent)
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -203,7 +209,7 @@ def near_links(sets: DataFrame, rows: int, percent: int) -> DataFrame:
     apart = (F.col("leader_a") == F.col("leader_b")) & (F.abs(F.col("far_a") - F.col("far_b")) > 1 - percent / 100 + 1e-9)
     pairs = a.join(b, "t").where("cls_a < cls_b and comp_a <> comp_b").where(_sizes("n_a", "n_b", percent)).where(~apart)
     pairs = pairs.groupBy("cls_a", "cls_b").agg(F.count("*").alias("k"), *[F.first(c).alias(c) for c in ("n_a", "n_b", "leader_a", "leader_b")])
-    pairs = pairs.where(F.col("k") >= F.greatest(least_shared(F.col("n_a"), percent), least_shared(F.col("n_b"), percent)))
+    pairs = pairs.where(F.col("k") >= F.least(least_shared(F.col("n_a"), percent), least_shared(F.col("n_b"), percent)))
     pairs = keep(pairs.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"), "leader_a", "leader_b"), "pairs")
     # the sets of one leader are dealt in blocks, and a group compares one block with another
     many = pairs.count()
@@ -235,7 +241,7 @@ def _open(hits: DataFrame, label: DataFrame) -> DataFrame:
 def _enough(hits: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
     """The rows of shared whose set shares as many shingles as a link needs; the others are bounded away."""
     counts = shared.groupBy("cls", "n").agg(F.count("*").alias("k"))
-    return shared.join(counts.where(F.col("k") >= least_shared(F.col("n"), percent)).select("cls"), "cls", "left_semi")
+    return shared.join(counts.where(F.col("k") >= least_of_any(F.col("n"), percent)).select("cls"), "cls", "left_semi")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:

@@ -10,6 +10,7 @@ from .lm import lm_scores
 from .mixing import mix_documents
 from .near_dup import near_duplicates
 from .quality import quality_scores
+from .repeats import repeated_passages
 from .secrets import scan_secrets
 from .toxicity import toxicity_scores
 from .warc import archived_pages
@@ -44,6 +45,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
@@ -59,8 +64,8 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_quality, op3_source_mixing, op4_ngram_jaccard, op5_decontamination, op6_toxicity, op7_warc, op8_exact_dedup,
-        op9_secret_scan, op10_lm_scoring,
+        op1_quality, op2_suffix_dedup, op3_source_mixing, op4_ngram_jaccard, op5_decontamination, op6_toxicity, op7_warc,
+        op8_exact_dedup, op9_secret_scan, op10_lm_scoring,
     )
 }
 
