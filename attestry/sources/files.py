@@ -31,7 +31,7 @@ def read_audit_lines(spark: SparkSession, folder: str) -> DataFrame:
 
     A log file is one day of one service; it is read whole, and its lines are numbered in the order they stand.
     """
-    files = spark.read.option("pathGlobFilter", "audit_*.jsonl").option("wholetext", True).text(folder)
+    files = spark.read.option("pathGlobFilter", "audit_*.jsonl").text(folder, wholetext=True)
     lines = files.select(F.col("_metadata.file_name").alias("log_file"), F.posexplode(F.split("value", "\n")).alias("n", "value"))
     return lines.select("log_file", (F.col("n") + 1).alias("line_no"), "value")
 
