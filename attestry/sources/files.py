@@ -76,7 +76,7 @@ def statute_articles(texts: DataFrame, law: str = "law", text: str = "text") ->
     body = lines.where("head is null and section is not null").groupBy("law", "article", "section").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("content")
     )
-    return body.groupBy("law", "article").agg(F.trim(F.max_by("content", "section")).alias("content"))
+    return body.groupBy("law", "article").agg(F.regexp_replace(F.max_by("content", "section"), r"^\s+|\s+$", "").alias("content"))
 
 
 def folder_snapshot(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = (".txt", ".md", ".py", ".json")) -> DataFrame:
