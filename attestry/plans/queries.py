@@ -10,8 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import text as X
-from ..operators import evaluate as E, integrity as I, monitor as M, retrieve as R
+from ..functions import hosts as H, split as S, text as X
+from ..operators import answers as A, compare as C, correlate as L, evaluate as E, integrity as I, monitor as M, retrieve as R
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -445,3 +445,133 @@ def s2_suppression(spark, sf_dir):
 
     alerts = audit(spark, sf_dir).where("event_type = 'security_alert'").select(F.col("session_id").alias("dedup_key"), "ts")
     return suppressed_batch(alerts)
+
+
+# answers that the table of documents stands in for: a cited article a, a reported gap m, evidence e and f
+ANSWERS = """doc_id, doc_id % 7 + 1 AS a, doc_id % 3 = 0 AS gap, doc_id % 5 + 1 AS m, doc_id % 4 + 1 AS q, doc_id % 6 + 1 AS e, doc_id % 11 + 1 AS f, doc_id % 4 AS n"""
+
+
+def answers_view(docs: DataFrame) -> DataFrame:
+    d = F.col("doc_id")
+    article = lambda k: F.concat(F.lit("第"), (d % k + 1).cast("string"), F.lit("條"))
+    answer = F.concat(
+        F.lit("依"), article(7), F.lit("辦理。"), F.when(d % 3 == 0, F.concat(article(5), F.lit("尚未收錄，"))).otherwise(""),
+        F.when(d % 2 == 0, "參考資料：").otherwise(""), F.coalesce("text", F.lit("")),
+    )
+    return docs.select("doc_id", F.concat(article(4), F.lit("規定為何")).alias("question"), answer.alias("answer"),
+                       F.array(article(6), article(11)).alias("evidence"), (d % 4).alias("retry_count"))
+
+
+@query(f"""SELECT doc_id, CASE WHEN loose AND n >= 2 THEN 'failed_safe(ungrounded_citation)' WHEN loose THEN 'needs_retry(ungrounded_citation)'
+        WHEN n < 2 AND gap AND (a IN (e, f) OR m IN (e, f)) THEN 'needs_retry(contradictory_no_info)' WHEN size < 50 THEN 'passed(non_substantive)'
+        WHEN n >= 2 THEN 'passed(retry_limit)' WHEN doc_id % 2 = 0 THEN 'passed(regex)' ELSE 'needs_retry(regex)' END AS action
+    FROM (SELECT *, a NOT IN (e, f) OR (gap AND m NOT IN (e, f) AND NOT (m <> a AND m = q)) AS loose
+          FROM (SELECT {ANSWERS}, 7 + CASE WHEN doc_id % 3 = 0 THEN 8 ELSE 0 END + CASE WHEN doc_id % 2 = 0 THEN 5 ELSE 0 END + coalesce(length(text), 0) AS size FROM documents))""")
+def x11_gate(spark, sf_dir):
+    return A.gated(answers_view(table(spark, sf_dir, "documents"))).select("doc_id", "action")
+
+
+@query(f"""SELECT doc_id, CASE WHEN gap AND m <> a THEN m END AS missing FROM (SELECT {ANSWERS} FROM documents)""")
+def x12_reported_missing(spark, sf_dir):
+    rows = answers_view(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.get(A.reported_missing(F.col("answer")), F.lit(0)).cast("long").alias("missing"))
+
+
+@query("""SELECT page_id, CASE WHEN host = '' THEN NULL ELSE host END AS host FROM (SELECT page_id, lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS host FROM pages)""")
+def x5_hosts(spark, sf_dir):
+    found = H.hosts(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", F.get(found, F.lit(0))["raw"].alias("host"))
+
+
+@query("""SELECT item_id AS event_id, doc_id AS chat_id, CAST(place AS INT) AS place FROM (
+        SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id DESC) AS place
+        FROM benchmark b JOIN (SELECT doc_id, text FROM documents ORDER BY doc_id DESC LIMIT 500) d ON contains(lower(d.text), lower(b.text)) WHERE b.text <> '') WHERE place <= 5""")
+def j8_chats_by_text(spark, sf_dir):
+    events = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("event_id"), F.timestamp_seconds(F.lit(0)).alias("at"), F.col("text").alias("query"))
+    chats = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chat_id"), F.timestamp_seconds("doc_id").alias("updated_at"), F.array("text").alias("strings"))
+    return L.by_text(events, chats).select("event_id", "chat_id", "place")
+
+
+@query("""SELECT c.page_id AS event_id, c.page_id % 300 AS chat_id, n_nationkey AS user_id, n_name AS name
+    FROM pages c JOIN customer k ON k.c_custkey = c.page_id % 300 LEFT JOIN nation ON n_nationkey = k.c_nationkey""")
+def j7_chats_by_id(spark, sf_dir):
+    events = table(spark, sf_dir, "pages").select(F.col("page_id").alias("event_id"), (F.col("page_id") % 300).alias("chat_id"), F.timestamp_seconds(F.lit(0)).alias("at"))
+    chats = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("chat_id"), F.col("c_nationkey").alias("user_id"), F.timestamp_seconds(F.lit(9)).alias("updated_at"))
+    users = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.lit("").alias("email"), F.col("n_name").alias("name"))
+    return L.by_chat_id(events, L.with_users(chats, users)).select("event_id", "chat_id", "user_id", "name")
+
+
+@query("""SELECT conv_id AS group_id, round(1 - abs(hits_a - hits_b) / 3, 9) AS keyword_consistency, 1 - abs(hits_a - hits_b) / 3 >= 0.7 AS passed FROM (
+        SELECT conv_id, max(hits) FILTER (turn = 0) AS hits_a, max(hits) FILTER (turn = 1) AS hits_b FROM (
+            SELECT conv_id, turn, CAST(contains(lower(text), 'a') AS INT) + CAST(contains(lower(text), 'qu') AS INT) + CAST(contains(lower(text), 'th') AS INT) AS hits
+            FROM conversations WHERE turn IN (0, 1) AND text IS NOT NULL) GROUP BY conv_id) WHERE hits_a IS NOT NULL AND hits_b IS NOT NULL""")
+def j15_bias(spark, sf_dir):
+    words = F.array(*[F.lit(w) for w in ("a", "QU", "th")])
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("group_id"), F.col("turn").alias("n"), F.col("text").alias("answer"), words.alias("keywords"))
+    return C.bias(C.answer_pairs(rows)).select("group_id", F.round("keyword_consistency", 9).alias("keyword_consistency"), "passed")
+
+
+@query("""SELECT count(*) AS groups, count(*) FILTER (p) AS passed, coalesce(avg(CAST(p AS INT)), 1.0) AS pass_rate FROM (
+    SELECT abs(count(*) FILTER (event_type = 'query') - count(*) FILTER (event_type = 'rejection')) < 3 AS p FROM ev GROUP BY session_id)""")
+def a16_bias_rate(spark, sf_dir):
+    n = lambda kind: F.count(F.when(F.col("event_type") == kind, 1))
+    groups = audit(spark, sf_dir).groupBy("session_id").agg((F.abs(n("query") - n("rejection")) < 3).alias("passed"))
+    return C.bias_summary(groups)
+
+
+JUDGED = "CASE k % 5 WHEN 0 THEN 'ok' WHEN 1 THEN 'ok' WHEN 2 THEN 'no_coverage' WHEN 3 THEN 'abstention' END AS status, (k % 11) / 16 AS score, CASE WHEN k % 3 = 0 THEN (k % 7) / 8 END AS relevancy"
+
+
+@query(f"""SELECT count(*) AS sample_size, count(score) FILTER (status = 'ok') AS evaluated, round(avg(score) FILTER (status = 'ok'), 4) AS faithfulness,
+    round(avg(relevancy), 4) AS answer_relevancy, count(*) FILTER (coalesce(status, '') <> 'ok' AND relevancy IS NULL) AS skipped,
+    round(count(*) FILTER (status IN ('no_coverage', 'abstention')) / count(*), 4) AS no_coverage_rate FROM (SELECT {JUDGED} FROM ev)""")
+def a17_judged(spark, sf_dir):
+    k = F.col("k")
+    rows = audit(spark, sf_dir).select(
+        F.when(k % 5 < 2, "ok").when(k % 5 == 2, "no_coverage").when(k % 5 == 3, "abstention").alias("status"), ((k % 11) / 16).alias("faithfulness"),
+        F.when(k % 3 == 0, (k % 7) / 8).alias("answer_relevancy"), F.lit(None).cast("double").alias("context_precision"),
+    )
+    return C.judged_summary(rows).drop("context_precision", "breakdown")
+
+
+@query("""SELECT doc_id, CASE WHEN quality IS NULL AND toxic IS NULL THEN NULL ELSE (coalesce(quality, 0) + coalesce(toxic, 0)) / (CAST(quality IS NOT NULL AS INT) + CAST(toxic IS NOT NULL AS INT)) END AS overall FROM labels""")
+def a18_overall(spark, sf_dir):
+    return table(spark, sf_dir, "labels").select("doc_id", C.overall(F.col("quality").cast("double"), F.col("toxic").cast("double")).alias("overall"))
+
+
+@query("""SELECT variant, count(*) AS n, round(avg(CAST(c > 0 AS INT)), 4) AS hit_rate, round(avg(c / 2), 4) AS precision, round(avg(c / 2), 4) AS recall, round(avg(c / 2), 4) AS f1,
+    CAST(floor(avg(v)) AS BIGINT) AS avg_latency_ms, list_sort(list(v))[(count(*) - 1) * 95 // 100 + 1] AS p95_latency_ms
+    FROM (SELECT threat_type AS variant, v, CAST(k % 3 = k % 5 OR k % 3 = k % 5 + 1 AS INT) + CAST(k % 3 + 1 = k % 5 OR k % 3 + 1 = k % 5 + 1 AS INT) AS c FROM ev WHERE v IS NOT NULL) GROUP BY variant""")
+def a25_variants(spark, sf_dir):
+    pair = lambda x: F.array(x.cast("string"), (x + 1).cast("string"))
+    k = F.col("k")
+    rows = audit_v(spark, sf_dir).select(F.col("threat_type").alias("variant"), pair(k % 3).alias("expected"), pair(k % 5).alias("retrieved"), F.col("v").alias("latency_ms"))
+    return C.variants(rows)
+
+
+def audit_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "events").select(F.get_json_object("props", "$.k").cast("long").alias("k"), F.floor(F.col("value") * 100).cast("long").alias("v"))
+    return v.where("v is not null").withColumn("threat_type", (F.col("k") % 8).cast("string"))
+
+
+@query("""SELECT event_type AS version, session_id AS id, count(*) FILTER (k % 3 = 0) AS hits, count(*) FILTER (k % 3 < 2) AS valid, count(*) FILTER (k % 3 = 2) AS empties FROM ev GROUP BY ALL""")
+def a26_prompt_runs(spark, sf_dir):
+    hit = F.when(F.col("k") % 3 < 2, F.col("k") % 3 == 0)
+    return C.prompt_runs(audit(spark, sf_dir).select(F.col("event_type").alias("version"), F.col("session_id").alias("id"), hit.alias("hit")))
+
+
+@query("""SELECT case_id, replies, median, stable, coalesce(CASE band WHEN 'high' THEN median >= 0.8 WHEN 'low' THEN median <= 0.5 ELSE median BETWEEN 0.3 AND 0.85 END, FALSE) AS direction_ok
+    FROM (SELECT session_id AS case_id, CASE CAST(session_id AS BIGINT) % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE 'mid' END AS band, count(*) AS replies,
+          round(median((k % 9) / 8), 3) AS median, count(DISTINCT k % 9) <= 1 AS stable FROM ev GROUP BY ALL)""")
+def a27_judge_cases(spark, sf_dir):
+    third = F.col("session_id").cast("long") % 3
+    rows = audit(spark, sf_dir).select(
+        F.col("session_id").alias("case_id"), F.when(third == 0, "high").when(third == 1, "low").otherwise("mid").alias("band"),
+        F.lit(True).alias("valid"), F.lit(False).alias("abstained"), ((F.col("k") % 9) / 8).alias("score"),
+    )
+    return C.judge_cases(rows).select("case_id", "replies", "median", "stable", "direction_ok")
+
+
+@query()
+def r4_chunks(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(S.chunked(F.col("text"))).alias("chunk"))

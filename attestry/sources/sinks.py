@@ -28,3 +28,17 @@ def replace_source(table: DataFrame, path: str) -> None:
 
 def without_session(messages: DataFrame, session: str) -> DataFrame:
     return messages.where(~F.col("session_id").eqNullSafe(F.lit(session)))
+
+
+def markdown_lines(table: DataFrame) -> DataFrame:
+    """One column, value: a row of a markdown table for each row, pipes escaped, nulls empty."""
+    cells = [F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")) for c in table.columns]
+    return table.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value"))
+
+
+def write_report(table: DataFrame, folder: str) -> None:
+    """Writes a report as JSON lines and as the rows of a markdown table; its header is a file of its own."""
+    head = ["| " + " | ".join(table.columns) + " |", "|" + " --- |" * len(table.columns)]
+    table.write.mode("overwrite").json(f"{folder}/json")
+    table.sparkSession.createDataFrame([(h,) for h in head], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/markdown/head")
+    markdown_lines(table).write.mode("overwrite").text(f"{folder}/markdown/rows")
