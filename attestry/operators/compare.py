@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .answers import REFUSAL
 from .evaluate import keyword_coverage
-from .monitor import p95
+from .monitor import grouped
 
 
 def answer_pairs(answers: DataFrame) -> DataFrame:
@@ -68,12 +68,13 @@ def variants(rows: DataFrame) -> DataFrame:
     want, got = F.array_distinct("expected"), F.array_distinct(F.filter("retrieved", lambda x: x != ""))
     some = rows.where(F.size("expected") > 0).withColumn("n", F.size(F.array_intersect(want, got)))
     some = some.select("variant", "latency_ms", (F.col("n") > 0).cast("double").alias("hit"), (F.col("n") / F.greatest(F.size(got), F.lit(1))).alias("p"), (F.col("n") / F.size(want)).alias("r"))
-    out = some.groupBy("variant").agg(
-        F.count("*").alias("n"), *[F.avg(c).alias(c) for c in "pr"], F.avg("hit").alias("hit_rate"), F.floor(F.avg("latency_ms")).alias("avg_latency_ms"),
-        p95(F.col("latency_ms"), "P5").alias("p95_latency_ms"),
+    out = grouped(some, ["variant"], F.col("latency_ms"), "P5", n=F.lit(1), hit=F.col("hit"), p=F.col("p"), r=F.col("r"), total_ms=F.col("latency_ms"))
+    out = out.withColumns({c: F.col(c) / F.col("n") for c in ("hit", "p", "r")})
+    f1 = F.coalesce(F.try_divide(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r")), F.lit(0.0))
+    return out.select(
+        "variant", "n", F.round("hit", 4).alias("hit_rate"), F.round("p", 4).alias("precision"), F.round("r", 4).alias("recall"), F.round(f1, 4).alias("f1"),
+        F.floor(F.try_divide("total_ms", "measured")).alias("avg_latency_ms"), F.col("p95_ms").alias("p95_latency_ms"),
     )
-    return out.select("variant", "n", F.round("hit_rate", 4).alias("hit_rate"), F.round("p", 4).alias("precision"), F.round("r", 4).alias("recall"),
-                      F.round(F.coalesce(F.try_divide(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r")), F.lit(0.0)), 4).alias("f1"), "avg_latency_ms", "p95_latency_ms")
 
 
 def prompt_runs(rows: DataFrame) -> DataFrame:

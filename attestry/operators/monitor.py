@@ -21,27 +21,41 @@ def count_if(condition: Column) -> Column:
     return F.count(F.when(condition, 1))
 
 
-def rank_value(values: Column, index: Column) -> Column:
-    """The value at a 0-based index of the ascending list; null outside of it."""
-    return F.get(F.array_sort(values), index.cast("int"))
+def flag(condition: Column) -> Column:
+    return F.when(condition, 1).otherwise(0)
 
 
-def p95(latency: Column, definition: str) -> Column:
-    """The 95th percentile as an aggregate, by one of the four index rules in use (P2 to P5)."""
-    values, n = F.collect_list(latency), F.count(latency)
-    index = F.floor((n - 1) * 95 / 100) if definition in ("P3", "P5") else F.floor(n * 95 / 100)
-    value = rank_value(values, index)
-    return F.when(n >= 5, value) if definition == "P4" else value
+def grouped(rows: DataFrame, by: list[str], latency: Column, definition: str, **sums: Column) -> DataFrame:
+    """(by, sums, measured, p95_ms): sums of columns, the latencies that are not null, and their 95th percentile.
+
+    The percentile is the value at a 0-based place in order, floor(0.95 (n - 1)) by P3 and P5, floor(0.95 n) by P2 and
+    P4, which needs 5 values. Rows are counted by latency first, so a group holds its different latencies, not its rows.
+    """
+    per = rows.groupBy(*by, latency.alias("v")).agg(F.count("*").alias("measured"), *[F.sum(c).alias(k) for k, c in sums.items()])
+    some = F.col("v").isNotNull()
+    counts = [F.coalesce(F.sum(c), F.lit(0)).alias(k) for k, c in {**{k: F.col(k) for k in sums}, "measured": F.when(some, F.col("measured"))}.items()]
+    out = per.groupBy(*by).agg(*counts, F.array_sort(F.collect_list(F.when(some, F.struct("v", F.col("measured").alias("n"))))).alias("values"))
+    n = F.col("measured")
+    place = F.floor((n - 1) * 95 / 100) if definition in ("P3", "P5") else F.floor(n * 95 / 100)
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast(dict(per.dtypes)["v"]).alias("v"))
+
+    def step(s: Column, x: Column) -> Column:
+        here = (s["seen"] <= place) & (s["seen"] + x["n"] > place)
+        return F.struct((s["seen"] + x["n"]).alias("seen"), F.when(here, x["v"]).otherwise(s["v"]).alias("v"))
+
+    value = F.aggregate("values", start, step, lambda s: s["v"])
+    return out.withColumn("p95_ms", F.when(n >= 5, value) if definition == "P4" else value).drop("values")
+
+
+def query_latency() -> Column:
+    return F.when(is_type("query"), F.col("response_time_ms"))
 
 
 def kpi(events: DataFrame) -> DataFrame:
     """One row: queries, rejections, rejection_rate, security_alerts, p95_ms; rates are not rounded."""
-    q, r = count_if(is_type("query")), count_if(is_type("rejection"))
-    return events.agg(
-        q.alias("queries"), r.alias("rejections"), (r / F.greatest(q + r, F.lit(1))).alias("rejection_rate"),
-        count_if(is_type("security_alert")).alias("security_alerts"),
-        p95(F.when(is_type("query"), F.col("response_time_ms")), "P4").alias("p95_ms"),
-    )
+    kinds = {"queries": flag(is_type("query")), "rejections": flag(is_type("rejection")), "security_alerts": flag(is_type("security_alert"))}
+    rate = F.col("rejections") / F.greatest(F.col("queries") + F.col("rejections"), F.lit(1))
+    return grouped(events, [], query_latency(), "P4", **kinds).select("queries", "rejections", rate.alias("rejection_rate"), "security_alerts", "p95_ms")
 
 
 def per_day(events: DataFrame, day: Column) -> DataFrame:
@@ -66,9 +80,8 @@ def hourly_status(events: DataFrame, end: Column, hours: int = 24) -> DataFrame:
     base = events.agg(last.alias("last")).select(
         F.explode(F.sequence(F.col("last") - F.make_dt_interval(hours=F.lit(hours - 1)), F.col("last"), F.expr("interval 1 hour"))).alias("hour")
     )
-    seen = events.where(is_type("query")).groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(
-        F.count("*").alias("queries"), p95(F.col("response_time_ms"), "P3").alias("p95_ms")
-    )
+    queries = events.where(is_type("query")).withColumn("hour", F.date_trunc("hour", "ts"))
+    seen = grouped(queries, ["hour"], F.col("response_time_ms"), "P3", queries=F.lit(1)).drop("measured")
     out = base.join(seen, "hour", "left")
     return out.select("hour", F.coalesce("queries", F.lit(0)).alias("queries"), "p95_ms", latency_status(F.col("p95_ms")).alias("status"))
 
@@ -117,15 +130,16 @@ def search(events: DataFrame, limit: int = 100, danger_only: bool = False, text:
 
 def perf_signals(events: DataFrame, baseline_p95: float | None = None) -> DataFrame:
     """One row: rates over queries and rejections, mean and p95 latency, and its change against a baseline in percent."""
-    q, r = count_if(is_type("query")), count_if(is_type("rejection"))
-    late = F.when(is_type("query"), F.col("response_time_ms"))
-    tail = p95(late, "P4")
+    late, q, r, tail = query_latency(), F.col("q"), F.col("r"), F.col("p95_ms")
     delta = (tail - F.lit(baseline_p95)) / F.greatest(F.lit(baseline_p95), F.lit(1.0)) * 100 if baseline_p95 is not None else F.lit(None).cast("double")
-    return events.agg(
-        q.alias("queries"), F.coalesce(F.try_divide(r, q + r), F.lit(0.0)).alias("rejection_rate"), F.avg(late).alias("avg_latency_ms"),
-        tail.alias("p95_ms"), delta.alias("p95_delta_pct"),
-        F.coalesce(F.try_divide(count_if(is_type("query") & (F.col("retry_count") > 0)), q), F.lit(0.0)).alias("retry_rate"),
-        F.coalesce(F.try_divide(count_if(is_type("security_alert")), F.count("*")), F.lit(0.0)).alias("security_rate"),
+    counts = grouped(
+        events, [], late, "P4", q=flag(is_type("query")), r=flag(is_type("rejection")), total_ms=late, events=F.lit(1),
+        retried=flag(is_type("query") & (F.col("retry_count") > 0)), alerts=flag(is_type("security_alert")),
+    )
+    return counts.select(
+        q.alias("queries"), F.coalesce(F.try_divide(r, q + r), F.lit(0.0)).alias("rejection_rate"), F.try_divide("total_ms", "measured").alias("avg_latency_ms"),
+        "p95_ms", delta.alias("p95_delta_pct"), F.coalesce(F.try_divide("retried", q), F.lit(0.0)).alias("retry_rate"),
+        F.coalesce(F.try_divide("alerts", "events"), F.lit(0.0)).alias("security_rate"),
     )
 
 
@@ -157,11 +171,11 @@ def detector_flags(events: DataFrame) -> DataFrame:
 
 def file_stats(events: DataFrame) -> DataFrame:
     """One row a log file. The rate is rejections over queries, null without queries; the mean is cut to an integer."""
-    q, r = count_if(is_type("query")), count_if(is_type("rejection"))
-    late = F.when(is_type("query"), F.col("response_time_ms"))
-    return events.groupBy("log_file").agg(
-        F.count("*").alias("events"), q.alias("queries"), r.alias("rejections"), F.try_divide(r, q).alias("rejection_rate"),
-        F.floor(F.avg(late)).cast("long").alias("avg_latency_ms"), p95(late, "P2").alias("p95_ms"),
+    late = query_latency()
+    counts = grouped(events, ["log_file"], late, "P2", events=F.lit(1), queries=flag(is_type("query")), rejections=flag(is_type("rejection")), total_ms=late)
+    return counts.select(
+        "log_file", "events", "queries", "rejections", F.try_divide("rejections", "queries").alias("rejection_rate"),
+        F.floor(F.try_divide("total_ms", "measured")).cast("long").alias("avg_latency_ms"), "p95_ms",
     )
 
 

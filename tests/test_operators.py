@@ -183,3 +183,11 @@ def test_suppression_stream(spark, tmp_path):
 def test_dedup_stream(spark, tmp_path):
     df = spark.createDataFrame([(s % 2, "f") for s in range(7)], "s long, flag string").select(F.timestamp_seconds(F.col("s") + 100_000).alias("ts"), "flag")
     assert len(streamed(spark, tmp_path, df, jobs.new_alerts)) == 2
+
+
+@pytest.mark.parametrize(("rule", "want"), [("P2", 20), ("P3", 19), ("P4", 20), ("P5", 19)])
+def test_percentile_rules(spark, rule, want):
+    rows = spark.range(1, 21).select("id", F.lit("x").alias("g")).unionByName(spark.createDataFrame([(None, "x"), (None, "y")], "id long, g string"))
+    out = {r.g: (r.n, r.measured, r.p95_ms) for r in M.grouped(rows, ["g"], F.col("id"), rule, n=F.lit(1)).collect()}
+    assert out == {"x": (21, 20, want), "y": (1, 0, None)}
+    assert M.kpi(log(spark, [])).first().asDict() == {"queries": 0, "rejections": 0, "rejection_rate": 0.0, "security_alerts": 0, "p95_ms": None}
