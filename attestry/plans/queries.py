@@ -348,6 +348,13 @@ def x7_redaction(spark, sf_dir):
     return docs.select("doc_id", F.sha2(X.redacted(F.col("text")), 256).alias("redacted_sha256"))
 
 
+@query()
+def x7_redaction_whole(spark, sf_dir):
+    """All texts that are not null. No SQL: case, white space and \\b of other code points differ between the dialects."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    return docs.select("doc_id", F.sha2(X.redacted(F.col("text")), 256).alias("redacted_sha256"))
+
+
 @query()
 def x6_threats(spark, sf_dir):
     talk = table(spark, sf_dir, "conversations").select("conv_id", "turn", X.threat_type(F.col("text")).alias("threat"))

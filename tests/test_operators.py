@@ -2,12 +2,14 @@
 
 import hashlib
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from attestry.functions import text as X
 from attestry.operators import evaluate as E, integrity as I, monitor as M, retrieve as R
+from attestry.plans import queries as Q
 from attestry.sources import files, sinks
 from attestry.streaming import jobs
 
@@ -105,6 +107,22 @@ def test_redaction(spark):
     assert one(spark, X.redaction_findings(text)) == ["connection_string", "etc_path", "api_key_bearer"]
 
 
+def test_redaction_of_any_text(spark, tmp_path):
+    token = "aB3" * 11
+    texts = [
+        "密碼 postgresql://u:p@h/db，見 /etc/passwd、結束", f"é {token} ü", f"密{token}", f"{token}\u0301 x", f"²{token} {token}²", f"ſqlıte://x{token}",
+        f"Bearer\u3000{token} ſ", "/HOME/Kım/x\u00a0y /home/ab/ü\u2003z", "mYSQLü://x\x1fy 😀", "c:\\tmp\\é\u202fb", f"_{token}", f"{token}==é", "", "plain",
+    ]
+    want = {}
+    for i, text in enumerate(texts):
+        for _, pattern, replacement in X.REDACTIONS:
+            text = re.sub(pattern, replacement, text)
+        want[i] = hashlib.sha256(text.encode()).hexdigest()
+    rows = spark.createDataFrame([*enumerate(texts), (99, None)], "doc_id long, text string")
+    rows.write.parquet(f"file://{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.redacted_sha256 for r in Q.x7_redaction_whole(spark, f"file://{tmp_path}").collect()} == want
+
+
 def test_json_in_text(spark):
     assert json.loads(one(spark, X.json_in_text(F.lit('```json\n{"a": 1}\n``` done')))) == {"a": 1}
     assert one(spark, X.json_in_text(F.lit("no json"))) is None
