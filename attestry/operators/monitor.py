@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Rows that the detector looks back on; retries, factor and counts at which it flags.
-WINDOW, RETRIES, SPIKE, SURGE, BURST = 50, 2, 2.0, 0.5, 3
+WINDOW, RETRIES, SPIKE, SURGE, BURST, SCOPES = 50, 2, 2.0, 0.5, 3, 10
 SLOW_MS = 60_000
 
 
@@ -150,23 +150,27 @@ def detector_flags(events: DataFrame) -> DataFrame:
     """
     file = Window.partitionBy("log_file", "q").orderBy("position")
     q = is_type("query") & F.col("response_time_ms").isNotNull()
-    rows = events.withColumn("q", q)
+    scoped = is_type("query") & (F.coalesce("scope_check", F.lit("")) != "")
+    rows = events.withColumns({"q": q, "scoped": scoped})
     past = F.array_sort(F.collect_list("response_time_ms").over(file.rowsBetween(-WINDOW, -1)))
     n = F.size(past)
     tail = F.get(past, F.least(F.floor(n * 95 / 100), n - 1).cast("int"))
     spike = F.col("q") & (n >= 5) & (tail > 0) & (F.col("response_time_ms") > SPIKE * tail)
     rows = rows.withColumn("spike", F.coalesce(spike, F.lit(False)))
     along = Window.partitionBy("log_file").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    scopes = F.least(F.sum((is_type("query") & (F.coalesce("scope_check", F.lit("")) != "")).cast("long")).over(along), F.lit(WINDOW))
+    scopes = F.least(F.sum(F.col("scoped").cast("long")).over(along), F.lit(WINDOW))
+    lately = Window.partitionBy("log_file", "scoped").orderBy("position").rowsBetween(1 - SCOPES, 0)
+    outside = F.sum(flag(F.col("scope_check") == "out_of_scope")).over(lately) / SCOPES
+    beyond = F.col("scoped") & (F.count("*").over(lately) == SCOPES) & (outside > SURGE)
     refused = F.least(F.sum(is_type("rejection").cast("long")).over(along), F.lit(WINDOW))
     alerts = F.sum(is_type("security_alert").cast("long")).over(along)
     surge = is_type("rejection") & (scopes + refused >= 10) & (refused / (scopes + refused) > SURGE)
     flags = F.array_compact(F.array(
-        F.when(F.col("spike"), "latency_spike"), F.when(surge, "rejection_surge"),
+        F.when(F.col("spike"), "latency_spike"), F.when(surge | beyond, "rejection_surge"),
         F.when(is_type("query") & (F.col("retry_count") >= RETRIES), F.concat(F.lit("consecutive_retries:"), F.col("retry_count"))),
         F.when(is_type("security_alert") & (alerts >= BURST), "security_alert_burst"),
     ))
-    return rows.withColumn("anomaly_flags", flags).drop("q", "spike")
+    return rows.withColumn("anomaly_flags", flags).drop("q", "scoped", "spike")
 
 
 def file_stats(events: DataFrame) -> DataFrame:

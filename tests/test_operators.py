@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 import re
 
 import pytest
@@ -61,6 +62,33 @@ def test_rejection_surge(spark, q, r, found):
     assert bool(rows.where(F.array_contains("anomaly_flags", "rejection_surge")).count()) is found
 
 
+def test_scope_surge(spark):
+    def twin(rows):
+        """Positions that the reference flags: its last 10 non-empty scopes of a file's queries, and its rejections."""
+        out, scopes, refused = [], {}, {}
+        for position, file, kind, scope in rows:
+            seen, n = scopes.setdefault(file, []), refused.get(file, 0)
+            if kind == "query" and scope:
+                seen.append(scope)
+                if len(seen) >= 10 and seen[-10:].count("out_of_scope") / 10 > 0.5:
+                    out.append(position)
+            if kind == "rejection":
+                refused[file] = n = n + 1
+                total = min(len(seen), 50) + min(n, 50)
+                if total >= 10 and min(n, 50) / total > 0.5:
+                    out.append(position)
+        return out
+
+    r = random.Random(1)
+    rows = [(i, r.choice("fg"), r.choice(["query"] * 6 + ["rejection", "security_alert"]), r.choice(["in_scope", "out_of_scope", "out_of_scope", "", None])) for i in range(300)]
+    rows += [(300 + i, "nine", "query", "out_of_scope") for i in range(9)] + [(400 + i, "half", "query", ("in_scope", "out_of_scope")[i % 2]) for i in range(30)]
+    df = spark.createDataFrame([(p, f, k, 1, 0, s) for p, f, k, s in rows], log(spark, []).schema)
+    flagged = M.detector_flags(df).where(F.array_contains("anomaly_flags", "rejection_surge"))
+    want = twin(rows)
+    assert sorted(x.position for x in flagged.collect()) == want and len(want) > 50
+    assert {x.danger_level for x in flagged.select(M.danger_level(F.col("anomaly_flags")).alias("danger_level")).collect()} == {"warning"}
+
+
 def test_security_burst_and_health(spark):
     rows = M.detector_flags(log(spark, [("security_alert", None)] * 3))
     assert [r.anomaly_flags for r in rows.orderBy("position").collect()] == [[], [], ["security_alert_burst"]]
