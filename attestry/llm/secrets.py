@@ -21,21 +21,21 @@ _LETTERS = "A-Za-z0-9"
 #: Weak candidates. Alone each of them is common in harmless text; they count only beside their complement.
 WEAK = {
     "ident": re.compile(
-        rf"""(?<![{_LETTERS}])(?:A(?:KI|SI|RO|ID)A[A-Z0-9]{{8,}}|(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20{{0,4}}[:=]\x20{{0,4}}["']?[A-Za-z0-9@._-]{{3,64}})""",
+        rf"""(?<![{_LETTERS}])(?:A(?:KI|SI|RO|ID)A[A-Z0-9]{{8,}}|(?i:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20{{0,4}}[:=]\x20{{0,4}}["']?[A-Za-z0-9@._-]{{3,}})""",
         re.A,
     ),
     "key": re.compile(
-        rf"""(?<![{_LETTERS}])(?:(?:pwd|pass|credential|private_?key|secret|token|password|passwd|api_?key)["']?\x20{{0,4}}[:=]\x20{{0,4}}["']?[A-Za-z0-9+/_.=-]{{4,128}}|[0-9a-f]{{16,31}}(?![{_LETTERS}]))""",
+        rf"""(?<![{_LETTERS}])(?:(?:pwd|pass|credential|private_?key|secret|token|password|passwd|api_?key)["']?\x20{{0,4}}[:=]\x20{{0,4}}["']?[A-Za-z0-9+/_.=-]{{4,}}|[0-9a-f]{{16,31}}(?![{_LETTERS}]))""",
         re.I | re.A,
     ),
     "endpoint": re.compile(
-        rf"""(?<![{_LETTERS}])(?:[a-z][a-z0-9+.-]{{1,9}}://[^\s"'<>]{{3,200}}|arn:aws:[a-z0-9:/_-]{{3,120}}|(?:host|server|endpoint)["']?\x20{{0,4}}[:=]\x20{{0,4}}["']?[A-Za-z0-9.-]{{3,100}})""",
+        rf"""(?<![{_LETTERS}])(?:(?i:[a-z][a-z0-9+.-]{{1,9}})://[^\s"'<>]{{3,}}|arn:aws:[a-z0-9:/_-]{{3,}}|(?i:host|server|endpoint)["']?\x20{{0,4}}[:=]\x20{{0,4}}["']?[A-Za-z0-9.-]{{3,}})""",
         re.A,
     ),
 }
-# One of these is in every text that has an assign match, or a weak ident match.
+# One of these is in every lower-cased text that has an assign match, or a weak ident match.
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
-IDENT_WORDS = ("AKIA", "ASIA", "AROA", "AIDA", "user", "login", "account", "client", "access")
+IDENT_WORDS = ("akia", "asia", "aroa", "aida", "user", "login", "account", "client", "access")
 #: Code points between an identifier, a secret and an endpoint that belong together.
 SCOPE = 160
 _SPANS = "array<struct<kind:string,start:int,end:int>>"
@@ -53,16 +53,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def weak_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of the weak candidates that are not base matches themselves.
+    """(kind, start, end) of the weak candidates that are not within a base match; one that goes beyond it is kept whole.
 
     Every link has an identifier, so a text without one is not searched for the other parts.
     """
-    out, taken = [], [(s, e) for s, _, e in base]
+    out, taken, small = [], [(s, e) for s, _, e in base], text.lower()
     has_ident = any(k == KINDS.index("access") for _, k, _ in base)
-    if not has_ident and not (any(w in text for w in IDENT_WORDS) and WEAK["ident"].search(text)):
+    if not has_ident and not (any(w in small for w in IDENT_WORDS) and WEAK["ident"].search(text)):
         return out
     for kind, pattern in WEAK.items():
-        out += [(kind, m.start(), m.end()) for m in pattern.finditer(text) if not any(s < m.end() and m.start() < e for s, e in taken)]
+        out += [(kind, m.start(), m.end()) for m in pattern.finditer(text) if not any(s <= m.start() and m.end() <= e for s, e in taken)]
     return out
 
 

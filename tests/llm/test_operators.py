@@ -217,6 +217,19 @@ def test_secrets(spark, pairs):
     assert (r[1].spans, r[1].base_sha256) == ("", hashlib.sha256(b"").hexdigest())
 
 
+def test_secrets_in_either_case_and_of_any_length(spark):
+    url, key = "https://h.example/" + "s" * 500, "private_key=" + "k" * 400
+    texts = ["DB_USER=app / DB_PASS=hunter2", "Username: bob, Pass: x1y2", key + " " * 100 + "Login: " + "n" * 90, f"user: bob pass: x1y2 {url}", "SERVER=Db1.Example user=bob pass=x1y2", f"user: bob {url}&token=abcdefgh"]
+    want = [
+        "ident:3:11,key:17:29", "ident:0:13,key:15:25", "key:0:412,ident:512:609", f"ident:0:9,key:10:20,endpoint:21:{21 + len(url)}",
+        "endpoint:0:18,ident:19:27,key:28:37", None,
+    ]
+    out = secrets.scan_secrets(frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).orderBy("doc_id").collect()
+    n = 10 + len(url) + 1  # the pair at the end of a long URL does not hide the URL
+    want[-1] = f"endpoint:10:{n + 14},assign:{n}:{n + 14}"
+    assert [r.spans for r in out] == want
+
+
 def test_warc_round_trip(spark):
     body = "<p>é</p>" * 40
     rows = [(3, "http://a", body), (1, "http://b\r\nX: y", body), (2, None, body), (4, "http://c", "short"), (5, "http://c", "short"), (6, "d", None), (1, "http://b", body), (None, "e", body), (7, "f", "WARC/1.1\r\n\r\n" * 50)]
