@@ -25,7 +25,7 @@ READINGS = {
 SEPARATORS = " .-_*"
 #: Costs, as log-probabilities, of a changed character, a dropped separator and a dropped repetition.
 CHANGED, DROPPED, REPEATED = -1.0, -0.1, -0.5
-#: Hashed features; rows of the prior that each feature's counts are joined with; longest word that is decoded.
+#: Hashed features; rows of the prior that each feature's counts are joined with; longest stretch that is remembered.
 BUCKETS, PRIOR_ROWS, LONGEST = 1 << 22, 10.0, 40
 PREFIXES = (4, 5)
 
@@ -67,13 +67,20 @@ def letter_model(rows: DataFrame) -> np.ndarray:
     return np.log((n + 5 * prior[None]) / (n.sum(-1, keepdims=True) + 5))
 
 
-def decode(written: str, model: np.ndarray) -> str:
-    """The most likely word behind a written one: Viterbi over (last two letters), one lattice column a character."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+def decode(written: str, model: np.ndarray, breaks: bool = False) -> str:
+    """The most likely word behind a written one: Viterbi over (last two letters), one lattice column a character.
+
+    A path is a chain of (chain before, letter), so time and memory grow with the length only. With `breaks` a separator
+    may also end a word, and the words are parted by spaces.
+    """
+    if breaks:
+        model = model.copy()
+        model[0, 0] = np.log(np.exp(model[:, 0]).mean(0))
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for ch in written.lower():
-        column: dict[tuple[int, int], tuple[float, str]] = {}
+        column: dict[tuple[int, int], tuple[float, tuple | None]] = {}
 
-        def offer(state: tuple[int, int], value: float, said: str, column=column) -> None:
+        def offer(state: tuple[int, int], value: float, said: tuple | None, column=column) -> None:
             if state not in column or value > column[state][0]:
                 column[state] = (value, said)
 
@@ -81,17 +88,25 @@ def decode(written: str, model: np.ndarray) -> str:
         for (a, b), (value, said) in best.items():
             for c, cost in letters:
                 code = ord(c) - 96
-                offer((b, code), value + cost + model[a, b, code], said + c)
+                offer((b, code), value + cost + model[a, b, code], (said, c))
                 if code == b:
                     offer((a, b), value + REPEATED, said)
-            if ch in SEPARATORS or not letters:
+            if ch in SEPARATORS or ch == "!" or not letters:  # an exclamation mark may be just that
                 offer((a, b), value + DROPPED, said)
+            if breaks and b and ch in SEPARATORS:
+                for state in ((b, 0), (0, 0)):  # a word begins after this one or after any
+                    offer(state, value + model[a, b, 0], (said, " "))
         best = column
-    return max(((v + model[a, b, 0], s) for (a, b), (v, s) in best.items()), default=(0.0, ""))[1]
+    _, said = max(((v + (model[a, b, 0] if b else 0.0), s) for (a, b), (v, s) in best.items()), key=lambda x: x[0])
+    out = []
+    while said:
+        said, c = said
+        out.append(c)
+    return "".join(reversed(out))
 
 
 def suspects(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, end) of the stretches that may hide a word: signs before letters, letters thrice, letters apart."""
+    """(row, start, end) of the stretches that may hide a word: signs beside letters, letters thrice, letters apart."""
     n = len(data)
     empty = np.zeros(0, np.int64)
     if n < 3:
@@ -100,6 +115,9 @@ def suspects(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     small = data | np.where(_LETTER[data], 0x20, 0).astype(np.uint8)
     mark = np.zeros(n, bool)
     mark[:-1] |= _LEET[data[:-1]] & _LETTER[data[1:]]
+    inside = np.ones(n, bool)
+    inside[start] = False
+    mark[1:] |= _LETTER[data[:-1]] & (_LEET & ~_END)[data[1:]] & inside[1:]
     mark[2:] |= (small[2:] == small[1:-1]) & (small[1:-1] == small[:-2]) & _LETTER[data[2:]]
     apart = np.zeros(n, bool)
     apart[1:-1] = _SEPARATOR[data[1:-1]] & (_LETTER | _LEET)[data[:-2]] & (_LETTER | _LEET)[data[2:]]
@@ -108,7 +126,6 @@ def suspects(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     np.cumsum(apart & ~_BLANK[data], out=sums[1, 1:])
     size = end - start
     odd = (sums[0, end] > sums[0, start]) | (2 * (sums[1, end] - sums[1, start]) + 1 >= size) & (size >= 7)
-    odd &= size <= LONGEST
     row = np.searchsorted(first, np.arange(len(start)), "right") - 1
     # four or more single letters in a row
     single = ((size == 1) | (size == 2) & _END[data[end - 1]]) & (_LETTER | _LEET)[data[start]]
@@ -118,7 +135,7 @@ def suspects(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     group = np.cumsum(head)[single]
     at = np.flatnonzero(single)
     _, a, count = np.unique(group, return_index=True, return_counts=True)
-    long = (count >= 4) & (count <= LONGEST)
+    long = count >= 4
     s, e = start[at[a[long]]], end[at[a[long] + count[long] - 1]]
     # the first letter may be a word of its own, so the rest is read without it too
     rest = count[long] > 4
@@ -137,12 +154,17 @@ def features(column: pa.Array, model: np.ndarray, memo: dict[bytes, str]) -> tup
         written = data[a:b].tobytes()
         said = memo.get(written)
         if said is None:
-            if len(memo) > 200_000:
-                memo.clear()
-            said = memo[written] = decode(written.decode("utf-8", "ignore"), model)
-        if len(said) > 2:
-            held.append(said)
-            of.append(r)
+            said = decode(written.decode("utf-8", "ignore"), model)
+            if b - a <= LONGEST:
+                if len(memo) > 200_000:
+                    memo.clear()
+                memo[written] = said
+        # a spelled run may be several words
+        parted = decode(written.decode("utf-8", "ignore"), model, True) if _SEPARATOR[data[a:b]].any() else ""
+        for found in {said, parted}:
+            if len(found) > 2:
+                held.append(found)
+                of.append(r)
     rows, buckets = [], []
     for source, at, owner in ((data, offsets, None), (*raw(pa.array(held, pa.string())), np.array(of, np.int64))):
         if not len(source):

@@ -282,6 +282,25 @@ def test_decoding(spark):
     assert {"loser", "moron", "idiot"} <= set(memo.values()) and len(memo) == 4
 
 
+def test_decoding_of_any_length(spark):
+    import pyarrow as pa
+
+    text = "you are a stupid loser and an idiot. the moron was here with pathetic clown trash and hate " * 50
+    model = toxicity.letter_model(spark.createDataFrame([(text,)], "text string"))
+    spelled = " ".join("youareastupidloserandanidiotthemoronwasherewithpatheticclowntrash")
+    cases = [
+        ("y o u i d i o t", "idiot"), (spelled, "stupid"), (spelled, "loser"), (spelled, "idiot"), (spelled, "moron"), (spelled, "clown"),
+        ("m" + "o" * 100 + "ron", "moron"), (".".join("youareapatheticloserandamoron"), "pathetic"), ("an idio7 here", "idiot"), ("such hat3!", "hate"),
+    ]
+    for written, word in cases:
+        has, wanted = (set(toxicity.features(pa.array([t]), model, {})[1].tolist()) for t in (written, word))
+        assert wanted <= has, (written, word)
+    for plain in ("a fine day!", "stop! go.", "plain words"):
+        data, offsets = toxicity.raw(pa.array([plain, "7 x"]))
+        assert not len(toxicity.suspects(data, offsets)[0]), plain
+    assert toxicity.decode("m o r o n " * 20_000, model, True).split().count("moron") > 10_000
+
+
 @pytest.mark.parametrize(("name", "column"), [("op1_quality", "quality"), ("op6_toxicity", "toxic")])
 def test_held_out_accuracy(spark, name, column):
     where = "/root/testdata/sf0.01"
