@@ -3,8 +3,9 @@
 Suffixes are kept at minimiser positions: of each WINDOW consecutive grams the smallest hash. Two documents that share a
 passage of LEAST words keep the same positions inside it, and the first of them has at least SURE words of the passage
 behind it. So a suffix whose first SURE words occur in another document marks a repeat, and chains of such suffixes
-cover it up to less than WINDOW words at both ends. There the suffixes are sorted by what precedes and what follows
-them, compared with their neighbours, and the match is extended left and right.
+cover it up to less than WINDOW words at both ends. A chain may begin or end with a suffix that a third document shares
+but the passage's partner does not keep, so every suffix within WINDOW words of an end is extended: they are sorted by
+what precedes and what follows them and compared with their neighbours.
 """
 
 from __future__ import annotations
@@ -70,14 +71,13 @@ def kept_suffixes(rows: DataFrame) -> DataFrame:
 
 
 def stretches(hits: DataFrame) -> DataFrame:
-    """(node, start, last, first_key, last_key): the runs of hits of each document whose first SURE words touch."""
+    """(node, pos, key, start, last): each hit with the first and the last of its run, whose hits' first SURE words touch."""
     along = Window.partitionBy("node").orderBy("pos")
     before = F.lag("pos").over(along)
     runs = hits.withColumn("new", (before.isNull() | (F.col("pos") > before + SURE)).cast("long"))
     runs = runs.withColumn("run", F.sum("new").over(along))
-    return runs.groupBy("node", "run").agg(
-        F.min("pos").alias("start"), F.max("pos").alias("last"), F.min_by("key", "pos").alias("first_key"), F.max_by("key", "pos").alias("last_key")
-    ).drop("run")
+    run = Window.partitionBy("node", "run")
+    return runs.select("node", "pos", "key", F.min("pos").over(run).alias("start"), F.max("pos").over(run).alias("last"))
 
 
 def contexts(rows: DataFrame, ends: DataFrame) -> DataFrame:
@@ -190,15 +190,16 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     shared = kept.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("lo < hi")
     shared = keep(shared.select("key", "n"), "shared")
     hits = keep(semi_join(kept, shared.select("key"), "key", 2_000_000).distinct(), "suffixes")
-    spans = keep(stretches(hits), "stretches")
-    ends = spans.select(F.col("first_key").alias("key")).unionByName(spans.select(F.col("last_key").alias("key"))).distinct()
-    ends = keep(ends.join(shared, "key"), "ends")
+    edges = keep(stretches(hits).where((F.col("pos") < F.col("start") + WINDOW) | (F.col("pos") > F.col("last") - WINDOW)), "stretches")
+    ends = keep(edges.select("key").distinct().join(shared, "key"), "ends")
     spots = join_groups(hits, ends, "key", "n", hits.count()).select("node", "pos", "key")
     found = keep(contexts(rows, spots), "contexts")
-    left = extensions(found, "left").select("node", F.col("pos").alias("start"), F.col("more").alias("before"))
-    right = extensions(found, "right").select("node", F.col("pos").alias("last"), F.col("more").alias("after"))
-    out = spans.join(left, ["node", "start"], "left").join(right, ["node", "last"], "left")
-    out = out.select("node", (F.col("start") - F.coalesce("before", F.lit(0))).alias("start_word"), (F.col("last") + SURE + F.coalesce("after", F.lit(0))).alias("end_word"))
+    left = extensions(found, "left").withColumnRenamed("more", "before")
+    right = extensions(found, "right").withColumnRenamed("more", "after")
+    out = edges.join(left, ["node", "pos"], "left").join(right, ["node", "pos"], "left")
+    out = out.groupBy("node", "start", "last").agg(
+        F.min(F.col("pos") - F.coalesce("before", F.lit(0))).alias("start_word"), F.max(F.col("pos") + SURE + F.coalesce("after", F.lit(0))).alias("end_word")
+    )
     out = out.where(F.col("end_word") - F.col("start_word") >= LEAST)
     names = semi_join(rows.select("doc_id", "node"), out.select("node").distinct(), "node").distinct()
     return names.join(out, "node").select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"))

@@ -128,6 +128,24 @@ def test_repeated_passages(spark):
     assert 100 not in got and 101 not in got
 
 
+def test_repeated_passages_shared_in_part(spark):
+    """A and B share a passage, C a part of it; D and E are copies with one word in 60 changed."""
+    r, rows = random.Random(5), []
+    for f in range(250):
+        new = lambda n: [f"w{f}_{r.randrange(10**9)}" for _ in range(n)]
+        passage, skip = new(r.randint(50, 53)), r.randint(1, 15)
+        part = passage[skip:] if f % 2 else passage[:-skip]
+        for d, piece in enumerate((passage, passage, part)):
+            rows.append((10 * f + d, " ".join([*new(r.randint(0, 40)), *piece, *new(r.randint(0, 40))])))
+        if f < 30:
+            copy = new(240)
+            rows += [(10 * f + 5 + d, " ".join(w if i % 60 != 20 * d else "x" for i, w in enumerate(copy))) for d in range(3)]
+    got = covered(repeats.repeated_passages(frame(spark, [(*row, "s") for row in rows])).collect())
+    want, sure = brute.repeated(rows, repeats.LEAST), brute.repeated(rows, repeats.SURE)
+    assert not [i for i in want if not want[i] <= got.get(i, set())]
+    assert all(got[i] <= sure[i] for i in got)
+
+
 def test_repeated_passages_of_documents(spark, documents, pairs):
     got = covered(repeats.repeated_passages(documents).collect())
     want, sure = brute.repeated(pairs, repeats.LEAST), brute.repeated(pairs, repeats.SURE)
