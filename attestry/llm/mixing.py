@@ -110,7 +110,7 @@ def mix_pieces(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = 256,
     weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7,
 ) -> DataFrame:
-    """The mix, piece by piece: doc_id, source, size, source_size, target, slot, block, epoch, first_word, end_word.
+    """The mix, piece by piece: row (a number of the row that docs has), doc_id, source, size, source_size, target, slot, block, epoch, first_word, end_word.
 
     The documents of a source stand one after another in an order shuffled by a hash; the line of their words is cut
     into blocks of `block` words, and runs on from its start when it has been used up. Each slot takes a block. A
@@ -120,7 +120,7 @@ def mix_pieces(
     each with its own words. An empty table gives an empty result. Other columns are ignored.
     """
     sized = keep(
-        docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size")), "sizes"
+        docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size")).withColumn("row", F.monotonically_increasing_id()), "sizes"
     )
     targets = keep(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
     slots = slot_schedule(targets, block)
@@ -141,7 +141,7 @@ def mix_pieces(
     # where the document's words stand on its source's line, in the first and in each further round
     rounds = F.greatest(F.lit(1), F.ceil((F.col("target") - F.col("start")) / F.greatest(F.col("source_size"), F.lit(1)))).cast("int")
     laid = placed.select(
-        "doc_id", "source", "size", "source_size", "target", "source_no", "start",
+        "row", "doc_id", "source", "size", "source_size", "target", "source_no", "start",
         F.explode(F.sequence(F.lit(0), F.least(rounds, F.lit(math.ceil(most))) - 1)).alias("epoch"),
     ).withColumn("from", F.col("start") + F.col("epoch") * F.col("source_size"))
     end = F.greatest(F.col("from") + F.col("size") - 1, F.col("from"))
@@ -153,7 +153,7 @@ def mix_pieces(
     b = F.least(F.col("from") + F.col("size"), F.col("block") * block + F.col("width"))
     taken = F.col("slot").isNotNull() & (b > a)
     return joined.select(
-        "doc_id", "source", "size", "source_size", "target", "start", "epoch", "block",
+        "row", "doc_id", "source", "size", "source_size", "target", "start", "epoch", "block",
         F.when(taken, F.col("slot")).alias("slot"),
         F.when(taken, a - F.col("from")).alias("first_word"), F.when(taken, b - F.col("from")).alias("end_word"),
     )
@@ -162,7 +162,6 @@ def mix_pieces(
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """One row a document: doc_id, size, source_size, target, taken (words the mix takes, repeats counted)."""
     pieces = mix_pieces(docs, **options)
-    return pieces.groupBy("source", "start", "doc_id", "size", "source_size", "target").agg(
+    return pieces.groupBy("row", "doc_id", "size", "source_size", "target").agg(
         F.coalesce(F.sum(F.col("end_word") - F.col("first_word")), F.lit(0)).cast("long").alias("taken"),
-        F.count("*").alias("__n"),
     ).select("doc_id", "size", "source_size", "target", "taken")

@@ -218,6 +218,12 @@ def test_mixing(spark, documents, pairs):
     assert again == {i: r.taken for i, r in rows.items()}
 
 
+def test_mixing_keeps_repeated_blank_rows(spark):
+    rows = [(1, "", "x"), (1, None, "x"), (1, " ", "x"), (None, None, "x"), (None, "", "x"), (2, "a b c", "x"), (2, "a b c", "x"), (3, "", None), (3, "", None)]
+    out = mix_documents(frame(spark, rows)).collect()
+    assert len(out) == len(rows) and sum(r.size for r in out) == 6
+
+
 def test_schedule_is_even(spark):
     targets = spark.createDataFrame([("a", 1, 1, 50_000.0), ("b", 1, 2, 25_000.0), ("c", 1, 3, 25_000.0)], "source string, source_size long, source_no int, target double")
     slots = [r.source_no for r in mixing.slot_schedule(targets, 100).orderBy("slot").collect()]
