@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .kernels import mix, text_parts, words
-from .shared import keep, text_or_empty
+from .shared import bound_batches, keep, text_or_empty, without
 
 #: BM25 parameters; items of one index (a larger benchmark takes several); items of a block.
 K1, B, INDEX_ITEMS, BLOCK = 1.2, 0.75, 20_000, 16
@@ -184,6 +184,7 @@ def contaminated(
     is kept. An empty table gives an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
     total = rows.count()
     kinds = dict(docs.dtypes)[doc_id], dict(benchmark.dtypes)[item_id]
@@ -226,9 +227,4 @@ def contaminated(
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without those that repeat a test item; all other rows stay as they are."""
-    found = contaminated(docs, benchmark, doc_id, text).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    found = keep(found, "contaminated")
-    match = docs[doc_id].eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col("__hash"))
-    if found.count() <= 2_000_000:
-        found = F.broadcast(found)
-    return docs.join(found, match, "left_anti")
+    return without(docs, contaminated(docs, benchmark, doc_id, text), doc_id, text)

@@ -3,6 +3,12 @@
 Shingles stand in one global order: by hash, with very frequent ones last. Two sets whose Jaccard similarity reaches
 the threshold share at least `l` of the first `p + l - 1` shingles of either one, where p - 1 is the most that a set
 can lack in its partner. All candidate search therefore runs on these prefixes, and no link is lost.
+
+A group is a leader and the sets that are most like it. The matrix holds, for each group, the union of its members'
+prefixes. A set opens another group only if it shares as many shingles with the group's union as a link needs. A set
+that opens a group is compared with its leader, and stands in the group by its difference from the leader: the
+distance of two sets is that of their differences. So the members are never paired with one another; a second prefix
+search, over the few shingles of the differences, finds the links of those that do not link to the leader themselves.
 """
 
 from __future__ import annotations
@@ -14,13 +20,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .kernels import mix, shingles, text_parts, words
-from .shared import components, keep, semi_join, text_or_empty
+from .shared import bound_batches, components, keep, semi_join, text_or_empty, without
 
 #: A shingle of so many documents, or of this share of them, is frequent: it stands last in the global order.
 FREQUENT, FREQUENT_PART = 50, 4096
-#: Rounds in which each document meets the leader of a group before the rest is compared.
+#: Rounds in which sets without a link meet the leader of a group.
 LEADER_ROUNDS = 2
+#: Bytes of sets that are compared in one group.
+COMPARE_BYTES = 4 << 20
 _BITS = np.uint64(16)
+_SPAN = 1 << 48
 
 
 def _need(n, percent: int):
@@ -81,6 +90,9 @@ def shingle_sets(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
                 cls = mix(total[at[1:]] - total[at[:-1]] + n.astype(np.uint64)).view(np.int64)
                 s = s >> _BITS
                 # hashes that become equal in 48 bits count once, so that sets stay sets
+                new = np.ones(len(s), bool)
+                new[1:] = (s[1:] != s[:-1]) | (row[1:] != row[:-1])
+                s, at = s[new], np.searchsorted(row[new], np.arange(batch.num_rows + 1))
                 packed = [_pack(s[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(cls), pa.array(packed, pa.binary())],
@@ -96,8 +108,8 @@ def frequent_shingles(sets: DataFrame, rows: int) -> np.ndarray:
     """The shingles of about 1/FREQUENT_PART of all documents and of FREQUENT ones at least, sorted; all rows are read.
 
     Their number is bounded by a multiple of FREQUENT_PART times the mean size of a set, whatever the number of
-    documents. Counts leave out shingles that some millions of neighbours hold once: which shingles stand last is a
-    matter of speed only, for any one global order gives the same links.
+    documents. Counts leave out shingles that some hundred thousand neighbours hold once: which shingles stand last is
+    a matter of speed only, for any one global order gives the same links.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,12 +119,13 @@ def frequent_shingles(sets: DataFrame, rows: int) -> np.ndarray:
             t, c = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(t[c > 1].astype(np.int64)), pa.array(c[c > 1])], ["t", "c"])
 
-        for batch in batches:
-            t, _ = _sets(batch.column(0))
-            held, size = [*held, t], size + len(t)
-            if size > 4_000_000:
-                yield flush()
-                held, size = [], 0
+        for whole in batches:
+            for batch in text_parts(whole, "items"):
+                t, _ = _sets(batch.column(0))
+                held, size = [*held, t], size + len(t)
+                if size > 2_000_000:
+                    yield flush()
+                    held, size = [], 0
         if size:
             yield flush()
 
@@ -123,125 +136,188 @@ def frequent_shingles(sets: DataFrame, rows: int) -> np.ndarray:
 
 
 def prefixes(sets: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
-    """(t, cls, n): the shingles of the prefix of each set in the global order."""
+    """(cls, n, prefix): the shingles of the prefix of each set in the global order, a row for each different set.
+
+    n is the size of the packed set. Copies are folded before they are sent on.
+    """
     shared = sets.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
-        for batch in batches:
-            t, row = _sets(batch.column("items"))
-            n = np.bincount(row, minlength=batch.num_rows)
-            hot = np.zeros(len(t), bool)
-            if len(often):
-                hot = often[np.minimum(np.searchsorted(often, t), len(often) - 1)] == t
-            order = np.argsort(row * 2 + hot, kind="stable")
-            rank = np.arange(len(t)) - np.repeat(np.cumsum(n) - n, n)
-            take = rank < np.repeat(prefix_sizes(n, percent)[0], n)
-            t, row = t[order][take], row[take]
-            cls = batch.column("cls").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int64)), pa.array(cls[row]), pa.array(n[row])], ["t", "cls", "n"])
-
-    return sets.select("cls", "items").mapInArrow(run, "t long, cls long, n long")
-
-
-def compared(pairs: DataFrame, sets: DataFrame, percent: int, group: Column) -> DataFrame:
-    """(a, b, far, similar) for pairs (a, b) of classes: their Jaccard distance, and the exact test of the threshold.
-
-    Pairs are dealt to groups, and each group gets the sets that its pairs name once, not once a pair.
+        for whole in batches:
+            for batch in text_parts(whole, "items"):
+                t, row = _sets(batch.column("items"))
+                n = np.bincount(row, minlength=batch.num_rows)
+                hot = np.zeros(len(t), bool)
+                if len(often):
+                    hot = often[np.minimum(np.searchsorted(often, t), len(often) - 1)] == t
+                order = np.argsort(row * 2 + hot, kind="stable")
+                rank = np.arange(len(t)) - np.repeat(np.cumsum(n) - n, n)
+                size = prefix_sizes(n, percent)[0]
+                t = t[order][rank < np.repeat(size, n)]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(t.astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(n), lists], ["cls", "n", "prefix"])
+
+    found = sets.select("cls", "items").mapInArrow(run, "cls long, n long, prefix array<long>")
+    return found.groupBy("cls").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+
+
+def compared(pairs: DataFrame, own: DataFrame, percent: int, groups: int, guests: bool = False) -> DataFrame:
+    """pairs (a, b) with n, m (sizes), similar (the exact test of the threshold) and diff: the shingles of one only.
+
+    The shingles of b, the leader, that a lacks have _SPAN added, so that they stand behind what only a has. Each set
+    is sent once to each group of pairs that names it, not once a pair. diff is null where a is too far from b to be a
+    member; for guests, where a is too far from b to link to any set that is a member.
     """
 
+    def most(n: int, m: int) -> float:
+        if not guests:
+            return (n + m) / 3
+        other = n * 100 / percent  # the largest partner of a
+        return (100 - percent) / (100 + percent) * (n + other) + (other + m) / 3 + 1
+
     def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        at = {c: _unpack(np.frombuffer(v.as_buffer(), np.uint8)) for c, v in zip(sets["cls"].to_pylist(), sets["items"], strict=True)}
-        a, b = pairs["a"].to_pylist(), pairs["b"].to_pylist()
-        far, similar = [], []
-        for x, y in zip(a, b, strict=True):
-            x, y = at[x], at[y]
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            union = len(x) + len(y) - both
-            far.append(1 - both / union)
-            similar.append(100 * both >= percent * union)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "far": pa.array(far, pa.float64()), "similar": pa.array(similar, pa.bool_())})
-
-    pairs = keep(pairs.select("a", "b", group.alias("g")), "pairs")
+        at = dict(zip(sets["cls"].to_pylist(), range(sets.num_rows), strict=True))
+        items, lists = sets["items"].combine_chunks(), []
+        similar, size = [], []
+        for x, y in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True):
+            x, y = (_unpack(np.frombuffer(items[at[c]].as_buffer(), np.uint8)) for c in (x, y))
+            both = np.concatenate([x << np.uint64(1), (y << np.uint64(1)) | np.uint64(1)])
+            both.sort()
+            shingle = both >> np.uint64(1)
+            same = np.flatnonzero(shingle[1:] == shingle[:-1])
+            similar.append(100 * len(same) >= percent * (len(both) - len(same)))
+            size.append((len(x), len(y)))
+            one = np.ones(len(both), bool)
+            one[same], one[same + 1] = False, False
+            one = both[one]
+            diff = np.sort((one >> np.uint64(1)) + (one & np.uint64(1)) * np.uint64(_SPAN)).astype(np.int64)
+            lists.append(diff if len(diff) <= most(*size[-1]) else None)
+        n, m = zip(*size, strict=True)
+        return pa.table({
+            "a": pairs["a"], "b": pairs["b"], "n": pa.array(n, pa.int64()), "m": pa.array(m, pa.int64()),
+            "similar": pa.array(similar, pa.bool_()), "diff": pa.array(lists, pa.list_(pa.int64())),
+        })
+
+    pairs = keep(pairs.select("a", "b").withColumn("g", F.pmod(F.xxhash64("a"), F.lit(groups))), "pairs")
     named = pairs.select("g", F.col("a").alias("cls")).unionByName(pairs.select("g", F.col("b").alias("cls"))).distinct()
-    dealt = named.join(sets, "cls").select(F.col("g").alias("h"), "cls", "items")
-    return pairs.groupBy("g").cogroup(dealt.groupBy("h")).applyInArrow(run, "a long, b long, far double, similar boolean")
+    dealt = named.join(own, "cls").select(F.col("g").alias("h"), "cls", "items")
+    return pairs.groupBy("g").cogroup(dealt.groupBy("h")).applyInArrow(run, "a long, b long, n long, m long, similar boolean, diff array<long>")
 
 
 def near_links(sets: DataFrame, rows: int, percent: int) -> DataFrame:
     """Links (a, b) between set classes that connect exactly those classes that links of the full join connect."""
-    tokens = prefixes(sets, frequent_shingles(sets, rows), percent)
-    # the matrix of shingles and sets: a shingle of one set only opens nothing
+    classes = keep(prefixes(sets, frequent_shingles(sets, rows), percent), "prefixes")
+    tokens = classes.select(F.explode("prefix").alias("t"), "cls", "n")
+    # a shingle of one set only opens nothing
     shared = tokens.groupBy("t").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("t")
-    hits = keep(tokens.join(shared, "t").groupBy("t", "cls").agg(F.first("n").alias("n")), "hits")
-    hits = keep(_enough(hits, hits, percent), "hits")
-    members = hits.select("cls").distinct()
-    own = keep(semi_join(sets, members, "cls").groupBy("cls").agg(F.first("items").alias("items")), "members")
-    tasks = max(8, members.count() // 2_000)
+    hits = keep(tokens.join(shared, "t"), "hits")
     # a set that shares most of its shingles is likely what the others of its group were copied from
-    weight = hits.groupBy("cls").agg((F.count("*") / F.first("n")).alias("w"))
-    hits = keep(hits.join(weight, "cls"), "hits")
-    links, label = sets.sparkSession.createDataFrame([], "a long, b long"), None
-    seen = sets.sparkSession.createDataFrame([], "cls long, leader long, far double")
+    counts = hits.groupBy("cls", "n").agg(F.count("*").alias("k")).where(F.col("k") >= least_of_any(F.col("n"), percent))
+    counts = keep(counts.select("cls", (F.col("k") / F.col("n")).alias("w")), "counts")
+    hits = keep(hits.join(counts, "cls"), "hits")
+    own = keep(semi_join(sets, counts.select("cls"), "cls").groupBy("cls").agg(F.first("items").alias("items")), "members")
+    size = own.agg(F.coalesce(F.sum(F.octet_length("items")), F.lit(0))).first()[0]
+    parts = int(max(8, 2 * size // COMPARE_BYTES))
+
+    met = None
     for _ in range(LEADER_ROUNDS):
-        groups = _unions(hits, label)
-        lead = groups.groupBy("t").agg(F.max(F.struct("w", "cls", "comp", "n")).alias("l")).select(
-            "t", F.col("l.comp").alias("l_comp"), F.col("l.cls").alias("l_cls"), F.col("l.n").alias("l_n")
-        )
-        met = groups.join(lead, "t").where("comp <> l_comp").where(_sizes("n", "l_n", percent))
-        met = met.groupBy("cls", "n", "l_cls", "l_n").agg(F.count("*").alias("k"))
-        met = met.where(F.col("k") >= least_shared(F.col("n"), percent))
-        best = met.groupBy("cls").agg(F.max(F.struct("k", "l_cls")).alias("m"))
-        best = best.select(F.col("cls").alias("a"), F.col("m.l_cls").alias("b"))
-        tested = keep(compared(best, own, percent, F.pmod(F.xxhash64("a"), F.lit(tasks))), "tested")
-        links = keep(links.unionByName(tested.where("similar").select("a", "b")), "links")
-        seen = seen.unionByName(tested.select(F.col("a").alias("cls"), F.col("b").alias("leader"), "far")).unionByName(
-            tested.select(F.col("b").alias("cls"), F.col("b").alias("leader"), F.lit(0.0).alias("far")).distinct()
-        )
-        label = keep(components(links), "labels")
-        hits = keep(_enough(hits, _open(hits, label), percent), "open")
-    # what is still open: sets that share enough with sets of other groups. Each pair is compared once. The distance
-    # is a metric, so two sets whose distances from the same leader differ by more than a link allows are told apart
-    leader = seen.groupBy("cls").agg(F.min(F.struct("leader", "far")).alias("s")).select("cls", "s.leader", "s.far")
-    groups = _unions(hits, label).join(leader, "cls", "left")
-    groups = groups.select("t", "cls", "n", "comp", F.coalesce("leader", "cls").alias("leader"), F.coalesce("far", F.lit(0.0)).alias("far"))
-    a, b = (groups.select("t", *[F.col(c).alias(f"{c}_{x}") for c in ("cls", "n", "comp", "leader", "far")]) for x in "ab")
-    apart = (F.col("leader_a") == F.col("leader_b")) & (F.abs(F.col("far_a") - F.col("far_b")) > 1 - percent / 100 + 1e-9)
-    pairs = a.join(b, "t").where("cls_a < cls_b and comp_a <> comp_b").where(_sizes("n_a", "n_b", percent)).where(~apart)
-    pairs = pairs.groupBy("cls_a", "cls_b").agg(F.count("*").alias("k"), *[F.first(c).alias(c) for c in ("n_a", "n_b", "leader_a", "leader_b")])
-    pairs = pairs.where(F.col("k") >= F.least(least_shared(F.col("n_a"), percent), least_shared(F.col("n_b"), percent)))
-    pairs = keep(pairs.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"), "leader_a", "leader_b"), "pairs")
-    # the sets of one leader are dealt in blocks, and a group compares one block with another
-    many = pairs.count()
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(max(1, many // 60_000)))
-    group = F.pmod(F.xxhash64("leader_a", "leader_b", block("a"), block("b")), F.lit(max(8, many // 5_000)))
-    tested = compared(pairs, own, percent, group)
-    return keep(links.unionByName(tested.where("similar").select("a", "b")), "links")
-
-
-def _sizes(a: str, b: str, percent: int) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
-
+        free = hits
+        if met is not None:
+            linked = met.where("similar")
+            free = hits.join(linked.select(F.col("a").alias("cls")).unionByName(linked.select(F.col("b").alias("cls"))).distinct(), "cls", "left_anti")
+        pairs = _leaders(free, percent)
+        if met is not None:
+            pairs = pairs.join(met.select("a", "b"), ["a", "b"], "left_anti")
+        found = keep(compared(pairs, own, percent, parts), "met")
+        met = found if met is None else met.unionByName(found)
+    groups = keep(_groups(hits, met), "groups")
+    label = keep(components(met.where("similar").select("a", "b")), "labels")
+    guests = keep(compared(_opened(hits, groups, label, percent), own, percent, parts, True), "guests")
+    links = met.where("similar").select("a", "b").unionByName(guests.where("similar").select("a", "b"))
+    inner = keep(_inner_links(groups, guests, links, percent), "inner")
+    return links.unionByName(inner)
+
+
+def _leaders(hits: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for each set the leader with which it shares the most shingles; each shingle has one leader."""
+    lead = hits.groupBy("t").agg(F.max(F.struct("w", "cls", "n")).alias("l")).select("t", F.col("l.cls").alias("b"), F.col("l.n").alias("m"))
+    met = hits.join(lead, "t").where("cls <> b and 2 * least(n, m) >= greatest(n, m)")
+    met = met.groupBy(F.col("cls").alias("a"), "n", "b").agg(F.count("*").alias("k")).where(2 * F.col("k") >= least_of_any(F.col("n"), percent))
+    return met.groupBy("a").agg(F.max(F.struct("k", "b")).alias("m")).select("a", "m.b")
+
+
+def _groups(hits: DataFrame, met: DataFrame) -> DataFrame:
+    """(cls, g, n, m, similar, diff): the group of each set, which is the class of its leader, and its difference.
+
+    Every set that leads another one leads a group of its own; of the leaders that a set has met it goes to the nearest.
+    """
+    leads = met.where("diff is not null").select("b").distinct()
+    best = met.where("diff is not null").join(leads.select(F.col("b").alias("a")), "a", "left_anti")
+    best = best.groupBy("a").agg(F.min(F.struct(F.size("diff").alias("d"), "b", "n", "m", "similar", "diff")).alias("x"))
+    best = best.select(F.col("a").alias("cls"), F.col("x.b").alias("g"), "x.n", "x.m", "x.similar", "x.diff")
+    alone = hits.groupBy("cls").agg(F.first("n").alias("n")).join(best.select("cls"), "cls", "left_anti")
+    alone = alone.select("cls", F.col("cls").alias("g"), "n", F.col("n").alias("m"), F.lit(True).alias("similar"), F.array().cast("array<bigint>").alias("diff"))
+    return best.unionByName(alone)
 
-def _unions(hits: DataFrame, label: DataFrame | None) -> DataFrame:
-    """hits with comp, the group of the set; groups are those that links connect so far."""
-    if label is None:
-        return hits.withColumn("comp", F.col("cls"))
-    named = label.select(F.col("node").alias("cls"), "label")
-    return hits.join(named, "cls", "left").withColumn("comp", F.coalesce("label", "cls")).drop("label")
 
+def _opened(hits: DataFrame, groups: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the sets a and the leaders b of the other groups that they open.
 
-def _open(hits: DataFrame, label: DataFrame) -> DataFrame:
-    """The hits whose shingle is in the unions of two groups at least."""
-    groups = _unions(hits, label)
-    two = groups.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("t")
-    return hits.join(two, "t")
+    The matrix has a row for each group and shingle of its union, with the sizes and the components of the members
+    that have it. A set counts only shingles of sets that it may link to and that no link connects it with yet.
+    """
+    named = groups.select("cls", "g").join(label.select(F.col("node").alias("cls"), "label"), "cls", "left")
+    named = hits.select("t", "cls", "n").join(named.select("cls", "g", F.coalesce("label", "cls").alias("comp")), "cls")
+    union = named.groupBy("t", "g").agg(
+        F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.min("comp").alias("c_lo"), F.max("comp").alias("c_hi")
+    ).withColumnRenamed("g", "u")
+    may = named.join(union, "t").where("u < g and not (c_lo = comp and c_hi = comp)")
+    may = may.where((F.col("n_hi") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("n_lo") * percent))
+    count = may.groupBy(F.col("cls").alias("a"), "n", F.col("u").alias("b")).agg(F.count("*").alias("k"))
+    return count.where(F.col("k") >= least_of_any(F.col("n"), percent)).select("a", "b")
+
+
+def _inner_links(groups: DataFrame, guests: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """The links (a, b) within the groups, guests among their members, that links to the leaders do not imply.
+
+    With c = (100 - percent) / (100 + percent), two sets x, y link if their differences from the leader, of m shingles,
+    share at least (|dx| + |dy| - c (|x| + |y|)) / 2. One of the two does not link to the leader, so |dx| - c |x| > c m
+    for it, and |dy| - c |y| >= -c m for any y. That bounds from below what each set must share with a partner that
+    links to the leader and with one that does not, and so the prefixes of the differences on which a pair must meet.
+    """
+    label = components(links)
+    rows = groups.select("cls", "g", "n", "m", "similar", "diff", F.lit(False).alias("guest")).unionByName(
+        guests.where("diff is not null").select(F.col("a").alias("cls"), F.col("b").alias("g"), "n", "m", "similar", "diff", F.lit(True).alias("guest"))
+    )
+    rows = rows.join(label.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("comp", F.coalesce("label", "cls")).drop("label")
+    # only groups whose rows are not connected yet
+    still = rows.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("g")
+    rows = keep(rows.join(still, "g"), "rows")
+    c = (100 - percent) / (100 + percent)
+    d = F.size("diff")
+    near = (d - c * F.col("n") + c * F.col("m")) / 2
+    far = (d - c * F.col("n") - c * F.col("m")) / 2
+    short, long = (d - F.greatest(F.lit(1), F.ceil(x - 1e-6)) + 1 for x in (near, far))
+    sent = rows.select(
+        "g", "cls", "n", "similar", "guest", "comp", F.size("diff").alias("d"), short.alias("short"),
+        F.posexplode(F.slice("diff", F.lit(1), F.greatest(F.lit(0), F.when(F.col("similar"), short).otherwise(long)).cast("int"))).alias("pos", "t"),
+    ).withColumn("early", F.col("pos") < F.col("short"))
+    # x never links to the leader; y either does, or does not and comes after x
+    x, y = (sent.select("g", "t", *[F.col(v).alias(f"{v}_{s}") for v in ("cls", "n", "similar", "guest", "comp", "d", "early")]) for s in "xy")
+    pairs = x.where("not similar_x").join(y.where("early_y"), ["g", "t"]).where(
+        "comp_x <> comp_y and not (guest_x and guest_y) and (similar_y or (early_x and cls_x < cls_y))"
+    ).where(_sizes("n_x", "n_y", percent))
+    pairs = pairs.select("g", F.col("cls_x").alias("a"), F.col("cls_y").alias("b")).distinct()
+    side = lambda s, name: rows.select("g", F.col("cls").alias(name), F.col("n").alias(f"n_{s}"), F.col("diff").alias(f"d_{s}"))
+    tested = pairs.join(side("x", "a"), ["g", "a"]).join(side("y", "b"), ["g", "b"])
+    apart = F.size("d_x") + F.size("d_y") - 2 * F.size(F.array_intersect("d_x", "d_y"))
+    both = (F.col("n_x") + F.col("n_y") - apart) / 2
+    return tested.where(100 * both >= percent * (F.col("n_x") + F.col("n_y") - both)).select("a", "b")
 
 
-def _enough(hits: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
-    """The rows of shared whose set shares as many shingles as a link needs; the others are bounded away."""
-    counts = shared.groupBy("cls", "n").agg(F.count("*").alias("k"))
-    return shared.join(counts.where(F.col("k") >= least_of_any(F.col("n"), percent)).select("cls"), "cls", "left_semi")
+def _sizes(a: str, b: str, percent: int) -> Column:
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -253,6 +329,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     are documents of their own; a null doc_id is no component_id unless all of the component's are null. An empty
     table gives an empty result; other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     sets = keep(shingle_sets(docs, doc_id, text, k), "sets")
     some = sets.where("n_shingles > 0")
     links = near_links(some.select("cls", "items"), sets.count(), percent)
@@ -277,9 +354,4 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     Rows with null doc_id stay. Rows that repeat doc_id and text stay or go together.
     """
     found = near_duplicates(docs, doc_id, text, k, percent)
-    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    gone = keep(gone, "near_copies")
-    match = (docs[doc_id] == F.col("__id")) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col("__hash"))
-    if gone.count() <= 2_000_000:
-        gone = F.broadcast(gone)
-    return docs.join(gone, match, "left_anti")
+    return without(docs, found.where("component_id < doc_id"), doc_id, text)

@@ -36,6 +36,24 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Lets Arrow batches to Python hold `most` bytes of rows, so that memory does not grow with the length of texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).removesuffix("b")) > most:
+        spark.conf.set(name, str(most))
+
+
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where docs has such a column already."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def local_path(path: str) -> str | None:
     """The path of a file that is mounted on this machine; None where another file system holds it."""
     if path.startswith(("file:", "/")):
@@ -60,6 +78,14 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def without(docs: DataFrame, gone: DataFrame, doc_id: str, text: str, most: int = 2_000_000) -> DataFrame:
+    """docs without the rows that gone (doc_id, text_hash) names; null ids are ids. A list of up to `most` is broadcast."""
+    a, b = unused(docs, "gone_id", "gone_hash")
+    gone = keep(gone.select(F.col("doc_id").alias(a), F.col("text_hash").alias(b)).distinct(), "gone")
+    match = docs[doc_id].eqNullSafe(gone[a]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == gone[b])
+    return docs.join(F.broadcast(gone) if gone.count() <= most else gone, match, "left_anti")
+
+
 def bucket_of(spark_id: Column, salt: str, modulus: int) -> Column:
     """The remainder of crc32 of an id written as text; the split of the held-out rows."""
     return F.pmod(F.crc32(F.concat(F.lit(salt), spark_id.cast("string")).cast("binary")), F.lit(modulus))
