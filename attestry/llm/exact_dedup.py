@@ -1,110 +1,139 @@
-"""Exact dedup: two passes with a Bloom filter find the rows whose text may repeat; only those shuffle."""
+"""Exact dedup: two passes with a Bloom filter find the rows whose text may repeat; only those shuffle.
+
+The first pass sets slots for the hash of every row, in segments of the hash; a segment is a file of the shared folder.
+The second pass looks every hash up in the mapped files. Each pass reads the rows once, whatever their number.
+"""
 
 from __future__ import annotations
 
-import zlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
 
 from .kernels import mix
-from .shared import join_groups, keep, text_or_empty
+from .shared import bound_batches, join_groups, keep, map_file, new_path, open_shared, text_or_empty, unused
+
+#: Filter bits for each row, hash functions, rows of a segment and hashes that a task holds before it sends them on.
+BITS_PER_ROW, HASHES, SEGMENT_ROWS, HELD = 16, 4, 1 << 22, 1 << 20
+
+
+class RepeatFilter:
+    """Where the segments lie. A segment has a bit for each slot that two rows set, in 2**bits slots."""
+
+    def __init__(self, rows: int, folder: str) -> None:
+        self.folder, self.segments = folder, max(1, -(-rows // SEGMENT_ROWS))
+        self.bits = max(10, int(max(1, rows * BITS_PER_ROW // self.segments) - 1).bit_length())
+        self.paths: dict[int, str] = {}
+        self.maps: dict[int, np.ndarray] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"maps": {}}
+
+    def segment(self, h: np.ndarray) -> np.ndarray:
+        return (mix(h, 3) % np.uint64(self.segments)).astype(np.int64)
+
+    def slots(self, h: np.ndarray) -> np.ndarray:
+        """HASHES slots for each hash, as rows."""
+        a, b = mix(h, 1), mix(h, 2) | np.uint64(1)
+        return np.stack([((a + np.uint64(i) * b) >> np.uint64(7)) & np.uint64((1 << self.bits) - 1) for i in range(HASHES)]).astype(np.int64)
+
+    def add(self, h: np.ndarray, once: np.ndarray, twice: np.ndarray) -> None:
+        """Sets the slots of rows of one segment in two bitmaps: those set at all, and those set by two rows."""
+        for part in np.array_split(h, max(1, len(h) // 100_000)):
+            slots = np.sort(self.slots(part), axis=0)
+            new = np.ones(slots.shape, bool)
+            new[1:] = slots[1:] != slots[:-1]  # a slot that one row hits twice counts once
+            hit, n = np.unique(slots[new], return_counts=True)
+            bit = (128 >> (hit & 7)).astype(np.uint8)
+            again = (n > 1) | ((once[hit >> 3] & bit) > 0)
+            np.bitwise_or.at(twice, hit[again] >> 3, bit[again])
+            np.bitwise_or.at(once, hit >> 3, bit)
+
+    def may_repeat(self, h: np.ndarray) -> np.ndarray:
+        """False only for hashes that one row has."""
+        out, own = np.zeros(len(h), bool), self.segment(h)
+        for s in np.unique(own).tolist():
+            if s in self.paths:
+                if s not in self.maps:
+                    self.maps[s] = map_file(self.paths[s])
+                mine = np.flatnonzero(own == s)
+                slots = self.slots(h[mine])
+                out[mine] = ((self.maps[s][slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1).all(axis=0)
+        return out
+
+
+def repeat_filter(hashes: DataFrame, column: str, rows: int) -> RepeatFilter:
+    """The filter of a column of hashes, in one pass; a hash that repeats has all its slots set in its segment.
+
+    Tasks send their hashes by segment, packed, and of each hash at most two: a text that a third of the rows have does
+    not swell its segment. The driver gets a path for each segment.
+    """
+    made = RepeatFilter(rows, new_path(hashes.sparkSession, "bloom"))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            h = np.sort(np.concatenate(held))
+            h = h[np.concatenate([np.ones(min(2, len(h)), bool), h[2:] != h[:-2]])]
+            own = made.segment(h)
+            order = np.argsort(own, kind="stable")
+            edges = np.searchsorted(own[order], np.arange(made.segments + 1))
+            some = np.flatnonzero(np.diff(edges))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(some), pa.array([h[order[edges[s] : edges[s + 1]]].tobytes() for s in some], pa.binary())], ["segment", "data"]
+            )
 
-#: Filter bits for each row, hash functions, bits of one segment (two bitmaps of 16 MB) and bits of a chunk.
-BITS_PER_ROW, HASHES, SEGMENT_BITS, CHUNK_BITS = 16, 4, 1 << 27, 1 << 19
+        for batch in batches:
+            h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            if len(h):
+                held.append(h)
+            if sum(map(len, held)) > HELD:
+                yield flush()
+                held = []
+        if held:
+            yield flush()
 
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of a task come sorted by segment; one segment's bitmaps are held at a time."""
+        now, once, twice = None, None, None
 
-def _slots(h: np.ndarray, bits: int) -> np.ndarray:
-    """HASHES slots for each hash, as rows."""
-    a, b = mix(h, 1), mix(h, 2) | np.uint64(1)
-    return np.stack([((a + np.uint64(i) * b) >> np.uint64(7)) % np.uint64(bits) for i in range(HASHES)]).astype(np.int64)
+        def close() -> pa.RecordBatch:
+            path = f"{made.folder}/{uuid.uuid4().hex}.bits"
+            with open_shared(path, "wb") as out:
+                out.write(twice.tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([path])], ["segment", "path"])
 
+        for batch in batches:
+            for s, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if s != now:
+                    if now is not None:
+                        yield close()
+                    now, once, twice = s, np.zeros(1 << made.bits - 3, np.uint8), np.zeros(1 << made.bits - 3, np.uint8)
+                made.add(np.frombuffer(data.as_buffer(), np.uint64), once, twice)
+        if now is not None:
+            yield close()
 
-def _segment(h: np.ndarray, segments: int) -> np.ndarray:
-    return (mix(h, 3) % np.uint64(segments)).astype(np.int64)
+    sent = hashes.select(column).where(F.col(column).isNotNull()).mapInArrow(deal, "segment long, data binary")
+    dealt = sent.repartition(made.segments, "segment").sortWithinPartitions("segment")
+    found = keep(dealt.mapInArrow(build, "segment long, path string"), "segments")
+    made.paths = {r["segment"]: r["path"] for r in found.collect()}
+    return made
 
 
-def repeat_filter(hashes: DataFrame, column: str, rows: int, segment: int = 0, segments: int = 1) -> bytes:
-    """Bitmap of the slots that two rows set; a hash that repeats has all its slots there.
+def suspect(column: Column, made: RepeatFilter) -> Column:
+    """Whether a hash may repeat; only the hashes go to Python."""
 
-    Each task sets two bitmaps, slots set once and slots set twice; they are merged by chunk in Spark.
-    What reaches the driver is at most SEGMENT_BITS bits: larger inputs take more segments, one after another.
-    """
-    bits = filter_bits(rows, segments)
-    chunk = min(CHUNK_BITS, bits)
+    @F.pandas_udf("boolean")
+    def test(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for h in parts:
+            yield pd.Series(made.may_repeat(h.to_numpy(np.int64).view(np.uint64)))
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
-        for batch in batches:
-            h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            h = h[_segment(h, segments) == segment]
-            for part in np.array_split(h, max(1, len(h) // 200_000)):
-                slots = np.sort(_slots(part, bits), axis=0)
-                new = np.ones(slots.shape, bool)
-                new[1:] = slots[1:] != slots[:-1]  # a slot that one row hits twice counts once
-                hit, n = np.unique(slots[new], return_counts=True)
-                twice[hit[(n > 1) | once[hit]]] = True
-                once[hit] = True
-        for c in range(bits // chunk):
-            o = once[c * chunk : (c + 1) * chunk]
-            if o.any():
-                t = twice[c * chunk : (c + 1) * chunk]
-                yield pa.RecordBatch.from_pydict(
-                    {"chunk": pa.array([c], pa.int32()), "once": [zlib.compress(np.packbits(o), 1)], "twice": [zlib.compress(np.packbits(t), 1)]}
-                )
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        once, twice = np.zeros(chunk // 8, np.uint8), np.zeros(chunk // 8, np.uint8)
-        for o, t in zip(pdf["once"], pdf["twice"], strict=True):
-            o, t = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (o, t))
-            twice |= t | (once & o)
-            once |= o
-        return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "twice": [zlib.compress(twice.tobytes(), 1)]})
-
-    parts = hashes.select(column).where(F.col(column).isNotNull()).mapInArrow(build, "chunk int, once binary, twice binary")
-    merged = parts.groupBy("chunk").applyInPandas(merge, "chunk int, twice binary")
-    out = np.zeros(bits // 8, np.uint8)
-    for r in merged.toLocalIterator():
-        out[r["chunk"] * chunk // 8 : (r["chunk"] + 1) * chunk // 8] = np.frombuffer(zlib.decompress(r["twice"]), np.uint8)
-    return out.tobytes()
-
-
-def segments_for(rows: int) -> int:
-    return max(1, -(-rows * BITS_PER_ROW // SEGMENT_BITS))
-
-
-def filter_bits(rows: int, segments: int) -> int:
-    return 1 << max(10, int(max(1, rows * BITS_PER_ROW // segments) - 1).bit_length())
-
-
-def may_repeat(df: DataFrame, column: str, rows: int) -> DataFrame:
-    """df with boolean `suspect`: false only where the hash in `column` occurs once. No row shuffles."""
-    spark, segments = df.sparkSession, segments_for(rows)
-    bits = filter_bits(rows, segments)
-    names, out = df.columns, None
-    for s in range(segments):
-        bitmap = spark.sparkContext.broadcast(repeat_filter(df, column, rows, s, segments))
-
-        def test(batches: Iterator[pa.RecordBatch], bitmap=bitmap, s=s) -> Iterator[pa.RecordBatch]:
-            twice = np.frombuffer(bitmap.value, np.uint8)
-            for batch in batches:
-                at = batch.schema.get_field_index(column)
-                h = batch.column(at).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
-                if segments > 1:
-                    mine = _segment(h, segments) == s
-                    batch, h = batch.filter(pa.array(mine)), h[mine]
-                slots = _slots(h, bits)
-                hit = ((twice[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1).all(axis=0)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit, pa.bool_())], [*names, "suspect"])
-
-        schema = StructType([*df.schema.fields, StructField("suspect", BooleanType())])
-        part = df.mapInArrow(test, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return test(column)
 
 
 def digest_of(text: str) -> Column:
@@ -112,26 +141,26 @@ def digest_of(text: str) -> Column:
 
 
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a document: doc_id, keep_id, group_size, kept, text_sha256. Of equal texts the largest doc_id stays.
+    """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256. Of equal texts the largest doc_id stays.
 
-    Null text counts as empty. Rows that repeat both doc_id and text are one document, counted in group_size; rows
-    that share a doc_id but not the text are documents of their own. A null doc_id never stays beside a non-null one.
-    Other columns of docs are ignored. An empty table gives an empty result.
+    Null text counts as empty. Rows that repeat both doc_id and text are rows of their own, each counted in group_size
+    and each kept or dropped like the other; rows that share a doc_id but not the text are documents of their own. A
+    null doc_id never stays beside a non-null one. Other columns of docs are ignored. An empty table gives an empty
+    result.
     """
-    prints = keep(
-        docs.select(F.col(doc_id).alias("doc_id"), digest_of(text).alias("text_sha256"))
-        .withColumn("h", F.xxhash64("text_sha256")),
-        "prints",
-    )
+    bound_batches(docs.sparkSession)
+    prints = docs.select(F.col(doc_id).alias("doc_id"), digest_of(text).alias("text_sha256")).withColumn("h", F.xxhash64("text_sha256"))
+    prints = keep(prints, "prints")
     rows = prints.count()
-    flagged = keep(may_repeat(prints, "h", rows).drop("h"), "flagged")
+    made = repeat_filter(prints, "h", rows)
+    flagged = keep(prints.withColumn("suspect", suspect(F.col("h"), made)).drop("h"), "flagged")
     alone = flagged.where("not suspect").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"), "text_sha256",
     )
-    suspects = flagged.where("suspect").groupBy("text_sha256", "doc_id").agg(F.count("*").alias("n"))
-    groups = suspects.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
-    found = join_groups(suspects.drop("n"), groups, "text_sha256", "group_size", rows).select(
+    suspects = flagged.where("suspect").drop("suspect")
+    groups = suspects.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    found = join_groups(suspects, groups, "text_sha256", "group_size", rows).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
     return alone.unionByName(found)
@@ -140,16 +169,17 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the rows that exact_dedup drops; of rows that repeat doc_id and text one stays.
 
-    Rows whose text occurs once pass straight through; only the others shuffle.
+    Rows whose text occurs once pass straight through; of the others the copies that stay are found by digest first,
+    so a text that a third of all rows have is not sent to one task.
     """
-    names = docs.columns
-    key, sha = "__h", "__sha"
-    hashed = docs.select(F.struct(*[F.col(c) for c in names]).alias("__row"), F.xxhash64(digest_of(text)).alias(key))
-    rows = docs.count()
-    flagged = keep(may_repeat(hashed, key, rows).drop(key), "flagged_rows")
-    alone = flagged.where("not suspect").select("__row.*")
-    suspects = flagged.where("suspect").select("__row", F.sha2(F.coalesce(F.col(f"__row.{text}"), F.lit("")), 256).alias(sha))
-    groups = suspects.groupBy(sha).agg(F.max(f"__row.{doc_id}").alias("__keep"), F.count("*").alias("__n"))
-    stay = join_groups(suspects, groups, sha, "__n", rows)
-    stay = stay.where(F.col(f"__row.{doc_id}").eqNullSafe(F.col("__keep"))).dropDuplicates([sha]).select("__row.*")
-    return alone.unionByName(stay)
+    bound_batches(docs.sparkSession)
+    key, sha, row = unused(docs, "hash", "sha", "row")
+    hashed = docs.withColumn(sha, digest_of(text))
+    prints = keep(hashed.select(F.xxhash64(sha).alias("h")), "prints")
+    made = repeat_filter(prints, "h", prints.count())
+    hashed = hashed.withColumn(key, suspect(F.xxhash64(sha), made))
+    alone = hashed.where(~F.col(key)).drop(key, sha)
+    suspects = hashed.where(F.col(key)).select(sha, F.struct(*docs.columns).alias(row))
+    # max by id within the map tasks first: each task sends one row for each text
+    best = suspects.groupBy(sha).agg(F.max_by(row, F.struct(F.col(f"{row}.{doc_id}").isNotNull(), F.col(f"{row}.{doc_id}"))).alias(row))
+    return alone.unionByName(best.select(f"{row}.*"))

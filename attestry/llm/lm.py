@@ -7,7 +7,6 @@ two word hashes, scrambled by an invertible product, so a frequent context is sp
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from .kernels import mix, text_parts, words
-from .shared import bucket_of, keep, local_path, new_path, open_shared, text_or_empty
+from .shared import bound_batches, bucket_of, keep, map_file, new_path, open_shared, text_or_empty
 
 #: Hashes of the end of a text, which is a token, and of its start, which is only a context.
 END, START = np.uint64(0x5DEECE66D1CE4E5B), np.uint64(0x9E3779B97F4A7C15)
@@ -100,18 +99,10 @@ def write_arrays(folder: str, arrays: list[np.ndarray]) -> str:
 
 
 def map_arrays(path: str, n: int, kinds: tuple[str, ...]) -> list[np.ndarray]:
-    """The arrays of a shard, mapped into memory; a file that is not on a mounted folder is copied to an unnamed one."""
-    local = local_path(path)
+    """The arrays of a shard, mapped into memory."""
     if n == 0:
         return [np.zeros(0, k) for k in kinds]
-    if local is None:
-        local = tempfile.TemporaryFile()
-        with open_shared(path, "rb") as source:
-            while chunk := source.read(1 << 22):
-                local.write(chunk)
-        local.flush()
-    data = np.memmap(local, np.uint8, "r")
-    out, at = [], 0
+    data, out, at = map_file(path), [], 0
     for k in kinds:
         size = n * np.dtype(k).itemsize
         out.append(data[at : at + size].view(k))
@@ -291,6 +282,7 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds
     for itself. With no training text all words are unknown and the model is uniform. An empty table gives an empty
     result; other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[doc_id]
     aside = F.coalesce(bucket_of(F.col(doc_id), "", folds) == held_out, F.lit(False))
     rows = docs.select(F.col(doc_id).alias("doc_id"), aside.alias("held_out"), text_or_empty(text).alias("text"))

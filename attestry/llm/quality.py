@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .kernels import raw, shingles, text_parts, words
-from .shared import bucket_of, keep, text_or_empty
+from .shared import bound_batches, bucket_of, keep, text_or_empty
 
 #: Share of a class covariance that is shrunk to its diagonal, and the least variance.
 SHRINK, FLOOR = 0.1, 1e-3
@@ -127,6 +128,14 @@ class Discriminant:
         return 1 / (1 + np.exp(np.clip((low - high) / TEMPERATURE, -700, 700)))
 
 
+def fitted(rows: DataFrame, labels: DataFrame, doc_id: str, label: str, folds: int, held_out: int) -> Discriminant:
+    """The discriminant of the statistics of all labelled rows that are not held out."""
+    known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("label")).where("label in (0, 1) and doc_id is not null")
+    known = known.groupBy("doc_id").agg(F.min("label").alias("label"))
+    known = known.where(bucket_of(F.col("doc_id"), "", folds) != held_out)
+    return Discriminant(_moments(rows.join(known, "doc_id")))
+
+
 def quality_scores(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality",
     folds: int = 3, held_out: int = 1,
@@ -138,11 +147,9 @@ def quality_scores(
     scored each for itself. A null doc_id is never labelled or held out. Without two rows of each class the score is the
     share of label 1, and 0.5 without labels. An empty table gives an empty result; other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     rows = keep(document_statistics(docs, doc_id, text), "statistics")
-    known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("label")).where("label in (0, 1) and doc_id is not null")
-    known = known.groupBy("doc_id").agg(F.min("label").alias("label"))
-    known = known.where(bucket_of(F.col("doc_id"), "", folds) != held_out)
-    model = Discriminant(_moments(rows.join(known, "doc_id")))
+    model = fitted(rows, labels, doc_id, label, folds, held_out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,18 +164,16 @@ def quality_scores(
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
-    """docs without the documents that the classifier rejects (score below 0.5). No document is shuffled."""
-    rows = document_statistics(docs, doc_id, text)
-    known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("label")).where("label in (0, 1) and doc_id is not null")
-    known = known.groupBy("doc_id").agg(F.min("label").alias("label")).where(bucket_of(F.col("doc_id"), "", 3) != 1)
-    model = Discriminant(_moments(rows.join(known, "doc_id")))
-    names = docs.columns
+    """docs without the documents that the classifier rejects (score below 0.5); null text counts as empty.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in text_parts(whole, text):
-                column = batch.column(batch.schema.get_field_index(text))
-                good = model.score(statistics(column)) >= 0.5
-                yield pa.RecordBatch.from_arrays(batch.columns, names).filter(pa.array(good))
+    No document is shuffled, and only texts go to Python, which sends a verdict back.
+    """
+    bound_batches(docs.sparkSession)
+    model = fitted(document_statistics(docs, doc_id, text), labels, doc_id, label, 3, 1)
+
+    @F.pandas_udf("boolean")
+    def good(texts: pd.Series) -> pd.Series:
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+        return pd.Series(np.concatenate([model.score(statistics(b.column(0))) >= 0.5 for b in text_parts(batch)] or [np.zeros(0, bool)]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(good(text_or_empty(text)))

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import keep
+from .shared import bound_batches, keep
 
 # The base kinds, their patterns and the least length of what each must hold.
 KINDS = ("assign", "access", "hex")
@@ -117,6 +117,7 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sc
     Positions are code points, ends exclusive. Whole texts are read. Null text counts as empty: no spans, and the
     digest of the empty string. Rows that repeat a doc_id are scanned each for itself. Other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     scanned = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
         _scan, f"doc_id {dict(docs.dtypes)[doc_id]}, n_assign long, n_access long, n_hex long, base_sha256 string, base {_SPANS}, weak {_SPANS}"
     )

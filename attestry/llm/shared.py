@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -74,6 +75,18 @@ def open_shared(path: str, mode: str):
     return system.open_input_file(inner) if mode == "rb" else system.open_output_stream(inner)
 
 
+def map_file(path: str) -> np.ndarray:
+    """The bytes of a shared file that is not empty, mapped into memory; without a mount it is copied to an unnamed file."""
+    local = local_path(path)
+    if local is None:
+        local = tempfile.TemporaryFile()
+        with open_shared(path, "rb") as source:
+            while chunk := source.read(1 << 22):
+                local.write(chunk)
+        local.flush()
+    return np.memmap(local, np.uint8, "r")
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
