@@ -38,7 +38,7 @@ class Index:
     block: np.ndarray
     block_weight: np.ndarray
     block_rest: np.ndarray
-    grams: list[tuple[np.ndarray, np.ndarray]]  # of question and answer
+    grams: list[tuple[int, np.ndarray, np.ndarray]]  # words of a gram, grams of question and of answer
     stride: int
 
 
@@ -53,6 +53,14 @@ def grams(h: np.ndarray, n: int = GRAM) -> np.ndarray:
     return np.unique(out)
 
 
+def item_grams(h: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """(words of a gram, grams of the question, grams of the answer). An item whose halves are too short for grams is
+    one gram, without an answer, so that only its whole run of words is a repeat."""
+    if len(h) < 2 * GRAM:
+        return len(h), grams(h, len(h)), grams(h[:0])
+    return GRAM, grams(h[: (len(h) + 1) // 2]), grams(h[(len(h) + 1) // 2 :])
+
+
 def item_words(texts: list[str]) -> list[np.ndarray]:
     h, first, _, _ = words(pa.array(texts, pa.string()))
     return [h[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
@@ -86,7 +94,7 @@ def build_index(ids: list, item_hashes: list[np.ndarray], terms: np.ndarray, df:
     bt, bb = pairs // (len(ids) // BLOCK + 1), pairs % (len(ids) // BLOCK + 1)
     block_rest = np.zeros(len(ids) // BLOCK + 1)
     np.maximum.at(block_rest, np.arange(len(ids)) // BLOCK, rest)
-    parts = [(grams(h[: (len(h) + 1) // 2]), grams(h[(len(h) + 1) // 2 :])) for h in item_hashes]
+    parts = [item_grams(h) for h in item_hashes]
     stride = max([32, *map(len, item_hashes)])
     return Index(ids, terms, its, ws, rest, np.searchsorted(term, every), item, p[2], np.searchsorted(bt, every), bb, top, block_rest, parts, stride)
 
@@ -144,8 +152,9 @@ def search(index: Index, h: np.ndarray, first: np.ndarray) -> Iterator[tuple[int
         e = int(min(first[r + 1], a + 2 * index.stride))
         score = float(index.item_weights[item][np.isin(index.item_terms[item], no[a:e])].sum())
         if score >= 1 - 1e-9:
-            near = grams(h[a:e])
-            over = [float(np.isin(g, near).mean()) if len(g) else 1.0 for g in index.grams[item]]
+            n, *parts = index.grams[item]
+            near = grams(h[a:e], n) if e - a >= n else h[:0]
+            over = [float(np.isin(g, near).mean()) if len(g) else 1.0 for g in parts]
             yield r, item, a - int(first[r]), score * SCORE, over[0], over[1]
 
 
@@ -179,7 +188,8 @@ def contaminated(
     (first word of the best passage), score (share of the item's own BM25 score), question_overlap, answer_overlap.
 
     An item's question is the first half of its words, its answer the rest; a passage repeats it if it reaches SCORE of
-    the item's score and OVERLAP of the word grams of both. Whole texts are searched, A-Z lower-cased. Null or blank
+    the item's score and OVERLAP of the word grams of both. An item of fewer than 2 * GRAM words is repeated by its whole
+    run of words only, even by a single word. Whole texts are searched, A-Z lower-cased. Null or blank
     texts and items match nothing. Of rows that repeat doc_id and text, or items that repeat item_id, the best match
     is kept. An empty table gives an empty result. Other columns are ignored.
     """
@@ -226,5 +236,5 @@ def contaminated(
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without those that repeat a test item; all other rows stay as they are."""
+    """docs without those that repeat a test item; all other rows stay as they are, null ids and texts among them."""
     return without(docs, contaminated(docs, benchmark, doc_id, text), doc_id, text)
