@@ -10,29 +10,39 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import bound_batches, keep, new_path, open_shared
+from .shared import bound_batches, join_groups, keep, new_path, open_shared
 
 # Fixed values of the seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 #: Bytes of records in a frame and in a bundle, before compression; least payload that a revisit record stands for.
 FRAME_BYTES, BUNDLE_BYTES, LEAST_PAYLOAD = 1 << 18, 1 << 26, 100
-#: Groups of copies up to this number are broadcast; more are joined by shuffle.
+#: Groups of copies up to this number are broadcast; of more only the large ones are, and the rest are joined by shuffle.
 MOST_BROADCAST = 500_000
 
 
+def page_uri(page_id) -> str:
+    """The name of a page's record; ids are escaped, so that any of them stands on one line, and null has a name of its own."""
+    return "<urn:page>" if page_id is None else f"<urn:page:{quote(str(page_id), safe='')}>"
+
+
+def page_of(uri: str) -> str | None:
+    return None if uri == "<urn:page>" else unquote(uri[10:-1])
+
+
 def record(page_id, url: str | None, payload: bytes, digest: str, kind: str, refers_to) -> bytes:
     """A WARC record. A revisit has no block; it names the record that holds its payload, and the payload's length."""
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {page_uri(page_id)}",
         f"WARC-Target-URI: {' '.join((url or '').split())}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}",
     ]
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {page_uri(refers_to)}"]
         payload = b""
     return "\r\n".join([*head, f"Content-Length: {len(payload)}", "", ""]).encode() + payload + b"\r\n\r\n"
 
@@ -117,8 +127,11 @@ def payload_kinds(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     groups = rows.where(F.octet_length("html") >= LEAST_PAYLOAD).groupBy("digest").agg(
         F.min("page_id").alias("response"), F.count("*").alias("n")
     )
-    groups = keep(groups.where("n > 1").select("digest", "response"), "copies")
-    found = rows.join(F.broadcast(groups) if groups.count() <= MOST_BROADCAST else groups, "digest", "left")
+    groups = keep(groups.where("n > 1"), "copies")
+    if groups.count() <= MOST_BROADCAST:
+        found = rows.join(F.broadcast(groups), "digest", "left")
+    else:
+        found = join_groups(rows, groups, "digest", "n", pages.count(), "left")
     again: Column = F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
     return found.select(
         "page_id", "url", "html", "digest", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("response")).alias("refers_to")
@@ -175,8 +188,8 @@ def read_archives(index: DataFrame) -> DataFrame:
                 digest = said if revisit else hashlib.sha256(block).hexdigest()
                 if digest != said:
                     raise ValueError(f"{headers['WARC-Record-ID']}: the payload does not match its digest")
-                refers = headers["WARC-Refers-To"][10:-1] if revisit else None
-                out.append((headers["WARC-Record-ID"][10:-1], int(headers["X-Payload-Length"]) if revisit else len(block), digest, headers["WARC-Type"], refers))
+                refers = page_of(headers["WARC-Refers-To"]) if revisit else None
+                out.append((page_of(headers["WARC-Record-ID"]), int(headers["X-Payload-Length"]) if revisit else len(block), digest, headers["WARC-Type"], refers))
             cols = list(zip(*out, strict=True)) or [(), (), (), (), ()]
             kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays(
@@ -188,8 +201,7 @@ def read_archives(index: DataFrame) -> DataFrame:
     # bundles are of one size, so dealing them out by name evens the tasks; frames are read in order
     dealt = index.repartition("bundle").sortWithinPartitions("bundle", "frame", "start")
     read = dealt.mapInArrow(run, "id string, payload_bytes long, payload_digest string, record_type string, refers string")
-    number = lambda c: F.when(F.col(c) != "None", F.col(c)).cast(kind)
-    return read.select(number("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers").alias("refers_to"))
+    return read.select(F.col("id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers").cast(kind).alias("refers_to"))
 
 
 def archived_pages(pages: DataFrame, **columns: str) -> DataFrame:
