@@ -6,23 +6,32 @@ behind it. So a suffix whose first SURE words occur in another document marks a
 cover it up to less than WINDOW words at both ends. A chain may begin or end with a suffix that a third document shares
 but the passage's partner does not keep, so every suffix within WINDOW words of an end is extended: they are sorted by
 what precedes and what follows them and compared with their neighbours.
+
+Texts are never shuffled. Three passes read them: the first sends the keys of the suffixes, the second finds the hits,
+the third what stands around those that must be extended. The keys that a pass looks for are sorted arrays in the
+shared folder, which the workers map.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
 
 from .kernels import mix, powers, text_parts, words
-from .shared import join_groups, keep, semi_join, text_or_empty
+from .shared import bound_batches, keep, map_file, new_path, open_shared, text_or_empty
 
 #: Least words of a passage that must be found; words of a gram; grams of a window.
 LEAST, GRAM, WINDOW = 50, 20, 16
 #: Words behind the first kept position of each such passage.
 SURE = LEAST - WINDOW + 1
+#: Keys of one mapped file, until there are MANY_FILES of them, and suffixes that a task sorts.
+FILE_KEYS, MANY_FILES, SORTED_ROWS = 1 << 16, 4096, 200_000
 
 
 def run_hashes(h: np.ndarray, k: int) -> np.ndarray:
@@ -36,18 +45,86 @@ def run_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return mix((sums[k:] - sums[:-k]) * inverse[: n - k + 1])
 
 
-def kept_positions(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, position in the flat array) of the minimisers of each row that have SURE words behind them."""
+def kept_positions(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, position in the flat array, key) of the minimisers of each row that have SURE words behind them."""
     g = run_hashes(h, GRAM)
     if len(g) < WINDOW:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     span = WINDOW + GRAM - 1
     whole = row[: len(h) - span + 1] == row[span - 1 :]
     views = np.lib.stride_tricks.sliding_window_view(mix(g, 31), WINDOW)
     at = np.unique((np.flatnonzero(whole) + views.argmin(axis=1)[whole]))
     at = at[at + SURE <= first[row[at] + 1]]
-    return row[at], at
+    return row[at], at, run_hashes(h, SURE)[at].view(np.int64) if len(at) else at
+
+
+class KeyFiles:
+    """Sorted keys, each with a number, in files that workers map; a key's file is the remainder of its hash."""
+
+    def __init__(self, paths: dict[int, tuple[str, int]], files: int) -> None:
+        self.paths, self.files, self.maps = paths, files, {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"maps": {}}
+
+    def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether it is there, its number) for each key."""
+        hit, out = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+        own = (mix(keys.view(np.uint64), 5) % np.uint64(self.files)).astype(np.int64)
+        for f in np.unique(own).tolist():
+            if f in self.paths:
+                path, n = self.paths[f]
+                if f not in self.maps:
+                    self.maps[f] = map_file(path).view(np.int64).reshape(2, n)
+                have, number = self.maps[f]
+                mine = np.flatnonzero(own == f)
+                at = np.minimum(np.searchsorted(have, keys[mine]), n - 1)
+                found = have[at] == keys[mine]
+                hit[mine], out[mine] = found, np.where(found, number[at], 0)
+        return hit, out
+
+
+def key_files(keys: DataFrame) -> KeyFiles:
+    """Writes keys (key, number), distinct, to mapped files; the driver gets a path for each file."""
+    keys = keep(keys.select("key", "number"), "keys")
+    files = max(1, min(-(-keys.count() // FILE_KEYS), MANY_FILES))
+    folder = new_path(keys.sparkSession, "key_files")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = (mix(batch.column(0).to_numpy().view(np.uint64), 5) % np.uint64(files)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(own), *batch.columns], ["file", "key", "number"])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by file and key; the columns of one file are held at a time."""
+        now, held = None, []
+
+        def close() -> pa.RecordBatch:
+            path = f"{folder}/{uuid.uuid4().hex}.keys"
+            with open_shared(path, "wb") as out:
+                for column in ("key", "number"):
+                    for part in held:
+                        out.write(part.column(column).to_numpy().tobytes())
+            n = sum(p.num_rows for p in held)
+            return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([path]), pa.array([n])], ["file", "path", "n"])
+
+        for batch in batches:
+            file = batch.column("file").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(file)) + 1).tolist(), len(file)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if a < b:
+                    if file[a] != now:
+                        if held:
+                            yield close()
+                        now, held = int(file[a]), []
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield close()
+
+    dealt = keys.mapInArrow(deal, "file long, key long, number long").repartition(files, "file").sortWithinPartitions("file", "key")
+    found = keep(dealt.mapInArrow(write, "file long, path string, n long"), "key_files").collect()
+    return KeyFiles({r["file"]: (r["path"], r["n"]) for r in found}, files)
 
 
 def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -55,96 +132,107 @@ def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.withColumn("node", F.xxhash64("doc_id", "text"))
 
 
-def kept_suffixes(rows: DataFrame) -> DataFrame:
-    """(node, pos, key): the first word of each kept suffix, and the hash of its first SURE words."""
+def kept_keys(rows: DataFrame) -> DataFrame:
+    """(node, key): the hash of the first SURE words of each kept suffix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in text_parts(whole):
                 h, first, _, _ = words(batch.column("text"))
-                row, at = kept_positions(h, first)
-                key = run_hashes(h, SURE)[at].view(np.int64) if len(at) else at
-                node = batch.column("node").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(node[row]), pa.array(at - first[row]), pa.array(key)], ["node", "pos", "key"])
+                row, _, key = kept_positions(h, first)
+                yield pa.RecordBatch.from_arrays([pa.array(batch.column("node").to_numpy()[row]), pa.array(key)], ["node", "key"])
+
+    return rows.select("node", "text").mapInArrow(run, "node long, key long")
 
-    return rows.select("node", "text").mapInArrow(run, "node long, pos long, key long")
 
+def hits_of(h: np.ndarray, first: np.ndarray, node: np.ndarray, shared: KeyFiles) -> dict[str, np.ndarray]:
+    """The kept suffixes that other documents have too: row, at, key, stays (whether this is the node that keeps it),
+    and start and last, the first and the last of its run, whose hits' first SURE words touch."""
+    row, at, key = kept_positions(h, first)
+    hit, number = shared.look_up(key)
+    row, at, key, number = row[hit], at[hit], key[hit], number[hit]
+    new = np.ones(len(at), bool)
+    new[1:] = (row[1:] != row[:-1]) | (at[1:] > at[:-1] + SURE)
+    begin = np.flatnonzero(new)
+    size = np.diff(np.append(begin, len(at)))
+    start, last = np.repeat(at[begin], size), np.repeat(at[begin + size - 1] if len(begin) else at, size)
+    return {"row": row, "at": at, "key": key, "stays": number == node[row], "start": start, "last": last}
 
-def stretches(hits: DataFrame) -> DataFrame:
-    """(node, pos, key, start, last): each hit with the first and the last of its run, whose hits' first SURE words touch."""
-    along = Window.partitionBy("node").orderBy("pos")
-    before = F.lag("pos").over(along)
-    runs = hits.withColumn("new", (before.isNull() | (F.col("pos") > before + SURE)).cast("long"))
-    runs = runs.withColumn("run", F.sum("new").over(along))
-    run = Window.partitionBy("node", "run")
-    return runs.select("node", "pos", "key", F.min("pos").over(run).alias("start"), F.max("pos").over(run).alias("last"))
 
+def hits(rows: DataFrame, shared: KeyFiles) -> DataFrame:
+    """(doc_id, node, pos, key, stays, start, last): all hits; positions count words of the document."""
+    kind = dict(rows.dtypes)["doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in text_parts(whole):
+                h, first, _, _ = words(batch.column("text"))
+                node = batch.column("node").to_numpy()
+                x = hits_of(h, first, node, shared)
+                base = first[x["row"]]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(pa.array(x["row"])), pa.array(node[x["row"]]), pa.array(x["at"] - base), pa.array(x["key"]),
+                     pa.array(x["stays"]), pa.array(x["start"] - base), pa.array(x["last"] - base)],
+                    ["doc_id", "node", "pos", "key", "stays", "start", "last"],
+                )
 
-def contexts(rows: DataFrame, ends: DataFrame) -> DataFrame:
-    """(node, pos, key, left, right): up to WINDOW words before a suffix, backwards, and as many after its SURE words.
+    return rows.mapInArrow(run, f"doc_id {kind}, node long, pos long, key long, stays boolean, start long, last long")
 
-    A word is 4 bytes, so contexts sort as the words do, and equal bytes are equal words.
+
+def contexts(rows: DataFrame, ends: KeyFiles) -> DataFrame:
+    """(node, pos, key, left, right) of each kept suffix whose key is in ends: up to WINDOW words before it, backwards,
+    and as many after its SURE words.
+
+    A word is 4 bytes, so contexts sort as the words do, and equal bytes are equal words; 0 stands where a text ends.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in text_parts(whole):
                 h, first, _, _ = words(batch.column("text"))
-                short = (h >> np.uint64(32)).astype(">u4")
-                out = []
-                for r, (node, spots) in enumerate(zip(batch.column("node").to_pylist(), batch.column("spots").to_pylist(), strict=True)):
-                    low, high = int(first[r]), int(first[r + 1])
-                    for s in spots:
-                        at = low + s["pos"]
-                        left = short[max(low, at - WINDOW) : at][::-1].tobytes()
-                        right = short[at + SURE : min(high, at + SURE + WINDOW)].tobytes()
-                        out.append((node, s["pos"], s["key"], left, right))
-                if out:
-                    cols = list(zip(*out, strict=True))
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["node", "pos", "key", "left", "right"])
-
-    spots = ends.groupBy("node").agg(F.collect_list(F.struct("pos", "key")).alias("spots"))
-    spots = keep(spots, "spots")
-    few = spots.count() <= 200_000 and (spots.agg(F.sum(F.size("spots"))).first()[0] or 0) <= 2_000_000
-    joined = rows.join(F.broadcast(spots) if few else spots, "node")
-    return joined.select("node", "text", "spots").mapInArrow(run, "node long, pos long, key long, left binary, right binary")
-
-
-def _common(a: bytes, b: bytes) -> int:
-    """Equal words at the start."""
-    n = min(len(a), len(b)) // 4
-    for i in range(n):
-        if a[4 * i : 4 * i + 4] != b[4 * i : 4 * i + 4]:
-            return i
-    return n
-
-
-def _against_neighbours(keys: list[int], nodes: list[int], texts: list[bytes]) -> list[int]:
-    """For sorted suffixes, the most words that each shares with the nearest other document's on either side."""
+                row, at, key = kept_positions(h, first)
+                hit, _ = ends.look_up(key)
+                row, at, key = row[hit], at[hit], key[hit]
+                if not len(at):
+                    continue
+                short = np.append(np.maximum(h >> np.uint64(32), np.uint64(1)).astype(">u4"), np.zeros(1, ">u4"))
+                step = np.arange(WINDOW)
+                before, after = at[:, None] - 1 - step, at[:, None] + SURE + step
+                sides = []
+                for spot, good in ((before, before >= first[row][:, None]), (after, after < first[row + 1][:, None])):
+                    data = short[np.where(good, spot, len(h))].tobytes()
+                    offsets = np.arange(len(at) + 1, dtype=np.int32) * (4 * WINDOW)
+                    sides.append(pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(batch.column("node").to_numpy()[row]), pa.array(at - first[row]), pa.array(key), *sides], ["node", "pos", "key", "left", "right"]
+                )
+
+    return rows.select("node", "text").mapInArrow(run, "node long, pos long, key long, left binary, right binary")
+
+
+def common_words(keys: np.ndarray, nodes: np.ndarray, words_of: np.ndarray) -> np.ndarray:
+    """For suffixes sorted by key and words, the most words that each shares with the nearest other document's on either
+    side, as rows of WINDOW words, 0 where a text ends."""
     n = len(keys)
-    best = [0] * n
-    for step in (1, -1):
-        held = -1  # the last suffix of another document than the current run's, and the least match since
-        order = range(n) if step == 1 else range(n - 1, -1, -1)
-        before = None
-        for i in order:
-            if before is not None:
-                same = keys[i] == keys[before]
-                if not same:
-                    held = -1
-                elif nodes[i] != nodes[before]:
-                    held = before
-                if held >= 0:
-                    best[i] = max(best[i], _common(texts[i], texts[held]))
-            before = i
+    best = np.zeros(n, np.int64)
+    for back in (True, False):
+        k, d, w = (keys, nodes, words_of) if back else (keys[::-1], nodes[::-1], words_of[::-1])
+        new = np.ones(n, bool)
+        new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
+        held = np.maximum.accumulate(np.where(new, np.arange(n), 0)) - 1  # the last suffix of the run before
+        some = np.flatnonzero((held >= 0) & (k[held] == k))
+        same = (w[some] == w[held[some]]) & (w[some] != 0)
+        more = np.zeros(n, np.int64)
+        more[some] = np.minimum.accumulate(same, axis=1).sum(axis=1)
+        best = np.maximum(best, more if back else more[::-1])
     return best
 
 
 def extensions(found: DataFrame, side: str) -> DataFrame:
     """(node, pos, more): how many words the match of a suffix goes on at a side, from its neighbours in sorted order.
 
-    The suffixes are sorted over all partitions; those at the edges of partitions are compared once more with each other.
+    The suffixes are sorted over all partitions; those at the edges of partitions are compared once more with each
+    other. These are, at either end, the rows up to the first that another document or key has.
     """
 
     def run(batches: Iterator[pa.RecordBatch], edges: bool = True) -> Iterator[pa.RecordBatch]:
@@ -152,54 +240,98 @@ def extensions(found: DataFrame, side: str) -> DataFrame:
         if not batches:
             return
         table = pa.Table.from_batches(batches)
-        keys, nodes, texts = table["key"].to_pylist(), table["node"].to_pylist(), table[side].to_pylist()
-        more = _against_neighbours(keys, nodes, texts)
-        # with an edge go all rows from which no other document of the same key lies between
-        inner = [False] * len(keys)
+        keys, nodes = table["key"].to_numpy(), table["node"].to_numpy()
+        data = b"".join(x.as_buffer().to_pybytes() for x in table[side])
+        more = common_words(keys, nodes, np.frombuffer(data, ">u4").reshape(len(keys), WINDOW))
+        edge = np.zeros(len(keys), bool)
         if edges:
-            for order in (range(len(keys)), range(len(keys) - 1, -1, -1)):
-                for i in order:
-                    inner[i] = True
-                    if nodes[i] != nodes[order[0]] or keys[i] != keys[order[0]]:
-                        break
+            other = (keys != keys[0]) | (nodes != nodes[0])
+            edge[: int(other.argmax()) + 1 if other.any() else len(keys)] = True
+            other = (keys != keys[-1]) | (nodes != nodes[-1])
+            edge[int(np.flatnonzero(other)[-1]) if other.any() else 0 :] = True
+        kept = pa.array(edge)
         batch = pa.table({
-            "node": table["node"], "pos": table["pos"], "more": pa.array(more, pa.int64()), "key": table["key"], side: table[side], "edge": pa.array(inner),
+            "node": table["node"], "pos": table["pos"], "more": pa.array(more), "key": table["key"],
+            side: pc.if_else(kept, table[side].combine_chunks(), pa.scalar(None, pa.binary())), "edge": kept,
         })
-        yield from batch.combine_chunks().to_batches()
+        yield from batch.combine_chunks().to_batches(max_chunksize=50_000)
 
     ddl = f"node long, pos long, more long, key long, {side} binary, edge boolean"
-    parts = max(4, found.count() // 200_000)
-    dealt = found.repartitionByRange(parts, "key", side, "node").sortWithinPartitions("key", side, "node")
-    done = keep(dealt.select("node", "pos", "key", side).mapInArrow(run, ddl), "sorted")
+    parts = max(4, found.count() // SORTED_ROWS)
+    dealt = found.select("node", "pos", "key", side).repartitionByRange(parts, "key", side, "node").sortWithinPartitions("key", side, "node")
+    done = keep(dealt.mapInArrow(run, ddl), "sorted")
     edges = done.where("edge").coalesce(1).sortWithinPartitions("key", side, "node").select("node", "pos", "key", side)
     again = edges.mapInArrow(lambda batches: run(batches, False), ddl)
     return done.select("node", "pos", "more").unionByName(again.select("node", "pos", "more")).groupBy("node", "pos").agg(F.max("more").alias("more"))
 
 
+def shared_keys(rows: DataFrame) -> DataFrame:
+    """(key, number, n) of the suffixes that several documents have: number is the least of their nodes, n the rows."""
+    counts = kept_keys(rows).groupBy("key").agg(F.min("node").alias("number"), F.max("node").alias("hi"), F.count("*").alias("n"))
+    return keep(counts.where("number < hi").drop("hi"), "shared")
+
+
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each repeated passage of a document: doc_id, start_word, end_word (exclusive), n_words.
+    """One row for each repeated passage of a document: doc_id, start_word, end_word (exclusive), n_words, stays.
 
     Every passage of LEAST words or more that another document has too lies in a row of each of its documents. A row
     is a union of stretches of at least SURE words that each occur in another document, and has LEAST words or more.
+    stays: of the documents that share any of the row's stretches this is the one that keeps it, which is that with the
+    least hash of doc_id and text; every stretch stays in one document (drop_repeated_passages).
     Words are compared with A-Z lower-cased, over whole texts. Null or short texts have no rows. Rows that repeat
     doc_id and text are one document and do not repeat each other; those that share only a doc_id are documents of
     their own. An empty table gives an empty result; other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     rows = _texts(docs, doc_id, text)
-    kept = kept_suffixes(rows)
-    shared = kept.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    shared = keep(shared.select("key", "n"), "shared")
-    hits = keep(semi_join(kept, shared.select("key"), "key", 2_000_000).distinct(), "suffixes")
-    edges = keep(stretches(hits).where((F.col("pos") < F.col("start") + WINDOW) | (F.col("pos") > F.col("last") - WINDOW)), "stretches")
-    ends = keep(edges.select("key").distinct().join(shared, "key"), "ends")
-    spots = join_groups(hits, ends, "key", "n", hits.count()).select("node", "pos", "key")
-    found = keep(contexts(rows, spots), "contexts")
-    left = extensions(found, "left").withColumnRenamed("more", "before")
-    right = extensions(found, "right").withColumnRenamed("more", "after")
-    out = edges.join(left, ["node", "pos"], "left").join(right, ["node", "pos"], "left")
-    out = out.groupBy("node", "start", "last").agg(
+    shared = shared_keys(rows)
+    found = keep(hits(rows, key_files(shared)).distinct(), "hits")
+    edges = found.where((F.col("pos") < F.col("start") + WINDOW) | (F.col("pos") > F.col("last") - WINDOW))
+    ends = edges.select("key").distinct().select("key", F.lit(0).cast("long").alias("number"))
+    around = keep(contexts(rows, key_files(ends)).distinct(), "contexts")
+    left = extensions(around, "left").withColumnRenamed("more", "before")
+    right = extensions(around, "right").withColumnRenamed("more", "after")
+    ways = edges.select("node", "pos", "start", "last").join(left, ["node", "pos"], "left").join(right, ["node", "pos"], "left")
+    ways = ways.groupBy("node", "start", "last").agg(
         F.min(F.col("pos") - F.coalesce("before", F.lit(0))).alias("start_word"), F.max(F.col("pos") + SURE + F.coalesce("after", F.lit(0))).alias("end_word")
     )
-    out = out.where(F.col("end_word") - F.col("start_word") >= LEAST)
-    names = semi_join(rows.select("doc_id", "node"), out.select("node").distinct(), "node").distinct()
-    return names.join(out, "node").select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"))
+    runs = found.groupBy("doc_id", "node", "start", "last").agg(F.min("stays").alias("stays"))
+    out = runs.join(ways, ["node", "start", "last"]).where(F.col("end_word") - F.col("start_word") >= LEAST)
+    return out.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "stays")
+
+
+def drop_repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with the words of repeated stretches cut from all texts but one.
+
+    A stretch is the SURE words from a kept suffix on. It stays in the document with the least hash of doc_id and text
+    of those that have it, but for words that it shares with a stretch that stays elsewhere. What stands between the
+    words that are left stays as it is. Null texts stay null; rows that repeat doc_id and text are cut alike.
+    """
+    bound_batches(docs.sparkSession)
+    shared = key_files(shared_keys(_texts(docs, doc_id, text)))
+
+    @F.pandas_udf("string")
+    def cut(nodes: pd.Series, texts: pd.Series) -> pd.Series:
+        whole = pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts, pa.string())], ["node", "text"])
+        out: list[str | None] = []
+        for batch in text_parts(whole):
+            h, first, start, end = words(batch.column("text"))
+            x = hits_of(h, first, batch.column("node").to_numpy(), shared)
+            gone = np.zeros(len(h) + 1, np.int64)
+            np.add.at(gone, x["at"][~x["stays"]], 1)
+            np.add.at(gone, x["at"][~x["stays"]] + SURE, -1)
+            gone = np.cumsum(gone[:-1]) > 0
+            base = 0
+            for r, said in enumerate(batch.column("text").to_pylist()):
+                data = (said or "").encode()
+                own = slice(int(first[r]), int(first[r + 1]))
+                if gone[own].any():
+                    left = np.ones(len(data), bool)
+                    for a, b in zip((start[own] - base)[gone[own]].tolist(), (end[own] - base)[gone[own]].tolist(), strict=True):
+                        left[a:b] = False
+                    said = np.frombuffer(data, np.uint8)[left].tobytes().decode()
+                base += len(data)
+                out.append(said)
+        return pd.Series(out, dtype=object)
+
+    return docs.withColumn(text, cut(F.xxhash64(F.col(doc_id), text_or_empty(text)), F.col(text)))
