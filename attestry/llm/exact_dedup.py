@@ -6,124 +6,14 @@ The second pass looks every hash up in the mapped files. Each pass reads the row
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .kernels import mix
-from .shared import bound_batches, join_groups, keep, map_file, new_path, open_shared, text_or_empty, unused
-
-#: Filter bits for each row, hash functions, rows of a segment and hashes that a task holds before it sends them on.
-BITS_PER_ROW, HASHES, SEGMENT_ROWS, HELD = 16, 4, 1 << 22, 1 << 20
-
-
-class RepeatFilter:
-    """Where the segments lie. A segment has a bit for each slot that two rows set, in 2**bits slots."""
-
-    def __init__(self, rows: int, folder: str) -> None:
-        self.folder, self.segments = folder, max(1, -(-rows // SEGMENT_ROWS))
-        self.bits = max(10, int(max(1, rows * BITS_PER_ROW // self.segments) - 1).bit_length())
-        self.paths: dict[int, str] = {}
-        self.maps: dict[int, np.ndarray] = {}
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"maps": {}}
-
-    def segment(self, h: np.ndarray) -> np.ndarray:
-        return (mix(h, 3) % np.uint64(self.segments)).astype(np.int64)
-
-    def slots(self, h: np.ndarray) -> np.ndarray:
-        """HASHES slots for each hash, as rows."""
-        a, b = mix(h, 1), mix(h, 2) | np.uint64(1)
-        return np.stack([((a + np.uint64(i) * b) >> np.uint64(7)) & np.uint64((1 << self.bits) - 1) for i in range(HASHES)]).astype(np.int64)
-
-    def add(self, h: np.ndarray, once: np.ndarray, twice: np.ndarray) -> None:
-        """Sets the slots of rows of one segment in two bitmaps: those set at all, and those set by two rows."""
-        for part in np.array_split(h, max(1, len(h) // 100_000)):
-            slots = np.sort(self.slots(part), axis=0)
-            new = np.ones(slots.shape, bool)
-            new[1:] = slots[1:] != slots[:-1]  # a slot that one row hits twice counts once
-            hit, n = np.unique(slots[new], return_counts=True)
-            bit = (128 >> (hit & 7)).astype(np.uint8)
-            again = (n > 1) | ((once[hit >> 3] & bit) > 0)
-            np.bitwise_or.at(twice, hit[again] >> 3, bit[again])
-            np.bitwise_or.at(once, hit >> 3, bit)
-
-    def may_repeat(self, h: np.ndarray) -> np.ndarray:
-        """False only for hashes that one row has."""
-        out, own = np.zeros(len(h), bool), self.segment(h)
-        for s in np.unique(own).tolist():
-            if s in self.paths:
-                if s not in self.maps:
-                    self.maps[s] = map_file(self.paths[s])
-                mine = np.flatnonzero(own == s)
-                slots = self.slots(h[mine])
-                out[mine] = ((self.maps[s][slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1).all(axis=0)
-        return out
-
-
-def repeat_filter(hashes: DataFrame, column: str, rows: int) -> RepeatFilter:
-    """The filter of a column of hashes, in one pass; a hash that repeats has all its slots set in its segment.
-
-    Tasks send their hashes by segment, packed, and of each hash at most two: a text that a third of the rows have does
-    not swell its segment. The driver gets a path for each segment.
-    """
-    made = RepeatFilter(rows, new_path(hashes.sparkSession, "bloom"))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def flush() -> pa.RecordBatch:
-            h = np.sort(np.concatenate(held))
-            h = h[np.concatenate([np.ones(min(2, len(h)), bool), h[2:] != h[:-2]])]
-            own = made.segment(h)
-            order = np.argsort(own, kind="stable")
-            edges = np.searchsorted(own[order], np.arange(made.segments + 1))
-            some = np.flatnonzero(np.diff(edges))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(some), pa.array([h[order[edges[s] : edges[s + 1]]].tobytes() for s in some], pa.binary())], ["segment", "data"]
-            )
-
-        for batch in batches:
-            h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            if len(h):
-                held.append(h)
-            if sum(map(len, held)) > HELD:
-                yield flush()
-                held = []
-        if held:
-            yield flush()
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rows of a task come sorted by segment; one segment's bitmaps are held at a time."""
-        now, once, twice = None, None, None
-
-        def close() -> pa.RecordBatch:
-            path = f"{made.folder}/{uuid.uuid4().hex}.bits"
-            with open_shared(path, "wb") as out:
-                out.write(twice.tobytes())
-            return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([path])], ["segment", "path"])
-
-        for batch in batches:
-            for s, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if s != now:
-                    if now is not None:
-                        yield close()
-                    now, once, twice = s, np.zeros(1 << made.bits - 3, np.uint8), np.zeros(1 << made.bits - 3, np.uint8)
-                made.add(np.frombuffer(data.as_buffer(), np.uint64), once, twice)
-        if now is not None:
-            yield close()
-
-    sent = hashes.select(column).where(F.col(column).isNotNull()).mapInArrow(deal, "segment long, data binary")
-    dealt = sent.repartition(made.segments, "segment").sortWithinPartitions("segment")
-    found = keep(dealt.mapInArrow(build, "segment long, path string"), "segments")
-    made.paths = {r["segment"]: r["path"] for r in found.collect()}
-    return made
-
+from .mapped import RepeatFilter, repeat_filter
+from .shared import bound_batches, join_groups, keep, text_or_empty, unused
 
 def suspect(column: Column, made: RepeatFilter) -> Column:
     """Whether a hash may repeat; only the hashes go to Python."""
@@ -152,7 +42,7 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     prints = docs.select(F.col(doc_id).alias("doc_id"), digest_of(text).alias("text_sha256")).withColumn("h", F.xxhash64("text_sha256"))
     prints = keep(prints, "prints")
     rows = prints.count()
-    made = repeat_filter(prints, "h", rows)
+    made = repeat_filter(prints.select("h"), rows)
     flagged = keep(prints.withColumn("suspect", suspect(F.col("h"), made)).drop("h"), "flagged")
     alone = flagged.where("not suspect").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
@@ -176,7 +66,7 @@ def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     key, sha, row = unused(docs, "hash", "sha", "row")
     hashed = docs.withColumn(sha, digest_of(text))
     prints = keep(hashed.select(F.xxhash64(sha).alias("h")), "prints")
-    made = repeat_filter(prints, "h", prints.count())
+    made = repeat_filter(prints, prints.count())
     hashed = hashed.withColumn(key, suspect(F.xxhash64(sha), made))
     alone = hashed.where(~F.col(key)).drop(key, sha)
     suspects = hashed.where(F.col(key)).select(sha, F.struct(*docs.columns).alias(row))

@@ -13,10 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .kernels import mix, text_parts, words
+from .kernels import text_parts, words
+from .mapped import pack, unpack
 from .shared import bound_batches, bucket_of, keep, map_file, new_path, open_shared, text_or_empty
 
 #: Hashes of the end of a text, which is a token, and of its start, which is only a context.
@@ -57,25 +57,6 @@ def shard_of(key: np.ndarray, shards: int) -> np.ndarray:
     return (top * np.uint64(shards) >> _HALF).astype(np.int64)
 
 
-def pack(*columns: np.ndarray) -> bytes:
-    """Integer columns, the first one sorted and stored as differences."""
-    first = columns[0].astype(np.uint64)
-    first = np.diff(first, prepend=np.uint64(0))
-    body = b"".join(np.ascontiguousarray(c.astype(np.uint64)).view(np.uint8).reshape(-1, 8).T.tobytes() for c in (first, *columns[1:]))
-    return len(columns).to_bytes(1, "little") + zstandard.ZstdCompressor(level=1).compress(body)
-
-
-def unpack(data: bytes) -> list[np.ndarray]:
-    n, body = data[0], zstandard.ZstdDecompressor().decompress(data[1:])
-    size = len(body) // n
-    out = []
-    for i in range(n):
-        planes = np.frombuffer(body, np.uint8, size, i * size).reshape(8, -1)
-        out.append(np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1))
-    out[0] = np.cumsum(out[0], dtype=np.uint64)
-    return out
-
-
 def merged(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
     """Columns added up by the first one, sorted by it."""
     columns = [np.concatenate(c) for c in zip(*parts, strict=True)]

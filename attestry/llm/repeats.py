@@ -14,7 +14,6 @@ shared folder, which the workers map.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,14 +23,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .kernels import mix, powers, text_parts, words
-from .shared import bound_batches, keep, map_file, new_path, open_shared, text_or_empty
+from .mapped import KeyFiles, key_files
+from .shared import bound_batches, keep, text_or_empty
 
 #: Least words of a passage that must be found; words of a gram; grams of a window.
 LEAST, GRAM, WINDOW = 50, 20, 16
 #: Words behind the first kept position of each such passage.
 SURE = LEAST - WINDOW + 1
-#: Keys of one mapped file, until there are MANY_FILES of them, and suffixes that a task sorts.
-FILE_KEYS, MANY_FILES, SORTED_ROWS = 1 << 16, 4096, 200_000
+#: Suffixes that a task sorts.
+SORTED_ROWS = 200_000
 
 
 def run_hashes(h: np.ndarray, k: int) -> np.ndarray:
@@ -59,74 +59,6 @@ def kept_positions(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
     return row[at], at, run_hashes(h, SURE)[at].view(np.int64) if len(at) else at
 
 
-class KeyFiles:
-    """Sorted keys, each with a number, in files that workers map; a key's file is the remainder of its hash."""
-
-    def __init__(self, paths: dict[int, tuple[str, int]], files: int) -> None:
-        self.paths, self.files, self.maps = paths, files, {}
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"maps": {}}
-
-    def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(whether it is there, its number) for each key."""
-        hit, out = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
-        own = (mix(keys.view(np.uint64), 5) % np.uint64(self.files)).astype(np.int64)
-        for f in np.unique(own).tolist():
-            if f in self.paths:
-                path, n = self.paths[f]
-                if f not in self.maps:
-                    self.maps[f] = map_file(path).view(np.int64).reshape(2, n)
-                have, number = self.maps[f]
-                mine = np.flatnonzero(own == f)
-                at = np.minimum(np.searchsorted(have, keys[mine]), n - 1)
-                found = have[at] == keys[mine]
-                hit[mine], out[mine] = found, np.where(found, number[at], 0)
-        return hit, out
-
-
-def key_files(keys: DataFrame) -> KeyFiles:
-    """Writes keys (key, number), distinct, to mapped files; the driver gets a path for each file."""
-    keys = keep(keys.select("key", "number"), "keys")
-    files = max(1, min(-(-keys.count() // FILE_KEYS), MANY_FILES))
-    folder = new_path(keys.sparkSession, "key_files")
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = (mix(batch.column(0).to_numpy().view(np.uint64), 5) % np.uint64(files)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(own), *batch.columns], ["file", "key", "number"])
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by file and key; the columns of one file are held at a time."""
-        now, held = None, []
-
-        def close() -> pa.RecordBatch:
-            path = f"{folder}/{uuid.uuid4().hex}.keys"
-            with open_shared(path, "wb") as out:
-                for column in ("key", "number"):
-                    for part in held:
-                        out.write(part.column(column).to_numpy().tobytes())
-            n = sum(p.num_rows for p in held)
-            return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([path]), pa.array([n])], ["file", "path", "n"])
-
-        for batch in batches:
-            file = batch.column("file").to_numpy()
-            edges = [0, *(np.flatnonzero(np.diff(file)) + 1).tolist(), len(file)]
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if a < b:
-                    if file[a] != now:
-                        if held:
-                            yield close()
-                        now, held = int(file[a]), []
-                    held.append(batch.slice(a, b - a))
-        if held:
-            yield close()
-
-    dealt = keys.mapInArrow(deal, "file long, key long, number long").repartition(files, "file").sortWithinPartitions("file", "key")
-    found = keep(dealt.mapInArrow(write, "file long, path string, n long"), "key_files").collect()
-    return KeyFiles({r["file"]: (r["path"], r["n"]) for r in found}, files)
-
-
 def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
     return rows.withColumn("node", F.xxhash64("doc_id", "text"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -124,17 +126,54 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     )
 
 
+#: Edges of one task when components are contracted.
+CHUNK_EDGES = 200_000
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges (u, v) of a task as stars: an edge from each node to the least node that these edges lead to."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    u, v = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("u", "v"))
+    nodes, both = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = both[: len(u)], both[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        for end in (label[a], label[b]):
+            np.minimum.at(new, end, least)
+        new = new[new]
+        while ((further := new[new]) != new).any():
+            new = further
+        if (new == label).all():
+            break
+        label = new
+    far = label != np.arange(len(nodes))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[label[far]])], ["u", "v"])
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, label) for each node of the edges: label is the smallest node that can be reached.
 
-    Alternating large-star and small-star rounds. A round groups by node only to find a minimum, which is combined
-    before the shuffle, so a node with very many neighbours is no hot task. The driver sees one count a round.
+    Tasks contract CHUNK_EDGES edges each to stars, where they lie. As long as more than one task is needed, rounds of
+    alternating large stars and small stars join what the tasks found. A round groups by node only to find a minimum,
+    which is combined before the shuffle, so a node with very many neighbours is no hot task. The driver sees one count
+    a round.
     """
-    spark = edges.sparkSession
     hooks = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     hooks = keep(hooks, "edges")
     last = None
     for _ in range(max_rounds):
+        count, digest = hooks.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if (count, digest) == last:
+            break
+        last = (count, digest)
+        chunks = max(1, -(-count // CHUNK_EDGES))
+        hooks = keep(hooks.coalesce(chunks).mapInArrow(_contract, "u long, v long"), "edges")
+        if chunks == 1:
+            break
         # large star: every larger neighbour of u hangs on the smallest of u's closed neighbourhood
         both = hooks.unionByName(hooks.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -148,10 +187,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
             .unionByName(small_min.select("u", F.col("m").alias("v"))).distinct(),
             "edges",
         )
-        now = hooks.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == last:
-            break
-        last = tuple(now)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = hooks.select(F.col("v").alias("node")).distinct()
