@@ -63,3 +63,19 @@ def verified(chain: DataFrame) -> DataFrame:
         "log_file", F.col("f").isNull().alias("valid"), F.col("f.line_no").alias("broken_at"), F.col("f.why").alias("reason"),
         F.coalesce("f.line_no", "n").alias("total"),
     )
+
+
+def integrity_state(checked: DataFrame, days: DataFrame) -> DataFrame:
+    """One row (files, broken, state) over the files of some days (log_file): broken if any chain is, intact otherwise."""
+    some = checked.join(days.select("log_file").distinct(), "log_file", "left_semi")
+    bad = F.count(F.when(~F.col("valid"), 1))
+    return some.agg(F.count("*").alias("files"), bad.alias("broken"), F.when(bad > 0, "broken").otherwise("intact").alias("state"))
+
+
+def broken_chain_alerts(checked: DataFrame) -> DataFrame:
+    """A critical alert for each broken chain: severity, source, title, message, dedup_key, log_file, broken_at, total."""
+    return checked.where(~F.col("valid")).select(
+        F.lit("critical").alias("severity"), F.lit("integrity").alias("source"), F.concat(F.lit("audit chain broken — "), "log_file").alias("title"),
+        F.concat("log_file", F.lit(" is broken at line "), "broken_at", F.lit(": "), "reason").alias("message"),
+        F.concat_ws(":", F.lit("integrity"), "log_file", "broken_at").alias("dedup_key"), "log_file", "broken_at", "total",
+    )

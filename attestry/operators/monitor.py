@@ -51,22 +51,50 @@ def query_latency() -> Column:
     return F.when(is_type("query"), F.col("response_time_ms"))
 
 
-def kpi(events: DataFrame) -> DataFrame:
-    """One row: queries, rejections, rejection_rate, security_alerts, p95_ms; rates are not rounded."""
-    kinds = {"queries": flag(is_type("query")), "rejections": flag(is_type("rejection")), "security_alerts": flag(is_type("security_alert"))}
+def has_flags() -> Column:
+    return F.coalesce(F.size("anomaly_flags") > 0, F.lit(False))
+
+
+def kpi(flagged: DataFrame) -> DataFrame:
+    """One row: queries, rejections, rejection_rate, security_alerts, anomalies (events with flags), p95_ms; rates are
+    not rounded."""
+    kinds = {
+        "queries": flag(is_type("query")), "rejections": flag(is_type("rejection")), "security_alerts": flag(is_type("security_alert")),
+        "anomalies": flag(has_flags()),
+    }
     rate = F.col("rejections") / F.greatest(F.col("queries") + F.col("rejections"), F.lit(1))
-    return grouped(events, [], query_latency(), "P4", **kinds).select("queries", "rejections", rate.alias("rejection_rate"), "security_alerts", "p95_ms")
+    return grouped(flagged, [], query_latency(), "P4", **kinds).select("queries", "rejections", rate.alias("rejection_rate"), "security_alerts", "anomalies", "p95_ms")
 
 
-def per_day(events: DataFrame, day: Column) -> DataFrame:
+def per_day(flagged: DataFrame, day: Column) -> DataFrame:
+    """One row a day: anomalies are queries with flags, and the mean latency is cut to an integer, null without any."""
     q, r = count_if(is_type("query")), count_if(is_type("rejection"))
     mean = F.floor(F.avg(F.when(is_type("query"), F.col("response_time_ms"))))
-    return events.groupBy(day.alias("day")).agg(
+    return flagged.groupBy(day.alias("day")).agg(
         q.alias("queries"), r.alias("rejections"), count_if(is_type("security_alert")).alias("security_alerts"),
-        F.coalesce(mean, F.lit(0)).cast("long").alias("avg_latency_ms"), (r / F.greatest(q + r, F.lit(1))).alias("rejection_rate"),
+        count_if(is_type("query") & has_flags()).alias("anomalies"), mean.cast("long").alias("avg_latency_ms"),
+        (r / F.greatest(q + r, F.lit(1))).alias("rejection_rate"),
     )
 
 
+#: Offset of the local time of timestamps that name none, and of hours that are shown.
+LOCAL = "+08:00"
+
+
+def parsed_time(value: Column) -> Column:
+    """A timestamp from epoch seconds or ISO text, null for anything else; text without an offset is in LOCAL time."""
+    t = F.regexp_replace(value.cast("string"), r"(?U)^\s+|\s+$", "")
+    iso = t.rlike(r"^\d{4}-\d\d-\d\d([T ]\d\d:\d\d(:\d\d(\.\d{1,6})?)?(Z|[+-]\d\d:\d\d)?)?$")
+    whole = F.when(F.length(t) == 10, F.concat(t, F.lit("T00:00:00"))).otherwise(t)
+    zoned = F.when(whole.rlike(r"(Z|[+-]\d\d:\d\d)$"), whole).otherwise(F.concat(whole, F.lit(LOCAL)))
+    number = F.when(t.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), t.try_cast("double").try_cast("timestamp"))
+    return F.coalesce(number, F.when(iso, zoned.try_cast("timestamp")))
+
+
+def local_hour(ts: Column) -> Column:
+    return F.date_trunc("hour", F.from_utc_timestamp(ts, LOCAL))
+
+
 def latency_status(p95_ms: Column) -> Column:
     return (
         F.when(p95_ms.isNull(), "no_data").when(p95_ms <= 40_000, "normal").when(p95_ms <= 50_000, "watch")
@@ -75,15 +103,19 @@ def latency_status(p95_ms: Column) -> Column:
 
 
 def hourly_status(events: DataFrame, end: Column, hours: int = 24) -> DataFrame:
-    """(hour, queries, p95_ms, status) of the last hours up to the one of `end`, without gaps."""
-    last = F.date_trunc("hour", end)
-    base = events.agg(last.alias("last")).select(
+    """(hour, queries, p95_ms, status, latest) of the last hours up to the one of `end`, without gaps, in LOCAL time.
+
+    Only queries with a latency count. latest marks the newest hour that has any, or else the last one. `ts` is in UTC.
+    """
+    base = events.agg(local_hour(end).alias("last")).select(
         F.explode(F.sequence(F.col("last") - F.make_dt_interval(hours=F.lit(hours - 1)), F.col("last"), F.expr("interval 1 hour"))).alias("hour")
     )
-    queries = events.where(is_type("query")).withColumn("hour", F.date_trunc("hour", "ts"))
+    queries = events.where(is_type("query") & F.col("response_time_ms").isNotNull()).withColumn("hour", local_hour(F.col("ts")))
     seen = grouped(queries, ["hour"], F.col("response_time_ms"), "P3", queries=F.lit(1)).drop("measured")
-    out = base.join(seen, "hour", "left")
-    return out.select("hour", F.coalesce("queries", F.lit(0)).alias("queries"), "p95_ms", latency_status(F.col("p95_ms")).alias("status"))
+    out = base.join(seen, "hour", "left").select("hour", F.coalesce("queries", F.lit(0)).alias("queries"), "p95_ms")
+    # a window over `hours` rows
+    newest = F.coalesce(F.max(F.when(F.col("queries") > 0, F.col("hour"))).over(Window.partitionBy(F.lit(0))), F.max("hour").over(Window.partitionBy(F.lit(0))))
+    return out.select("*", latency_status(F.col("p95_ms")).alias("status"), (F.col("hour") == newest).alias("latest"))
 
 
 def safety_summary(events: DataFrame) -> DataFrame:
@@ -116,8 +148,29 @@ def danger_level(flags: Column | None = None) -> Column:
     )
 
 
-def search(events: DataFrame, limit: int = 100, danger_only: bool = False, text: str = "", columns: tuple[str, ...] = (), **exact) -> DataFrame:
-    """Events that meet all conditions, the latest first, at most 1000: equality on event_type, substring otherwise."""
+def danger_reason(flags: Column | None = None) -> Column:
+    flags = F.array().cast("array<string>") if flags is None else flags
+    said = lambda *names: F.coalesce(*[F.nullif(n, F.lit("")) for n in names])
+    return (
+        F.when(is_type("security_alert"), F.coalesce(said("threat_type", "reason"), F.lit("security alert")))
+        .when(is_type("auth_failure"), F.coalesce(said("reason"), F.lit("auth failure"))).when(F.size(flags) > 0, F.array_join(flags, ", "))
+        .when(is_type("query") & (F.col("response_time_ms") > SLOW_MS), F.concat(F.lit("latency "), F.col("response_time_ms"), F.lit(" ms"))).otherwise("")
+    )
+
+
+def search(
+    events: DataFrame, limit: int = 100, danger_only: bool = False, text: str = "", columns: tuple[str, ...] = (),
+    start: str = "", end: str = "", **exact,
+) -> DataFrame:
+    """Events that meet all conditions, the latest first, at most 1000: equality on event_type, substring otherwise.
+
+    An event without a readable timestamp is outside any bound. Timestamps are put in order as text.
+    """
+    at = parsed_time(F.col("timestamp"))
+    if start:
+        events = events.where(at >= parsed_time(F.lit(start)))
+    if end:
+        events = events.where(at <= parsed_time(F.lit(end)))
     for name, value in exact.items():
         events = events.where(F.col(name) == value if name == "event_type" else F.col(name).contains(value))
     if danger_only:
@@ -128,21 +181,31 @@ def search(events: DataFrame, limit: int = 100, danger_only: bool = False, text:
     return events.orderBy(F.desc("timestamp"), "log_file", "position").limit(max(1, min(limit, 1000)))
 
 
-def perf_signals(events: DataFrame, baseline_p95: float | None = None) -> DataFrame:
-    """One row: rates over queries and rejections, mean and p95 latency, and its change against a baseline in percent."""
-    late, q, r, tail = query_latency(), F.col("q"), F.col("r"), F.col("p95_ms")
-    delta = (tail - F.lit(baseline_p95)) / F.greatest(F.lit(baseline_p95), F.lit(1.0)) * 100 if baseline_p95 is not None else F.lit(None).cast("double")
+def perf_signals(events: DataFrame, baseline_ms: float | None = None) -> DataFrame:
+    """One row: rates over queries and rejections, mean and p95 latency, and the mean's change as a part of a baseline.
+
+    Citations are counted over the queries in scope; citation_count and scope_check are columns of events.
+    """
+    late, q, r, mean = query_latency(), F.col("q"), F.col("r"), F.try_divide("total_ms", "measured")
+    delta = F.when(mean != 0, (mean - F.lit(baseline_ms)) / F.greatest(F.lit(baseline_ms), F.lit(1.0))) if baseline_ms is not None else F.lit(None).cast("double")
+    inside = is_type("query") & (F.col("scope_check") == "in_scope")
     counts = grouped(
-        events, [], late, "P4", q=flag(is_type("query")), r=flag(is_type("rejection")), total_ms=late, events=F.lit(1),
-        retried=flag(is_type("query") & (F.col("retry_count") > 0)), alerts=flag(is_type("security_alert")),
+        events, [], late, "P4", q=flag(is_type("query")), r=flag(is_type("rejection")), total_ms=late, inside=flag(inside),
+        cited=flag(inside & (F.col("citation_count") > 0)), retried=flag(is_type("query") & (F.col("retry_count") > 0)), alerts=flag(is_type("security_alert")),
     )
+    part = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     return counts.select(
-        q.alias("queries"), F.coalesce(F.try_divide(r, q + r), F.lit(0.0)).alias("rejection_rate"), F.try_divide("total_ms", "measured").alias("avg_latency_ms"),
-        "p95_ms", delta.alias("p95_delta_pct"), F.coalesce(F.try_divide("retried", q), F.lit(0.0)).alias("retry_rate"),
-        F.coalesce(F.try_divide("alerts", "events"), F.lit(0.0)).alias("security_rate"),
+        q.alias("queries"), part(r, q + r).alias("rejection_rate"), mean.alias("avg_latency_ms"), "p95_ms", delta.alias("avg_latency_delta"),
+        part(F.col("cited"), F.col("inside")).alias("citation_rate"), part(F.col("retried"), q).alias("retry_rate"),
+        part(F.col("alerts"), q + r).alias("security_rate"),
     )
 
 
+def percent(rate: Column) -> Column:
+    """A rate in whole percent, halves to the even side."""
+    return F.concat(F.bround(rate * 100).cast("long"), F.lit("%"))
+
+
 def detector_flags(events: DataFrame) -> DataFrame:
     """events with anomaly_flags of the detector, which starts anew with each file.
 
@@ -156,7 +219,7 @@ def detector_flags(events: DataFrame) -> DataFrame:
     n = F.size(past)
     tail = F.get(past, F.least(F.floor(n * 95 / 100), n - 1).cast("int"))
     spike = F.col("q") & (n >= 5) & (tail > 0) & (F.col("response_time_ms") > SPIKE * tail)
-    rows = rows.withColumn("spike", F.coalesce(spike, F.lit(False)))
+    rows = rows.withColumns({"spike": F.coalesce(spike, F.lit(False)), "tail": tail})
     along = Window.partitionBy("log_file").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
     scopes = F.least(F.sum(F.col("scoped").cast("long")).over(along), F.lit(WINDOW))
     lately = Window.partitionBy("log_file", "scoped").orderBy("position").rowsBetween(1 - SCOPES, 0)
@@ -166,23 +229,34 @@ def detector_flags(events: DataFrame) -> DataFrame:
     alerts = F.sum(is_type("security_alert").cast("long")).over(along)
     surge = is_type("rejection") & (scopes + refused >= 10) & (refused / (scopes + refused) > SURGE)
     flags = F.array_compact(F.array(
-        F.when(F.col("spike"), "latency_spike"), F.when(surge | beyond, "rejection_surge"),
+        F.when(F.col("spike"), F.concat(F.lit("latency_spike:"), F.col("response_time_ms"), F.lit("ms>2×p95("), F.col("tail"), F.lit("ms)"))),
+        F.when(surge, F.concat(F.lit("rejection_surge:"), percent(refused / (scopes + refused)), F.lit("_last"), scopes + refused))
+        .when(beyond, F.concat(F.lit("rejection_surge:"), percent(outside), F.lit(f"_last{SCOPES}"))),
         F.when(is_type("query") & (F.col("retry_count") >= RETRIES), F.concat(F.lit("consecutive_retries:"), F.col("retry_count"))),
         F.when(is_type("security_alert") & (alerts >= BURST), "security_alert_burst"),
     ))
-    return rows.withColumn("anomaly_flags", flags).drop("q", "scoped", "spike")
+    return rows.withColumn("anomaly_flags", flags).drop("q", "scoped", "spike", "tail")
 
 
-def file_stats(events: DataFrame) -> DataFrame:
+def file_stats(flagged: DataFrame) -> DataFrame:
     """One row a log file. The rate is rejections over queries, null without queries; the mean is cut to an integer."""
     late = query_latency()
-    counts = grouped(events, ["log_file"], late, "P2", events=F.lit(1), queries=flag(is_type("query")), rejections=flag(is_type("rejection")), total_ms=late)
+    counts = grouped(
+        flagged, ["log_file"], late, "P2", events=F.lit(1), queries=flag(is_type("query")), rejections=flag(is_type("rejection")),
+        security_alerts=flag(is_type("security_alert")), anomalous=flag(has_flags()), total_ms=late,
+    )
     return counts.select(
-        "log_file", "events", "queries", "rejections", F.try_divide("rejections", "queries").alias("rejection_rate"),
+        "log_file", "events", "queries", "rejections", "security_alerts", "anomalous", F.try_divide("rejections", "queries").alias("rejection_rate"),
         F.floor(F.try_divide("total_ms", "measured")).cast("long").alias("avg_latency_ms"), "p95_ms",
     )
 
 
+def flag_counts(flagged: DataFrame) -> DataFrame:
+    """(log_file, kind, n): the flags of each kind in each file."""
+    kinds = flagged.select("log_file", F.explode("anomaly_flags").alias("flag"))
+    return kinds.groupBy("log_file", flag_kind(F.col("flag")).alias("kind")).agg(F.count("*").alias("n"))
+
+
 def days_rollup(stats: DataFrame) -> DataFrame:
     """Totals over file_stats; the latency is the mean of the daily means that are not 0."""
     return stats.agg(
@@ -202,16 +276,24 @@ def failure_runs(probes: DataFrame, threshold: int = 3, by: str = "series") -> D
 
 
 def availability(probes: DataFrame, tail: int = 3, by: str = "series") -> DataFrame:
-    """(series, probes, uptime_pct, recent_ok_pct, current_ok, hard_down): hard_down is three probes and a failed tail."""
+    """(series, probes, uptime_pct, recent_ok_pct, current_ok, last_ok, hard_down): last_ok is the position of the last
+    probe that succeeded, and hard_down is a tail of three probes or more that all failed."""
     latest = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("position")))
     rows = probes.withColumn("nth", latest)
     recent = F.avg(F.when(F.col("nth") <= tail, F.col("ok").cast("double"))) * 100
     return rows.groupBy(by).agg(
         F.count("*").alias("probes"), (F.avg(F.col("ok").cast("double")) * 100).alias("uptime_pct"), recent.alias("recent_ok_pct"),
-        F.bool_or(F.when(F.col("nth") == 1, F.col("ok"))).alias("current_ok"), ((F.count("*") >= 3) & (recent == 0)).alias("hard_down"),
+        F.bool_or(F.when(F.col("nth") == 1, F.col("ok"))).alias("current_ok"), F.max(F.when(F.col("ok"), F.col("position"))).alias("last_ok"),
+        ((F.least(F.count("*"), F.lit(tail)) >= 3) & (recent == 0)).alias("hard_down"),
     )
 
 
+def dependency_uptime(probes: DataFrame, by: str = "series") -> DataFrame:
+    """(series, dependency, probes, uptime_pct) of probes with a map per_dep from names to whether they answered."""
+    each = probes.select(by, F.explode("per_dep").alias("dependency", "up"))
+    return each.groupBy(by, "dependency").agg(F.count("*").alias("probes"), (F.avg(F.coalesce("up", F.lit(False)).cast("double")) * 100).alias("uptime_pct"))
+
+
 def latency_score(ms: Column) -> Column:
     s = ms / 1000
     return F.when(s <= 40, s / 40 * 25).when(s <= 60, 25 + (s - 40) / 20 * 50).when(s.isNotNull(), F.least(F.lit(100.0), 75 + (s - 60) / 40 * 25))
@@ -268,3 +350,80 @@ def alert_counts(alerts: DataFrame) -> DataFrame:
     """(severity, n): info, warning and critical always, other severities if they occur."""
     base = alerts.sparkSession.createDataFrame([("info",), ("warning",), ("critical",)], "severity string")
     return base.join(alerts.groupBy("severity").agg(F.count("*").alias("n")), "severity", "full").select("severity", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+# The severity of an alert by the kind of its flag; any other kind is info.
+FLAG_SEVERITY = {
+    "latency_spike": "warning", "rejection_surge": "warning", "security_alert_burst": "critical", "consecutive_retries": "info",
+    "stream_output_redacted": "warning",
+}
+
+
+def flag_alerts(flagged: DataFrame) -> DataFrame:
+    """An alert for each flag of each event: severity, title, message, dedup_key and what the event says."""
+    rows = flagged.withColumn("flag", F.explode("anomaly_flags")).withColumn("title", flag_kind(F.col("flag")))
+    severity = F.create_map(*[F.lit(x) for kv in FLAG_SEVERITY.items() for x in kv])
+    return rows.select(
+        F.coalesce(F.try_element_at(severity, F.col("title")), F.lit("info")).alias("severity"), F.lit("anomaly").alias("source"), "title",
+        F.concat(F.lit("audit anomaly: "), F.col("flag")).alias("message"),
+        F.concat_ws(":", F.lit("anomaly"), "title", F.coalesce("session_id", F.lit("?"))).alias("dedup_key"), "log_file", "position", "ts",
+    )
+
+
+def recent_alerts(alerts: DataFrame, since: Column, most: int = 50) -> DataFrame:
+    """The last alerts of the log (ts, position) from `since` on, the latest line first."""
+    return alerts.where(F.col("ts") >= since).orderBy(F.desc("position")).limit(most)
+
+
+def prompt_status(events: DataFrame, running: DataFrame) -> DataFrame:
+    """events with prompt_status: how a query's prompt compares with the running one (one row: available, baseline, hash)."""
+    one = F.broadcast(running.limit(1).select(
+        F.coalesce("available", F.lit(False)).alias("run_available"), F.coalesce("baseline", F.lit("")).alias("run_baseline"), F.coalesce("hash", F.lit("")).alias("run_hash")
+    ))
+    log, base = F.coalesce("prompt_version_hash", F.lit("")), F.coalesce("prompt_baseline", F.lit(""))
+    status = (
+        F.when(~is_type("query"), "not_applicable").when(~F.coalesce("run_available", F.lit(False)), "unavailable").when(log == "", "missing")
+        .when((log != F.col("run_hash")) | ((base != "") & (base != F.col("run_baseline"))), "mismatch").when(base == "", "match_legacy").otherwise("match")
+    )
+    return events.join(one, F.lit(True), "left").withColumn("prompt_status", status).drop("run_available", "run_baseline", "run_hash")
+
+
+def last_per_key(rows: DataFrame, key: str, order: Column, *columns: str) -> DataFrame:
+    """(key, columns): of each key the row that comes last in order, combined before the shuffle."""
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("last"))
+    return last.select(key, *[F.col(f"last.{c}").alias(c) for c in columns])
+
+
+def business_goal(reports: DataFrame, target: float = 0.9) -> DataFrame:
+    """reports (evaluated, hit_rate) with goal: met, not_met, or inconclusive without a rate or anything evaluated."""
+    hit = F.col("hit_rate")
+    goal = F.when(hit.isNull() | (F.coalesce("evaluated", F.lit(0)) == 0), "inconclusive").when(hit >= target, "met").otherwise("not_met")
+    return reports.withColumn("goal", goal)
+
+
+def operation_status(signals: DataFrame) -> DataFrame:
+    """signals (critical, warning: recent alerts of operation; security_alerts, anomalies, goal, severity) with the status
+    of operation, quality and service, and the worst of them; of equals the first counts."""
+    operation = (
+        F.when(F.col("critical") > 0, "critical").when((F.col("warning") > 0) | (F.col("security_alerts") > 0), "warning")
+        .when(F.col("anomalies") > 0, "watch").otherwise("ok")
+    )
+    quality = F.when(F.col("goal") == "met", "ok").when(F.col("goal") == "not_met", "warning").otherwise("watch")
+    service = F.when(F.col("severity").isin("watch", "warning", "critical"), F.col("severity")).when(F.col("severity") == "insufficient_data", "watch").otherwise("ok")
+    rank = lambda c: F.array_position(F.array(*[F.lit(x) for x in ("ok", "watch", "warning", "critical")]), c)
+    a, b, c = (rank(F.col(x)) for x in ("operation", "quality", "service"))
+    worst = F.when((a >= b) & (a >= c), "operation").when(b >= c, "quality").otherwise("service")
+    rows = signals.withColumns({"operation": operation, "quality": quality, "service": service}).withColumn("worst", worst)
+    return rows.withColumn("overall", F.when(F.col("worst") == "operation", F.col("operation")).when(F.col("worst") == "quality", F.col("quality")).otherwise(F.col("service")))
+
+
+def banner(critical: Column, warning: Column, health: Column) -> Column:
+    """State of the alert banner: a past critical alert counts as a warning once the service is healthy again."""
+    healthy = health.isin("normal", "insufficient_data")
+    return F.when((critical > 0) & ~healthy, "critical").when((critical > 0) | (warning > 0), "warning").otherwise("calm")
+
+
+def stale(generated_at: Column, now: Column, days: int) -> Column:
+    """Whether a report is more than so many whole days old; without a readable time it is."""
+    age = F.floor((F.unix_micros(now) - F.unix_micros(parsed_time(generated_at))) / 86_400_000_000)
+    return F.coalesce(age > days, F.lit(True))

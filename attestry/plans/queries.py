@@ -20,7 +20,8 @@ ORACLES: dict[str, str] = {}
 EVENTS = """
     ev AS (
         SELECT *, CAST(k % 8 AS VARCHAR) AS threat_type, CASE WHEN event_type = 'query' THEN v END AS response_time_ms,
-               k % 3 AS retry_count, CASE WHEN event_type = 'query' THEN 'in_scope' END AS scope_check
+               k % 3 AS retry_count, k % 4 AS citation_count,
+               CASE WHEN event_type = 'query' THEN CASE WHEN k % 9 < 5 THEN 'in_scope' ELSE 'out_of_scope' END END AS scope_check
         FROM (
             SELECT epoch_us(ts) * 1000 + event_id % 1000 AS position, ts, CAST(CAST(ts AS DATE) AS VARCHAR) AS log_file,
                    CAST(user_id AS VARCHAR) AS session_id,
@@ -48,7 +49,7 @@ def audit_view(events: DataFrame) -> DataFrame:
     query = F.col("event_type") == "query"
     return rows.withColumns({
         "threat_type": (F.col("k") % 8).cast("string"), "reason": F.lit(None).cast("string"), "response_time_ms": F.when(query, F.col("v")),
-        "retry_count": F.col("k") % 3, "scope_check": F.when(query, "in_scope"), "timestamp": F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
+        "retry_count": F.col("k") % 3, "citation_count": F.col("k") % 4, "scope_check": F.when(query, F.when(F.col("k") % 9 < 5, "in_scope").otherwise("out_of_scope")), "timestamp": F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
     }).drop("v")
 
 
@@ -71,26 +72,53 @@ def query(sql: str | None = None):
 P4 = "CASE WHEN count(response_time_ms) >= 5 THEN list_sort(list(response_time_ms) FILTER (response_time_ms IS NOT NULL))[count(response_time_ms) * 95 // 100 + 1] END"
 
 
-@query(f"""SELECT count(*) FILTER (event_type = 'query') AS queries, count(*) FILTER (event_type = 'rejection') AS rejections,
+FLAGS = """, w AS (
+        SELECT *, list(response_time_ms) OVER (PARTITION BY log_file, event_type = 'query' ORDER BY position ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING) AS past,
+               list(scope_check) OVER (PARTITION BY log_file, scope_check IS NOT NULL ORDER BY position ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS lately,
+               least(count(scope_check) OVER a, 50) AS scopes, least(count(*) FILTER (event_type = 'rejection') OVER a, 50) AS refused,
+               count(*) FILTER (event_type = 'security_alert') OVER a AS alerts
+        FROM ev WINDOW a AS (PARTITION BY log_file ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+    ), x AS (
+        SELECT *, list_sort(past)[least(len(past) * 95 // 100, len(past) - 1) + 1] AS p95, len(list_filter(lately, lambda x: x = 'out_of_scope')) / 10 AS outside FROM w
+    ), f AS (
+        SELECT *, concat_ws(',',
+            CASE WHEN event_type = 'query' AND len(past) >= 5 AND p95 > 0 AND response_time_ms > 2 * p95
+                 THEN 'latency_spike:' || response_time_ms || 'ms>2×p95(' || p95 || 'ms)' END,
+            CASE WHEN event_type = 'rejection' AND scopes + refused >= 10 AND refused / (scopes + refused) > 0.5
+                      THEN 'rejection_surge:' || CAST(round_even(refused / (scopes + refused) * 100, 0) AS BIGINT) || '%_last' || (scopes + refused)
+                 WHEN event_type = 'query' AND len(lately) = 10 AND outside > 0.5 THEN 'rejection_surge:' || CAST(round_even(outside * 100, 0) AS BIGINT) || '%_last10' END,
+            CASE WHEN event_type = 'query' AND retry_count >= 2 THEN 'consecutive_retries:' || retry_count END,
+            CASE WHEN event_type = 'security_alert' AND alerts >= 3 THEN 'security_alert_burst' END) AS flags
+        FROM x
+    )"""
+
+
+def flagged(spark, sf_dir):
+    return M.detector_flags(audit(spark, sf_dir))
+
+
+@query(f"""{FLAGS} SELECT count(*) FILTER (event_type = 'query') AS queries, count(*) FILTER (event_type = 'rejection') AS rejections,
     count(*) FILTER (event_type = 'rejection') / greatest(count(*) FILTER (event_type IN ('query', 'rejection')), 1) AS rejection_rate,
-    count(*) FILTER (event_type = 'security_alert') AS security_alerts, {P4} AS p95_ms FROM ev""")
+    count(*) FILTER (event_type = 'security_alert') AS security_alerts, count(*) FILTER (flags <> '') AS anomalies, {P4} AS p95_ms FROM f""")
 def a1_kpi(spark, sf_dir):
-    return M.kpi(audit(spark, sf_dir))
+    return M.kpi(flagged(spark, sf_dir))
 
 
-@query("""SELECT log_file AS day, count(*) FILTER (event_type = 'query') AS queries, count(*) FILTER (event_type = 'rejection') AS rejections,
-    count(*) FILTER (event_type = 'security_alert') AS security_alerts, CAST(coalesce(floor(avg(response_time_ms)), 0) AS BIGINT) AS avg_latency_ms,
+@query(f"""{FLAGS} SELECT log_file AS day, count(*) FILTER (event_type = 'query') AS queries, count(*) FILTER (event_type = 'rejection') AS rejections,
+    count(*) FILTER (event_type = 'security_alert') AS security_alerts, count(*) FILTER (event_type = 'query' AND flags <> '') AS anomalies,
+    CAST(floor(avg(response_time_ms)) AS BIGINT) AS avg_latency_ms,
     count(*) FILTER (event_type = 'rejection') / greatest(count(*) FILTER (event_type IN ('query', 'rejection')), 1) AS rejection_rate
-    FROM ev GROUP BY log_file""")
+    FROM f GROUP BY log_file""")
 def a2_per_day(spark, sf_dir):
-    return M.per_day(audit(spark, sf_dir), F.substring("timestamp", 1, 10))
+    return M.per_day(flagged(spark, sf_dir), F.substring("timestamp", 1, 10))
 
 
 @query("""SELECT CAST(h.hour AS VARCHAR) AS hour, coalesce(s.queries, 0) AS queries, s.p95_ms,
     CASE WHEN p95_ms IS NULL THEN 'no_data' WHEN p95_ms <= 40000 THEN 'normal' WHEN p95_ms <= 50000 THEN 'watch' WHEN p95_ms <= 60000 THEN 'warning' ELSE 'critical' END AS status
-    FROM (SELECT unnest(generate_series(date_trunc('hour', max(ts)) - INTERVAL 23 HOUR, date_trunc('hour', max(ts)), INTERVAL 1 HOUR)) AS hour FROM ev) h
-    LEFT JOIN (SELECT date_trunc('hour', ts) AS hour, count(*) AS queries, list_sort(list(response_time_ms))[(count(*) - 1) * 95 // 100 + 1] AS p95_ms
-               FROM ev WHERE event_type = 'query' GROUP BY 1) s USING (hour)""")
+    , hour = coalesce(max(hour) FILTER (s.queries > 0) OVER (), max(hour) OVER ()) AS latest
+    FROM (SELECT unnest(generate_series(date_trunc('hour', max(ts) + INTERVAL 8 HOUR) - INTERVAL 23 HOUR, date_trunc('hour', max(ts) + INTERVAL 8 HOUR), INTERVAL 1 HOUR)) AS hour FROM ev) h
+    LEFT JOIN (SELECT date_trunc('hour', ts + INTERVAL 8 HOUR) AS hour, count(*) AS queries, list_sort(list(response_time_ms))[(count(*) - 1) * 95 // 100 + 1] AS p95_ms
+               FROM ev WHERE event_type = 'query' AND response_time_ms IS NOT NULL GROUP BY 1) s USING (hour)""")
 def a3_hourly_status(spark, sf_dir):
     rows = M.hourly_status(audit(spark, sf_dir), F.max("ts"))
     return rows.withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH:mm:ss"))
@@ -102,66 +130,127 @@ def a5_safety_summary(spark, sf_dir):
     return M.safety_summary(audit(spark, sf_dir))
 
 
-FLAGS = """, w AS (
-        SELECT *, list(response_time_ms) OVER (PARTITION BY log_file, event_type = 'query' ORDER BY position ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING) AS past,
-               least(count(*) FILTER (event_type = 'query') OVER a, 50) AS scopes, least(count(*) FILTER (event_type = 'rejection') OVER a, 50) AS refused,
-               count(*) FILTER (event_type = 'security_alert') OVER a AS alerts
-        FROM ev WINDOW a AS (PARTITION BY log_file ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
-    ), f AS (
-        SELECT *, concat_ws(',',
-            CASE WHEN event_type = 'query' AND len(past) >= 5 AND list_sort(past)[least(len(past) * 95 // 100, len(past) - 1) + 1] > 0
-                      AND response_time_ms > 2 * list_sort(past)[least(len(past) * 95 // 100, len(past) - 1) + 1] THEN 'latency_spike' END,
-            CASE WHEN event_type = 'rejection' AND scopes + refused >= 10 AND refused / (scopes + refused) > 0.5 THEN 'rejection_surge' END,
-            CASE WHEN event_type = 'query' AND retry_count >= 2 THEN 'consecutive_retries:' || retry_count END,
-            CASE WHEN event_type = 'security_alert' AND alerts >= 3 THEN 'security_alert_burst' END) AS flags
-        FROM w
-    )"""
-
-
 @query(f"{FLAGS} SELECT position, flags FROM f WHERE flags <> ''")
 def w1_w5_detector_flags(spark, sf_dir):
-    rows = M.detector_flags(audit(spark, sf_dir)).where(F.size("anomaly_flags") > 0)
+    rows = flagged(spark, sf_dir).where(F.size("anomaly_flags") > 0)
     return rows.select("position", F.array_join("anomaly_flags", ",").alias("flags"))
 
 
 @query(f"""{FLAGS} SELECT split_part(flag, ':', 1) AS kind, count(*) AS n FROM (SELECT unnest(string_split(flags, ',')) AS flag FROM f WHERE flags <> '')
     GROUP BY 1""")
 def a6_anomaly_summary(spark, sf_dir):
-    return M.anomaly_summary(M.detector_flags(audit(spark, sf_dir)))
+    return M.anomaly_summary(flagged(spark, sf_dir))
 
 
-@query(f"""{FLAGS} SELECT event_type, CASE WHEN event_type = 'security_alert' THEN 'critical' WHEN flags <> '' THEN 'warning'
-    WHEN event_type = 'query' AND response_time_ms > 60000 THEN 'warning' ELSE 'normal' END AS danger_level, count(*) AS n FROM f GROUP BY 1, 2""")
+@query(f"""{FLAGS} SELECT event_type, CASE WHEN event_type = 'security_alert' THEN 'critical' WHEN contains(flags, 'security_alert_burst') THEN 'critical'
+    WHEN flags <> '' THEN 'warning' WHEN event_type = 'query' AND response_time_ms > 60000 THEN 'warning' ELSE 'normal' END AS danger_level, count(*) AS n FROM f GROUP BY 1, 2""")
 def a7_danger_histogram(spark, sf_dir):
-    rows = M.detector_flags(audit(spark, sf_dir)).withColumn("danger_level", M.danger_level(F.col("anomaly_flags")))
+    rows = flagged(spark, sf_dir).withColumn("danger_level", M.danger_level(F.col("anomaly_flags")))
     return rows.groupBy("event_type", "danger_level").agg(F.count("*").alias("n"))
 
 
-@query(f"""SELECT count(*) FILTER (event_type = 'query') AS queries,
-    count(*) FILTER (event_type = 'rejection') / count(*) FILTER (event_type IN ('query', 'rejection')) AS rejection_rate,
-    avg(response_time_ms) AS avg_latency_ms, {P4} AS p95_ms, ({P4} - 10000.0) / 10000.0 * 100 AS p95_delta_pct,
-    count(*) FILTER (event_type = 'query' AND retry_count > 0) / count(*) FILTER (event_type = 'query') AS retry_rate,
-    count(*) FILTER (event_type = 'security_alert') / count(*) AS security_rate FROM ev""")
+@query(f"""SELECT queries, r / (queries + r) AS rejection_rate, mean AS avg_latency_ms, p95_ms, (mean - 900.0) / greatest(900.0, 1.0) AS avg_latency_delta,
+    cited / inside AS citation_rate, retried / queries AS retry_rate, alerts / (queries + r) AS security_rate
+    FROM (SELECT count(*) FILTER (event_type = 'query') AS queries, count(*) FILTER (event_type = 'rejection') AS r, avg(response_time_ms) AS mean, {P4} AS p95_ms,
+        count(*) FILTER (scope_check = 'in_scope') AS inside, count(*) FILTER (scope_check = 'in_scope' AND citation_count > 0) AS cited,
+        count(*) FILTER (event_type = 'query' AND retry_count > 0) AS retried, count(*) FILTER (event_type = 'security_alert') AS alerts FROM ev)""")
 def a9_perf_signals(spark, sf_dir):
-    return M.perf_signals(audit(spark, sf_dir), 10_000.0)
+    return M.perf_signals(audit(spark, sf_dir), 900.0)
 
 
-FILES = """SELECT log_file, count(*) AS events, count(*) FILTER (event_type = 'query') AS queries, count(*) FILTER (event_type = 'rejection') AS rejections,
+FILES = f"""SELECT log_file, count(*) AS events, count(*) FILTER (event_type = 'query') AS queries, count(*) FILTER (event_type = 'rejection') AS rejections,
+    count(*) FILTER (event_type = 'security_alert') AS security_alerts, count(*) FILTER (flags <> '') AS anomalous,
     CASE WHEN count(*) FILTER (event_type = 'query') > 0 THEN count(*) FILTER (event_type = 'rejection') / count(*) FILTER (event_type = 'query') END AS rejection_rate,
     CAST(floor(avg(response_time_ms)) AS BIGINT) AS avg_latency_ms,
-    list_sort(list(response_time_ms) FILTER (response_time_ms IS NOT NULL))[count(response_time_ms) * 95 // 100 + 1] AS p95_ms FROM ev GROUP BY log_file"""
+    list_sort(list(response_time_ms) FILTER (response_time_ms IS NOT NULL))[count(response_time_ms) * 95 // 100 + 1] AS p95_ms FROM f GROUP BY log_file"""
 
 
-@query(FILES)
+@query(f"{FLAGS} {FILES}")
 def a10_file_stats(spark, sf_dir):
-    return M.file_stats(audit(spark, sf_dir))
+    return M.file_stats(flagged(spark, sf_dir))
+
+
+@query(f"""{FLAGS} SELECT log_file, split_part(flag, ':', 1) AS kind, count(*) AS n
+    FROM (SELECT log_file, unnest(string_split(flags, ',')) AS flag FROM f WHERE flags <> '') GROUP BY ALL""")
+def a11_flag_counts(spark, sf_dir):
+    return M.flag_counts(flagged(spark, sf_dir))
+
+
+@query(f"""{FLAGS} SELECT severity, title, dedup_key, count(*) AS n FROM (
+        SELECT split_part(flag, ':', 1) AS title, 'anomaly:' || split_part(flag, ':', 1) || ':' || session_id AS dedup_key,
+               CASE split_part(flag, ':', 1) WHEN 'latency_spike' THEN 'warning' WHEN 'rejection_surge' THEN 'warning' WHEN 'security_alert_burst' THEN 'critical' ELSE 'info' END AS severity
+        FROM (SELECT session_id, unnest(string_split(flags, ',')) AS flag FROM f WHERE flags <> '')) GROUP BY ALL""")
+def m19_flag_alerts(spark, sf_dir):
+    return M.flag_alerts(flagged(spark, sf_dir)).groupBy("severity", "title", "dedup_key").agg(F.count("*").alias("n"))
 
 
-@query(f"""SELECT count(*) AS days, CAST(sum(queries) AS BIGINT) AS queries, CAST(sum(rejections) AS BIGINT) AS rejections,
+@query(f"""{FLAGS} SELECT position, CASE WHEN event_type = 'security_alert' THEN threat_type WHEN flags <> '' THEN replace(flags, ',', ', ')
+    WHEN event_type = 'query' AND response_time_ms > 60000 THEN 'latency ' || response_time_ms || ' ms' ELSE '' END AS reason FROM f""")
+def f5_danger_reasons(spark, sf_dir):
+    return flagged(spark, sf_dir).select("position", M.danger_reason(F.col("anomaly_flags")).alias("reason"))
+
+
+@query("""SELECT position, ts, session_id FROM ev WHERE event_type = 'security_alert' AND ts >= (SELECT max(ts) FROM ev) - INTERVAL 5 DAY ORDER BY position DESC LIMIT 50""")
+def sc7_recent_alerts(spark, sf_dir):
+    rows = audit(spark, sf_dir)
+    last = F.broadcast(rows.agg(F.max("ts").alias("last")))
+    alerts = rows.where("event_type = 'security_alert'").crossJoin(last)
+    return M.recent_alerts(alerts, F.col("last") - F.expr("interval 5 days")).select("position", F.col("ts").cast("timestamp_ntz").alias("ts"), "session_id")
+
+
+@query("""SELECT position, CASE WHEN event_type <> 'query' THEN 'not_applicable' WHEN k % 7 = 0 THEN 'missing' WHEN k % 7 > 3 OR (k % 3 = 1) THEN 'mismatch'
+    WHEN k % 3 = 0 THEN 'match_legacy' ELSE 'match' END AS prompt_status FROM ev WHERE k IS NOT NULL""")
+def j9_prompt_status(spark, sf_dir):
+    k = F.col("k")
+    rows = audit(spark, sf_dir).where("k is not null").withColumns({
+        "prompt_version_hash": F.when(k % 7 == 0, "").when(k % 7 > 3, "old").otherwise("now"), "prompt_baseline": F.when(k % 3 == 1, "b1").when(k % 3 == 2, "b2"),
+    })
+    running = spark.createDataFrame([(True, "b2", "now")], "available boolean, baseline string, hash string")
+    return M.prompt_status(rows, running).select("position", "prompt_status")
+
+
+@query("""SELECT session_id, arg_max(k, position) AS k, arg_max(event_type, position) AS event_type FROM ev GROUP BY session_id""")
+def w9_last_per_session(spark, sf_dir):
+    return M.last_per_key(audit(spark, sf_dir), "session_id", F.col("position"), "k", "event_type")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 3 THEN NULL WHEN event_id % 5 = 2 THEN epoch_us(ts) // 1000000 - 28800 ELSE epoch_us(ts) // 1000000 END AS seconds FROM events""")
+def t1_parsed_times(spark, sf_dir):
+    """Times with an offset, with Z, without any, as epoch seconds, and unreadable ones."""
+    rows = table(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    form = F.col("event_id") % 5
+    text = (
+        F.when(form == 0, F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(form == 1, F.concat(F.date_format(F.from_utc_timestamp("at", "+08:00"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+08:00")))
+        .when(form == 2, F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss")).when(form == 3, F.lit("not a time")).otherwise(F.unix_seconds("at").cast("string"))
+    )
+    return rows.select("event_id", F.unix_seconds(M.parsed_time(text)).alias("seconds"))
+
+
+@query("""SELECT session_id AS id, goal, operation, quality, service, overall, CASE WHEN ra >= rb AND ra >= rc THEN 'operation' WHEN rb >= rc THEN 'quality' ELSE 'service' END AS worst FROM (
+    SELECT *, list_position(l, operation) AS ra, list_position(l, quality) AS rb, list_position(l, service) AS rc,
+           l[greatest(list_position(l, operation), list_position(l, quality), list_position(l, service))] AS overall FROM (
+        SELECT *, ['ok', 'watch', 'warning', 'critical'] AS l,
+            CASE WHEN n % 11 = 0 THEN 'critical' WHEN n % 5 = 0 OR alerts > 2 THEN 'warning' WHEN n % 3 = 0 THEN 'watch' ELSE 'ok' END AS operation,
+            CASE goal WHEN 'met' THEN 'ok' WHEN 'not_met' THEN 'warning' ELSE 'watch' END AS quality,
+            CASE n % 6 WHEN 0 THEN 'watch' WHEN 1 THEN 'warning' WHEN 2 THEN 'critical' WHEN 3 THEN 'watch' ELSE 'ok' END AS service FROM (
+            SELECT session_id, count(*) AS n, count(*) FILTER (event_type = 'security_alert') AS alerts,
+                CASE WHEN count(*) % 4 = 0 OR count(*) % 7 = 0 THEN 'inconclusive' WHEN count(*) % 9 / 8 >= 0.9 THEN 'met' ELSE 'not_met' END AS goal FROM ev GROUP BY session_id)))""")
+def m14_m15_status(spark, sf_dir):
+    n = F.col("n")
+    rows = audit(spark, sf_dir).groupBy(F.col("session_id").alias("id")).agg(F.count("*").alias("n"), F.count(F.when(F.col("event_type") == "security_alert", 1)).alias("alerts"))
+    rows = M.business_goal(rows.withColumns({"evaluated": F.when(n % 4 == 0, 0).otherwise(n), "hit_rate": F.when(n % 7 != 0, n % 9 / 8)}))
+    rows = rows.withColumns({
+        "critical": (n % 11 == 0).cast("int"), "warning": (n % 5 == 0).cast("int"), "security_alerts": F.greatest(F.lit(0), F.col("alerts") - 2),
+        "anomalies": (n % 3 == 0).cast("int"), "severity": F.element_at(F.array(*[F.lit(x) for x in ("watch", "warning", "critical", "insufficient_data", "normal", "normal")]), (n % 6 + 1).cast("int")),
+    })
+    return M.operation_status(rows).select("id", "goal", "operation", "quality", "service", "overall", "worst")
+
+
+@query(f"""{FLAGS} SELECT count(*) AS days, CAST(sum(queries) AS BIGINT) AS queries, CAST(sum(rejections) AS BIGINT) AS rejections,
     CAST(floor(avg(avg_latency_ms) FILTER (avg_latency_ms > 0)) AS BIGINT) AS avg_daily_latency_ms, sum(rejections) / sum(queries) AS rejection_rate
     FROM ({FILES})""")
 def a12_days_rollup(spark, sf_dir):
-    return M.days_rollup(M.file_stats(audit(spark, sf_dir)))
+    return M.days_rollup(M.file_stats(flagged(spark, sf_dir)))
 
 
 @query("""SELECT position, session_id, event_type FROM ev WHERE event_type = 'security_alert' AND contains(session_id, '1')
@@ -187,12 +276,21 @@ def w7_failure_runs(spark, sf_dir):
 
 
 @query(f"""SELECT series, count(*) AS probes, avg(CAST(ok AS DOUBLE)) * 100 AS uptime_pct, avg(CAST(ok AS DOUBLE)) FILTER (nth <= 3) * 100 AS recent_ok_pct,
-    bool_or(ok) FILTER (nth = 1) AS current_ok, count(*) >= 3 AND avg(CAST(ok AS DOUBLE)) FILTER (nth <= 3) = 0 AS hard_down
+    bool_or(ok) FILTER (nth = 1) AS current_ok, max(position) FILTER (ok) AS last_ok, count(*) >= 3 AND avg(CAST(ok AS DOUBLE)) FILTER (nth <= 3) = 0 AS hard_down
     FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY position DESC) AS nth FROM ({PROBES})) GROUP BY series""")
 def a21_availability(spark, sf_dir):
     return M.availability(probes(spark, sf_dir))
 
 
+@query("""SELECT series, dependency, count(*) AS probes, avg(CAST(coalesce(up, FALSE) AS DOUBLE)) * 100 AS uptime_pct FROM (
+        SELECT session_id AS series, 'db' AS dependency, k % 2 = 0 AS up FROM ev UNION ALL SELECT session_id, 'model', k % 3 = 0 FROM ev WHERE k % 5 <> 0) GROUP BY ALL""")
+def c2_dependency_uptime(spark, sf_dir):
+    k = F.col("k")
+    both = F.create_map(F.lit("db"), k % 2 == 0, F.lit("model"), k % 3 == 0)
+    rows = audit(spark, sf_dir).select(F.col("session_id").alias("series"), F.when(k % 5 != 0, both).otherwise(F.create_map(F.lit("db"), k % 2 == 0)).alias("per_dep"))
+    return M.dependency_uptime(rows)
+
+
 LEVELS = """SELECT session_id AS series, position, k % 3 AS level FROM ev"""
 
 
@@ -229,7 +327,7 @@ def a22_alert_counts(spark, sf_dir):
         FROM ev GROUP BY log_file HAVING count(*) FILTER (event_type = 'query') >= 30))""")
 def m13_health(spark, sf_dir):
     none = F.lit(None)
-    stats = M.file_stats(audit(spark, sf_dir)).where("queries >= 30").select(
+    stats = M.file_stats(flagged(spark, sf_dir)).where("queries >= 30").select(
         "log_file", (F.col("p95_ms") * 4).alias("p95_ms"), "queries", none.cast("double").alias("faithfulness"), none.cast("double").alias("uptime_pct"),
         none.cast("double").alias("recent_ok_pct"), F.lit(False).alias("hard_down"), F.lit(False).alias("chain_broken"),
     )
@@ -366,12 +464,33 @@ def h1_content_hash(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("content_hash"), F.length("text").cast("long").alias("n"))
 
 
-@query()
-def h2_h3_hash_chain(spark, sf_dir):
+def chains(spark, sf_dir):
+    """Chained logs; in two of three files a line of the finished chain is changed: its record, or its link."""
     rows = audit(spark, sf_dir)
     line = F.row_number().over(M.Window.partitionBy("log_file").orderBy("position")).cast("long")
     body = F.to_json(F.struct("event_type", "session_id", "timestamp", "response_time_ms"))
-    return I.verified(I.chained(rows.select("log_file", line.alias("line_no"), body.alias("body"))))
+    chain = I.chained(rows.select("log_file", line.alias("line_no"), body.alias("body")))
+    kind = F.dayofmonth(F.to_date("log_file")) % 3
+    return chain.withColumns({
+        "body": F.when((kind == 1) & (F.col("line_no") == 5), '{"event_type": "other"}').otherwise(F.col("body")),
+        "prev_hash": F.when((kind == 2) & (F.col("line_no") == 7), "0").otherwise(F.col("prev_hash")),
+    })
+
+
+@query("""SELECT log_file, bad IS NULL AS valid, bad AS broken_at, CASE WHEN bad IS NOT NULL THEN CASE kind WHEN 1 THEN 'entry_hash mismatch' ELSE 'prev_hash mismatch' END END AS reason,
+    coalesce(bad, n) AS total FROM (SELECT *, CASE WHEN kind = 1 AND n >= 5 THEN 5 WHEN kind = 2 AND n >= 7 THEN 7 END AS bad
+        FROM (SELECT log_file, day(CAST(log_file AS DATE)) % 3 AS kind, count(*) AS n FROM ev GROUP BY log_file))""")
+def h2_h3_hash_chain(spark, sf_dir):
+    return I.verified(chains(spark, sf_dir))
+
+
+@query("""SELECT count(*) AS files, count(*) FILTER (kind = 1 AND n >= 5 OR kind = 2 AND n >= 7) AS broken,
+    CASE WHEN count(*) FILTER (kind = 1 AND n >= 5 OR kind = 2 AND n >= 7) > 0 THEN 'broken' ELSE 'intact' END AS state
+    FROM (SELECT log_file, day(CAST(log_file AS DATE)) % 3 AS kind, count(*) AS n FROM ev GROUP BY log_file)
+    WHERE log_file IN (SELECT DISTINCT log_file FROM ev ORDER BY log_file DESC LIMIT 2)""")
+def h5_integrity_state(spark, sf_dir):
+    days = audit(spark, sf_dir).select("log_file").distinct().orderBy(F.desc("log_file")).limit(2)
+    return I.integrity_state(I.verified(chains(spark, sf_dir)), days)
 
 
 COSINE = """SELECT q.vec_id AS query_id, v.vec_id, v.label, round(list_sum(list_transform(list_zip(q.e, v.e), lambda x: x[1] * x[2])) / (q.n * v.n), 9) AS score
