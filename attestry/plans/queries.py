@@ -527,14 +527,17 @@ def w13_interleave(spark, sf_dir):
     return R.interleave(hits, ["query_id"]).select("query_id", "vec_id", "place")
 
 
-@query("""WITH t AS (SELECT doc_id, len(w) AS len, unnest(w) AS token FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents)),
+BM25 = """t AS (SELECT doc_id, len(w) AS len, unnest(w) AS token FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents)),
     size AS (SELECT count(*) AS n, avg(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))) AS m FROM documents),
     tf AS (SELECT doc_id, len, token, count(*) AS tf FROM t GROUP BY ALL),
     raw AS (SELECT token, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM tf, size GROUP BY token, n),
     df AS (SELECT token, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM raw) ELSE idf END AS idf FROM raw),
     q AS (SELECT item_id, token, count(*) AS times FROM (SELECT item_id, unnest(regexp_split_to_array(text, '\\s+')) AS token FROM benchmark) WHERE token <> '' GROUP BY ALL),
-    s AS (SELECT item_id AS query_id, doc_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / m))) AS score FROM q JOIN tf USING (token) JOIN df USING (token), size GROUP BY 1, 2)
-    SELECT query_id, doc_id, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM s) WHERE rank <= 10""")
+    s AS (SELECT item_id AS query_id, doc_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / m))) AS score FROM q JOIN tf USING (token) JOIN df USING (token), size GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {BM25} SELECT query_id, doc_id, CAST(rank AS INT) AS rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM s) WHERE rank <= 10""")
 def r7_bm25(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
@@ -553,10 +556,16 @@ def w12_first_of_each(spark, sf_dir):
     return R.first_of_each(docs, F.col("text"), ["source"]).select("doc_id")
 
 
-@query("""SELECT v.vec_id % 100 AS doc_id, v.label, count(*) AS chunks FROM embeddings v JOIN documents d ON d.doc_id = v.vec_id % 100 GROUP BY ALL""")
+@query("""SELECT query_id, pos, sha256(text) AS text_sha256 FROM (
+        SELECT v.label AS query_id, v.vec_id AS pos, coalesce(d.text, 'chunk') AS text, row_number() OVER (PARTITION BY v.label, v.vec_id % 90 ORDER BY v.vec_id) AS nth
+        FROM embeddings v LEFT JOIN documents d ON d.doc_id = v.vec_id % 90 AND d.doc_id % 2 = 0 WHERE v.vec_id % 5 > 0) WHERE nth = 1
+    UNION ALL SELECT label, vec_id, sha256('chunk') FROM embeddings WHERE vec_id % 5 = 0""")
 def j1_parents(spark, sf_dir):
-    chunks = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 100).alias("doc_id"), "label")
-    return chunks.join(table(spark, sf_dir, "documents").select("doc_id"), "doc_id").groupBy("doc_id", "label").agg(F.count("*").alias("chunks"))
+    """Chunks and their parents: some chunks name no document, and some documents are missing."""
+    v = F.col("vec_id")
+    chunks = table(spark, sf_dir, "embeddings").select(F.col("label").alias("query_id"), v.alias("pos"), F.when(v % 5 > 0, v % 90).alias("doc_id"), F.lit("chunk").alias("text"))
+    found = R.parents(chunks, table(spark, sf_dir, "documents").where("doc_id % 2 = 0"), ["query_id"])
+    return found.select("query_id", "pos", F.sha2("text", 256).alias("text_sha256"))
 
 
 @query("""SELECT category, difficulty, count(*) AS n FROM (SELECT lang AS category, source AS difficulty FROM documents) GROUP BY GROUPING SETS ((category), (difficulty))""")
@@ -603,10 +612,20 @@ def x12_reported_missing(spark, sf_dir):
     return rows.select("doc_id", F.get(A.reported_missing(F.col("answer")), F.lit(0)).cast("long").alias("missing"))
 
 
-@query("""SELECT page_id, CASE WHEN host = '' THEN NULL ELSE host END AS host FROM (SELECT page_id, lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS host FROM pages)""")
+@query("""SELECT page_id, 0 AS n, lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS raw, 'name' AS kind, 'public' AS category FROM pages WHERE regexp_matches(url, '^https?://[^/:?#]+')
+    UNION ALL SELECT page_id, 1, h[1], h[2], h[3] FROM (SELECT page_id, CASE page_id % 8 WHEN 0 THEN ['2130706433', 'ip', 'loopback'] WHEN 1 THEN ['0x7f000001', 'ip', 'loopback'] WHEN 2 THEN ['127.1', 'ip', 'loopback']
+        WHEN 3 THEN ['::1', 'ip', 'loopback'] WHEN 4 THEN ['10.0.0.' || (page_id % 200), 'ip', 'private'] WHEN 5 THEN ['169.254.169.254', 'ip', 'metadata'] WHEN 6 THEN ['8.8.8.8', 'ip', 'public']
+        ELSE ['169.254.1.' || (page_id % 200), 'ip', 'link_local'] END AS h FROM pages WHERE regexp_matches(url, '^https?://[^/:?#]+'))""")
 def x5_hosts(spark, sf_dir):
-    found = H.hosts(F.col("url"))
-    return table(spark, sf_dir, "pages").select("page_id", F.get(found, F.lit(0))["raw"].alias("host"))
+    """The host of each page's address, and of a second one that is written as a number, in hexadecimal, short or as IPv6."""
+    i = F.col("page_id")
+    forms = ("2130706433", "0x7f000001", "127.1", "[::1]", None, "169.254.169.254", "8.8.8.8", None)
+    other = F.element_at(F.array(*[F.lit(x) for x in forms]), (i % 8 + 1).cast("int"))
+    other = F.coalesce(other, F.concat(F.when(i % 8 == 4, "10.0.0.").otherwise("169.254.1."), i % 200))
+    found = table(spark, sf_dir, "pages").where(r"url rlike '^https?://[^/:?#]+'").select(
+        "page_id", F.posexplode(H.hosts(F.concat("url", F.lit(" and HTTP://"), other, F.lit(":8080/x")))).alias("n", "h")
+    )
+    return found.select("page_id", "n", "h.raw", "h.kind", "h.category")
 
 
 @query("""SELECT item_id AS event_id, doc_id AS chat_id, CAST(place AS INT) AS place FROM (
