@@ -11,7 +11,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -190,8 +189,8 @@ def contaminated(
     An item's question is the first half of its words, its answer the rest; a passage repeats it if it reaches SCORE of
     the item's score and OVERLAP of the word grams of both. An item of fewer than 2 * GRAM words is repeated by its whole
     run of words only, even by a single word. Whole texts are searched, A-Z lower-cased. Null or blank
-    texts and items match nothing. Of rows that repeat doc_id and text, or items that repeat item_id, the best match
-    is kept. An empty table gives an empty result. Other columns are ignored.
+    texts and items match nothing; null ids are ids. Of rows that repeat doc_id and text, or items that repeat item_id,
+    the best match is kept. An empty table gives an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -227,7 +226,7 @@ def contaminated(
         hits = rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
             run, f"doc_id {kinds[0]}, text_hash long, item_no long, word_start long, score double, question_overlap double, answer_overlap double"
         )
-        names = spark.createDataFrame(pd.DataFrame({"item_no": pd.array(range(len(index.ids)), "int64"), "item_id": index.ids}), f"item_no long, item_id {kinds[1]}")
+        names = spark.createDataFrame(list(enumerate(index.ids)), f"item_no long, item_id {kinds[1]}")
         hits = keep(hits.join(F.broadcast(names), "item_no"), "hits")
         out = out.unionByName(hits)
     best = F.max(F.struct("score", -F.col("word_start"), "question_overlap", "answer_overlap")).alias("m")

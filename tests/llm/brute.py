@@ -209,9 +209,12 @@ def toxic_features(text, restored):
     return out
 
 
-def toxicity(rows, labels, restored, prior_rows):
-    """[(evidence, label or None)] of each row: log-odds of features over the labelled rows that are not held out."""
-    features = [toxic_features(t, r) for (_, t), r in zip(rows, restored, strict=True)]
+def toxicity(rows, labels, restored, prior_rows, bucket):
+    """[(evidence, label or None)] of each row: log-odds of features over the labelled rows that are not held out.
+
+    Features that fall into the same bucket are one.
+    """
+    features = [{bucket(*x) for x in toxic_features(t, r)} for (_, t), r in zip(rows, restored, strict=True)]
     y = [None if i is None or held(i, 5, 0) else labels.get(i) for i, _ in rows]
     n = [sum(v == c for v in y) for c in (0, 1)]
     prior = (n[1] + 0.5) / (sum(n) + 1)
