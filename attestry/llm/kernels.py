@@ -41,7 +41,7 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def text_parts(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def text_parts(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about `most` bytes of text, a document at least; every row is in one slice."""
     n = batch.num_rows
     if not n:

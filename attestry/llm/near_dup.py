@@ -112,7 +112,7 @@ def frequent_shingles(rows: DataFrame, k: int, total: int) -> np.ndarray:
             for batch in text_parts(whole):
                 t = packed_sets(batch.column("text"), k)[2]
                 held, size = [*held, t], size + len(t)
-                if size > 2_000_000:
+                if size > 1_000_000:
                     yield flush()
                     held, size = [], 0
         if size:

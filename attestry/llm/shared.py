@@ -39,7 +39,7 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bound_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+def bound_batches(spark: SparkSession, most: int = 2 << 20) -> None:
     """Lets Arrow batches to Python hold `most` bytes of rows, so that memory does not grow with the length of texts."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(name).removesuffix("b")) > most:
