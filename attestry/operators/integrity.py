@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import StringType
 
+from ..streaming.fold import in_order
+
 GENESIS = "0" * 64
 
 
@@ -17,21 +19,24 @@ def canonical(record: dict) -> str:
     return json.dumps(record, ensure_ascii=False, sort_keys=True)
 
 
-def chained(records: DataFrame) -> DataFrame:
+def chained(records: DataFrame, last: DataFrame | None = None) -> DataFrame:
     """(log_file, line_no, body, prev_hash, entry_hash): each record hashed with the one before, by file.
 
-    Each hash needs the one before, so a file is one task; a file is a day of one service.
+    `last` (log_file, entry_hash) has the ends of chains that are gone on with; other files begin with GENESIS. Each hash
+    needs the one before, so a file is written by one task, which holds one hash; a file is a day of one service.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, prev, out = pdf.sort_values("line_no"), GENESIS, []
-        for body in pdf["body"]:
-            entry = hashlib.sha256((prev + canonical(json.loads(body))).encode()).hexdigest()
-            out.append((prev, entry))
-            prev = entry
-        return pdf.assign(prev_hash=[a for a, _ in out], entry_hash=[b for _, b in out])
-
-    return records.groupBy("log_file").applyInPandas(run, "log_file string, line_no long, body string, prev_hash string, entry_hash string")
+    def step(prev: str | None, row: tuple) -> tuple[str, list[tuple]]:
+        prev = prev or row.before
+        entry = hashlib.sha256((prev + canonical(json.loads(row.body))).encode()).hexdigest()
+        return entry, [(row.log_file, row.line_no, row.body, prev, entry)]
+
+    rows = records.select("log_file", "line_no", "body")
+    if last is None:
+        rows = rows.withColumn("before", F.lit(GENESIS))
+    else:
+        rows = rows.join(last.select("log_file", F.col("entry_hash").alias("before")), "log_file", "left").fillna(GENESIS, ["before"])
+    return in_order(rows, "log_file", "line_no", step, "log_file string, line_no long, body string, prev_hash string, entry_hash string")
 
 
 @F.pandas_udf(StringType())

@@ -329,16 +329,6 @@ def health(signals: DataFrame, least_queries: int = 30) -> DataFrame:
     return signals.withColumn("score", F.coalesce(top, F.lit(0.0))).withColumn("severity", severity)
 
 
-def confirmed_escalations(history: DataFrame, windows: int = 2, by: str = "series") -> DataFrame:
-    """Windows at which a level has held for `windows` windows in a row and lies above the level held before the run."""
-    along = Window.partitionBy(by).orderBy("position")
-    rows = history.withColumn("new", (~F.lag("level").over(along).eqNullSafe(F.col("level"))).cast("long"))
-    rows = rows.withColumn("before", F.lag("level", 1, 0).over(along)).withColumn("run", F.sum("new").over(along))
-    inside = Window.partitionBy(by, "run").orderBy("position")
-    rows = rows.withColumn("held", F.row_number().over(inside)).withColumn("from_level", F.first("before").over(inside))
-    return rows.where((F.col("held") == windows) & (F.col("level") > F.col("from_level"))).drop("new", "before", "run", "held")
-
-
 def admitted(requests: DataFrame, limit: int = 60) -> DataFrame:
     """requests with nth (its place in its key's minute) and admitted: at most `limit` a key and calendar minute."""
     minute = F.date_trunc("minute", "ts")

@@ -63,7 +63,7 @@ def query(sql: str | None = None):
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = f"WITH {EVENTS.strip()} {sql}" if sql.lstrip().startswith((",", "SELECT")) and " ev" in sql else sql
+            ORACLES[f.__name__] = f"WITH RECURSIVE {EVENTS.strip()} {sql}" if sql.lstrip().startswith((",", "SELECT")) and " ev" in sql else sql
         return f
 
     return add
@@ -294,15 +294,19 @@ def c2_dependency_uptime(spark, sf_dir):
 LEVELS = """SELECT session_id AS series, position, k % 3 AS level FROM ev"""
 
 
-@query(f"""SELECT series, position, level, from_level FROM (
-    SELECT *, row_number() OVER i AS held, first_value(before) OVER i AS from_level FROM (
-        SELECT *, sum(new) OVER (PARTITION BY series ORDER BY position) AS run FROM (
-            SELECT *, CAST(lag(level) OVER s IS DISTINCT FROM level AS INT) AS new, coalesce(lag(level) OVER s, 0) AS before FROM ({LEVELS})
-            WINDOW s AS (PARTITION BY series ORDER BY position)))
-    WINDOW i AS (PARTITION BY series, run ORDER BY position)) WHERE held = 2 AND level > from_level""")
+@query(f""", l AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY position) AS n FROM ({LEVELS})),
+    s(series, n, position, level, alerted, pending, seen, from_level) AS (
+        SELECT DISTINCT series, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS BIGINT) FROM l
+        UNION ALL SELECT l.series, l.n, l.position, l.level, CASE WHEN l.level < alerted OR pending = l.level AND seen = 1 THEN l.level ELSE alerted END,
+            CASE WHEN l.level > alerted AND NOT coalesce(pending = l.level AND seen = 1, FALSE) THEN l.level END,
+            CASE WHEN l.level > alerted AND NOT coalesce(pending = l.level AND seen = 1, FALSE) THEN 1 ELSE 0 END,
+            CASE WHEN l.level > alerted AND pending = l.level AND seen = 1 THEN alerted END
+        FROM s JOIN l ON l.series = s.series AND l.n = s.n + 1)
+    SELECT series, position, level, from_level FROM s WHERE from_level IS NOT NULL""")
 def w11_escalations(spark, sf_dir):
-    rows = audit(spark, sf_dir).select(F.col("session_id").alias("series"), "position", (F.col("k") % 3).alias("level"))
-    return M.confirmed_escalations(rows).select("series", "position", "level", F.col("from_level").cast("long").alias("from_level"))
+    from ..streaming.jobs import escalations_batch
+
+    return escalations_batch(audit(spark, sf_dir).select(F.col("session_id").alias("series"), "position", (F.col("k") % 3).alias("level")))
 
 
 @query("""SELECT position, nth, nth <= 2 AS admitted FROM (
@@ -574,12 +578,24 @@ def a20_breakdown(spark, sf_dir):
     return docs.groupingSets([["category"], ["difficulty"]], "category", "difficulty").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(""", a AS (SELECT session_id AS dedup_key, ts FROM ev WHERE event_type = 'security_alert'),
+    s AS (SELECT dedup_key, min(ts) AS ts FROM a GROUP BY dedup_key
+        UNION ALL SELECT s.dedup_key, min(a.ts) FROM s JOIN a ON a.dedup_key = s.dedup_key AND a.ts >= s.ts + INTERVAL 3 DAY GROUP BY s.dedup_key)
+    SELECT dedup_key, ts FROM s""")
 def s2_suppression(spark, sf_dir):
     from ..streaming.jobs import suppressed_batch
 
     alerts = audit(spark, sf_dir).where("event_type = 'security_alert'").select(F.col("session_id").alias("dedup_key"), "ts")
-    return suppressed_batch(alerts)
+    return suppressed_batch(alerts, 3 * 86_400.0).select("dedup_key", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN size <= 4 OR start IS NULL OR turn >= start THEN 'recent' ELSE 'history' END AS part FROM (
+        SELECT *, min(turn) FILTER (used <= 300 AND role = 'user') OVER (PARTITION BY conv_id) AS start FROM (
+            SELECT conv_id, turn, role, count(*) OVER (PARTITION BY conv_id) AS size,
+                   sum(length(text) // 4) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS used FROM conversations))""")
+def s10_compressed_history(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("n"), "role", "text")
+    return R.compressed_history(rows, 4, 300).select(F.col("session_id").alias("conv_id"), F.col("n").alias("turn"), "part")
 
 
 # answers that the table of documents stands in for: a cited article a, a reported gap m, evidence e and f

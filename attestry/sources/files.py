@@ -90,3 +90,15 @@ def folder_snapshot(spark: SparkSession, folder: str, suffixes: tuple[str, ...]
 
 def newest_documents(snapshot: DataFrame) -> DataFrame:
     return snapshot.select(F.element_at(F.split("path", "/"), -1).alias("name"), "size", "modified").orderBy(F.desc("modified"), "name")
+
+
+def reports(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, kind, generated_at, hit_rate, n) of the JSON reports of a folder, the newest first; unreadable ones are left out."""
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.json").select(F.col("_metadata.file_name").alias("file"), "value")
+    field = lambda name: F.get_json_object("value", f"$.{name}")
+    kind = F.when(F.col("file").startswith("vv_report"), "vv").when(F.col("file").contains("ragas"), "ragas").otherwise("other")
+    n = F.nullif(F.json_array_length(field("per_query")), F.lit(0))
+    rows = files.where(F.try_parse_json("value").isNotNull()).select(
+        "file", kind.alias("kind"), F.coalesce(field("generated_at"), F.lit("")).alias("generated_at"), field("hit_rate").try_cast("double").alias("hit_rate"), n.alias("n")
+    )
+    return rows.orderBy(F.desc("generated_at"), "file")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..operators.integrity import chained
 
 
 def append_audit(events: DataFrame, path: str) -> None:
@@ -10,17 +13,52 @@ def append_audit(events: DataFrame, path: str) -> None:
     events.withColumn("log_date", F.substring("timestamp", 1, 10)).write.mode("append").partitionBy("log_date").parquet(path)
 
 
+def append_chained(records: DataFrame, path: str) -> None:
+    """Appends records (log_file, line_no, body) to chained logs: a file that is there already is gone on with from its
+    last hash, and lines are numbered after its last line. One writer at a time."""
+    spark = records.sparkSession
+    try:
+        old = spark.read.parquet(path).select("log_file", "line_no", "entry_hash")
+    except AnalysisException:  # nothing has been written yet
+        old = spark.createDataFrame([], "log_file string, line_no long, entry_hash string")
+    last = old.groupBy("log_file").agg(F.max("line_no").alias("lines"), F.max_by("entry_hash", "line_no").alias("entry_hash"))
+    rows = records.join(last.select("log_file", "lines"), "log_file", "left").withColumn("line_no", F.col("line_no") + F.coalesce("lines", F.lit(0)))
+    chained(rows, last).write.mode("append").parquet(path)
+
+
+def insert_messages(messages: DataFrame, path: str) -> None:
+    messages.write.mode("append").parquet(path)
+
+
+def index_documents(parents: DataFrame, chunks: DataFrame, folder: str, rebuild: bool = False) -> None:
+    """Writes parents and their chunks by source: those of the given sources are replaced, or with `rebuild` everything is."""
+    for name, rows in (("parents", parents), ("chunks", chunks)):
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "static" if rebuild else "dynamic")
+        writer.partitionBy("source").parquet(f"{folder}/{name}")
+
+
+def clear_index(spark: SparkSession, folder: str) -> None:
+    """Leaves empty tables with the same columns."""
+    for name in ("parents", "chunks"):
+        empty = spark.read.parquet(f"{folder}/{name}").limit(0)
+        spark.createDataFrame([], empty.schema).write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
 def append_probes(probes: DataFrame, path: str) -> None:
     """Appends probes by month, so that no file is ever rotated away."""
     probes.withColumn("month", F.substring("timestamp", 1, 7)).write.mode("append").partitionBy("month").parquet(path)
 
 
 def without_source(chunks: DataFrame, parents: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:
-    """The chunks of other sources, and the parents that no chunk of the source names."""
+    """The chunks of other sources, and the parents that no chunk of the source names; removed_chunks counts the others."""
     gone = chunks.where(F.col("source") == source).select("doc_id").distinct()
     return chunks.where(~F.col("source").eqNullSafe(F.lit(source))), parents.join(gone, "doc_id", "left_anti")
 
 
+def removed_chunks(chunks: DataFrame, source: str) -> int:
+    return chunks.where(F.col("source") == source).count()
+
+
 def replace_source(table: DataFrame, path: str) -> None:
     """Overwrites only the partitions of the sources in `table`."""
     table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(path)

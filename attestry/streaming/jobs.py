@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.state import GroupStateTimeout
+
+from ..operators.monitor import BURST, RETRIES, SCOPES, SPIKE, SURGE, WINDOW
+from .fold import in_order, streamed
 
 
 def new_alerts(flags: DataFrame, late: str = "1 day") -> DataFrame:
@@ -25,40 +26,104 @@ def over_limit(requests: DataFrame, limit: int = 60, late: str = "1 minute") ->
     return rows.where(F.col("n") > limit).select("key", F.col("window.start").alias("minute"), "n")
 
 
-def suppress(times: list, last, gap_s: float) -> tuple[list, object]:
-    """The times that are emitted: those at least gap_s after the last emitted one."""
-    out = []
-    for t in times:
-        if last is None or (t - last).total_seconds() >= gap_s:
-            out.append(t)
-            last = t
-    return out, last
+def _times(alerts: DataFrame) -> DataFrame:
+    return alerts.select("dedup_key", F.unix_micros("ts").alias("us"), "ts")
 
 
-def suppressed(alerts: DataFrame, gap_s: float = 600.0) -> DataFrame:
-    """(dedup_key, ts) of alerts that are emitted: none within gap_s of the last emitted one of its key.
+def _suppress(gap_s: float):
+    def step(last, row):
+        emits = last is None or row.us - last >= gap_s * 1e6
+        return (int(row.us), [(row.dedup_key, row.ts)]) if emits else (last, [])
 
-    The state of a key is one time; event time is used, and rows of a key within a batch are taken in its order.
-    """
+    return step
 
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times = sorted(t for pdf in batches for t in pdf["ts"])
-        last = pd.Timestamp(state.get[0]) if state.exists else None
-        out, last = suppress(times, last, gap_s)
-        if last is not None:
-            state.update((last.isoformat(),))
-        yield pd.DataFrame({"dedup_key": [key[0]] * len(out), "ts": pd.Series(out, dtype="datetime64[ns]")})
 
-    return alerts.select("dedup_key", "ts").groupBy("dedup_key").applyInPandasWithState(
-        run, "dedup_key string, ts timestamp", "last string", "append", GroupStateTimeout.NoTimeout
-    )
+def suppressed(alerts: DataFrame, gap_s: float = 600.0, late: str = "1 day") -> DataFrame:
+    """(dedup_key, ts) of alerts that are emitted: none within gap_s of the last emitted one of its key.
+
+    The state of a key is one time, and is dropped when the watermark has passed the gap; event time is used.
+    """
+    rows = _times(alerts.withWatermark("ts", late))
+    return streamed(rows, "dedup_key", "us", _suppress(gap_s), "dedup_key string, ts timestamp", GroupStateTimeout.EventTimeTimeout, lambda last: last / 1000 + gap_s * 1000)
 
 
 def suppressed_batch(alerts: DataFrame, gap_s: float = 600.0) -> DataFrame:
     """The batch twin of suppressed."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, _ = suppress(sorted(pdf["ts"]), None, gap_s)
-        return pd.DataFrame({"dedup_key": [pdf["dedup_key"].iloc[0]] * len(out), "ts": pd.Series(out, dtype="datetime64[ns]")})
-
-    return alerts.select("dedup_key", "ts").groupBy("dedup_key").applyInPandas(run, "dedup_key string, ts timestamp")
+    return in_order(_times(alerts), "dedup_key", "us", _suppress(gap_s), "dedup_key string, ts timestamp")
+
+
+def _failures(threshold: int):
+    def step(failed, row):
+        failed = 0 if row.ok else (failed or 0) + 1
+        return failed, [(row.series, row.position, failed)] if failed >= threshold else []
+
+    return step
+
+
+def failing(probes: DataFrame, threshold: int = 3) -> DataFrame:
+    """(series, position, failures) of the probes at which failures in a row reach the threshold; twin: failure_runs."""
+    return streamed(probes.select("series", "position", "ok"), "series", "position", _failures(threshold), "series string, position long, failures long")
+
+
+def _escalations(windows: int):
+    def step(state, row):
+        alerted, pending, count = state or (0, None, 0)
+        if row.level <= alerted:
+            return [min(alerted, int(row.level)), None, 0], []
+        count = count + 1 if pending == row.level else 1
+        if count < windows:
+            return [alerted, int(row.level), count], []
+        return [int(row.level), None, 0], [(row.series, row.position, row.level, alerted)]
+
+    return step
+
+
+def escalations(history: DataFrame, windows: int = 2) -> DataFrame:
+    """(series, position, level, from_level) of the windows that confirm a rise above the level last alerted: so many in
+    a row at the same higher level. A lower level lowers the mark. Rows are (series, position, level)."""
+    return streamed(history.select("series", "position", "level"), "series", "position", _escalations(windows), _ESCALATED)
+
+
+def escalations_batch(history: DataFrame, windows: int = 2) -> DataFrame:
+    """The batch twin of escalations."""
+    return in_order(history.select("series", "position", "level"), "series", "position", _escalations(windows), _ESCALATED)
+
+
+_ESCALATED = "series string, position long, level long, from_level long"
+
+
+def _detect(state, row):
+    """The detector's state: the last latencies, the last scopes, how many scopes, rejections and alerts it has seen."""
+    late, scopes, refused, alerts = state or ([], [], 0, 0)
+    flags, event = [], row.event_type
+    if event == "query":
+        ms = None if pd.isna(row.response_time_ms) else int(row.response_time_ms)
+        if ms is not None:
+            if len(late) >= 5:
+                tail = sorted(late)[min(len(late) * 95 // 100, len(late) - 1)]
+                if tail > 0 and ms > SPIKE * tail:
+                    flags.append(f"latency_spike:{ms}ms>2×p95({tail}ms)")
+            late = [*late, ms][-WINDOW:]
+        if row.scope_check:
+            scopes = [*scopes, row.scope_check][-WINDOW:]
+            rate = scopes[-SCOPES:].count("out_of_scope") / SCOPES
+            if len(scopes) >= SCOPES and rate > SURGE:
+                flags.append(f"rejection_surge:{rate:.0%}_last{SCOPES}")
+        if row.retry_count >= RETRIES:
+            flags.append(f"consecutive_retries:{row.retry_count}")
+    elif event == "security_alert":
+        alerts = min(alerts + 1, BURST)
+        flags += ["security_alert_burst"] * (alerts >= BURST)
+    elif event == "rejection":
+        refused = min(refused + 1, WINDOW)
+        total = len(scopes) + refused
+        if total >= 10 and refused / total > SURGE:
+            flags.append(f"rejection_surge:{refused / total:.0%}_last{total}")
+    return [late, scopes, refused, alerts], [(row.log_file, row.position, f) for f in flags]
+
+
+def detected(events: DataFrame) -> DataFrame:
+    """(log_file, position, flag): the detector over a stream; its batch twin is detector_flags. The state of a file holds
+    the last latencies and scopes only."""
+    rows = events.select("log_file", "position", "event_type", "response_time_ms", "scope_check", "retry_count")
+    return streamed(rows, "log_file", "position", _detect, "log_file string, position long, flag string")

@@ -111,7 +111,7 @@ def test_probe_failures(spark):
 
 def test_escalations(spark):
     rows = spark.createDataFrame([("s", i, v) for i, v in enumerate([0, 2, 0, 2, 2, 2, 1, 1])], "series string, position int, level int")
-    assert [r.position for r in M.confirmed_escalations(rows).collect()] == [4]
+    assert [r.position for r in jobs.escalations_batch(rows).collect()] == [4]
 
 
 def test_numerals_and_citations(spark):
@@ -243,8 +243,8 @@ def streamed(spark, tmp_path, df, job, mode="append"):
 
 def test_suppression_stream(spark, tmp_path):
     rows = [("a", s) for s in (0, 300, 600, 900)] + [("b", s) for s in (10, 609, 1300)]
-    df = spark.createDataFrame(rows, "dedup_key string, s long").select("dedup_key", F.timestamp_seconds("s").alias("ts"))
-    seconds = lambda found: sorted((k, int(t.timestamp())) for k, t in found)
+    df = spark.createDataFrame(rows, "dedup_key string, s long").select("dedup_key", F.timestamp_seconds(F.col("s") + 10**9).alias("ts"))
+    seconds = lambda found: sorted((k, int(t.timestamp()) - 10**9) for k, t in found)
     want = [("a", 0), ("a", 600), ("b", 10), ("b", 1300)]
     assert [(k, s) for k, s in seconds([tuple(r) for r in jobs.suppressed_batch(df).collect()])] == want
     assert seconds(streamed(spark, tmp_path, df.coalesce(1), jobs.suppressed)) == want
@@ -261,3 +261,118 @@ def test_percentile_rules(spark, rule, want):
     out = {r.g: (r.n, r.measured, r.p95_ms) for r in M.grouped(rows, ["g"], F.col("id"), rule, n=F.lit(1)).collect()}
     assert out == {"x": (21, 20, want), "y": (1, 0, None)}
     assert M.kpi(log(spark, [])).first().asDict() == {"queries": 0, "rejections": 0, "rejection_rate": 0.0, "security_alerts": 0, "p95_ms": None}
+
+
+def test_failure_and_escalation_streams(spark, tmp_path):
+    r = random.Random(3)
+    rows = [(s, i, r.random() < 0.4, r.choice([0, 0, 1, 2, 2])) for i in range(200) for s in ("a", "b")]
+    df = spark.createDataFrame(rows, "series string, position long, ok boolean, level long")
+    want = sorted(tuple(x) for x in M.failure_runs(df).select("series", "position", "failures").collect())
+    assert sorted(streamed(spark, tmp_path / "f", df, jobs.failing)) == want and want
+    found = sorted(tuple(x) for x in jobs.escalations_batch(df).collect())
+    assert sorted(streamed(spark, tmp_path / "e", df, jobs.escalations)) == found and found
+    rises = spark.createDataFrame([("s", i, v) for i, v in enumerate([0, 2, 1, 1, 2, 2, 0, 1, 1])], "series string, position long, level long")
+    assert sorted(tuple(x) for x in jobs.escalations_batch(rises).collect()) == [("s", 3, 1, 0), ("s", 5, 2, 1), ("s", 8, 1, 0)]
+
+
+def test_detector_stream(spark, tmp_path):
+    r = random.Random(5)
+    kinds = ["query"] * 6 + ["rejection"] * 3 + ["security_alert", "other"]
+    rows = [(i, r.choice("fg"), r.choice(kinds), r.choice([None, 10, 20, 30] * 12 + [900]), r.randrange(4), r.choice(["in_scope", "out_of_scope", "out_of_scope", "", None])) for i in range(600)]
+    df = spark.createDataFrame(rows, log(spark, []).schema).withColumn("position", F.col("position").cast("long"))
+    want = M.detector_flags(df).select("log_file", "position", F.explode("anomaly_flags").alias("flag"))
+    want = sorted(tuple(x) for x in want.collect())
+    assert sorted(streamed(spark, tmp_path, df, jobs.detected)) == want and {f.split(":")[0] for _, _, f in want} >= {"latency_spike", "rejection_surge", "consecutive_retries", "security_alert_burst"}
+
+
+def test_chain_is_gone_on_with(spark, tmp_path):
+    path = str(tmp_path / "chain")
+    for lines in ([1, 2, 3], [1, 2], [1]):
+        rows = [(f, n, json.dumps({"n": n, "of": len(lines)})) for n in lines for f in (("a", "b") if len(lines) > 1 else ("b", "c"))]
+        sinks.append_chained(spark.createDataFrame(rows, "log_file string, line_no long, body string"), path)
+    chain = spark.read.parquet(path)
+    assert sorted((r.log_file, r.valid, r.total) for r in I.verified(chain).collect()) == [("a", True, 5), ("b", True, 6), ("c", True, 1)]
+    broken = chain.withColumn("body", F.when((F.col("log_file") == "b") & (F.col("line_no") == 4), "{}").otherwise(F.col("body")))
+    checked = I.verified(broken)
+    assert [tuple(r) for r in checked.where("not valid").collect()] == [("b", False, 4, "entry_hash mismatch", 4)]
+    state = lambda days: tuple(I.integrity_state(checked, spark.createDataFrame([(d,) for d in days], "log_file string")).first())
+    assert state("ac") == (2, 0, "intact") and state("ab") == (2, 1, "broken")
+    assert [r.dedup_key for r in I.broken_chain_alerts(checked).collect()] == ["integrity:b:4"]
+
+
+def test_index_is_written_replaced_and_cleared(spark, tmp_path):
+    folder = str(tmp_path / "index")
+    make = lambda source, *ids: spark.createDataFrame([(i, f"text {i}", source) for i in ids], "doc_id long, text string, source string")
+    sinks.index_documents(make("a", 1, 2).union(make("b", 3)), make("a", 1, 2, 2).union(make("b", 3)), folder, rebuild=True)
+    sinks.index_documents(make("a", 9), make("a", 9), folder)
+    rows = lambda name: sorted(r.doc_id for r in spark.read.parquet(f"{folder}/{name}").collect())
+    assert rows("parents") == [3, 9] and rows("chunks") == [3, 9]
+    assert sinks.removed_chunks(spark.read.parquet(f"{folder}/chunks"), "a") == 1
+    sinks.clear_index(spark, folder)
+    assert rows("parents") == [] and rows("chunks") == []
+
+
+def test_reports_are_listed(spark, tmp_path):
+    for name, text in {"vv_report_1.json": '{"generated_at": "2026-01-02", "hit_rate": 0.5, "per_query": [1, 2]}', "ragas_1.json": '{"generated_at": "2026-01-03"}', "bad.json": "{"}.items():
+        (tmp_path / name).write_text(text)
+    got = [tuple(r) for r in files.reports(spark, str(tmp_path)).collect()]
+    assert got == [("ragas_1.json", "ragas", "2026-01-03", None, None), ("vv_report_1.json", "vv", "2026-01-02", 0.5, 2)]
+
+
+def test_time_bounds_and_statuses(spark):
+    rows = spark.createDataFrame([(1, "f", "2026-01-01T00:00:00Z"), (2, "f", "2026-01-01T09:00:00"), (3, "f", "1767225600"), (4, "f", "?"), (5, "f", None)], "position int, log_file string, timestamp string")
+    at = {r.position: r.s for r in rows.select("position", F.unix_seconds(M.parsed_time(F.col("timestamp"))).alias("s")).collect()}
+    assert at == {1: 1767225600, 2: 1767229200, 3: 1767225600, 4: None, 5: None}
+    found = M.search(rows, start="2026-01-01T08:30:00", end="2026-01-01T10:00:00+08:00")
+    assert [r.position for r in found.collect()] == [2]
+    assert [r.position for r in M.search(rows).collect()] == [4, 2, 1, 3, 5]
+    now = F.lit("2026-01-31T00:00:00Z").try_cast("timestamp")
+    assert [one(spark, M.stale(F.lit(t), now, 7)) for t in ("2026-01-24T00:00:00Z", "2026-01-22T23:59:59Z", "x", None)] == [False, True, True, True]
+    assert [one(spark, M.banner(F.lit(c), F.lit(w), F.lit(h))) for c, w, h in ((1, 0, "critical"), (1, 0, "normal"), (0, 2, "critical"), (0, 0, "normal"))] == ["critical", "warning", "warning", "calm"]
+
+
+def twin_retrieved(questions, scoped, found, wide, parents, n, replies):
+    """What each question gets, list by list."""
+    out = {}
+    once = lambda items, size: list({t[2][:size].strip(): t for t in reversed(items)}.values())[::-1]
+    sources = len({s for rows in scoped.values() for _, s, _ in rows})
+
+    def up(items):
+        seen, kept = set(), []
+        for d, s, t in items:
+            if d is None or d not in seen:
+                seen.add(d)
+                kept.append((d, s, parents.get(d, t) if d is not None else t))
+        return kept
+
+    for q, articles in questions.items():
+        pinned = up([x for x in wide.get(q, []) if any(re.search(rf"第\s*{a}\s*條", x[2]) for a in articles)])
+        every = once(scoped.get(q, []) + found.get(q, []), 100)
+        most = max(1, n - len(pinned)) if pinned else n
+        numbers = [int(x) for x in re.findall(r"\d+", replies.get(q) or "")]
+        good = list(dict.fromkeys(x - 1 for x in numbers if 1 <= x <= len(every)))[:most]
+        best = every if len(every) <= most else [] if numbers[:1] == [0] else [every[i] for i in good] if good else every[:most]
+        if pinned:
+            out[q] = once(pinned + up(best), 80)
+        else:
+            out[q] = up(best or scoped.get(q, [])[: max(n, sources * n)])
+    return {q: [t for _, _, t in rows] for q, rows in out.items() if rows}
+
+
+def test_retrieval_of_many_questions(spark):
+    r = random.Random(11)
+    parents = {i: f"parent {i} of 第{i % 5}條" for i in range(12)}
+    hit = lambda: (d := r.choice([None, *range(14)]), r.choice("xyz"), f"chunk {r.randrange(12)} names 第 {r.randrange(6)} 條 of {d}")
+    questions = {q: r.choice([[], [], [1], [2, 3]]) for q in range(40)}
+    lists = [{q: [hit() for _ in range(r.randrange(8))] for q in questions} for _ in range(3)]
+    replies = {q: r.choice([None, "0", "3,1,2", "2 2 99", "none", "5"]) for q in questions}
+    frames = [
+        spark.createDataFrame([(q, i, *x) for q, rows in part.items() for i, x in enumerate(rows)], "query_id long, pos int, doc_id long, source string, text string") for part in lists
+    ]
+    asked = spark.createDataFrame(list(questions.items()), "query_id long, articles array<int>")
+    docs = spark.createDataFrame(list(parents.items()), "doc_id long, text string")
+    said = spark.createDataFrame(list(replies.items()), "query_id long, reply string")
+    got = {}
+    for x in R.retrieved(asked, *frames, docs, 3, said).orderBy("query_id", "pos").collect():
+        got.setdefault(x.query_id, []).append(x.text)
+    assert got == twin_retrieved(questions, *lists, parents, 3, replies)
