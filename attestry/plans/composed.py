@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from ..functions import text as X
-from ..operators import evaluate as E, retrieve as R
+from ..operators import evaluate as E, records as C, retrieve as R
 from .queries import BM25, COSINE, VECTORS, audit, query, table, vectors
 
 
@@ -203,3 +203,99 @@ def r8_hybrid(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "source", said(F.col("text"), " 第 ", F.col("doc_id") % 9 + 1, " 條").alias("text"))
     near = R.cosine_top_k(rows, asked, 10).select("query_id", F.col("vec_id").alias("doc_id"), F.col("rank").alias("pos")).join(docs, "doc_id")
     return R.hybrid(near, word_hits(spark, sf_dir, 10), ["query_id"]).select("query_id", "doc_id", "pos")
+
+
+def requests(spark, sf_dir):
+    """Requests with headers that differ by page: an id, a frontend's ids, a user agent, or none at all."""
+    i = F.col("page_id")
+    entry = lambda on, name, value: F.when(on, F.array(F.struct(F.lit(name).alias("k"), value.alias("v")))).otherwise(F.array().cast("array<struct<k:string,v:string>>"))
+    headers = F.map_from_entries(F.concat(
+        entry(i % 3 == 0, "x-request-id", said(" -r/", i, "- ")), entry(i % 4 == 1, "x-openwebui-chat-id", said("c", i)), entry(i % 4 == 2, "x-chat-id", said("d", i)),
+        entry(i % 5 == 0, "user-agent", F.when(i % 10 == 0, "OpenWebUI/1").otherwise("curl/8")),
+    ))
+    return table(spark, sf_dir, "pages").select("page_id", headers.alias("headers"))
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'r-' || page_id ELSE 'made-' || page_id END AS request_id,
+    CASE page_id % 4 WHEN 1 THEN 'c' || page_id WHEN 2 THEN 'd' || page_id ELSE '' END AS frontend_chat_id,
+    CASE WHEN page_id % 4 = 1 OR page_id % 10 = 0 THEN 'openwebui' WHEN page_id % 3 = 0 OR page_id % 4 = 2 OR page_id % 5 = 0 THEN 'http_api' ELSE 'unknown' END AS source_app FROM pages""")
+def z1_request_context(spark, sf_dir):
+    return C.request_context(requests(spark, sf_dir), said("made ", F.col("page_id"))).select("page_id", "request_id", "frontend_chat_id", "source_app")
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 3 = 0 AND page_id % 4 > 0 THEN '10.0.0.' || (page_id % 200) WHEN page_id % 5 = 0 THEN 'unknown' WHEN page_id % 3 = 0 THEN '127.0.0.1' ELSE '192.0.2.' || (page_id % 200) END AS ip,
+    CASE WHEN page_id % 7 = 0 THEN 200 ELSE 401 END AS status, CASE WHEN page_id % 7 = 0 THEN 'key one' END AS identity FROM pages""")
+def f17_z15_identity(spark, sf_dir):
+    """Peers that are trusted proxies or not, what they forward (or nothing, or no address), and keys that are valid or not."""
+    i = F.col("page_id")
+    peer = F.when(i % 3 == 0, F.when((i % 5 == 0) & (i % 4 == 0), F.lit(None)).otherwise("127.0.0.1")).when(i % 5 == 0, F.lit(None)).otherwise(said("192.0.2.", i % 200))
+    forwarded = F.when(i % 4 == 0, F.when(i % 8 == 0, "not an address").otherwise("")).otherwise(said("203.0.113.9, 10.0.0.", i % 200, " "))
+    trusted = F.when(i % 3 == 0, F.coalesce(peer, F.when(i % 4 > 0, "127.0.0.1"))).otherwise(peer)
+    ip = C.client_ip(trusted, forwarded, ("127.0.0.1", "172.16.0.0/12"))
+    who = C.identity(F.when(i % 7 == 0, "key one").when(i % 7 == 1, "key"), ip, ("key one", "key two"), False)
+    rows = table(spark, sf_dir, "pages").select("page_id", ip.alias("ip"), who.alias("who"))
+    return rows.select("page_id", "ip", "who.status", "who.identity")
+
+
+@query("""SELECT conv_id, turn, 'security_alert' AS event_type, 'unknown' AS client_ip, substr(text, 1, 200) AS user_query, 'input' AS stage FROM conversations WHERE turn % 2 = 0""")
+def sk2_security_alerts(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").where("turn % 2 = 0").select(
+        F.to_json(F.struct("conv_id", "turn")).alias("session_id"), F.lit("").alias("client_ip"), F.col("text").alias("user_query"), F.lit("x").alias("threat_type"),
+        F.lit("y").alias("reason"), F.col("turn").alias("message_index"), F.lit("user").alias("message_role"),
+    )
+    out = C.security_alerts(rows).withColumn("s", F.from_json("session_id", "conv_id bigint, turn bigint"))
+    kinds = dict(table(spark, sf_dir, "conversations").dtypes)
+    return out.select(*[F.col(f"s.{c}").cast(kinds[c]).alias(c) for c in ("conv_id", "turn")], "event_type", "client_ip", "user_query", "stage")
+
+
+@query("""SELECT doc_id, concat_ws(' | ', 'session=' || substr('session-' || doc_id, 1, 8), CASE WHEN length(text) > 0 THEN 'query="' || substr(text, 1, 60) || CASE WHEN length(text) > 60 THEN '...' ELSE '' END || '"' END,
+    CASE WHEN doc_id % 3 > 0 THEN 'docs=' || (doc_id % 3) END, CASE WHEN doc_id % 5 > 0 THEN 'time=' || (doc_id % 5) || 'ms' END) AS line FROM documents""")
+def n12_summary_lines(spark, sf_dir):
+    d = F.col("doc_id")
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", said("session-", d).alias("session_id"), F.col("text").alias("user_query"), F.slice(F.array(F.lit("a"), F.lit("b")), F.lit(1), (d % 3).cast("int")).alias("retrieved_docs"),
+        (d % 5).alias("response_time_ms"),
+    )
+    return rows.select("doc_id", C.summary_line(rows).alias("line"))
+
+
+@query("""SELECT doc_id, len(pieces) AS pieces, array_to_string(pieces, '') = coalesce(text, '') AS whole,
+    CASE WHEN doc_id % 7 = 0 THEN '—' WHEN doc_id >= 500 THEN CAST(2 * doc_id AS VARCHAR) || '' ELSE 'small' END AS shown, answer, 'src-' || (doc_id % 9) || '.md#第' || (doc_id % 5 + 1) || '條,b.md' AS sources
+    FROM (SELECT doc_id, text, 'answer ' || doc_id AS answer, CASE WHEN length(text) > 0 THEN list_transform(range(CAST(ceil(length(text) / 8.0) AS BIGINT)), lambda i: substr(text, i * 8 + 1, 8)) ELSE [] END AS pieces FROM documents)""")
+def n11_n13_x15_r18_text(spark, sf_dir):
+    d = F.col("doc_id")
+    pieces = X.chunks_of(F.coalesce("text", F.lit("")))
+    number = F.when(d % 7 != 0, 2.0 * d)
+    seen = said("來源: src-", d % 9, ".md (第", d % 5 + 1, "條)\n來源: b.md (preamble) 來源: b.md")
+    answer = X.without_disclaimer(said("answer ", d, "\n\n---\n\n", X.DISCLAIMER, "。"))
+    return documents(spark, sf_dir).select(
+        "doc_id", F.size(pieces).cast("long").alias("pieces"), (F.array_join(pieces, "") == F.col("text")).alias("whole"),
+        F.when(number.isNull() | (d >= 500), X.shown_number(number)).otherwise("small").alias("shown"), answer.alias("answer"), F.array_join(X.tool_sources(seen), ",").alias("sources"),
+    )
+
+
+@query("""SELECT name, expected, current, CASE WHEN name = 'documents' THEN current = expected ELSE current >= expected END AS ok FROM (
+        SELECT 'documents' AS name, count(*) AS expected, count(*) FILTER (doc_id % 2 = 0) AS current FROM documents UNION ALL SELECT 'pages', count(*) - 1, count(*) FROM pages
+        UNION ALL SELECT 'labels', count(*), 0 FROM labels)""")
+def a28_moved(spark, sf_dir):
+    now = {n: table(spark, sf_dir, n) for n in ("documents", "pages", "labels")}
+    before = C.table_counts(now).withColumn("rows", F.col("rows") - (F.col("name") == "pages").cast("int"))
+    after = C.table_counts({"documents": now["documents"].where("doc_id % 2 = 0"), "pages": now["pages"]})
+    return C.moved(before, after, ("documents",))
+
+
+@query("""SELECT n_name AS collection, count(c_custkey) AS chunks FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_custkey % 20 = 0 GROUP BY 1""")
+def j11_collection_counts(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation").select(F.col("n_name").alias("collection"), "n_nationkey")
+    chunks = table(spark, sf_dir, "customer").where("c_custkey % 20 = 0").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("collection")
+    return C.collection_counts(nation, chunks)
+
+
+@query("""SELECT item_id, 'law' || (item_id % 4) AS law, item_id % 2 = 0 AS cross_reference, CASE WHEN item_id % 3 > 0 THEN 'draft of ' || item_id || ' items' END AS draft FROM benchmark""")
+def r11_r12_generated(spark, sf_dir):
+    """Filters and drafts as a text generator would give them."""
+    i = F.col("item_id")
+    reply = said("Here:\n```json\n{\"law_names\": [\"law", i % 4, "\"], \"cross_reference\": ", F.when(i % 2 == 0, "true").otherwise("false"), "}\n```")
+    text = F.when(i % 3 > 0, said("  Answer: draft of ", i, " items ")).otherwise("short")
+    found = table(spark, sf_dir, "benchmark").select("item_id", X.query_filters(reply).alias("f"), X.draft(text).alias("draft"))
+    return found.select("item_id", F.get("f.law_names", F.lit(0)).alias("law"), "f.cross_reference", "draft")
