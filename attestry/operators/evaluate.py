@@ -276,3 +276,14 @@ def retrieved_article(article_id: Column, text: Column) -> Column:
     number = F.regexp_extract(F.coalesce(text, F.lit("")), r"(?U)第\s*([0-9一二三四五六七八九十百零兩]+)\s*條", 1)
     named = F.when(number != "", F.concat(F.lit("第"), number, F.lit("條"))).otherwise("")
     return F.when(own.startswith("第"), own).when(own.isNotNull(), F.concat(F.lit("第"), own, F.lit("條"))).otherwise(named)
+
+
+def strict_flips(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(id, was, now) of the queries of both runs (id, hit) whose result turned; only a hit rate of 1 passes here."""
+    a, b = (rows.select(F.col("id").cast("string").alias("id"), F.coalesce(F.col("hit") == 1.0, F.lit(False)).alias(c)) for rows, c in ((old, "was"), (new, "now")))
+    return a.join(b, "id").where("was <> now")
+
+
+def already_stored(files: DataFrame, stored: DataFrame) -> DataFrame:
+    """The files (sha256) whose content is stored."""
+    return files.join(stored.select("sha256").distinct(), "sha256", "left_semi")

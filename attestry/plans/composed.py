@@ -299,3 +299,29 @@ def r11_r12_generated(spark, sf_dir):
     text = F.when(i % 3 > 0, said("  Answer: draft of ", i, " items ")).otherwise("short")
     found = table(spark, sf_dir, "benchmark").select("item_id", X.query_filters(reply).alias("f"), X.draft(text).alias("draft"))
     return found.select("item_id", F.get("f.law_names", F.lit(0)).alias("law"), "f.cross_reference", "draft")
+
+
+@query(f"""{VECTORS} SELECT query_id, vec_id, CAST(rank AS INT) AS rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM ({COSINE}) WHERE label = 3) WHERE rank <= 10""")
+def f7_r13_one_source(spark, sf_dir):
+    rows, asked = vectors(spark, sf_dir)
+    return R.cosine_top_k(rows.where("label = 3"), asked, 10).select("query_id", "vec_id", "rank")
+
+
+@query("""SELECT doc_id FROM documents WHERE doc_id % 2 = 1 AND sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0)""")
+def f8_already_stored(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    return E.already_stored(docs.where("doc_id % 2 = 1"), docs.where("doc_id % 2 = 0")).select("doc_id")
+
+
+@query("""SELECT CAST(a.id AS VARCHAR) AS id, a.h = 1 AS was, b.h = 1 AS now FROM (SELECT session_id AS id, max(k % 5) / 4 AS h FROM ev WHERE event_type = 'rejection' GROUP BY 1) a
+    JOIN (SELECT session_id AS id, max(k % 5) / 4 AS h FROM ev WHERE event_type = 'security_alert' GROUP BY 1) b ON a.id = b.id WHERE (a.h = 1) <> (b.h = 1)""")
+def j3_strict_flips(spark, sf_dir):
+    rows = audit(spark, sf_dir)
+    run = lambda kind: rows.where(F.col("event_type") == kind).groupBy(F.col("session_id").alias("id")).agg((F.max(F.col("k") % 5) / 4).alias("hit"))
+    return E.strict_flips(run("rejection"), run("security_alert"))
+
+
+@query("""SELECT coalesce(event_type, 'unknown') AS event_type, count(*) AS n FROM ev GROUP BY 1""")
+def a8_by_type(spark, sf_dir):
+    return audit(spark, sf_dir).groupBy(F.coalesce("event_type", F.lit("unknown")).alias("event_type")).agg(F.count("*").alias("n"))

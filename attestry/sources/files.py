@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.monitor import LOCAL, parsed_time
 from ..schemas import AUDIT_EVENT, GOLDEN, PROBE
+from ..streaming.fold import in_order
 
 
 def read_json_lines(spark: SparkSession, path: str | list[str], schema: StructType, glob: str | None = None) -> DataFrame:
@@ -48,6 +52,30 @@ def read_probes(spark: SparkSession, paths: list[str]) -> DataFrame:
     return probes.withColumn("at", F.try_to_timestamp("timestamp")).where("at is not null")
 
 
+def recent_events(audit: DataFrame, now: str, minutes: int) -> DataFrame:
+    """Events of the last minutes: only the files of today and yesterday are read, in local time."""
+    at = parsed_time(F.lit(now))
+    today = F.to_date(F.from_utc_timestamp(at, LOCAL))
+    rows = audit.where(F.col("log_date").between(F.date_sub(today, 1), today))
+    return rows.where(parsed_time(F.col("timestamp")) >= at - F.make_interval(mins=F.lit(minutes)))
+
+
+def recent_probes(spark: SparkSession, folder: str, stem: str, now: str, hours: int = 24) -> DataFrame:
+    """The probes of the last hours, from stem.jsonl and the archives stem_*.jsonl beside it."""
+    probes = read_json_lines(spark, folder, PROBE, f"{stem}{{,_*}}.jsonl").withColumn("at", parsed_time(F.col("timestamp")))
+    return probes.where(F.col("at") >= parsed_time(F.lit(now)) - F.make_interval(hours=F.lit(hours)))
+
+
+def first_with(spark: SparkSession, folders: list[str], glob: str) -> str | None:
+    """The first of some folders that has a file of the pattern: settings come before own files, own before older ones."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{glob}")
+        if path.getFileSystem(conf).globStatus(path):
+            return folder
+    return None
+
+
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
     """The golden set; older files call the query a question."""
     rows = spark.read.option("multiLine", True).schema(GOLDEN).json(path)
@@ -79,15 +107,63 @@ def statute_articles(texts: DataFrame, law: str = "law", text: str = "text") ->
     return body.groupBy("law", "article").agg(F.regexp_replace(F.max_by("content", "section"), r"^\s+|\s+$", "").alias("content"))
 
 
-def folder_snapshot(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = (".txt", ".md", ".py", ".json")) -> DataFrame:
-    """(path, sha256, size, modified) of the files of a folder and those below it."""
+# What a project's snapshot holds, by the end or the whole of a name, and folders that it leaves out.
+TRACKED = (".py", ".md", ".json", ".yaml", ".yml", ".txt", ".sh", ".toml", ".cfg", ".ini", ".env.example", ".html", ".css", ".js")
+TRACKED_NAMES = ("Dockerfile", "Dockerfile.api", ".gitignore", ".env.example")
+SKIPPED = ("__pycache__", ".git", ".ipynb_checkpoints", "node_modules", ".pytest_cache", "venv", ".venv", ".mypy_cache")
+SKIPPED_DATA = ("audit_logs", "reports", "versions", "output", "processed")
+
+
+def folder_snapshot(
+    spark: SparkSession, folder: str, suffixes: tuple[str, ...] = (".txt", ".md", ".py", ".json"), names: tuple[str, ...] = (),
+    skipped: tuple[str, ...] = (), skipped_data: tuple[str, ...] = (),
+) -> DataFrame:
+    """(path, sha256, size, modified) of the files of a folder and those below it that end in a suffix or have a name.
+
+    Files below a skipped folder, or below one that is skipped in `data`, are left out.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    match = "|".join(s.replace(".", r"\.") for s in suffixes)
-    return files.where(F.col("path").rlike(f"({match})$")).select(
+    inside = F.substring_index("path", folder.rstrip("/").rpartition("/")[2] + "/", -1)
+    parts = F.split(inside, "/")
+    wanted = F.greatest(F.lit(False), *[F.col("path").endswith(s) for s in suffixes], F.element_at(parts, -1).isin(*names) if names else F.lit(False))
+    left = ~F.arrays_overlap(parts, F.array(*[F.lit(x) for x in skipped])) if skipped else F.lit(True)
+    if skipped_data:
+        left = left & ~((F.get(parts, F.lit(0)) == "data") & F.coalesce(F.get(parts, F.lit(1)).isin(*skipped_data), F.lit(False)))
+    return files.where(wanted & left).select(
         "path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"), F.col("modificationTime").alias("modified")
     )
 
 
+def project_snapshot(spark: SparkSession, folder: str) -> DataFrame:
+    return folder_snapshot(spark, folder, TRACKED, TRACKED_NAMES, SKIPPED, SKIPPED_DATA)
+
+
+def read_directory(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = (".txt", ".md", ".py", ".json")) -> DataFrame:
+    """(source, text, indexed) of the text files of a folder: indexed is false where a file is not UTF-8."""
+    files = spark.read.format("binaryFile").load(folder)
+    name = F.element_at(F.split("path", "/"), -1)
+    match = "|".join(s.replace(".", r"\.") for s in suffixes)
+    rows = files.where(F.lower("path").rlike(f"({match})$")).select(name.alias("source"), F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
+    return rows.withColumn("indexed", F.col("text").isNotNull())
+
+
+def directory_digest(files: DataFrame) -> DataFrame:
+    """(folder, files, bytes, digest) of files (folder, path, content): SHA-256 over each path, a zero byte and the bytes, by path.
+
+    The files of a folder are read in order by one task, which holds one of them and the state of the hash.
+    """
+
+    def step(state, row):
+        n, size, digest = state or (0, 0, hashlib.sha256())
+        digest.update(row.path.encode() + b"\0" + bytes(row.content))
+        state = (n + 1, size + len(row.content), digest)
+        return state, [(row.folder, row.path, *state[:2], digest.hexdigest())]
+
+    rows = in_order(files.select("folder", "path", "content"), "folder", "path", step, "folder string, path string, files long, bytes long, digest string")
+    last = rows.groupBy("folder").agg(F.max_by(F.struct("files", "bytes", "digest"), "files").alias("x"))
+    return last.select("folder", "x.*")
+
+
 def newest_documents(snapshot: DataFrame) -> DataFrame:
     return snapshot.select(F.element_at(F.split("path", "/"), -1).alias("name"), "size", "modified").orderBy(F.desc("modified"), "name")
 

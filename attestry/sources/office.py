@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _RTF = re.compile(r"\\u(-?\d+) ?\??|\\'([0-9a-fA-F]{2})|\\(par|line)\b ?|\\([\\{}])|(\{\\(?:\*|fonttbl|colortbl|stylesheet|info)[^{}]*(?:\{[^{}]*\}[^{}]*)*\})|\\[a-zA-Z]+-?\d* ?|[{}\r\n]")
@@ -60,3 +60,15 @@ def read_office(spark: SparkSession, folder: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{docx,rtf,DOCX,RTF}").load(folder)
     return files.select("path", "content").mapInPandas(run, "path string, markdown string, problem string")
+
+
+def converted(spark: SparkSession, folder: str) -> DataFrame:
+    """(source, markdown, problem) of all files of a folder: text and markdown as they are, office files converted, and
+    a problem for what is neither."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "content")
+    kind = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1))
+    plain = files.where(kind.isin("txt", "md")).select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("markdown"))
+    plain = plain.withColumn("problem", F.when(F.col("markdown").isNull(), "UnicodeDecodeError"))
+    other = files.where(~kind.isin("txt", "md", "docx", "rtf")).select("path", F.lit(None).cast("string").alias("markdown"), F.concat(F.lit("unsupported: "), kind).alias("problem"))
+    rows = plain.unionByName(read_office(spark, folder)).unionByName(other)
+    return rows.select(F.element_at(F.split("path", "/"), -1).alias("source"), "markdown", "problem")

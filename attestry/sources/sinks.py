@@ -26,6 +26,29 @@ def append_chained(records: DataFrame, path: str) -> None:
     chained(rows, last).write.mode("append").parquet(path)
 
 
+def append_alerts(alerts: DataFrame, path: str) -> None:
+    """Appends alerts as JSON lines, by day."""
+    alerts.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").json(path)
+
+
+def save_snapshot(snapshot: DataFrame, path: str, name: str) -> None:
+    """Writes a snapshot under a name of its own; an earlier one of that name is an error."""
+    snapshot.write.json(f"{path}/{name}")
+
+
+def append_observations(observations: DataFrame, path: str) -> None:
+    """Appends observed flips to the ledger of stability."""
+    observations.write.mode("append").parquet(path)
+
+
+def emptied(spark: SparkSession, path: str) -> int:
+    """Empties a table, and returns how many rows it had."""
+    old = spark.read.parquet(path)
+    rows = old.count()
+    spark.createDataFrame([], old.schema).write.mode("overwrite").parquet(path)
+    return rows
+
+
 def insert_messages(messages: DataFrame, path: str) -> None:
     messages.write.mode("append").parquet(path)
 

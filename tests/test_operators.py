@@ -376,3 +376,80 @@ def test_retrieval_of_many_questions(spark):
     for x in R.retrieved(asked, *frames, docs, 3, said).orderBy("query_id", "pos").collect():
         got.setdefault(x.query_id, []).append(x.text)
     assert got == twin_retrieved(questions, *lists, parents, 3, replies)
+
+
+def test_threats_against_plain_patterns(spark):
+    """Each text's first threat by Python's own patterns, in the order of the types."""
+    from attestry.functions.text import COLLAPSED, LONGEST_INPUT, THREATS, _views
+
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").select("text").collect()]
+    texts += ["a' or '1'='1", "sleep(5) now", "drop  TABLE x", "(&(uid=1)", "x-csrf", "<form action=x>", "new prompt: hi", "</system>", "roleplay as x", "C:\\\\a", "dict://h", "fetch = http://a.b"]
+
+    def twin(text):
+        if len(text) > LONGEST_INPUT:
+            return "input_too_long"
+        v = _views(text)
+        if v["internal"]:
+            return "ssrf"
+        sql = re.sub("--|#", " ", re.sub(r"/\*.*?\*/", "", v["normalized"], flags=re.S))
+        on = {"raw": text, "normalized": v["normalized"], "sql": sql}
+        for name, where, patterns in THREATS:
+            if name == "role_switch" and any(w in re.sub(r"[\W_]+", "", v["normalized"]).lower() for w in COLLAPSED):
+                return "prompt_injection"
+            views = [on[where], v["spaced"]] if name in ("prompt_injection", "role_switch") else [on[where]]
+            if any(re.search(p, x, re.I) for p in patterns for x in views):
+                return name
+        return None
+
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.x for r in rows.select("i", X.threat_type(F.col("t")).alias("x")).collect()}
+    want = {i: twin(t) for i, t in enumerate(texts)}
+    assert {i: (got[i], want[i], texts[i]) for i in want if got[i] != want[i]} == {} and len(set(want.values())) > 5
+
+
+def test_files_are_found_and_read(spark, tmp_path):
+    for name, data in {
+        "a.md": b"x", "b.bin": b"y", "bad.txt": b"\xff\xfe", "data/reports/r.json": b"{}", "data/keep.json": b"{}", ".git/c.py": b"", "Dockerfile": b"FROM", "sub/d.py": b"pass",
+    }.items():
+        (tmp_path / "p" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "p" / name).write_bytes(data)
+    root = str(tmp_path / "p")
+    names = lambda rows: sorted(r.path.split("/p/")[1] for r in rows.collect())
+    assert names(files.project_snapshot(spark, root)) == ["Dockerfile", "a.md", "bad.txt", "data/keep.json", "sub/d.py"]
+    read = {r.source: (r.text, r.indexed) for r in files.read_directory(spark, root).collect()}
+    assert read == {"a.md": ("x", True), "bad.txt": (None, False)}
+    from attestry.sources.office import converted
+
+    got = {r.source: (r.markdown, r.problem) for r in converted(spark, root).collect()}
+    assert got["a.md"] == ("x", None) and got["bad.txt"][1] == "UnicodeDecodeError" and got["b.bin"] == (None, "unsupported: bin")
+    assert files.first_with(spark, [str(tmp_path / "none"), root], "*.md") == root and files.first_with(spark, [root], "*.zip") is None
+    content = [("f", "b", b"2"), ("f", "a", b"1"), ("g", "z", b"")]
+    digest = {r.folder: (r.files, r.bytes, r.digest) for r in files.directory_digest(spark.createDataFrame(content, "folder string, path string, content binary")).collect()}
+    assert digest == {"f": (2, 2, hashlib.sha256(b"a\x001b\x002").hexdigest()), "g": (1, 0, hashlib.sha256(b"z\x00").hexdigest())}
+
+
+def test_recent_events_and_probes(spark, tmp_path):
+    log_dir = tmp_path / "logs"
+    log_dir.mkdir()
+    line = lambda t: json.dumps({"event_type": "query", "timestamp": t})
+    (log_dir / "audit_2026-01-02.jsonl").write_text("\n".join(map(line, ("2026-01-02T11:58:00", "2026-01-02T11:50:00", "bad"))))
+    (log_dir / "audit_2025-12-01.jsonl").write_text(line("2026-01-02T11:59:00"))
+    rows = files.recent_events(files.read_audit(spark, str(log_dir)), "2026-01-02T12:00:00", 5)
+    assert [r.timestamp for r in rows.collect()] == ["2026-01-02T11:58:00"]
+    for name, t in (("avail.jsonl", "2026-01-02T11:00:00"), ("avail_2025-12.jsonl", "2026-01-01T13:00:00"), ("avail_old.jsonl", "2025-01-01T00:00:00"), ("other.jsonl", "2026-01-02T11:00:00")):
+        (log_dir / name).write_text(json.dumps({"timestamp": t, "overall_ok": True}))
+    found = files.recent_probes(spark, str(log_dir), "avail", "2026-01-02T12:00:00")
+    assert sorted(r.timestamp for r in found.collect()) == ["2026-01-01T13:00:00", "2026-01-02T11:00:00"]
+
+
+def test_tables_are_appended_and_emptied(spark, tmp_path):
+    rows = spark.createDataFrame([("a", True), ("a", False)], "id string, unanimous boolean")
+    path = str(tmp_path / "ledger")
+    sinks.append_observations(rows, path)
+    sinks.append_observations(rows.limit(1), path)
+    assert [tuple(r) for r in E.unstable(spark.read.parquet(path)).collect()] == [("a", 3, True)]
+    assert sinks.emptied(spark, path) == 3 and spark.read.parquet(path).count() == 0
+    alerts = spark.createDataFrame([("critical", "2026-01-01 00:00:00")], "severity string, ts string").withColumn("ts", F.to_timestamp("ts"))
+    sinks.append_alerts(alerts, str(tmp_path / "alerts"))
+    sinks.append_alerts(alerts, str(tmp_path / "alerts"))
+    assert spark.read.json(str(tmp_path / "alerts")).count() == 2
