@@ -14,7 +14,7 @@ from .kernels import mix
 from .shared import keep, map_file, new_path, open_shared
 
 #: Filter bits for each row, hash functions, rows of a segment and hashes that a task holds before it sends them on.
-BITS_PER_ROW, HASHES, SEGMENT_ROWS, HELD = 16, 4, 1 << 22, 1 << 19
+BITS_PER_ROW, HASHES, SEGMENT_ROWS, HELD = 16, 4, 1 << 21, 1 << 18
 #: Keys of one mapped file, until there are MANY_FILES of them.
 FILE_KEYS, MANY_FILES = 1 << 16, 4096
 

@@ -28,7 +28,7 @@ FREQUENT, FREQUENT_PART = 50, 4096
 #: Rounds in which sets without a link meet the leader of a group.
 LEADER_ROUNDS = 2
 #: Bytes of sets that are compared in one group.
-COMPARE_BYTES = 4 << 20
+COMPARE_BYTES = 2 << 20
 #: Words of 64 bits of the bitmap of a difference.
 BITMAP = 4
 _BITS = np.uint64(16)
@@ -112,7 +112,7 @@ def frequent_shingles(rows: DataFrame, k: int, total: int) -> np.ndarray:
             for batch in text_parts(whole):
                 t = packed_sets(batch.column("text"), k)[2]
                 held, size = [*held, t], size + len(t)
-                if size > 1_000_000:
+                if size > 500_000:
                     yield flush()
                     held, size = [], 0
         if size:

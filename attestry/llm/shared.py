@@ -39,11 +39,12 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bound_batches(spark: SparkSession, most: int = 2 << 20) -> None:
-    """Lets Arrow batches to Python hold `most` bytes of rows, so that memory does not grow with the length of texts."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(name).removesuffix("b")) > most:
-        spark.conf.set(name, str(most))
+def bound_batches(spark: SparkSession, most: int = 2 << 20, rows: int = 512) -> None:
+    """Bounds what is held of long texts at once: `most` bytes in an Arrow batch to Python, `rows` rows in one that the
+    Parquet reader makes. Settings that are lower already stay."""
+    for name, value in (("spark.sql.execution.arrow.maxBytesPerBatch", most), ("spark.sql.parquet.columnarReaderBatchSize", rows)):
+        if int(spark.conf.get(name).removesuffix("b")) > value:
+            spark.conf.set(name, str(value))
 
 
 def unused(docs: DataFrame, *names: str) -> list[str]:
