@@ -215,7 +215,7 @@ def detector_flags(events: DataFrame) -> DataFrame:
     q = is_type("query") & F.col("response_time_ms").isNotNull()
     scoped = is_type("query") & (F.coalesce("scope_check", F.lit("")) != "")
     rows = events.withColumns({"q": q, "scoped": scoped})
-    past = F.array_sort(F.collect_list("response_time_ms").over(file.rowsBetween(-WINDOW, -1)))
+    past = F.sort_array(F.collect_list("response_time_ms").over(file.rowsBetween(-WINDOW, -1)))
     n = F.size(past)
     tail = F.get(past, F.least(F.floor(n * 95 / 100), n - 1).cast("int"))
     spike = F.col("q") & (n >= 5) & (tail > 0) & (F.col("response_time_ms") > SPIKE * tail)

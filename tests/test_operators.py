@@ -260,7 +260,9 @@ def test_percentile_rules(spark, rule, want):
     rows = spark.range(1, 21).select("id", F.lit("x").alias("g")).unionByName(spark.createDataFrame([(None, "x"), (None, "y")], "id long, g string"))
     out = {r.g: (r.n, r.measured, r.p95_ms) for r in M.grouped(rows, ["g"], F.col("id"), rule, n=F.lit(1)).collect()}
     assert out == {"x": (21, 20, want), "y": (1, 0, None)}
-    assert M.kpi(log(spark, [])).first().asDict() == {"queries": 0, "rejections": 0, "rejection_rate": 0.0, "security_alerts": 0, "p95_ms": None}
+    assert M.kpi(M.detector_flags(log(spark, []))).first().asDict() == {
+        "queries": 0, "rejections": 0, "rejection_rate": 0.0, "security_alerts": 0, "anomalies": 0, "p95_ms": None
+    }
 
 
 def test_failure_and_escalation_streams(spark, tmp_path):
