@@ -107,12 +107,6 @@ def bucket_of(spark_id: Column, salt: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.concat(F.lit(salt), spark_id.cast("string")).cast("binary")), F.lit(modulus))
 
 
-def semi_join(df: DataFrame, keys: DataFrame, key: str, most: int = 4_000_000) -> DataFrame:
-    """The rows of df whose key is in keys (distinct longs, counted first): broadcast up to `most`, else shuffled."""
-    keys = keep(keys, "keys")
-    return df.join(F.broadcast(keys) if keys.count() <= most else keys, key, "left_semi")
-
-
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
     """rows joined with groups (one row a key, size = the key's rows in rows), without a hot task.
 
