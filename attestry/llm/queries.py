@@ -13,6 +13,7 @@ from .phrases import collocations
 from .quality import quality_scores
 from .repeats import repeated_passages
 from .secrets import scan_secrets
+from .token_files import token_digests
 from .toxicity import toxicity_scores
 from .warc import archived_pages
 
@@ -66,11 +67,18 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents").select("lang", "text"))
 
 
+def op12_token_ids(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    return token_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer or public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality, op2_suffix_dedup, op3_source_mixing, op4_ngram_jaccard, op5_decontamination, op6_toxicity, op7_warc,
         op8_exact_dedup, op9_secret_scan, op10_lm_scoring, op11_collocations,
+        op12_token_ids,
     )
 }
 
