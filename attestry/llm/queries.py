@@ -16,6 +16,7 @@ from .secrets import scan_secrets
 from .token_files import token_digests
 from .toxicity import toxicity_scores
 from .warc import archived_pages
+from .whitening import whitened
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,12 +74,16 @@ def op12_token_ids(spark: SparkSession, sf_dir: str, tokenizer: str | None = Non
     return token_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer or public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality, op2_suffix_dedup, op3_source_mixing, op4_ngram_jaccard, op5_decontamination, op6_toxicity, op7_warc,
         op8_exact_dedup, op9_secret_scan, op10_lm_scoring, op11_collocations,
-        op12_token_ids,
+        op12_token_ids, op13_whitening,
     )
 }
 
