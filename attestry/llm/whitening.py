@@ -4,7 +4,7 @@ The driver holds the basis (dimensions by steps) and asks for V Q, where V is th
 multiply their rows with the block Q and add up, Spark adds the tasks' sums. Every new block is orthogonalised against the
 whole basis, twice. A block that breaks down (nothing new in some direction) is filled up with random directions
 orthogonal to the basis, so that equal eigenvalues are found too. It ends when the residuals of all wanted pairs are small
-against the largest eigenvalue, or when the basis spans the space.
+against the largest eigenvalue and stay so after a restart from random directions, or when the basis spans the space.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from .shared import bound_batches, keep
 
 #: Components that are wanted at most, columns of a block, and residual at which a pair has converged, against the largest eigenvalue.
 COMPONENTS, WIDTH, RESIDUAL = 32, 8, 1e-14
+#: Further steps from a random block, after the pairs have converged: an eigenvalue of more copies than a block is wide shows there.
+CHECKS = 3
 #: Eigenvalues below this share of the largest one are zero but for rounding.
 ZERO = 1e-12
 SCALE, SHIFT = 64, 1_000_000
@@ -35,6 +37,7 @@ def lanczos(product: Callable[[np.ndarray], np.ndarray], dims: int, wanted: int,
     wanted = min(wanted, dims)
     basis, image = np.zeros((dims, 0)), np.zeros((dims, 0))
     block = rng.standard_normal((dims, min(width, dims)))
+    steady, more = None, 0
     while True:
         new = _orthonormal(block, basis, min(width, dims - basis.shape[1]), rng)
         of = product(new)
@@ -44,10 +47,16 @@ def lanczos(product: Callable[[np.ndarray], np.ndarray], dims: int, wanted: int,
         order = np.argsort(-values)[:wanted]
         values, vectors = values[order], vectors[:, order]
         rest = np.linalg.norm(image @ vectors - (basis @ vectors) * values, axis=0)
-        full = basis.shape[1] == dims
-        if full or len(order) == wanted and (rest <= residual * max(values[0], 0)).all():
+        found = len(order) == wanted and (rest <= residual * max(values[0], 0)).all()
+        if found and steady is not None and np.abs(values - steady).max() <= 1e-12 * max(values[0], 0):
+            more -= 1
+        elif found:
+            steady, more = values, CHECKS
+        else:
+            steady = None
+        if basis.shape[1] == dims or found and not more:
             return values, np.linalg.qr(basis @ vectors)[0]
-        block = of
+        block = rng.standard_normal(block.shape) if found and more == CHECKS else of
 
 
 def _orthonormal(block: np.ndarray, basis: np.ndarray, width: int, rng: np.random.Generator) -> np.ndarray:

@@ -71,7 +71,7 @@ def test_empty_table(spark, name):
 
 
 def test_registry():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80), (1, 50)])
