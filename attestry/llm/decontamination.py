@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .kernels import mix, text_parts, words
-from .shared import bound_batches, keep, text_or_empty, without
+from .shared import keep, text_or_empty, within_bounds, without
 
 #: BM25 parameters; items of one index (a larger benchmark takes several); items of a block.
 K1, B, INDEX_ITEMS, BLOCK = 1.2, 0.75, 20_000, 16
+#: Words from one passage to the next, at least.
+LEAST_STRIDE = 32
 #: Share of an item's own score that a passage must reach; words of a gram; share of grams of question and of answer.
 SCORE, GRAM, OVERLAP = 0.5, 3, 0.5
 
@@ -65,15 +67,34 @@ def item_words(texts: list[str]) -> list[np.ndarray]:
     return [h[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
 
 
+def length_class(words: int) -> int:
+    """The stride of an item's passages: its number of words, rounded up to a power of two, LEAST_STRIDE at least."""
+    return max(LEAST_STRIDE, 1 << (words - 1).bit_length())
+
+
+def build_indexes(ids: list, item_hashes: list[np.ndarray], terms: np.ndarray, df: np.ndarray, docs: int) -> list[Index]:
+    """An index for each class of lengths: what one item finds does not depend on the lengths of the others."""
+    by: dict[int, list[int]] = {}
+    for i, h in enumerate(item_hashes):
+        by.setdefault(length_class(len(h)), []).append(i)
+    out = []
+    for own in by.values():
+        hashes = [item_hashes[i] for i in own]
+        mine = np.unique(np.concatenate(hashes))
+        out.append(build_index([ids[i] for i in own], hashes, mine, df[np.searchsorted(terms, mine)], docs))
+    return out
+
+
 def build_index(ids: list, item_hashes: list[np.ndarray], terms: np.ndarray, df: np.ndarray, docs: int) -> Index:
-    """df: in how many of the `docs` training documents each term occurs."""
+    """df: in how many of the `docs` training documents each term occurs. Items are of one class of lengths, whose stride
+    stands for their mean length."""
     idf = np.log1p((docs - np.minimum(df, docs) + 0.5) / (df + 0.5))
-    mean = np.mean([len(h) for h in item_hashes]) if item_hashes else 1.0
+    stride = length_class(max(map(len, item_hashes), default=1))
     its, ws, rest, post = [], [], np.zeros(len(ids)), []
     for i, h in enumerate(item_hashes):
         t, tf = np.unique(h, return_counts=True)
         no = np.searchsorted(terms, t)
-        w = idf[no] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(h) / mean))
+        w = idf[no] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(h) / stride))
         w = w / (SCORE * w.sum())
         its.append(no)
         ws.append(w)
@@ -94,7 +115,6 @@ def build_index(ids: list, item_hashes: list[np.ndarray], terms: np.ndarray, df:
     block_rest = np.zeros(len(ids) // BLOCK + 1)
     np.maximum.at(block_rest, np.arange(len(ids)) // BLOCK, rest)
     parts = [item_grams(h) for h in item_hashes]
-    stride = max([32, *map(len, item_hashes)])
     return Index(ids, terms, its, ws, rest, np.searchsorted(term, every), item, p[2], np.searchsorted(bt, every), bb, top, block_rest, parts, stride)
 
 
@@ -180,20 +200,20 @@ def _document_counts(rows: DataFrame, terms: np.ndarray) -> np.ndarray:
     return out
 
 
+@within_bounds
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """One row for each document and item whose question and answer it repeats: doc_id, text_hash, item_id, word_start
     (first word of the best passage), score (share of the item's own BM25 score), question_overlap, answer_overlap.
 
-    An item's question is the first half of its words, its answer the rest; a passage repeats it if it reaches SCORE of
-    the item's score and OVERLAP of the word grams of both. An item of fewer than 2 * GRAM words is repeated by its whole
+    An item's question is the first half of its words, its answer the rest; a passage, of two to four times the item's words
+    (2 * LEAST_STRIDE at least), repeats it if it reaches SCORE of the item's score and OVERLAP of the word grams of both. An item of fewer than 2 * GRAM words is repeated by its whole
     run of words only, even by a single word. Whole texts are searched, A-Z lower-cased. Null or blank
     texts and items match nothing; null ids are ids. Of rows that repeat doc_id and text, or items that repeat item_id,
     the best match is kept. An empty table gives an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
-    bound_batches(spark)
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
     total = rows.count()
     kinds = dict(docs.dtypes)[doc_id], dict(benchmark.dtypes)[item_id]
@@ -205,17 +225,18 @@ def contaminated(
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).orderBy("item_id", "text").toArrow()
         hashes = item_words(own["text"].to_pylist())
         terms = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
-        index = build_index(own["item_id"].to_pylist(), hashes, terms, _document_counts(rows, terms), max(1, total))
-        shared = spark.sparkContext.broadcast(index)
+        ids = own["item_id"].to_pylist()
+        # an item's number takes the place of its id, which may be null
+        indexes = build_indexes(list(range(len(ids))), hashes, terms, _document_counts(rows, terms), max(1, total))
+        shared = spark.sparkContext.broadcast(indexes)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
             for whole in batches:
                 for batch in text_parts(whole):
                     h, first, _, _ = words(batch.column("text"))
-                    if not len(h) or not len(index.terms):
+                    if not len(h):
                         continue
-                    found = [x for x in search(index, h, first) if min(x[4:]) >= OVERLAP]
+                    found = [(x[0], index.ids[x[1]], *x[2:]) for index in shared.value for x in search(index, h, first) if min(x[4:]) >= OVERLAP]
                     if found:
                         r, i, start, score, q, a = map(list, zip(*found, strict=True))
                         yield pa.RecordBatch.from_arrays(
@@ -226,7 +247,7 @@ def contaminated(
         hits = rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
             run, f"doc_id {kinds[0]}, text_hash long, item_no long, word_start long, score double, question_overlap double, answer_overlap double"
         )
-        names = spark.createDataFrame(list(enumerate(index.ids)), f"item_no long, item_id {kinds[1]}")
+        names = spark.createDataFrame(list(enumerate(ids)), f"item_no long, item_id {kinds[1]}")
         hits = keep(hits.join(F.broadcast(names), "item_no"), "hits")
         out = out.unionByName(hits)
     best = F.max(F.struct("score", -F.col("word_start"), "question_overlap", "answer_overlap")).alias("m")

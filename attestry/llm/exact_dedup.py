@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .mapped import RepeatFilter, repeat_filter
-from .shared import bound_batches, join_groups, keep, text_or_empty, unused
+from .shared import join_groups, keep, text_or_empty, unused, within_bounds
 
 def suspect(column: Column, made: RepeatFilter) -> Column:
     """Whether a hash may repeat; only the hashes go to Python."""
@@ -30,6 +30,7 @@ def digest_of(text: str) -> Column:
     return F.sha2(text_or_empty(text), 256)
 
 
+@within_bounds
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256. Of equal texts the largest doc_id stays.
 
@@ -38,7 +39,6 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     null doc_id never stays beside a non-null one. Other columns of docs are ignored. An empty table gives an empty
     result.
     """
-    bound_batches(docs.sparkSession)
     prints = docs.select(F.col(doc_id).alias("doc_id"), digest_of(text).alias("text_sha256")).withColumn("h", F.xxhash64("text_sha256"))
     prints = keep(prints, "prints")
     rows = prints.count()
@@ -56,13 +56,13 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return alone.unionByName(found)
 
 
+@within_bounds
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the rows that exact_dedup drops; of rows that repeat doc_id and text one stays.
 
     Rows whose text occurs once pass straight through; of the others the copies that stay are found by digest first,
     so a text that a third of all rows have is not sent to one task.
     """
-    bound_batches(docs.sparkSession)
     key, sha, row = unused(docs, "hash", "sha", "row")
     hashed = docs.withColumn(sha, digest_of(text))
     prints = keep(hashed.select(F.xxhash64(sha).alias("h")), "prints")

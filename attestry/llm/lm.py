@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .kernels import text_parts, words
 from .mapped import pack, unpack
-from .shared import bound_batches, bucket_of, keep, map_file, new_path, open_shared, text_or_empty
+from .shared import bucket_of, keep, map_file, new_path, open_shared, text_or_empty, within_bounds
 
 #: Hashes of the end of a text, which is a token, and of its start, which is only a context.
 END, START = np.uint64(0x5DEECE66D1CE4E5B), np.uint64(0x9E3779B97F4A7C15)
@@ -255,6 +255,7 @@ def language_model(rows: DataFrame, folder: str | None = None) -> Model:
     return train(rows, size, folder or new_path(rows.sparkSession, "lm"))
 
 
+@within_bounds
 def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 10, held_out: int = 0) -> DataFrame:
     """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
@@ -263,7 +264,6 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds
     for itself. With no training text all words are unknown and the model is uniform. An empty table gives an empty
     result; other columns are ignored.
     """
-    bound_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[doc_id]
     aside = F.coalesce(bucket_of(F.col(doc_id), "", folds) == held_out, F.lit(False))
     rows = docs.select(F.col(doc_id).alias("doc_id"), aside.alias("held_out"), text_or_empty(text).alias("text"))

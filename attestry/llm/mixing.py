@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .shared import bound_batches, keep, text_or_empty
+from .shared import keep, text_or_empty, within_bounds
 
 #: The Weyl step nearest the golden ratio modulo 2**31; products of two 31-bit numbers fit a long.
 MODULUS, GOLDEN = 1 << 31, 1327217885
@@ -106,6 +106,7 @@ def slot_schedule(targets: DataFrame, block: int) -> DataFrame:
     )
 
 
+@within_bounds
 def mix_pieces(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = 256,
     weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7,
@@ -119,7 +120,6 @@ def mix_pieces(
     Null or blank text has size 0. Null sources are one source. Rows that repeat a doc_id are taken as they stand,
     each with its own words. An empty table gives an empty result. Other columns are ignored.
     """
-    bound_batches(docs.sparkSession)
     sized = keep(
         docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size")).withColumn("row", F.monotonically_increasing_id()), "sizes"
     )

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .kernels import mix, shingles, text_parts, words
 from .mapped import key_files, repeat_filter
-from .shared import bound_batches, components, keep, text_or_empty, without
+from .shared import components, keep, text_or_empty, within_bounds, without
 
 #: A shingle of so many documents, or of this share of them, is frequent: it stands last in the global order.
 FREQUENT, FREQUENT_PART = 50, 4096
@@ -369,6 +369,7 @@ def _sizes(a: str, b: str, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+@within_bounds
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, and text_hash.
 
@@ -378,7 +379,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     are documents of their own; a null doc_id is no component_id unless all of the component's are null. An empty
     table gives an empty result; other columns are ignored.
     """
-    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
     rows = rows.withColumn("text_hash", F.xxhash64("text")).withColumn("node", F.xxhash64("doc_id", "text"))
     often = frequent_shingles(rows, k, rows.count())

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .kernels import mix, raw, runs, span_hashes, text_parts
-from .shared import bound_batches, keep
+from .shared import keep, within_bounds
 
 #: Least occurrences of a phrase, most words of one, and phrases that are returned for each lang.
 LEAST, LONGEST, TOP = 100, 5, 2000
@@ -225,12 +225,12 @@ def _only(table: DataFrame, what: str) -> DataFrame:
     return table
 
 
+@within_bounds
 def phrase_counts(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """(words, phrases): words (lang, word, id, n) are all that occur; phrases (id, parent, last, n, words) are those of 2 to
     `longest` words with n >= least; `words` has the ids of their words in order. Counts are exact: filters only leave out
     what is certainly rarer."""
     spark = docs.sparkSession
-    bound_batches(spark)
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     words = rows.mapInArrow(_vocabulary, "lang string, word string, id long, n long").groupBy("lang", "word", "id").agg(F.sum("n").alias("n"))
     words = _only(keep(words, "words"), "words")

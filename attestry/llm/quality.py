@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .kernels import raw, shingles, text_parts, words
-from .shared import bound_batches, bucket_of, keep, text_or_empty
+from .shared import bucket_of, keep, text_or_empty, within_bounds
 
 #: Share of a class covariance that is shrunk to its diagonal, and the least variance.
 SHRINK, FLOOR = 0.1, 1e-3
@@ -136,6 +136,7 @@ def fitted(rows: DataFrame, labels: DataFrame, doc_id: str, label: str, folds: i
     return Discriminant(_moments(rows.join(known, "doc_id")))
 
 
+@within_bounds
 def quality_scores(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality",
     folds: int = 3, held_out: int = 1,
@@ -147,7 +148,6 @@ def quality_scores(
     scored each for itself. A null doc_id is never labelled or held out. Without two rows of each class the score is the
     share of label 1, and 0.5 without labels. An empty table gives an empty result; other columns are ignored.
     """
-    bound_batches(docs.sparkSession)
     rows = keep(document_statistics(docs, doc_id, text), "statistics")
     model = fitted(rows, labels, doc_id, label, folds, held_out)
 
@@ -163,12 +163,12 @@ def quality_scores(
     )
 
 
+@within_bounds
 def keep_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """docs without the documents that the classifier rejects (score below 0.5); null text counts as empty.
 
     No document is shuffled, and only texts go to Python, which sends a verdict back.
     """
-    bound_batches(docs.sparkSession)
     model = fitted(document_statistics(docs, doc_id, text), labels, doc_id, label, 3, 1)
 
     @F.pandas_udf("boolean")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .kernels import mix, powers, text_parts, words
 from .mapped import KeyFiles, key_files
-from .shared import bound_batches, keep, text_or_empty
+from .shared import keep, text_or_empty, within_bounds
 
 #: Least words of a passage that must be found; words of a gram; grams of a window.
 LEAST, GRAM, WINDOW = 50, 20, 16
@@ -203,6 +203,7 @@ def shared_keys(rows: DataFrame) -> DataFrame:
     return keep(counts.where("number < hi").drop("hi"), "shared")
 
 
+@within_bounds
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each repeated passage of a document: doc_id, start_word, end_word (exclusive), n_words, stays.
 
@@ -214,7 +215,6 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     doc_id and text are one document and do not repeat each other; those that share only a doc_id are documents of
     their own. An empty table gives an empty result; other columns are ignored.
     """
-    bound_batches(docs.sparkSession)
     rows = _texts(docs, doc_id, text)
     shared = shared_keys(rows)
     found = keep(hits(rows, key_files(shared)).distinct(), "hits")
@@ -232,6 +232,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     return out.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "stays")
 
 
+@within_bounds
 def drop_repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the words of repeated stretches cut from all texts but one.
 
@@ -239,7 +240,6 @@ def drop_repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str =
     of those that have it, but for words that it shares with a stretch that stays elsewhere. What stands between the
     words that are left stays as it is. Null texts stay null; rows that repeat doc_id and text are cut alike.
     """
-    bound_batches(docs.sparkSession)
     shared = key_files(shared_keys(_texts(docs, doc_id, text)))
 
     @F.pandas_udf("string")

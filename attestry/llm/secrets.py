@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import bound_batches, keep
+from .shared import keep, within_bounds
 
 # The base kinds, their patterns and the least length of what each must hold.
 KINDS = ("assign", "access", "hex")
@@ -21,15 +21,15 @@ _LETTERS = "A-Za-z0-9"
 #: Weak candidates. Alone each of them is common in harmless text; they count only beside their complement.
 WEAK = {
     "ident": re.compile(
-        rf"""(?<![{_LETTERS}])(?:A(?:KI|SI|RO|ID)A[A-Z0-9]{{8,}}|(?i:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20{{0,4}}[:=]\x20{{0,4}}["']?[A-Za-z0-9@._-]{{3,}})""",
+        rf"""(?<![{_LETTERS}])(?:A(?:KI|SI|RO|ID)A[A-Z0-9]{{8,}}|(?i:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{{3,}})""",
         re.A,
     ),
     "key": re.compile(
-        rf"""(?<![{_LETTERS}])(?:(?:pwd|pass|credential|private_?key|secret|token|password|passwd|api_?key)["']?\x20{{0,4}}[:=]\x20{{0,4}}["']?[A-Za-z0-9+/_.=-]{{4,}}|[0-9a-f]{{16,31}}(?![{_LETTERS}]))""",
+        rf"""(?<![{_LETTERS}])(?:(?:pwd|pass|credential|private_?key|secret|token|password|passwd|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{{4,}}|[0-9a-f]{{16,31}}(?![{_LETTERS}]))""",
         re.I | re.A,
     ),
     "endpoint": re.compile(
-        rf"""(?<![{_LETTERS}])(?:(?i:[a-z][a-z0-9+.-]{{1,9}})://[^\s"'<>]{{3,}}|arn:aws:[a-z0-9:/_-]{{3,}}|(?i:host|server|endpoint)["']?\x20{{0,4}}[:=]\x20{{0,4}}["']?[A-Za-z0-9.-]{{3,}})""",
+        rf"""(?<![{_LETTERS}])(?:(?i:[a-z][a-z0-9+.-]{{1,9}})://[^\s"'<>]{{3,}}|arn:aws:[a-z0-9:/_-]{{3,}}|(?i:host|server|endpoint)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{{3,}})""",
         re.A,
     ),
 }
@@ -111,13 +111,13 @@ def linked_spans(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     return found.where(wanted).select("row", "kind", "start", "end")
 
 
+@within_bounds
 def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: int = SCOPE) -> DataFrame:
     """One row a document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, and n_linked (spans added by linking).
 
     Positions are code points, ends exclusive. Whole texts are read. Null text counts as empty: no spans, and the
     digest of the empty string. Rows that repeat a doc_id are scanned each for itself. Other columns are ignored.
     """
-    bound_batches(docs.sparkSession)
     scanned = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
         _scan, f"doc_id {dict(docs.dtypes)[doc_id]}, n_assign long, n_access long, n_hex long, base_sha256 string, base {_SPANS}, weak {_SPANS}"
     )

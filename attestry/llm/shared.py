@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +42,47 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bound_batches(spark: SparkSession, most: int = 2 << 20, rows: int = 512) -> None:
+_UNITS = {"": 1, "b": 1, **{u + e: 1 << 10 * i for i, u in enumerate("kmgtp", 1) for e in ("", "b")}}
+
+
+def byte_size(value: str) -> int:
+    """A size as Spark's settings write it: a number, with a unit or none."""
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([a-z]*)\s*", value.lower()).groups()
+    return int(number) * _UNITS[unit]
+
+
+def set_bounds(spark: SparkSession, most: int = 2 << 20, rows: int = 512) -> dict[str, str]:
     """Bounds what is held of long texts at once: `most` bytes in an Arrow batch to Python, `rows` rows in one that the
-    Parquet reader makes. Settings that are lower already stay."""
-    for name, value in (("spark.sql.execution.arrow.maxBytesPerBatch", most), ("spark.sql.parquet.columnarReaderBatchSize", rows)):
-        if int(spark.conf.get(name).removesuffix("b")) > value:
+    Parquet reader makes. Lower settings stay. Returns the settings as they were; for a session of one's own."""
+    settings = {"spark.sql.execution.arrow.maxBytesPerBatch": most, "spark.sql.parquet.columnarReaderBatchSize": rows}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        if byte_size(before[name]) > value:
             spark.conf.set(name, str(value))
+    return before
+
+
+@contextmanager
+def bounded(spark: SparkSession) -> Iterator[None]:
+    """set_bounds while it lasts; all settings are put back afterwards."""
+    before = set_bounds(spark)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def within_bounds(operator):
+    """Runs an operator on a DataFrame within `bounded`: what it writes on the way is bounded so. The plan that it returns
+    runs later, under the session's own settings."""
+
+    @wraps(operator)
+    def run(df: DataFrame, *args, **options):
+        with bounded(df.sparkSession):
+            return operator(df, *args, **options)
+
+    return run
 
 
 def unused(docs: DataFrame, *names: str) -> list[str]:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .kernels import text_parts
-from .shared import bound_batches, keep, new_path, open_shared
+from .shared import keep, new_path, open_shared, within_bounds
 
 MAGIC = b"S8BWORD1"
 BLOCK = 512
@@ -262,6 +262,7 @@ class WordCoder:
         return ids, counts
 
 
+@within_bounds
 def write_tokens(
     docs: DataFrame, tokenizer: str, folder: str, doc_id: str = "doc_id", text: str = "text", end: int | None = 1,
 ) -> DataFrame:
@@ -272,8 +273,6 @@ def write_tokens(
     one range hot. Null ids come first. Null texts are empty: such a document has the end id only. A task streams its range
     through one file; a lost task writes another one, and only the file of the task that ended well is listed.
     """
-    spark = docs.sparkSession
-    bound_batches(spark)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

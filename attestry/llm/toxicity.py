@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .kernels import mix, raw, runs, span_hashes, text_parts
-from .shared import bound_batches, bucket_of, keep, text_or_empty
+from .shared import bucket_of, keep, text_or_empty, within_bounds
 
 # What a written character may stand for, besides itself if it is a letter.
 READINGS = {
@@ -223,6 +223,7 @@ def evidence(row: np.ndarray, bucket: np.ndarray, weights: np.ndarray, rows: int
     return out
 
 
+@within_bounds
 def toxicity_scores(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
     folds: int = 5, held_out: int = 0, most_labels: int = 100_000,
@@ -236,7 +237,6 @@ def toxicity_scores(
     score. Rows that repeat a doc_id are scored each for itself. A null doc_id is never labelled or held out. Without
     labels all scores are the prior, below 0.5. An empty table gives an empty result; other columns are ignored.
     """
-    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
     model = letter_model(rows)
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("long").alias("label")).where("label in (0, 1) and doc_id is not null")

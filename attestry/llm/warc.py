@@ -16,7 +16,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import bound_batches, join_groups, keep, new_path, open_shared
+from .shared import join_groups, keep, new_path, open_shared, within_bounds
 
 # Fixed values of the seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -138,10 +138,10 @@ def payload_kinds(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     )
 
 
+@within_bounds
 def write_archives(pages: DataFrame, folder: str | None = None, **columns: str) -> DataFrame:
     """Writes a record for each row and returns the index: page_id, bundle, frame, start, length. No page is shuffled
     while the groups of copies can be broadcast; a task writes its rows in bundles of BUNDLE_BYTES."""
-    bound_batches(pages.sparkSession)
     rows = payload_kinds(pages, **columns)
     folder = folder or new_path(pages.sparkSession, "warc")
     kind = dict(rows.dtypes)["page_id"]

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import bound_batches, keep
+from .shared import keep, within_bounds
 
 #: Components that are wanted at most, columns of a block, and residual at which a pair has converged, against the largest eigenvalue.
 COMPONENTS, WIDTH, RESIDUAL = 32, 8, 1e-14
@@ -126,6 +126,7 @@ def _deviations(x: np.ndarray, n: int, total: list[int]) -> list[int]:
     return out
 
 
+@within_bounds
 def whitened(
     vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", wanted: int = COMPONENTS, width: int = WIDTH,
 ) -> DataFrame:
@@ -141,7 +142,6 @@ def whitened(
     or of copies of one, gives no rows, as an empty table does. Rows that repeat an id count each. Other columns are ignored.
     """
     spark = vectors.sparkSession
-    bound_batches(spark)
     entry = F.col("v")
     rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
     good = F.forall(entry, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))

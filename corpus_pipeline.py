@@ -1,4 +1,7 @@
-"""A training corpus from the table of documents, stage by stage. Each stage is written as Parquet and read again."""
+"""A training corpus from the table of documents, stage by stage. Each stage is written as Parquet and read again.
+
+Stages read and return whole documents, so the pipeline bounds the batches of its session (`set_bounds`) for good.
+"""
 
 from __future__ import annotations
 
@@ -9,26 +12,31 @@ from attestry.llm.exact_dedup import drop_copies
 from attestry.llm.mixing import mix_documents
 from attestry.llm.near_dup import drop_near_duplicates
 from attestry.llm.quality import keep_quality
-from attestry.llm.shared import keep
+from attestry.llm.shared import keep, set_bounds
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    set_bounds(spark)
     return keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    set_bounds(spark)
     return drop_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    set_bounds(spark)
     return drop_near_duplicates(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    set_bounds(spark)
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    set_bounds(spark)
     return mix_documents(docs)
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 
 import numpy as np
 import pyarrow as pa
@@ -228,3 +229,83 @@ def test_components(spark, monkeypatch, chunk):
         top[q] = p
     got = {x.node: x.label for x in shared.components(spark.createDataFrame(edges, "a long, b long").repartition(6)).collect()}
     assert all(got[x] == find(x) for x in got) and set(got) == {x for a, b in edges if a != b for x in (a, b)}
+
+
+def test_items_do_not_depend_on_each_other(spark):
+    """Parts of an item, scattered over a long text, are no repeat of it, whatever other items there are."""
+    item = [f"part{i}" for i in range(12)]
+    filler = [f"filler{i}" for i in range(2700)]
+    scattered = list(filler)
+    for i in range(0, 12, 3):
+        scattered[200 + 200 * i : 203 + 200 * i] = item[i : i + 3]
+    rows = [(1, " ".join(scattered), "s"), (2, "x " * 40 + " ".join(item), "s")]
+    long = (2, " ".join(f"other{i}" for i in range(4000)))
+    found = [
+        sorted((r.doc_id, r.item_id, r.score, r.word_start) for r in decontamination.contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect())
+        for items in ([(1, " ".join(item))], [(1, " ".join(item)), long])
+    ]
+    assert found[0] == found[1] and [x[:2] for x in found[0]] == [(2, 1)]
+
+
+def test_near_matches_of_items(spark):
+    """An item with some words changed is found as long as its rarest words and most grams of both halves are there."""
+    rng = random.Random(8)
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(rng.randrange(20, 300)))) for i in range(30)]
+    rows = []
+    for i, text in items:
+        words = text.split()
+        for share in (0.03, 0.6):
+            changed = [w if rng.random() >= share else "changed" for w in words]
+            rows.append((1000 * int(share > 0.5) + i, " ".join(["before"] * rng.randrange(400) + changed + ["after"] * 50), "s"))
+    found = {(r.doc_id, r.item_id) for r in decontamination.contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    grams = lambda x: {tuple(x[j : j + 3]) for j in range(len(x) - 2)}
+    for doc_id, text, _ in rows:
+        w, have = dict(items)[doc_id % 1000].split(), grams(text.split())
+        halves = w[: (len(w) + 1) // 2], w[(len(w) + 1) // 2 :]
+        least = min(len(grams(x) & have) / len(grams(x)) for x in halves)
+        if abs(least - 0.5) > 1e-9:
+            assert ((doc_id, doc_id % 1000) in found) == (least > 0.5), least
+    assert all(a % 1000 == b for a, b in found)
+
+
+def test_separators_of_any_length(spark):
+    rows = [(1, "user:" + " " * 5 + "bob pass=x1y2z", "s"), (2, "login" + " " * 90 + "= carol host :  h.example.org pwd" + " " * 30 + ":secretive", "s")]
+    got = {r.doc_id: r for r in secrets.scan_secrets(frame(spark, rows)).collect()}
+    assert got[1].n_linked == 2 and got[1].spans.startswith("ident:0:13,key:14:")
+    assert got[2].n_linked == 3
+
+
+def plain_links(text, scope=secrets.SCOPE):
+    """The weak candidates of a text whose complement stands within scope code points, by comparing all with all."""
+    base = secrets.base_spans(text)
+    role = {"assign": "key", "access": "ident", "hex": "key"}
+    weak = [(k, m.start(), m.end()) for k, p in secrets.WEAK.items() for m in p.finditer(text) if not any(s <= m.start() and m.end() <= e for s, _, e in base)]
+    every = [(role[secrets.KINDS[k]], s, e) for s, k, e in base] + weak
+    near = lambda a, kind: any(k == kind and s <= a[2] + scope and e >= a[1] - scope for k, s, e in every)
+    return sorted(w for w in weak if (near(w, "key") if w[0] == "ident" else near(w, "ident") if w[0] == "key" else near(w, "ident") and near(w, "key")))
+
+
+def test_links_of_documents(spark, pairs):
+    rng = random.Random(4)
+    stock = ["user: bob ", "pass=x1y2z ", "https://h.example.org/x ", "host = db.example.org ", "AKIA" + "Q" * 17 + " ", "0123456789abcdef0 ", "login=" + "z" * 30 + " ", "plain words here "]
+    made = [(10**6 + i, "".join(rng.choice(stock) + "f " * rng.randrange(0, 90) for _ in range(rng.randrange(1, 25)))) for i in range(60)]
+    rows = [*pairs, *made]
+    linked = 0
+    for r in secrets.scan_secrets(frame(spark, [(*x, "s") for x in rows])).collect():
+        text = dict(rows)[r.doc_id] or ""
+        want = [f"{k}:{s}:{e}" for k, s, e in plain_links(text)]
+        base = {f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in secrets.base_spans(text)}
+        assert sorted(x for x in r.spans.split(",") if x and x not in base) == sorted(want)
+        linked += len(want)
+    assert linked > 100
+
+
+def test_settings_are_put_back(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for value in ("64m", "1kb", "67108864b"):
+            spark.conf.set(name, value)
+            assert len(secrets.scan_secrets(frame(spark)).collect()) and spark.conf.get(name) == value
+    finally:
+        spark.conf.set(name, before)
