@@ -6,7 +6,7 @@ reason, log_file and an order within the file.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 #: Rows that the detector looks back on; retries, factor and counts at which it flags.
 WINDOW, RETRIES, SPIKE, SURGE, BURST, SCOPES = 50, 2, 2.0, 0.5, 3, 10
@@ -158,13 +158,46 @@ def danger_reason(flags: Column | None = None) -> Column:
     )
 
 
+# The fields of an event that a free-text search looks at, besides its metadata.
+SEARCHED = (
+    "event_type", "session_id", "request_id", "openai_response_id", "client_ip", "source_app", "frontend_session_id", "frontend_user_id", "frontend_chat_id",
+    "frontend_message_id", "user_query", "model_response", "reason", "threat_type", "prompt_baseline", "prompt_version_hash",
+)
+_STRING = r'("[^"\\]*+(?:\\.[^"\\]*+)*+")([,:]?)|([,:])'
+
+
+def spaced_json(value: Column) -> Column:
+    """A map, struct or VARIANT as JSON with a space after each comma and colon outside strings."""
+    marked = F.regexp_replace(F.to_json(value), _STRING, "$1$2$3\u0001")
+    return F.replace(F.replace(marked, F.lit('"\u0001'), F.lit('"')), F.lit("\u0001"), F.lit(" "))
+
+
+def says(events: DataFrame, text: str, columns: tuple[str, ...] | None = None, metadata: str = "frontend_metadata") -> Column:
+    """Whether a field of an event, or the JSON of its metadata, contains the text in either case; an empty text is in all."""
+    if not text:
+        return F.lit(True)
+    have = {f.name: f.dataType for f in events.schema.fields}
+    shown = [F.col(c).cast("string") for c in (SEARCHED if columns is None else columns) if c in have]
+    if columns is None and metadata in have:
+        meta = F.col(metadata)
+        if isinstance(have[metadata], T.StringType):
+            shown.append(meta)
+        else:
+            shown.append(F.when(F.size(meta) > 0, spaced_json(meta)) if isinstance(have[metadata], T.MapType) else spaced_json(meta))
+    hit = F.lit(False)
+    for c in shown:
+        hit = hit | F.coalesce(F.lower(c).contains(text.lower()), F.lit(False))
+    return hit
+
+
 def search(
-    events: DataFrame, limit: int = 100, danger_only: bool = False, text: str = "", columns: tuple[str, ...] = (),
+    events: DataFrame, limit: int = 100, danger_only: bool = False, text: str = "", columns: tuple[str, ...] | None = None,
     start: str = "", end: str = "", **exact,
 ) -> DataFrame:
     """Events that meet all conditions, the latest first, at most 1000: equality on event_type, substring otherwise.
 
-    An event without a readable timestamp is outside any bound. Timestamps are put in order as text.
+    `text` is looked for in SEARCHED and in the metadata, or in `columns`. An event without a readable timestamp is outside
+    any bound. Timestamps are put in order as text.
     """
     at = parsed_time(F.col("timestamp"))
     if start:
@@ -175,9 +208,7 @@ def search(
         events = events.where(F.col(name) == value if name == "event_type" else F.col(name).contains(value))
     if danger_only:
         events = events.where(F.col("danger_level") != "normal")
-    if text:
-        hit = [F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))).contains(text.lower()) for c in columns]
-        events = events.where(F.greatest(F.lit(False), *hit))
+    events = events.where(says(events, text, columns))
     return events.orderBy(F.desc("timestamp"), "log_file", "position").limit(max(1, min(limit, 1000)))
 
 
@@ -289,8 +320,11 @@ def availability(probes: DataFrame, tail: int = 3, by: str = "series") -> DataFr
 
 
 def dependency_uptime(probes: DataFrame, by: str = "series") -> DataFrame:
-    """(series, dependency, probes, uptime_pct) of probes with a map per_dep from names to whether they answered."""
+    """(series, dependency, probes, uptime_pct) of probes with a map per_dep from names to whether they answered, or to
+    structs that say so in ok."""
     each = probes.select(by, F.explode("per_dep").alias("dependency", "up"))
+    if isinstance(each.schema["up"].dataType, T.StructType):
+        each = each.withColumn("up", F.col("up.ok"))
     return each.groupBy(by, "dependency").agg(F.count("*").alias("probes"), (F.avg(F.coalesce("up", F.lit(False)).cast("double")) * 100).alias("uptime_pct"))
 
 

@@ -15,6 +15,12 @@ HEADERS = {
     "frontend_chat_id": ("x-openwebui-chat-id", "x-chat-id", "x-conversation-id"), "frontend_user_id": ("x-openwebui-user-id",),
     "frontend_message_id": ("x-openwebui-message-id", "x-message-id"),
 }
+# The headers of a request that are kept, for they say where it came from.
+SOURCE_HEADERS = (
+    "x-request-id", "x-correlation-id", "x-session-id", "x-openwebui-session-id", "x-openwebui-chat-id", "x-openwebui-user-id", "x-openwebui-user-name",
+    "x-openwebui-user-email", "x-openwebui-user-role", "x-openwebui-message-id", "x-chat-id", "x-conversation-id", "x-message-id", "origin", "referer",
+    "user-agent", "x-forwarded-for", "x-real-ip",
+)
 #: Statuses of a response that make an audit record of a failed access.
 REFUSED = (401, 403, 503)
 LONGEST_HEADER, LONGEST_ALERT = 300, 200
@@ -30,7 +36,8 @@ def first_header(headers: Column, names: tuple[str, ...]) -> Column:
 
 
 def request_context(requests: DataFrame, made: Column | None = None) -> DataFrame:
-    """requests (headers) with ids of HEADERS and source_app: openwebui, http_api with any header, or unknown.
+    """requests (headers) with ids of HEADERS, frontend_metadata (SOURCE_HEADERS that are not empty, cut to LONGEST_HEADER) and
+    source_app: openwebui, http_api where there is such a header, or unknown.
 
     `made` is the request_id of requests that name none. Ids keep letters, digits and _.:- only, 96 characters at most.
     """
@@ -39,12 +46,14 @@ def request_context(requests: DataFrame, made: Column | None = None) -> DataFram
     found = {k: first_header(F.col("headers"), names) for k, names in HEADERS.items()}
     own = safe_id(found["request_id"])
     found["request_id"] = F.when(own != "", own).otherwise(safe_id(made if made is not None else F.lit("")))
-    short = F.transform_values("headers", lambda _, v: F.substring(v, 1, LONGEST_HEADER))
-    said = F.concat_ws(" ", *[F.try_element_at(short, F.lit(n)) for n in ("origin", "referer", "user-agent")])
+    known = F.map_filter("headers", lambda k, v: k.isin(*SOURCE_HEADERS) & (v != ""))
+    kept = F.coalesce(F.transform_values(known, lambda _, v: F.substring(v, 1, LONGEST_HEADER)), F.create_map().cast("map<string,string>"))
+    said = F.concat_ws(" ", *[F.try_element_at(kept, F.lit(n)) for n in ("origin", "referer", "user-agent")])
     app = (
-        F.when(F.exists(F.map_keys("headers"), lambda k: k.startswith("x-openwebui")) | F.lower(said).contains("openwebui"), "openwebui")
-        .when(F.size("headers") > 0, "http_api").otherwise("unknown")
+        F.when(F.exists(F.map_keys(kept), lambda k: k.startswith("x-openwebui")) | F.lower(said).contains("openwebui"), "openwebui")
+        .when(F.size(kept) > 0, "http_api").otherwise("unknown")
     )
+    found["frontend_metadata"] = kept
     return requests.select("*", *[v.alias(k) for k, v in found.items()], app.alias("source_app"))
 
 

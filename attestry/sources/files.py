@@ -4,21 +4,57 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..operators.monitor import LOCAL, parsed_time
 from ..schemas import AUDIT_EVENT, GOLDEN, PROBE
 from ..streaming.fold import in_order
 
 
-def read_json_lines(spark: SparkSession, path: str | list[str], schema: StructType, glob: str | None = None) -> DataFrame:
-    """One row a well-formed line, with log_file; blank and malformed lines are skipped, absent fields are null."""
-    bad = StructType(list(schema.fields)).add("_bad", "string")
+def typed(v: Column, kind: T.DataType) -> Column:
+    """A VARIANT as a value of its own type, and null where it has another one.
+
+    Integers are JSON integers, and true and false count as 1 and 0; 12.0 is none. Any number is a double. A text is a JSON
+    string, or else the JSON of what stands there.
+    """
+    shape = F.schema_of_variant(v)
+    take = lambda as_type: F.try_variant_get(v, "$", as_type)
+    if isinstance(kind, T.StringType):
+        return F.when(shape == "STRING", take("string")).when(shape != "VOID", F.to_json(v))
+    if isinstance(kind, T.LongType):
+        return F.when(shape.isin("BIGINT", "BOOLEAN"), take("bigint"))
+    if isinstance(kind, T.DoubleType):
+        return F.when(shape.isin("BIGINT", "DOUBLE") | shape.startswith("DECIMAL"), take("double"))
+    if isinstance(kind, T.BooleanType):
+        return F.when(shape == "BOOLEAN", take("boolean"))
+    if isinstance(kind, T.ArrayType):
+        return F.when(shape.startswith("ARRAY"), F.transform(take("array<variant>"), lambda x: typed(x, kind.elementType)))
+    if isinstance(kind, T.MapType):
+        return F.when(shape.startswith("OBJECT"), F.transform_values(take("map<string,variant>"), lambda _, x: typed(x, kind.valueType)))
+    if isinstance(kind, T.StructType):
+        inner = [typed(F.try_variant_get(v, f"$.{f.name}", "variant"), f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(shape.startswith("OBJECT"), F.struct(*inner))
+    raise TypeError(f"no JSON type for {kind}")
+
+
+def parsed_lines(lines: DataFrame, schema: T.StructType) -> DataFrame:
+    """lines (value, and what else) as events: a row for each line that is one JSON object, with the fields of the schema in place
+    of value. A field of another type is null, and nothing else of its line; absent fields are null; of equal keys the last
+    counts. Blank lines, other JSON values and malformed lines are left out, and so is an object that repeats a key within a
+    value of its own.
+    """
+    loose = T.StructType([T.StructField(f.name, T.VariantType()) for f in schema.fields]).add("_bad", "string")
+    parsed = F.from_json("value", loose, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "allowSingleQuotes": "false"})
+    # from_json reads the first value of a line only; numbers that are none are no JSON, but are written by many loggers
+    alone = (F.json_array_length(F.concat(F.lit("["), "value", F.lit("]"))) == 1) | F.col("value").rlike("NaN|Infinity")
+    rows = lines.where(F.col("value").rlike(r"^\s*\{")).withColumn("_line", parsed).where(alone & F.col("_line").isNotNull() & F.col("_line._bad").isNull())
+    return rows.select(*[typed(F.col("_line")[f.name], f.dataType).alias(f.name) for f in schema.fields], *[c for c in lines.columns if c != "value"])
+
+
+def read_json_lines(spark: SparkSession, path: str | list[str], schema: T.StructType, glob: str | None = None) -> DataFrame:
+    """parsed_lines of files, with log_file."""
     reader = spark.read.option("pathGlobFilter", glob) if glob else spark.read
-    lines = reader.text(path).select("value", F.col("_metadata.file_name").alias("log_file")).where(F.trim("value") != "")
-    parsed = F.from_json("value", bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    return lines.select(parsed.alias("r"), "log_file").where("r is not null and r._bad is null").select("r.*", "log_file").drop("_bad")
+    return parsed_lines(reader.text(path).select("value", F.col("_metadata.file_name").alias("log_file")), schema)
 
 
 def read_audit(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,11 +69,16 @@ def log_date(column: str):
 def read_audit_lines(spark: SparkSession, folder: str) -> DataFrame:
     """(log_file, line_no, value): each line with its number in its file, from 1, blank ones counted.
 
-    A log file is one day of one service; it is read whole, and its lines are numbered in the order they stand.
+    A file is read in splits by several tasks: lines are numbered within their split first, and then by the number of
+    lines in the splits before it.
     """
-    files = spark.read.option("pathGlobFilter", "audit_*.jsonl").text(folder, wholetext=True)
-    lines = files.select(F.col("_metadata.file_name").alias("log_file"), F.posexplode(F.split("value", "\n")).alias("n", "value"))
-    return lines.select("log_file", (F.col("n") + 1).alias("line_no"), "value")
+    lines = spark.read.option("pathGlobFilter", "audit_*.jsonl").text(folder).select(
+        F.col("_metadata.file_name").alias("log_file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), "value"
+    )
+    splits = lines.groupBy("log_file", "split").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("log_file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.withColumn("before", before).drop("n")
+    return lines.join(splits, ["log_file", "split"]).select("log_file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line_no"), "value")
 
 
 def within_days(audit: DataFrame, now: str, days: int) -> DataFrame:

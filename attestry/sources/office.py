@@ -12,7 +12,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-_RTF = re.compile(r"\\u(-?\d+) ?\??|\\'([0-9a-fA-F]{2})|\\(par|line)\b ?|\\([\\{}])|(\{\\(?:\*|fonttbl|colortbl|stylesheet|info)[^{}]*(?:\{[^{}]*\}[^{}]*)*\})|\\[a-zA-Z]+-?\d* ?|[{}\r\n]")
+_RTF = re.compile(
+    r"\\uc(?P<count>\d+) ?|\\u(?P<unit>-?\d+) ?|\\'(?P<byte>[0-9a-fA-F]{2})|\\(?P<line>par|line)(?![a-zA-Z]) ?|\\(?P<sign>[\\{}])"
+    r"|\{\\(?:\*|fonttbl|colortbl|stylesheet|info)[^{}]*(?:\{[^{}]*\}[^{}]*)*\}|\\[a-zA-Z]+-?\d* ?|[{}\r\n]|(?P<text>[^\\{}\r\n]+)"
+)
 
 
 def docx_markdown(data: bytes) -> str:
@@ -31,16 +34,48 @@ def docx_markdown(data: bytes) -> str:
     return "\n\n".join(out)
 
 
-def rtf_text(data: bytes) -> str:
-    """The text of an RTF file: control words go, paragraphs end lines, escapes are decoded."""
+def _code_page(number: str | None) -> str:
+    name = f"cp{number or 1252}"
+    try:
+        "".encode(name)
+    except LookupError:
+        return "cp1252"
+    return name
 
-    def plain(m: re.Match) -> str:
-        code, byte, line, sign = m.group(1, 2, 3, 4)
-        if code:
-            return chr(int(code) % 65536)
-        return bytes.fromhex(byte).decode("cp1252", "replace") if byte else "\n" if line else sign or ""
 
-    return _RTF.sub(plain, data.decode("latin-1")).strip()
+def rtf_text(data: bytes) -> str:
+    """The text of an RTF file: control words go, paragraphs end lines, escapes are decoded. Bytes, escaped or plain, are
+    in the code page that the file names (cp1252 without one); after a \\u, as many fallbacks as \\uc says are left out."""
+    source = data.decode("latin-1")
+    page = re.search(r"\\ansicpg(\d+)", source)
+    page, fallbacks, left = _code_page(page[1] if page else None), 1, 0
+    out, held = [], bytearray()
+
+    def flush() -> None:
+        out.append(held.decode(page, "replace"))
+        held.clear()
+
+    for m in _RTF.finditer(source):
+        kind, said = m.lastgroup, m[m.lastgroup] if m.lastgroup else ""
+        if kind == "unit":
+            flush()
+            out.append(chr(int(said) % 65536))
+            left = fallbacks
+        elif kind == "count":
+            fallbacks = int(said)
+        elif kind == "byte":
+            if left:
+                left -= 1
+            else:
+                held.append(int(said, 16))
+        elif kind == "text":
+            held += said[left:].encode("latin-1")
+            left = max(0, left - len(said))
+        elif kind in ("line", "sign"):
+            held += b"\n" if kind == "line" else said.encode()
+            left = 0
+    flush()
+    return "".join(out).encode("utf-16", "surrogatepass").decode("utf-16", "replace").strip()
 
 
 def read_office(spark: SparkSession, folder: str) -> DataFrame:
