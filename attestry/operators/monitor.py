@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-#: Rows that the detector looks back on; retries, factor and counts at which it flags.
-WINDOW, RETRIES, SPIKE, SURGE, BURST, SCOPES = 50, 2, 2.0, 0.5, 3, 10
+from .detector import flagged_events
+
 SLOW_MS = 60_000
 
 
@@ -232,41 +232,13 @@ def perf_signals(events: DataFrame, baseline_ms: float | None = None) -> DataFra
     )
 
 
-def percent(rate: Column) -> Column:
-    """A rate in whole percent, halves to the even side."""
-    return F.concat(F.bround(rate * 100).cast("long"), F.lit("%"))
-
-
 def detector_flags(events: DataFrame) -> DataFrame:
-    """events with anomaly_flags of the detector, which starts anew with each file.
-
-    Every look back is a window over the rows of one log file in their order; a file is a day of one service.
-    """
-    file = Window.partitionBy("log_file", "q").orderBy("position")
-    q = is_type("query") & F.col("response_time_ms").isNotNull()
-    scoped = is_type("query") & (F.coalesce("scope_check", F.lit("")) != "")
-    rows = events.withColumns({"q": q, "scoped": scoped})
-    past = F.sort_array(F.collect_list("response_time_ms").over(file.rowsBetween(-WINDOW, -1)))
-    n = F.size(past)
-    tail = F.get(past, F.least(F.floor(n * 95 / 100), n - 1).cast("int"))
-    spike = F.col("q") & (n >= 5) & (tail > 0) & (F.col("response_time_ms") > SPIKE * tail)
-    rows = rows.withColumns({"spike": F.coalesce(spike, F.lit(False)), "tail": tail})
-    along = Window.partitionBy("log_file").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    scopes = F.least(F.sum(F.col("scoped").cast("long")).over(along), F.lit(WINDOW))
-    lately = Window.partitionBy("log_file", "scoped").orderBy("position").rowsBetween(1 - SCOPES, 0)
-    outside = F.sum(flag(F.col("scope_check") == "out_of_scope")).over(lately) / SCOPES
-    beyond = F.col("scoped") & (F.count("*").over(lately) == SCOPES) & (outside > SURGE)
-    refused = F.least(F.sum(is_type("rejection").cast("long")).over(along), F.lit(WINDOW))
-    alerts = F.sum(is_type("security_alert").cast("long")).over(along)
-    surge = is_type("rejection") & (scopes + refused >= 10) & (refused / (scopes + refused) > SURGE)
-    flags = F.array_compact(F.array(
-        F.when(F.col("spike"), F.concat(F.lit("latency_spike:"), F.col("response_time_ms"), F.lit("ms>2×p95("), F.col("tail"), F.lit("ms)"))),
-        F.when(surge, F.concat(F.lit("rejection_surge:"), percent(refused / (scopes + refused)), F.lit("_last"), scopes + refused))
-        .when(beyond, F.concat(F.lit("rejection_surge:"), percent(outside), F.lit(f"_last{SCOPES}"))),
-        F.when(is_type("query") & (F.col("retry_count") >= RETRIES), F.concat(F.lit("consecutive_retries:"), F.col("retry_count"))),
-        F.when(is_type("security_alert") & (alerts >= BURST), "security_alert_burst"),
-    ))
-    return rows.withColumn("anomaly_flags", flags).drop("q", "scoped", "spike", "tail")
+    """events with anomaly_flags of the detector, which starts anew with each file; see detector.flagged_events."""
+    found = flagged_events(events).select(F.col("log_file").alias("_file"), F.col("position").alias("_place"), F.col("anomaly_flags"))
+    same = F.col("log_file").eqNullSafe(F.col("_file")) & (F.col("position") == F.col("_place"))
+    flags = F.coalesce("anomaly_flags", F.array().cast("array<string>"))
+    rows = events.drop("anomaly_flags").join(found, same, "left")
+    return rows.withColumn("anomaly_flags", flags).drop("_file", "_place")
 
 
 def file_stats(flagged: DataFrame) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.monitor import BURST, RETRIES, SCOPES, SPIKE, SURGE, WINDOW
+from ..operators.detector import Events, detect
 from .fold import in_order, streamed
 
 
@@ -92,38 +96,19 @@ def escalations_batch(history: DataFrame, windows: int = 2) -> DataFrame:
 _ESCALATED = "series string, position long, level long, from_level long"
 
 
-def _detect(state, row):
-    """The detector's state: the last latencies, the last scopes, how many scopes, rejections and alerts it has seen."""
-    late, scopes, refused, alerts = state or ([], [], 0, 0)
-    flags, event = [], row.event_type
-    if event == "query":
-        ms = None if pd.isna(row.response_time_ms) else int(row.response_time_ms)
-        if ms is not None:
-            if len(late) >= 5:
-                tail = sorted(late)[min(len(late) * 95 // 100, len(late) - 1)]
-                if tail > 0 and ms > SPIKE * tail:
-                    flags.append(f"latency_spike:{ms}ms>2×p95({tail}ms)")
-            late = [*late, ms][-WINDOW:]
-        if row.scope_check:
-            scopes = [*scopes, row.scope_check][-WINDOW:]
-            rate = scopes[-SCOPES:].count("out_of_scope") / SCOPES
-            if len(scopes) >= SCOPES and rate > SURGE:
-                flags.append(f"rejection_surge:{rate:.0%}_last{SCOPES}")
-        if row.retry_count >= RETRIES:
-            flags.append(f"consecutive_retries:{row.retry_count}")
-    elif event == "security_alert":
-        alerts = min(alerts + 1, BURST)
-        flags += ["security_alert_burst"] * (alerts >= BURST)
-    elif event == "rejection":
-        refused = min(refused + 1, WINDOW)
-        total = len(scopes) + refused
-        if total >= 10 and refused / total > SURGE:
-            flags.append(f"rejection_surge:{refused / total:.0%}_last{total}")
-    return [late, scopes, refused, alerts], [(row.log_file, row.position, f) for f in flags]
-
-
 def detected(events: DataFrame) -> DataFrame:
-    """(log_file, position, flag): the detector over a stream; its batch twin is detector_flags. The state of a file holds
-    the last latencies and scopes only."""
-    rows = events.select("log_file", "position", "event_type", "response_time_ms", "scope_check", "retry_count")
-    return streamed(rows, "log_file", "position", _detect, "log_file string, position long, flag string")
+    """(log_file, position, flag): the detector over a stream; its batch twin is detector_flags. The rules are the same, and the
+    state of a file is what their series hold."""
+    rows = events.select("log_file", "position", "event_type", F.col("response_time_ms").cast("long").alias("response_time_ms"), "scope_check", F.col("retry_count").cast("long").alias("retry_count"))
+
+    def run(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = json.loads(state.get[0]) if state.exists else None
+        new = pd.concat(list(batches)).sort_values("position", kind="stable")
+        columns = {"event_type": pa.string(), "response_time_ms": pa.int64(), "scope_check": pa.string(), "retry_count": pa.int64()}
+        part = pa.RecordBatch.from_arrays([pa.array(new[c], t, from_pandas=True) for c, t in columns.items()], list(columns))
+        flags, held = detect(Events.of(part), held)
+        state.update((json.dumps(held),))
+        out = [(new["log_file"].iloc[i], new["position"].iloc[i], f) for i in sorted(flags) for f in flags[i]]
+        yield pd.DataFrame(out, columns=["log_file", "position", "flag"])
+
+    return rows.groupBy("log_file").applyInPandasWithState(run, "log_file string, position long, flag string", "state string", "append", GroupStateTimeout.NoTimeout)
