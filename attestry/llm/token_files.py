@@ -11,17 +11,18 @@ words); a trailer of five such numbers (words of all blocks with escapes, bytes
 from __future__ import annotations
 
 import io
+import os
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .kernels import text_parts
+from .kernels import raw, text_parts
 from .shared import keep, new_path, open_shared, within_bounds
 
 MAGIC = b"S8BWORD1"
@@ -33,12 +34,15 @@ _ESCAPE = 16
 #: Selector numbers are stored in 4 bits: the runs of 240 and 120 zeros share number 0, told apart by the word's low bit.
 _STORED = np.array([0, 0, *range(1, 15), 15], np.uint64)
 _FROM = np.array([0, *range(2, 16), _ESCAPE])
-#: Distinct words whose ids a worker remembers.
-REMEMBERED = 1 << 19
+_BITS = np.array([i.bit_length() for i in range(1 << 16)], np.uint8)
+#: Distinct pieces whose ids a worker remembers.
+REMEMBERED = 1 << 18
 
 
 def bit_lengths(ids: np.ndarray) -> np.ndarray:
     """Bits of each id, as bytes."""
+    if not len(ids) or ids.max() < 1 << 16:
+        return _BITS[ids.astype(np.uint16)]
     out = np.zeros(len(ids), np.uint8)
     for shift in (32, 16, 8, 4, 2, 1):
         big = ids >= (np.uint64(1) << np.uint64(shift))
@@ -201,31 +205,82 @@ class TokenFile:
         return decode(words, size, counts)[start - a * self.block :][:n]
 
 
-class WordCoder:
-    """The ids of whole texts, through the tokenizer's ids of their words.
+def _letters(piece: bytes) -> bool:
+    """Whether a piece is letters only, also after its normal form and lower case."""
+    text = piece.decode()
+    return text.isalpha() and unicodedata.is_normalized("NFC", text) and text.lower().isalpha()
 
-    It is for tokenizers whose normalizer and pre-tokenizer never look beyond white space and drop it (`word_bpe_49k`): the ids of a
-    text are then those of its words one after another, and a word is encoded once for all its places.
+
+class PieceCoder:
+    """The ids of whole texts, through the tokenizer's ids of their pieces.
+
+    It is for tokenizers whose normalizer and pre-tokenizer drop white space, keep letters and other signs apart, take digits
+    one by one and never look further (`word_bpe_49k`): the ids of a text are then those of its pieces one after another, and a
+    piece is encoded once for all its places. Texts are cut at white space, and between ASCII letters, digits and signs where no
+    contraction or added token can go over the cut; all else stays together, whatever its length.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = False
-        self.numbers: dict[str, int] = {}
+        kinds = np.full(256, 4, np.uint8)  # 0 space, 1 letter, 2 digit, 3 sign, 4 what is never cut at
+        for c in range(0x21, 0x7F):
+            kinds[c] = 1 if chr(c).isalpha() else 2 if chr(c).isdigit() else 3
+        kinds[[0x20, *range(0x09, 0x0E)]] = 0
+        kinds[ord("'")] = 4
+        for token in self.tokenizer.get_added_tokens_decoder().values():  # a sign beside a letter of an added token
+            for x, y in zip(token.content, token.content[1:], strict=False):
+                for sign, other in ((x, y), (y, x)):
+                    if ord(sign) < 128 and kinds[ord(sign)] == 3 and other.isalnum():
+                        kinds[ord(sign)] = 4
+        self.kinds, self.plain = kinds, bytes(np.flatnonzero((kinds > 0) & (kinds < 4)).tolist())
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = None  # whether an id ends a word
+        if suffix:
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        pair = np.zeros((5, 5), bool)
+        pair[1:4, 1:4] = ~np.eye(3, dtype=bool)
+        pair[2, 2] = True
+        pair[0, 1:] = True
+        self.begins = pair.reshape(-1)  # by 5 * kind of the byte before + kind
+        self.numbers: dict[bytes, int] = {}
         self._forget()
 
     def _forget(self) -> None:
         self.numbers.clear()
         self.flat, self.used, self.start, self.count = np.zeros(1 << 16, np.uint32), 0, np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
-    def _learn(self, words: list[str]) -> None:
-        for a in range(0, len(words), 4096):
-            part = words[a : a + 4096]
-            coded = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            size = np.array([len(x) for x in coded])
-            flat = np.fromiter((i for x in coded for i in x), np.uint32, int(size.sum()))
+    def _ids(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each piece). Pieces of one kind are encoded as one text: each ends with the id of a word's end."""
+        lone = [i for i, p in enumerate(pieces) if p.translate(None, self.plain) and not _letters(p)] if self.ends is not None else range(len(pieces))
+        size = np.zeros(len(pieces), np.int64)
+        coded = [e.ids for e in self.tokenizer.encode_batch_fast([pieces[i].decode() for i in lone], add_special_tokens=False)]
+        size[lone] = [len(x) for x in coded]
+        if len(lone) < len(pieces):
+            rest = np.ones(len(pieces), bool)
+            rest[lone] = False
+            text = b" ".join(pieces[i] for i in np.flatnonzero(rest).tolist()).decode()
+            together = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            last = np.flatnonzero(self.ends[together]) + 1
+            if len(last) != rest.sum() or last[-1] != len(together):
+                raise ValueError("a piece of one kind is not one word of this tokenizer")
+            size[rest] = np.diff(last, prepend=0)
+        start = np.cumsum(size) - size
+        flat = np.zeros(int(size.sum()), np.uint32)
+        for i, x in zip(lone, coded, strict=True):
+            flat[start[i] : start[i] + len(x)] = x
+        if len(lone) < len(pieces):
+            flat[np.repeat(rest, size)] = together
+        return flat, size
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        for a in range(0, len(pieces), 4096):
+            part = pieces[a : a + 4096]
+            flat, size = self._ids(part)
             known = len(self.numbers)
             while self.used + len(flat) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
@@ -237,31 +292,55 @@ class WordCoder:
             self.numbers.update(zip(part, range(known, known + len(part)), strict=True))
             self.used += len(flat)
 
+    def pieces(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """(pieces of all texts, first piece of each text and the end)."""
+        data, offsets = raw(texts)
+        kind = self.kinds[data]
+        before = np.zeros_like(kind)
+        before[1:] = kind[:-1]
+        first = offsets[:-1][offsets[:-1] < len(data)]
+        before[first] = 0  # a text begins a piece
+        starts = np.flatnonzero(self.begins[5 * before + kind])
+        inside = kind > 0
+        place = np.concatenate([[0], np.cumsum(inside)])  # of a byte among those that are no space
+        at = np.append(place[starts], place[-1])
+        body = data[inside]
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(body.tobytes())])
+        return pieces, np.searchsorted(starts, offsets)
+
     def encode(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each text), each text followed by the id `end`."""
-        lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
-        per = lists.value_lengths().to_numpy().astype(np.int64)
-        coded = lists.flatten().dictionary_encode()
+        pieces, first = self.pieces(texts)
+        coded = pieces.dictionary_encode()
         names = coded.dictionary.to_pylist()
-        new = [w for w in names if w not in self.numbers]
+        new = [p for p in names if p not in self.numbers]
         if len(self.numbers) + len(new) > REMEMBERED or self.used > 8 * REMEMBERED:
             self._forget()
             new = names
         self._learn(new)
-        number = np.fromiter((self.numbers[w] for w in names), np.int64, len(names))
-        word = number[coded.indices.to_numpy()] if len(names) else np.zeros(0, np.int64)
-        size = self.count[word]
+        number = np.array([self.numbers[p] for p in names], np.int64)
+        piece = number[coded.indices.to_numpy()] if len(names) else np.zeros(0, np.int64)
+        size = self.count[piece]
         total = np.concatenate([[0], np.cumsum(size)])
-        last = np.cumsum(per)
-        counts = total[last] - total[last - per]
-        at = np.arange(total[-1]) + np.repeat(self.start[word] - total[:-1], size)
+        counts = total[first[1:]] - total[first[:-1]]
+        at = np.arange(total[-1]) + np.repeat(self.start[piece] - total[:-1], size)
         ids = self.flat[at]
         if end is not None:
-            ids = np.insert(ids, total[last], end)
+            ids = np.insert(ids, total[first[1:]], end)
             counts = counts + 1
         return ids, counts
 
 
+_coders: dict[str, PieceCoder] = {}
+
+
+def coder_of(path: str) -> PieceCoder:
+    """The coder of a worker, which goes on with what it has learnt in earlier tasks."""
+    if path not in _coders:
+        _coders[path] = PieceCoder(path)
+    return _coders[path]
+
+
 @within_bounds
 def write_tokens(
     docs: DataFrame, tokenizer: str, folder: str, doc_id: str = "doc_id", text: str = "text", end: int | None = 1,
@@ -276,7 +355,7 @@ def write_tokens(
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, out, path, n = WordCoder(tokenizer), None, f"{folder}/{uuid.uuid4().hex}.s8b", 0
+        coder, out, path, n = coder_of(tokenizer), None, f"{folder}/{uuid.uuid4().hex}.s8b", 0
         for whole in batches:
             for batch in text_parts(whole, most=1 << 21):
                 if out is None:

@@ -202,3 +202,20 @@ def test_deviations_beyond_a_long(spark):
     got = whitening.whitened(vectors(spark, rows)).collect()
     assert got and all(r["deviation"] is None for r in got if r["vec_id"] < 3)
     assert whitening._deviations(np.array([[2**40, -5], [7, 8]]), 3, [2**41, 9]) == [(3 * 2**40 - 2**41) ** 2 + 24**2, (21 - 2**41) ** 2 + 15**2]
+
+
+def test_pieces_are_the_tokenizers_own():
+    """Whole texts of awkward signs, against the tokenizer itself."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    tokenizer, coder, rng = Tokenizer.from_file(VOCABULARY), T.PieceCoder(VOCABULARY), random.Random(2)
+    signs = "aAbzZ019''||<>,.!?-_ \t\n\x0b\x1c\x85  éÉßİıǅΣσς̸́क़क़日한하Å१²½Ⅷª_‍😀´’"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 50))) for _ in range(1500)]
+    texts += [rng.choice(["<|endoftext|>", "x<|startoftext|>y", "a'sb'S'", "'tis 'll'd"]) + rng.choice(texts) for _ in range(200)]
+    ids, counts = coder.encode(pa.array(texts), None)
+    assert np.split(ids, np.cumsum(counts)[:-1])[0].tolist() == tokenizer.encode(texts[0], add_special_tokens=False).ids
+    at = 0
+    for text, n in zip(texts, counts.tolist(), strict=True):
+        assert ids[at : at + n].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+        at += n
