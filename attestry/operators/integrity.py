@@ -7,9 +7,10 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StringType
 
+from ..sources.store import Generations
 from ..streaming.fold import in_order
 
 GENESIS = "0" * 64
@@ -51,12 +52,19 @@ def _canonical_text(bodies: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series(out, dtype=object)
 
 
-def verified(chain: DataFrame) -> DataFrame:
+def verified(chain: DataFrame, ends: DataFrame | None = None) -> DataFrame:
     """(log_file, valid, broken_at, reason, total): the first line whose link or hash is wrong; malformed lines are.
 
-    Each line is checked on its own against the one before; total counts the lines up to the failure.
+    Each line is checked on its own against the one before; total counts the lines up to the failure. `ends` (log_file,
+    entry_hash) has the hashes that files go on from, where the chain does not have their first lines.
     """
-    before = F.lag("entry_hash", 1, GENESIS).over(Window.partitionBy("log_file").orderBy("line_no"))
+    before = F.lag("entry_hash", 1).over(Window.partitionBy("log_file").orderBy("line_no"))
+    if ends is None:
+        before = F.coalesce(before, F.when(F.row_number().over(Window.partitionBy("log_file").orderBy("line_no")) == 1, GENESIS))
+    else:
+        chain = chain.join(ends.select("log_file", F.col("entry_hash").alias("_end")), "log_file", "left")
+        first = F.row_number().over(Window.partitionBy("log_file").orderBy("line_no")) == 1
+        before = F.coalesce(before, F.when(first, F.coalesce("_end", F.lit(GENESIS))))
     text = _canonical_text("body")
     reason = (
         F.when(text.isNull(), "malformed line").when(F.coalesce("prev_hash", F.lit("")) != F.coalesce("before", F.lit("")), "prev_hash mismatch")
@@ -84,3 +92,64 @@ def broken_chain_alerts(checked: DataFrame) -> DataFrame:
         F.concat("log_file", F.lit(" is broken at line "), "broken_at", F.lit(": "), "reason").alias("message"),
         F.concat_ws(":", F.lit("integrity"), "log_file", "broken_at").alias("dedup_key"), "log_file", "broken_at", "total",
     )
+
+
+_STATE = "log_file string, lines long, last_line long, entry_hash string, broken_at long, reason string"
+
+
+def verify_new(spark: SparkSession, log: str, state: str, checkpoint: str) -> int:
+    """Verifies the lines that chained logs at `log` (Parquet: log_file, line_no, body, prev_hash, entry_hash) have got since the
+    last call, and keeps what is known of each file as a generation of `state`. Returns how many lines were read.
+
+    What has been read is known by `checkpoint`, so files of the log that were there before aren't opened again. A chain goes on
+    from the last hash that was verified, and its first break stays. A batch that is run again after a failure takes the state that
+    it began with, for a generation names the batch that made it. Lines that were changed after they had been read show in a full pass
+    (`verified`) only.
+    """
+    kept, read = Generations(spark, state), []
+
+    def take(lines: DataFrame, batch: int) -> None:
+        done = kept.read("batches")
+        if done is not None and done.where(F.col("batch") == batch).count():
+            return  # this batch had been published before the failure
+        old = kept.read("files")
+        old = spark.createDataFrame([], _STATE) if old is None else old
+        lines = lines.select("log_file", "line_no", "body", "prev_hash", "entry_hash")
+        read.append(lines.count())
+        new = verified(lines, old).select("log_file", "broken_at", "reason")
+        size = lines.groupBy("log_file").agg(F.count("*").alias("n"), F.max("line_no").alias("to"), F.max_by("entry_hash", "line_no").alias("end"))
+        both = old.join(new.join(size, "log_file").withColumnsRenamed({"broken_at": "new_broken", "reason": "new_reason"}), "log_file", "full")
+        known = F.col("broken_at").isNotNull()
+        files = both.select(
+            "log_file", (F.coalesce("lines", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("lines"), F.coalesce("to", "last_line").alias("last_line"),
+            F.coalesce("end", "entry_hash").alias("entry_hash"), F.when(known, F.col("broken_at")).otherwise(F.col("new_broken")).alias("broken_at"),
+            F.when(known, F.col("reason")).otherwise(F.col("new_reason")).alias("reason"),
+        )
+        kept.publish({"files": files, "batches": spark.createDataFrame([(batch,)], "batch long")})
+
+    schema = "log_file string, line_no long, body string, prev_hash string, entry_hash string"
+    stream = spark.readStream.schema(schema).parquet(log).writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
+    stream.trigger(availableNow=True).start().awaitTermination()
+    return sum(read)
+
+
+def kept_integrity(spark: SparkSession, state: str, days: list[str] | None = None) -> str:
+    """intact, broken, or unknown before the first check, of all files or of those of some days, from the kept state."""
+    files = Generations(spark, state).read("files")
+    if files is None:
+        return "unknown"
+    if days is not None:
+        files = files.where(F.col("log_file").isin(days))
+    return "broken" if files.where(F.col("broken_at").isNotNull()).limit(1).count() else "intact"
+
+
+def new_break_alerts(spark: SparkSession, state: str) -> DataFrame:
+    """broken_chain_alerts of the breaks that the current generation of the state has and the one before had not."""
+    kept = Generations(spark, state)
+    now, before = kept.read("files"), kept.read("files", max(0, kept.current() - 1))
+    if now is None:
+        now = spark.createDataFrame([], _STATE)
+    broken = now.where(F.col("broken_at").isNotNull())
+    if before is not None:
+        broken = broken.join(before.where(F.col("broken_at").isNotNull()).select("log_file"), "log_file", "left_anti")
+    return broken_chain_alerts(broken.select("log_file", F.lit(False).alias("valid"), "broken_at", "reason", F.col("lines").alias("total")))

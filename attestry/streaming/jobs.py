@@ -7,10 +7,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.detector import Events, detect
+from ..operators.monitor import latency_status, local_hour
 from .fold import in_order, streamed
 
 
@@ -20,8 +22,27 @@ def new_alerts(flags: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 def hourly_latency(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    rows = events.where("event_type = 'query'").withWatermark("ts", late)
-    return rows.groupBy(F.window("ts", "1 hour")).agg(F.count("*").alias("queries"), F.avg("response_time_ms").alias("avg_latency_ms"))
+    """(hour, queries, avg_latency_ms, p95_ms, status) of the hours that the watermark has closed, in local time; its batch twin
+    is monitor.hourly_status. Only queries with a latency count.
+
+    The state of an open hour is a count for each of its different latencies; the percentile is taken from the counts once,
+    when the hour is closed, so no hour is held event by event.
+    """
+    rows = events.where("event_type = 'query' and response_time_ms is not null").withWatermark("ts", late)
+    counts = rows.groupBy(F.window("ts", "1 hour"), "response_time_ms").agg(F.count("*").alias("n"))
+    per = counts.groupBy(F.window(F.window_time("window"), "1 hour")).agg(
+        F.sum("n").alias("queries"), F.sum(F.col("n") * F.col("response_time_ms")).alias("total"), F.array_sort(F.collect_list(F.struct("response_time_ms", "n"))).alias("held"),
+    )
+    place = F.floor((F.col("queries") - 1) * 95 / 100)
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("v"))
+
+    def step(s: Column, x: Column) -> Column:
+        here = (s["seen"] <= place) & (s["seen"] + x["n"] > place)
+        return F.struct((s["seen"] + x["n"]).alias("seen"), F.when(here, x["response_time_ms"].cast("long")).otherwise(s["v"]).alias("v"))
+
+    p95 = F.aggregate("held", start, step, lambda s: s["v"])
+    out = per.select(local_hour(F.col("window.start")).alias("hour"), "queries", (F.col("total") / F.col("queries")).alias("avg_latency_ms"), p95.alias("p95_ms"))
+    return out.withColumn("status", latency_status(F.col("p95_ms")))
 
 
 def over_limit(requests: DataFrame, limit: int = 60, late: str = "1 minute") -> DataFrame:
@@ -93,6 +114,49 @@ def escalations_batch(history: DataFrame, windows: int = 2) -> DataFrame:
     return in_order(history.select("series", "position", "level"), "series", "position", _escalations(windows), _ESCALATED)
 
 
+def escalation_states(history: DataFrame, windows: int = 2) -> DataFrame:
+    """(series, state): where each series stands after its history, as JSON; to be saved, and to begin a stream with."""
+    step = _escalations(windows)
+
+    def held(state, row):
+        state, _ = step(state, row)
+        return state, [(row.series, row.position, json.dumps([None if x is None else int(x) for x in state]))]
+
+    every = in_order(history.select("series", "position", "level"), "series", "position", held, "series string, position long, state string")
+    return every.groupBy("series").agg(F.max_by("state", "position").alias("state"))
+
+
+class _Escalations(StatefulProcessor):
+    """The step of escalations over the state of a series, which may come from a saved one."""
+
+    def __init__(self, windows: int) -> None:
+        self.step = _escalations(windows)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("escalation", "state string")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N803
+        self.state.update((initialState["state"].iloc[0],))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
+        held, out = json.loads(self.state.get()[0]) if self.state.exists() else None, []
+        for row in pd.concat(list(rows)).sort_values("position", kind="stable").itertuples(index=False):
+            held, emitted = self.step(held, row)
+            out += emitted
+        self.state.update((json.dumps([None if x is None else int(x) for x in held]),))
+        yield pd.DataFrame(out, columns=["series", "position", "level", "from_level"])
+
+    def close(self) -> None:
+        pass
+
+
+def escalations_from(history: DataFrame, saved: DataFrame, windows: int = 2) -> DataFrame:
+    """escalations of a stream that goes on from saved states (series, state), of a batch or of an earlier stream. The session's
+    state store must be the one of RocksDB (spark.sql.streaming.stateStore.providerClass)."""
+    rows = history.select("series", "position", "level").groupBy("series")
+    return rows.transformWithStateInPandas(_Escalations(windows), _ESCALATED, "append", "None", initialState=saved.groupBy("series"))
+
+
 _ESCALATED = "series string, position long, level long, from_level long"
 
 
