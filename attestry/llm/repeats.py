@@ -20,7 +20,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .kernels import mix, powers, text_parts, words
 from .mapped import KeyFiles, key_files
@@ -163,8 +164,9 @@ def common_words(keys: np.ndarray, nodes: np.ndarray, words_of: np.ndarray) -> n
 def extensions(found: DataFrame, side: str) -> DataFrame:
     """(node, pos, more): how many words the match of a suffix goes on at a side, from its neighbours in sorted order.
 
-    The suffixes are sorted over all partitions; those at the edges of partitions are compared once more with each
-    other. These are, at either end, the rows up to the first that another document or key has.
+    The suffixes are sorted over all partitions. Those at the edges of partitions, which are at either end the rows up to the
+    first that another document or key has, are compared once more with the edges that they stand next to: the last rows of a
+    partition with the first ones of the next that has another document or key.
     """
 
     def run(batches: Iterator[pa.RecordBatch], edges: bool = True) -> Iterator[pa.RecordBatch]:
@@ -175,24 +177,34 @@ def extensions(found: DataFrame, side: str) -> DataFrame:
         keys, nodes = table["key"].to_numpy(), table["node"].to_numpy()
         data = b"".join(x.as_buffer().to_pybytes() for x in table[side])
         more = common_words(keys, nodes, np.frombuffer(data, ">u4").reshape(len(keys), WINDOW))
-        edge = np.zeros(len(keys), bool)
+        head, tail = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+        solid = False
         if edges:
             other = (keys != keys[0]) | (nodes != nodes[0])
-            edge[: int(other.argmax()) + 1 if other.any() else len(keys)] = True
+            solid = not other.any()
+            head[: len(keys) if solid else int(other.argmax()) + 1] = True
             other = (keys != keys[-1]) | (nodes != nodes[-1])
-            edge[int(np.flatnonzero(other)[-1]) if other.any() else 0 :] = True
-        kept = pa.array(edge)
+            tail[0 if solid else int(np.flatnonzero(other)[-1]) :] = True
+        kept = pa.array(head | tail)
         batch = pa.table({
             "node": table["node"], "pos": table["pos"], "more": pa.array(more), "key": table["key"],
-            side: pc.if_else(kept, table[side].combine_chunks(), pa.scalar(None, pa.binary())), "edge": kept,
+            side: pc.if_else(kept, table[side].combine_chunks(), pa.scalar(None, pa.binary())), "head": pa.array(head), "tail": pa.array(tail),
+            "part": pa.array(np.full(len(keys), TaskContext.get().partitionId())), "solid": pa.array(np.full(len(keys), solid)),
         })
         yield from batch.combine_chunks().to_batches(max_chunksize=50_000)
 
-    ddl = f"node long, pos long, more long, key long, {side} binary, edge boolean"
+    ddl = f"node long, pos long, more long, key long, {side} binary, head boolean, tail boolean, part long, solid boolean"
     parts = max(4, found.count() // SORTED_ROWS)
     dealt = found.select("node", "pos", "key", side).repartitionByRange(parts, "key", side, "node").sortWithinPartitions("key", side, "node")
     done = keep(dealt.mapInArrow(run, ddl), "sorted")
-    edges = done.where("edge").coalesce(1).sortWithinPartitions("key", side, "node").select("node", "pos", "key", side)
+    # border b stands between the partitions b and b + 1; a partition that is empty or of one document and key joins its borders
+    borders = done.where("not solid").select("part").distinct().withColumn("new", F.lit(1))
+    borders = found.sparkSession.range(-1, parts).join(F.broadcast(borders), F.col("id") == F.col("part"), "left")
+    group = F.coalesce(F.sum("new").over(Window.orderBy("id")), F.lit(0))
+    borders = borders.select(F.col("id").alias("border"), group.alias("group"))
+    sides = F.explode(F.array_compact(F.array(F.when(F.col("head"), F.col("part") - 1), F.when(F.col("tail"), F.col("part")))))
+    edges = done.where("head or tail").select("node", "pos", "key", side, sides.alias("border")).join(F.broadcast(borders), "border")
+    edges = edges.repartition("group").sortWithinPartitions("group", "key", side, "node").select("node", "pos", "key", side)
     again = edges.mapInArrow(lambda batches: run(batches, False), ddl)
     return done.select("node", "pos", "more").unionByName(again.select("node", "pos", "more")).groupBy("node", "pos").agg(F.max("more").alias("more"))
 

@@ -309,3 +309,33 @@ def test_settings_are_put_back(spark):
             assert len(secrets.scan_secrets(frame(spark)).collect()) and spark.conf.get(name) == value
     finally:
         spark.conf.set(name, before)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_extensions_over_partitions(spark, monkeypatch, seed):
+    """Each suffix against all of other documents with its key, with partitions of few rows and of one document only."""
+    monkeypatch.setattr(repeats, "SORTED_ROWS", 3)
+    rng = random.Random(seed)
+    rows = []
+    for i in range(120):
+        node = rng.choice([1, 1, 1, 1, 2, 3]) if seed < 3 else i % 7
+        said = [rng.choice([5, 5, 5, 6]) for _ in range(repeats.WINDOW)]
+        if rng.random() < 0.5:
+            said = [5] * repeats.WINDOW if node != 1 else [4] * repeats.WINDOW
+        for j in range(rng.choice([repeats.WINDOW, repeats.WINDOW, 3]), repeats.WINDOW):
+            said[j] = 0
+        rows.append((node, i, rng.choice([7, 7, 8]), b"".join(w.to_bytes(4, "big") for w in said)))
+    found = spark.createDataFrame(rows, "node long, pos long, key long, left binary")
+    words_of = {r[1]: [r[3][4 * j : 4 * j + 4] for j in range(repeats.WINDOW)] for r in rows}
+
+    def common(a, b):
+        n = 0
+        while n < repeats.WINDOW and a[n] == b[n] and a[n] != bytes(4):
+            n += 1
+        return n
+
+    want = {
+        (node, pos): max((common(words_of[pos], words_of[p]) for other, p, k, _ in rows if other != node and k == key), default=0)
+        for node, pos, key, _ in rows
+    }
+    assert {(r.node, r.pos): r.more for r in repeats.extensions(found, "left").collect()} == want
