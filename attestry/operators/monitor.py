@@ -172,10 +172,8 @@ def spaced_json(value: Column) -> Column:
     return F.replace(F.replace(marked, F.lit('"\u0001'), F.lit('"')), F.lit("\u0001"), F.lit(" "))
 
 
-def says(events: DataFrame, text: str, columns: tuple[str, ...] | None = None, metadata: str = "frontend_metadata") -> Column:
-    """Whether a field of an event, or the JSON of its metadata, contains the text in either case; an empty text is in all."""
-    if not text:
-        return F.lit(True)
+def said_by(events: DataFrame, columns: tuple[str, ...] | None = None, metadata: str = "frontend_metadata") -> list[Column]:
+    """What a free-text search looks at: SEARCHED, as far as events have them, and the JSON of the metadata; or `columns`."""
     have = {f.name: f.dataType for f in events.schema.fields}
     shown = [F.col(c).cast("string") for c in (SEARCHED if columns is None else columns) if c in have]
     if columns is None and metadata in have:
@@ -184,19 +182,54 @@ def says(events: DataFrame, text: str, columns: tuple[str, ...] | None = None, m
             shown.append(meta)
         else:
             shown.append(F.when(F.size(meta) > 0, spaced_json(meta)) if isinstance(have[metadata], T.MapType) else spaced_json(meta))
+    return shown
+
+
+#: Different trigrams that the index of a log file tells apart.
+GRAMS = 1 << 16
+
+
+def _grams(text: Column) -> Column:
+    """The trigrams of a lower-cased text, as numbers below GRAMS."""
+    found = F.regexp_extract_all(F.lower(text), F.lit("(?s)(?=(.{3}))"), F.lit(1))
+    return F.transform(found, lambda g: F.pmod(F.xxhash64(g), F.lit(GRAMS)).cast("int"))
+
+
+def text_index(events: DataFrame, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """(log_file, gram): the trigrams that the searched fields of a log file have, at most GRAMS rows a file. To be stored, and
+    appended to as files come."""
+    grams = F.array_distinct(F.flatten(F.array(*[F.coalesce(_grams(c), F.array().cast("array<int>")) for c in said_by(events, columns)])))
+    return events.select("log_file", F.explode(grams).alias("gram")).distinct()
+
+
+def files_that_may_say(index: DataFrame, text: str) -> DataFrame | None:
+    """(log_file): the files that have all trigrams of a text; no other file says it. None for a text of fewer than three signs."""
+    if len(text) < 3:
+        return None
+    asked = index.sparkSession.range(1).select(F.explode(F.array_distinct(_grams(F.lit(text)))).alias("gram"))
+    asked = F.broadcast(asked.withColumn("all", F.count("*").over(Window.partitionBy(F.lit(0)))))
+    per = index.join(asked, "gram").groupBy("log_file").agg(F.countDistinct("gram").alias("n"), F.first("all").alias("all"))
+    return per.where("n = all").select("log_file")
+
+
+def says(events: DataFrame, text: str, columns: tuple[str, ...] | None = None, metadata: str = "frontend_metadata") -> Column:
+    """Whether a field of an event, or the JSON of its metadata, contains the text in either case; an empty text is in all."""
+    if not text:
+        return F.lit(True)
     hit = F.lit(False)
-    for c in shown:
+    for c in said_by(events, columns, metadata):
         hit = hit | F.coalesce(F.lower(c).contains(text.lower()), F.lit(False))
     return hit
 
 
 def search(
     events: DataFrame, limit: int = 100, danger_only: bool = False, text: str = "", columns: tuple[str, ...] | None = None,
-    start: str = "", end: str = "", **exact,
+    start: str = "", end: str = "", index: DataFrame | None = None, **exact,
 ) -> DataFrame:
     """Events that meet all conditions, the latest first, at most 1000: equality on event_type, substring otherwise.
 
-    `text` is looked for in SEARCHED and in the metadata, or in `columns`. An event without a readable timestamp is outside
+    `text` is looked for in SEARCHED and in the metadata, or in `columns`; with an `index` (text_index of the same fields) only in
+    the files that may have it. An event without a readable timestamp is outside
     any bound. Timestamps are put in order as text.
     """
     at = parsed_time(F.col("timestamp"))
@@ -208,6 +241,9 @@ def search(
         events = events.where(F.col(name) == value if name == "event_type" else F.col(name).contains(value))
     if danger_only:
         events = events.where(F.col("danger_level") != "normal")
+    files = files_that_may_say(index, text) if index is not None else None
+    if files is not None:
+        events = events.join(F.broadcast(files), "log_file", "left_semi")
     events = events.where(says(events, text, columns))
     return events.orderBy(F.desc("timestamp"), "log_file", "position").limit(max(1, min(limit, 1000)))
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import integrity as I, postings as P
+from ..operators import cells as V, integrity as I, monitor as M, postings as P
 from ..sources.store import Generations, asked_once, scratch
 from ..streaming import jobs as J
-from .queries import BM25, audit, chains, query, table
+from .queries import BM25, COSINE, VECTORS, audit, chains, query, table, vectors
 
 RANKED = f"""WITH {BM25} SELECT query_id, doc_id, CAST(rank AS INT) AS rank FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM s) WHERE rank <= 10"""
@@ -109,3 +109,24 @@ def r19_generations(spark, sf_dir):
     parents = store.read("parents", now).groupBy("source").agg(F.count("*").alias("parents"))
     per = store.read("chunks", now).groupBy(F.col("source").alias("own")).agg(F.count("*").alias("chunks"))
     return parents.join(per, F.col("source").eqNullSafe(F.col("own"))).select("source", "parents", "chunks", F.lit(now).alias("generation"))
+
+
+@query(f"""{VECTORS} SELECT query_id, vec_id, CAST(rank AS INT) AS rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM ({COSINE})) WHERE rank <= 10""")
+def r6_vector_cells(spark, sf_dir):
+    """Cosine top-k from stored cells: the nearest ones, and those that can hold something better."""
+    folder = scratch(spark, "cells")
+    rows, queries = vectors(spark, sf_dir)
+    V.write_cells(rows.select("vec_id", "embedding"), folder, cells=32)
+    return V.ask_cells(spark, folder, queries, probes=4).select("query_id", "vec_id", "rank")
+
+
+@query("""SELECT log_file, count(*) AS hits FROM ev WHERE contains(lower('asks about item ' || coalesce(CAST(k AS VARCHAR), '')), 'item 77') GROUP BY 1""")
+def f3_text_index(spark, sf_dir):
+    """Free text by way of the trigrams of each log file: files that cannot have it aren't looked at."""
+    rows = audit(spark, sf_dir).withColumn("user_query", F.concat(F.lit("Asks about ITEM "), F.coalesce(F.col("k").cast("string"), F.lit(""))))
+    path = scratch(spark, "grams")
+    M.text_index(rows, ("user_query",)).write.parquet(path)
+    files = M.files_that_may_say(spark.read.parquet(path), "Item 77")
+    some = rows.join(F.broadcast(files), "log_file", "left_semi")
+    return some.where(M.says(some, "Item 77", ("user_query",))).groupBy("log_file").agg(F.count("*").alias("hits"))
