@@ -74,7 +74,7 @@ def answer_score(keywords: Column, articles: Column, structure: Column, rejected
 def answer_class(answer: Column, refusals: tuple[str, ...], gaps: tuple[str, ...]) -> Column:
     """empty, rejection_oos, no_coverage or answer."""
     has = lambda words: F.greatest(F.lit(False), *[answer.contains(w) for w in words])
-    return F.when(F.trim(F.coalesce(answer, F.lit(""))) == "", "empty").when(has(refusals), "rejection_oos").when(has(gaps), "no_coverage").otherwise("answer")
+    return F.when(F.coalesce(answer, F.lit("")).rlike(r"(?U)^\s*$"), "empty").when(has(refusals), "rejection_oos").when(has(gaps), "no_coverage").otherwise("answer")
 
 
 def faithfulness(grounded: Column, not_grounded: Column) -> Column:
@@ -82,8 +82,8 @@ def faithfulness(grounded: Column, not_grounded: Column) -> Column:
 
 
 def unit_score(x: Column) -> Column:
-    """Clamped to 0..1, null for NaN."""
-    return F.when(~F.isnan(x), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
+    """Clamped to 0..1, null for null and NaN."""
+    return F.when(x.isNotNull() & ~F.isnan(x), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
 def flip_matrix(baseline: DataFrame, current: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from ..functions import text as X
-from ..operators import evaluate as E, records as C, retrieve as R
+from ..operators import evaluate as E, records as C, retrieve as R, scoring as SC
 from .queries import BM25, COSINE, VECTORS, audit, query, table, vectors
 
 
@@ -324,4 +324,4 @@ def j3_strict_flips(spark, sf_dir):
 
 @query("""SELECT coalesce(event_type, 'unknown') AS event_type, count(*) AS n FROM ev GROUP BY 1""")
 def a8_by_type(spark, sf_dir):
-    return audit(spark, sf_dir).groupBy(F.coalesce("event_type", F.lit("unknown")).alias("event_type")).agg(F.count("*").alias("n"))
+    return SC.by_type(audit(spark, sf_dir))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import hosts as H, split as S, text as X
-from ..operators import answers as A, compare as C, correlate as L, evaluate as E, integrity as I, monitor as M, retrieve as R
+from ..operators import answers as A, compare as C, correlate as L, evaluate as E, integrity as I, monitor as M, retrieve as R, scoring as SC
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -145,8 +145,7 @@ def a6_anomaly_summary(spark, sf_dir):
 @query(f"""{FLAGS} SELECT event_type, CASE WHEN event_type = 'security_alert' THEN 'critical' WHEN contains(flags, 'security_alert_burst') THEN 'critical'
     WHEN flags <> '' THEN 'warning' WHEN event_type = 'query' AND response_time_ms > 60000 THEN 'warning' ELSE 'normal' END AS danger_level, count(*) AS n FROM f GROUP BY 1, 2""")
 def a7_danger_histogram(spark, sf_dir):
-    rows = flagged(spark, sf_dir).withColumn("danger_level", M.danger_level(F.col("anomaly_flags")))
-    return rows.groupBy("event_type", "danger_level").agg(F.count("*").alias("n"))
+    return SC.danger_histogram(flagged(spark, sf_dir), M.danger_level(F.col("anomaly_flags")))
 
 
 @query(f"""SELECT queries, r / (queries + r) AS rejection_rate, mean AS avg_latency_ms, p95_ms, (mean - 900.0) / greatest(900.0, 1.0) AS avg_latency_delta,
@@ -575,7 +574,7 @@ def j1_parents(spark, sf_dir):
 @query("""SELECT category, difficulty, count(*) AS n FROM (SELECT lang AS category, source AS difficulty FROM documents) GROUP BY GROUPING SETS ((category), (difficulty))""")
 def a20_breakdown(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("category"), F.col("source").alias("difficulty"))
-    return docs.groupingSets([["category"], ["difficulty"]], "category", "difficulty").agg(F.count("*").alias("n"))
+    return SC.breakdown(docs, "category", "difficulty")
 
 
 @query(""", a AS (SELECT session_id AS dedup_key, ts FROM ev WHERE event_type = 'security_alert'),

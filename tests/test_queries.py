@@ -2,7 +2,7 @@
 
 import pytest
 
-from attestry.plans import composed, logs, queries as Q, stored  # noqa: F401
+from attestry.plans import composed, logs, queries as Q, scores, stored  # noqa: F401
 
 from .oracle import differences
 
