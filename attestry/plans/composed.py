@@ -237,9 +237,9 @@ def f17_z15_identity(spark, sf_dir):
     return rows.select("page_id", "ip", "who.status", "who.identity")
 
 
-@query("""SELECT conv_id, turn, 'security_alert' AS event_type, 'unknown' AS client_ip, substr(text, 1, 200) AS user_query, 'input' AS stage FROM conversations WHERE turn % 2 = 0""")
+@query("""SELECT conv_id, turn, 'security_alert' AS event_type, 'unknown' AS client_ip, substr(text, 1, 200) AS user_query, 'input' AS stage FROM conversations""")
 def sk2_security_alerts(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").where("turn % 2 = 0").select(
+    rows = table(spark, sf_dir, "conversations").select(
         F.to_json(F.struct("conv_id", "turn")).alias("session_id"), F.lit("").alias("client_ip"), F.col("text").alias("user_query"), F.lit("x").alias("threat_type"),
         F.lit("y").alias("reason"), F.col("turn").alias("message_index"), F.lit("user").alias("message_role"),
     )
@@ -284,10 +284,10 @@ def a28_moved(spark, sf_dir):
     return C.moved(before, after, ("documents",))
 
 
-@query("""SELECT n_name AS collection, count(c_custkey) AS chunks FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_custkey % 20 = 0 GROUP BY 1""")
+@query("""SELECT n_name AS collection, count(c_custkey) AS chunks FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1""")
 def j11_collection_counts(spark, sf_dir):
     nation = table(spark, sf_dir, "nation").select(F.col("n_name").alias("collection"), "n_nationkey")
-    chunks = table(spark, sf_dir, "customer").where("c_custkey % 20 = 0").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("collection")
+    chunks = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("collection")
     return C.collection_counts(nation, chunks)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import monitor as M, records as C
+from ..operators import correlate as L, monitor as M, records as C
 from ..schemas import AUDIT_EVENT, PROBE
 from ..sources.files import parsed_lines
 from .queries import audit, query, table
@@ -110,3 +110,28 @@ def z1_listed_headers(spark, sf_dir):
     rows = C.request_context(table(spark, sf_dir, "pages").select("page_id", headers.alias("headers")))
     kept = F.array_join(F.transform(F.map_entries("frontend_metadata"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
     return rows.select("page_id", "source_app", kept.alias("kept"))
+
+
+@query("""SELECT event_id, chat_id, CAST(place AS INT) AS place FROM (
+        SELECT event_id, chat_id, row_number() OVER (PARTITION BY event_id ORDER BY updated DESC, chat_id) AS place FROM (
+            SELECT item_id AS event_id, item_id * 300 AS moment, lower(substr(text, 1, CASE WHEN item_id % 2 = 0 THEN 5 ELSE 14 END)) AS q FROM benchmark) b
+        JOIN (SELECT doc_id AS chat_id, doc_id // 2 * 60 AS updated, lower(text) AS t FROM documents ORDER BY doc_id // 2 * 60 DESC, doc_id LIMIT 500) d
+        ON contains(t, q) AND (length(q) >= 12 OR abs(moment - updated) <= 900) WHERE q <> '') WHERE place <= 5""")
+def j8_chats_in_time(spark, sf_dir):
+    """Chats by short queries, which need a chat of about the same time, and by longer ones; ties in time."""
+    i, d = F.col("item_id"), F.col("doc_id")
+    events = table(spark, sf_dir, "benchmark").select(i.alias("event_id"), F.timestamp_seconds(i * 300).alias("at"), F.substring("text", F.lit(1), F.when(i % 2 == 0, 5).otherwise(14)).alias("query"))
+    chats = table(spark, sf_dir, "documents").select(d.alias("chat_id"), F.timestamp_seconds(F.floor(d / 2) * 60).alias("updated_at"), F.array("text").alias("strings"))
+    return L.by_text(events, chats).select("event_id", "chat_id", "place")
+
+
+@query("""SELECT session_id, CASE WHEN n % 5 = 0 OR n % 7 = 0 THEN 'critical' WHEN n % 3 = 0 THEN 'insufficient_data' WHEN s < 25 THEN 'normal' WHEN s < 50 THEN 'watch' WHEN s < 75 THEN 'warning' ELSE 'critical' END AS severity
+    FROM (SELECT session_id, count(*) AS n, CASE WHEN (count(*) % 60)::DOUBLE <= 40 THEN (count(*) % 60) / 40 * 25 ELSE 25 + ((count(*) % 60) - 40) / 20 * 50 END AS s FROM ev GROUP BY 1)""")
+def m13_health_overrides(spark, sf_dir):
+    """Health where a series is down or a chain is broken, whatever the scores say, or where nothing can be scored."""
+    n, none = F.col("n"), F.lit(None).cast("double")
+    rows = audit(spark, sf_dir).groupBy("session_id").agg(F.count("*").alias("n")).select(
+        "session_id", F.when(n % 3 > 0, n % 60 * 1000).alias("p95_ms"), F.lit(30).alias("queries"), none.alias("faithfulness"), none.alias("uptime_pct"),
+        none.alias("recent_ok_pct"), F.when(n % 2 == 0, n % 5 == 0).otherwise(F.when(n % 5 == 0, True)).alias("hard_down"), F.when(n % 7 == 0, True).alias("chain_broken"),
+    )
+    return M.health(rows).select("session_id", "severity")

@@ -198,10 +198,10 @@ def sc7_recent_alerts(spark, sf_dir):
 
 
 @query("""SELECT position, CASE WHEN event_type <> 'query' THEN 'not_applicable' WHEN k % 7 = 0 THEN 'missing' WHEN k % 7 > 3 OR (k % 3 = 1) THEN 'mismatch'
-    WHEN k % 3 = 0 THEN 'match_legacy' ELSE 'match' END AS prompt_status FROM ev WHERE k IS NOT NULL""")
+    WHEN k % 3 = 0 THEN 'match_legacy' ELSE 'match' END AS prompt_status FROM ev""")
 def j9_prompt_status(spark, sf_dir):
     k = F.col("k")
-    rows = audit(spark, sf_dir).where("k is not null").withColumns({
+    rows = audit(spark, sf_dir).withColumns({
         "prompt_version_hash": F.when(k % 7 == 0, "").when(k % 7 > 3, "old").otherwise("now"), "prompt_baseline": F.when(k % 3 == 1, "b1").when(k % 3 == 2, "b2"),
     })
     running = spark.createDataFrame([(True, "b2", "now")], "available boolean, baseline string, hash string")
@@ -320,7 +320,7 @@ def s4_rate_limit(spark, sf_dir):
     GROUP BY 1""")
 def a22_alert_counts(spark, sf_dir):
     level = F.when(F.col("k") % 3 == 0, "info").when(F.col("k") % 3 == 1, "warning").otherwise("critical")
-    rows = audit(spark, sf_dir).where("event_type = 'security_alert' and k is not null")
+    rows = audit(spark, sf_dir).where("event_type = 'security_alert'")
     return M.alert_counts(rows.select(level.alias("severity")))
 
 

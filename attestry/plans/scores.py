@@ -76,13 +76,13 @@ def z7_z8_evidence(spark, sf_dir):
 
 @query("""SELECT session_id AS series, strftime(max(ts), '%Y-%m') AS month, count(*) FILTER (CASE WHEN k % 3 = 0 THEN k % 2 = 0 ELSE k % 5 = 0 END) AS up,
     CAST(sum(CASE k % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 END) AS BIGINT) AS ranks, count(*) FILTER (k % 7 > 1 AND k % 2 = 0) AS passed,
-    count(*) FILTER (k % 7 > 1 AND k % 3 = 0) AS hits, count(*) FILTER (k % 7 < 2) AS empty FROM ev WHERE k IS NOT NULL GROUP BY 1""")
+    count(*) FILTER (k % 7 > 1 AND k % 3 = 0) AS hits, count(*) FILTER (k % 7 < 2) AS empty FROM ev GROUP BY 1""")
 def z21_z26_rules(spark, sf_dir):
     """Ranks of severities, critical dependencies, months of last records, reruns and answers that were empty."""
     k = F.col("k")
     deps = F.when(k % 3 == 0, F.create_map(F.lit("db"), k % 2 == 0, F.lit("cache"), F.lit(False))).otherwise(F.create_map(F.lit("web"), k % 5 == 0, F.lit("disk"), F.lit(True)))
     answer = F.when(k % 7 == 0, "").when(k % 7 > 1, "text")
-    rows = audit(spark, sf_dir).where("k is not null").select(
+    rows = audit(spark, sf_dir).select(
         F.col("session_id").alias("series"), "position", "timestamp", S.critical_ok(deps, F.array(F.lit("db"), F.lit("llm"))).alias("up"),
         S.severity_rank(pick(k, "info", "warning", "critical", "other")).alias("rank"), S.rerun_passed(answer, k % 2 == 0).alias("passed"),
         S.ab_hit(answer, F.array((k % 3).cast("string")), F.array(F.lit("0"), F.lit("9"))).alias("hit"),
@@ -108,8 +108,8 @@ def z16_z30_conversions(spark, sf_dir):
     return found.join(sizes, found["source"] == sizes["own"]).select(F.col("source").cast("long").alias("source"), "converted", "indexed", "message", "size")
 
 
-@query("""SELECT session_id AS case_id, round(avg(CASE WHEN k % 4 < 2 THEN 1.0 ELSE 0.0 END), 4) AS valid_rate FROM ev WHERE k IS NOT NULL GROUP BY 1""")
+@query("""SELECT session_id AS case_id, round(avg(CASE WHEN k % 4 < 2 THEN 1.0 ELSE 0.0 END), 4) AS valid_rate FROM ev GROUP BY 1""")
 def a27_valid_replies(spark, sf_dir):
     """The share of a judge's replies that hold JSON."""
-    rows = audit(spark, sf_dir).where("k is not null")
+    rows = audit(spark, sf_dir)
     return S.valid_replies(rows.select(F.col("session_id").alias("case_id"), pick(F.col("k"), '{"score": 1}', 'Well: {"score": 0.5}.', "{not json}", "none").alias("reply")))

@@ -139,3 +139,32 @@ def test_escalations_go_on_from_a_saved_state(spark, tmp_path):
         spark.conf.set(name, before)
     later = spark.read.parquet(f"{tmp_path}/out").collect()
     assert whole and sorted(map(tuple, jobs.escalations_batch(first).collect() + later)) == whole
+
+
+def plain_context(docs, style, budget):
+    out, used = [], 0
+    for n, (source, article, text) in enumerate(docs, 1):
+        source = "Unknown" if source is None else source
+        head = {"document": f"=== 文件 {n} ===\n來源: {source}\n內容: ", "tool": f"[{n}] Source: {source}\nContent: ", "react": f"[{n}] 來源: {source}" + (f" ({article})" if article else "") + "\n"}[style]
+        left = budget - used
+        if left <= 0:
+            break
+        if (len(head) + len(text)) // 4 > left:
+            if left * 4 - len(head) <= 200:
+                break
+            text = text[: left * 4 - len(head)] + ("\n... (截斷)" if style == "react" else "\n... (因 token 預算限制已截斷)")
+        out.append(head + text + ("\n" if style == "tool" else ""))
+        used += len(out[-1]) // 4
+    return ("\n" if style == "tool" else "\n\n").join(out)
+
+
+def test_context_formats(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(60):
+        docs = [(rng.choice([None, "law.md", "b.md"]), rng.choice([None, "", "第1條"]), "字a" * rng.randrange(400)) for _ in range(rng.randrange(7))]
+        rows.append((i, docs))
+    df = spark.createDataFrame(rows, "id long, docs array<struct<source:string,article_id:string,text:string>>")
+    for style in R.STYLES:
+        got = {r.id: r.c for r in df.select("id", R.formatted(F.col("docs"), style, 300).alias("c")).collect()}
+        assert got == {i: plain_context(docs, style, 300) for i, docs in rows}
