@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from attestry.llm import decontamination, lm, mixing, near_dup, quality, repeats, secrets, toxicity, warc
+from attestry.llm import decontamination, lm, mixing, near_dup, phrases, quality, repeats, secrets, toxicity, warc
 from attestry.llm.exact_dedup import drop_copies, exact_dedup
 from attestry.llm.mixing import mix_documents
 from attestry.llm.queries import QUERIES
@@ -54,8 +54,11 @@ OPERATORS = {
     "drop_copies": lambda s, d: drop_copies(d),
     "drop_near": lambda s, d: near_dup.drop_near_duplicates(d),
     "keep_quality": lambda s, d: quality.keep_quality(d, labels(s)),
+    "drop_contaminated": lambda s, d: decontamination.drop_contaminated(d, s.createDataFrame([(1, "a b c d e f g h"), (2, None), (None, "")], "item_id long, text string")),
+    "drop_repeated": lambda s, d: repeats.drop_repeated_passages(d),
+    "collocations": lambda s, d: phrases.collocations(d.withColumn("lang", d["source"]), least=2),
 }
-FEWER = {"repeats", "contaminated", "drop_copies", "drop_near", "exact"}
+FEWER = {"collocations", "repeats", "contaminated", "drop_copies", "drop_near", "exact"}
 
 
 @pytest.mark.parametrize("name", OPERATORS)
