@@ -48,10 +48,10 @@ def test_records(spark):
     wrapped = lambda role, peer, text: values(spark, lambda x: C.trusted_wrapper(F.lit(role), x, F.lit(peer), ("10.0.0.1",), ("make a title",)), text)[0]
     assert wrapped("user", "10.0.0.1", " \n### Task:\nMake a title") and wrapped("system", "10.0.0.1", "### task: make a title")
     assert not any([wrapped("tool", "10.0.0.1", "### task: make a title"), wrapped("user", "10.0.0.2", "### task: make a title"), wrapped("user", "10.0.0.1", "### task: other"), wrapped("user", "10.0.0.1", "make a title ### task:")])
-    responses = spark.createDataFrame([(401, "secret-key-123456789", "/x", "bad", ""), (200, "k", "/y", "", "1.1.1.1"), (503, None, "/z", "none", "1.1.1.1")], "status int, token string, path string, reason string, client_ip string")
+    responses = spark.createDataFrame([(401, "k" * 30, "/x", "bad", ""), (200, "k", "/y", "", "1.1.1.1"), (503, None, "/z", "none", "1.1.1.1")], "status int, token string, path string, reason string, client_ip string")
     got = C.auth_failures(responses).collect()
     assert [(r.event_type, r.client_ip, r.path, r.reason) for r in got] == [("auth_failure", "unknown", "/x", "bad"), ("auth_failure", "1.1.1.1", "/z", "none")]
-    assert "123456789" not in got[0].api_key_prefix
+    assert got[0].api_key_prefix == "k" * 24
     done = spark.createDataFrame([("a", True, "m"), ("b", False, "n"), ("c", True, "o")], "filename string, indexed boolean, message string")
     assert {(r.event_type, r.filename, r.indexed) for r in C.uploads(done).collect()} == {("upload", "a", True), ("upload", "b", False), ("upload", "c", True)}
     assert tuple(C.reindexed(done).first()) == ("reindex", 2, 1, "Reindexed 2 documents (1 failed)")
