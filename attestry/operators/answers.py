@@ -26,10 +26,18 @@ def has_any(text: Column, words: tuple[str, ...]) -> Column:
 
 
 def reported_missing(text: Column) -> Column:
-    """Articles that only clauses with a gap phrase name."""
-    clauses = F.split(text, CLAUSE_END)
-    named = lambda keep: F.flatten(F.transform(F.filter(clauses, keep), article_numbers))
-    return F.array_distinct(F.array_except(named(lambda c: has_any(c, GAPS)), named(lambda c: ~has_any(c, GAPS))))
+    """Articles that only clauses with a gap phrase name. A text without such a phrase is not looked at any further."""
+    numbered = F.transform(
+        F.filter(F.split(text, CLAUSE_END), lambda c: has_any(c, GAPS) | c.contains("條")), lambda c: F.struct(has_any(c, GAPS).alias("gap"), article_numbers(c).alias("n"))
+    )
+
+    def named(clauses: Column) -> Column:
+        pick = lambda gap: F.flatten(F.transform(F.filter(clauses, lambda c: c["gap"] == F.lit(gap)), lambda c: c["n"]))
+        return F.array_distinct(F.array_except(pick(True), pick(False)))
+
+    # the clauses are bound once, as the only element of an array
+    found = F.element_at(F.transform(F.array(numbered), named), 1)
+    return F.when(has_any(text, GAPS), found).when(text.isNotNull(), F.array().cast("array<int>"))
 
 
 def gated(rows: DataFrame) -> DataFrame:
@@ -40,13 +48,14 @@ def gated(rows: DataFrame) -> DataFrame:
     then citations with structure.
     """
     full = rows.withColumns({
-        "__a": F.coalesce("answer", F.lit("")), "__q": F.coalesce("question", F.lit("")), "__n": F.coalesce("retry_count", F.lit(0)),
+        "__a": F.coalesce("answer", F.lit("")), "__n": F.coalesce("retry_count", F.lit(0)),
         "__cited": article_numbers(F.coalesce("answer", F.lit(""))),
+        "__missing": reported_missing(F.coalesce("answer", F.lit(""))), "__asked": article_numbers(F.coalesce("question", F.lit(""))),
         "__got": F.array_distinct(F.flatten(F.transform(F.coalesce("evidence", F.array().cast("array<string>")), article_numbers))),
     })
     answer, tries, got = F.col("__a"), F.col("__n"), F.col("__got")
     extra = F.array_except("__cited", got)
-    honest = F.array_intersect(F.array_intersect(reported_missing(answer), article_numbers(F.col("__q"))), extra)
+    honest = F.array_intersect(F.array_intersect("__missing", "__asked"), extra)
     full = full.withColumn("ungrounded", F.array_except(extra, honest))
     used_up, gap, cites = tries >= MAX_RETRIES, has_any(answer, GAPS), citation_count(answer) > 0
     action = (
@@ -62,7 +71,7 @@ def gated(rows: DataFrame) -> DataFrame:
     return full.withColumns({
         "scope": F.when(again, "needs_retry").otherwise("verified"), "next_retry": tries + again.cast("int"),
         "reply": F.when(F.startswith("action", F.lit("failed_safe")), FAIL_SAFE).otherwise(F.col("answer")),
-    }).drop("__a", "__q", "__n", "__cited", "__got")
+    }).drop("__a", "__n", "__cited", "__got", "__missing", "__asked")
 
 
 def reasoning(text: Column, heading: str, section: str) -> Column:
