@@ -159,12 +159,13 @@ def ab_hit(answer: Column, cited: Column, expected: Column) -> Column:
 
 
 def shown_size(size: Column) -> Column:
-    """A number of bytes with two decimals in the largest unit up to TB."""
+    """A number of bytes with two decimals in the largest unit up to TB; halves go to the even digit."""
     value = size.cast("double")
-    out = F.when(value < 1024, F.format_string("%.2f B", value))
+    shown = lambda i, unit: F.format_string(f"%.2f {unit}", F.bround(value / 1024.0**i, 2))
+    out = F.when(value < 1024, shown(0, "B"))
     for i, unit in enumerate(("KB", "MB", "GB"), 1):
-        out = out.when(value < 1024.0 ** (i + 1), F.format_string(f"%.2f {unit}", value / 1024.0**i))
-    return out.otherwise(F.format_string("%.2f TB", value / 1024.0**4))
+        out = out.when(value < 1024.0 ** (i + 1), shown(i, unit))
+    return out.otherwise(shown(4, "TB"))
 
 
 def conversion_records(converted: DataFrame, indexed: DataFrame) -> DataFrame:

@@ -96,7 +96,8 @@ def z21_z26_rules(spark, sf_dir):
 
 @query("""SELECT doc_id AS source, doc_id % 5 > 0 AS converted, doc_id % 5 > 0 AND doc_id % 3 > 0 AS indexed,
     CASE WHEN doc_id % 5 = 0 THEN 'Conversion failed: broken' WHEN doc_id % 3 > 0 THEN 'Successfully converted and indexed: ' || doc_id ELSE 'Indexing failed: ' || doc_id END AS message,
-    CASE WHEN n < 1024 THEN printf('%.2f B', n::DOUBLE) WHEN n < 1048576 THEN printf('%.2f KB', n / 1024.0) ELSE printf('%.2f MB', n / 1048576.0) END AS size
+    CASE WHEN n < 1024 THEN printf('%.2f B', n::DOUBLE) WHEN n < 1048576 THEN printf('%.2f KB', n / 1024.0) WHEN n < 1073741824 THEN printf('%.2f MB', n / 1048576.0)
+         WHEN n < 1099511627776 THEN printf('%.2f GB', n / 1073741824.0) ELSE printf('%.2f TB', n / 1099511627776.0) END AS size
     FROM (SELECT *, doc_id * doc_id AS n FROM documents)""")
 def z16_z30_conversions(spark, sf_dir):
     """What became of each file, and its size as reports show it."""
