@@ -2,10 +2,12 @@
 
 import os
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from attestry.operators import scoring as S
+from attestry.operators import retrieve as R, scoring as S
 
 from .oracle import TABLES, differences
 
@@ -21,3 +23,33 @@ def test_sizes_up_to_terabytes(spark, tmp_path):
     ids = spark.createDataFrame([(i,) for i in (1, 40, 1023, 1025, 32_767, 32_768, 40_001, 1_048_575, 1_048_576, 3_000_000)], "doc_id long")
     ids.withColumn("text", F.lit("a")).toPandas().to_parquet(tmp_path / "documents.parquet")
     assert differences(entry.queries()["z16_z30_conversions"](spark, str(tmp_path)), entry.oracle_sql()["z16_z30_conversions"], str(tmp_path)) == ""
+
+
+def test_vectors_are_scored_in_bounded_blocks(spark, monkeypatch):
+    """A matrix of scores has no more than BLOCK cells, whatever the batch; groups, ties and ids of text stay exact."""
+    rng = np.random.default_rng(4)
+    x = np.round(rng.standard_normal((400, 5)), 1)
+    x[50:150] = x[7]  # many ties
+    rows = [(f"v{i:03}", v.tolist(), None if i % 11 == 0 else i % 4) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<double>, label int").coalesce(1)
+    asked = df.where("label = 1").select(F.col("vec_id").alias("query_id"), "embedding")
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    sim = np.round(unit @ unit.T, 9)
+
+    def best(k, by):
+        out = set()
+        for i in (i for i, r in enumerate(rows) if r[2] == 1):
+            for own in {r[2] for r in rows} if by else {0}:
+                js = sorted((j for j in range(400) if not by or rows[j][2] == own), key=lambda j: (-sim[i, j], j))[:k]
+                out |= {(rows[i][0], n + 1, rows[j][0]) for n, j in enumerate(js)}
+        return out
+
+    for block, held, full in ((1 << 20, 1 << 19, 1 << 22), (700, 50, 200)):
+        monkeypatch.setattr(R, "BLOCK", block), monkeypatch.setattr(R, "HELD", held), monkeypatch.setattr(R, "FULL", full)
+        for k, by in ((5, []), (3, ["label"])):
+            got = R.cosine_top_k(df, asked, k, by).collect()
+            assert {(r.query_id, r["rank"], r.vec_id) for r in got} == best(k, by)
+    batch = pd.DataFrame({"vec_id": range(10_000)})
+    monkeypatch.undo()
+    shapes = [len(b) for b in R.blocks_of(iter([batch]), 12_000)]
+    assert sum(shapes) == 10_000 and max(shapes) * 12_000 <= R.BLOCK
