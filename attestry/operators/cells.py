@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .retrieve import top_k
+from .retrieve import Best, blocks_of, top_k
 
 #: Vectors that centres are fitted on at most, and questions of a pass.
 SAMPLE, QUESTIONS = 20_000, 5_000
@@ -70,19 +70,19 @@ def write_cells(vectors: DataFrame, folder: str, cells: int = 64, seed: int = 7)
 
 
 def _hits(spark: SparkSession, folder: str, ids: np.ndarray, q: np.ndarray, wanted: dict[int, np.ndarray], k: int, kind: str) -> DataFrame:
-    """(query_id, vec_id, score): of each batch of vectors and question that wants its cell, the best k and what ties with them."""
+    """(query_id, vec_id, score): the best k of each task and question, of the vectors whose cells the question wants."""
     stored = spark.read.parquet(f"{folder}/vectors").where(F.col("cell").isin([c for c, some in wanted.items() if len(some)]))
     shared = spark.sparkContext.broadcast((ids, q, wanted))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, q, wanted = shared.value
-        for pdf in batches:
+        best = Best(k, len(ids))
+        for pdf in blocks_of(batches, len(ids)):
             for cell, part in pdf.groupby("cell"):
                 some = wanted[cell]
-                score = np.round(q[some] @ np.array(part["unit"].tolist()).T, DIGITS)
-                least = np.partition(score, -min(k, len(part)), axis=1)[:, -min(k, len(part))]
-                i, j = np.nonzero(score >= least[:, None])
-                yield pd.DataFrame({"query_id": ids[some][i], "vec_id": part["vec_id"].to_numpy()[j], "score": score[i, j]})
+                best.add((), some, part["vec_id"].to_numpy(), np.round(q[some] @ np.array(part["unit"].tolist()).T, DIGITS))
+        for _, i, vec, score in best.hits():
+            yield pd.DataFrame({"query_id": ids[i], "vec_id": vec, "score": score})
 
     return stored.select("vec_id", "unit", "cell").mapInPandas(run, f"query_id {kind}, vec_id {dict(stored.dtypes)['vec_id']}, score double")
 
