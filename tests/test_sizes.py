@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from attestry.functions import split as X
 from attestry.operators import postings as P, retrieve as R, scoring as S
 
 from .oracle import TABLES, differences
@@ -97,3 +98,10 @@ def test_postings_of_a_document_over_batches():
         assert [d for b in blocks for d in b[0].to_pylist()] == list(range(5)) and sum(len(b[2]) for b in blocks) == 10
         assert all((asked.scores(len(b[0]), *b[1:]) > 0).all() for b in blocks)
     assert R.Asked.of(pa.table({"query_id": list(range(9_000)), "token": ["a"] * 9_000, "times": [1] * 9_000}), {"a": 1.0}, 1.0).rows() * 9_000 <= R.BLOCK
+
+
+def test_chunks_do_not_wait_for_arrow_batches(spark):
+    """A worker holds some texts at a time, not the 10000 of an Arrow batch."""
+    df = spark.createDataFrame([("one two " * 200,), ("",), (None,)], "text string").select(X.chunked(F.col("text")).alias("c"))
+    assert [r.c for r in df.collect()] == [X.chunks("one two " * 200, 800, 100), [], []]
+    assert "ArrowEvalPython" not in df._jdf.queryExecution().toString()
