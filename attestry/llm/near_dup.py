@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .kernels import mix, shingles, text_parts, words
 from .mapped import key_files, repeat_filter
-from .shared import components, keep, text_or_empty, within_bounds, without
+from .shared import components, join_groups, keep, text_or_empty, within_bounds, without
 
 #: A shingle of so many documents, or of this share of them, is frequent: it stands last in the global order.
 FREQUENT, FREQUENT_PART = 50, 4096
@@ -316,11 +316,14 @@ def _opened(hits: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """(a, b): the sets a and the leaders b of the other groups that they open.
 
     The matrix has a row for each group and shingle of its union, with the least and the greatest size of the members
-    that have it. A set counts only shingles of sets that it may link to. Of two groups, the sets of one open the other.
+    that have it. A set counts only shingles of sets that it may link to. Of two groups, the sets of the smaller one
+    open the other, so that the members of a large group do not each meet all the small groups around it.
     """
-    named = hits.select("cls", "n", "items").join(groups.select("cls", "g"), "cls").select(F.explode("items").alias("t"), "cls", "n", "g")
-    union = named.groupBy("t", "g").agg(F.min("n").alias("n_lo"), F.max("n").alias("n_hi")).withColumnRenamed("g", "u")
-    may = named.join(union, "t").where("u < g")
+    sizes = groups.groupBy("g").agg(F.count("*").alias("size"))
+    placed = keep(join_groups(groups.select("cls", "g"), sizes, "g", "size", groups.count()), "placed")
+    named = hits.select("cls", "n", "items").join(placed, "cls").select(F.explode("items").alias("t"), "cls", "n", "g", "size")
+    union = named.groupBy("t", F.col("g").alias("u"), F.col("size").alias("u_size")).agg(F.min("n").alias("n_lo"), F.max("n").alias("n_hi"))
+    may = named.join(union, "t").where("size < u_size or (size = u_size and g < u)")
     may = may.where((F.col("n_hi") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("n_lo") * percent))
     count = may.groupBy(F.col("cls").alias("a"), "n", F.col("u").alias("b")).agg(F.count("*").alias("k"))
     return count.where(F.col("k") >= least_of_any(F.col("n"), percent)).select("a", "b")

@@ -193,6 +193,17 @@ def test_families_below_the_threshold(spark):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == brute.near(rows, k, percent)
 
 
+@pytest.mark.parametrize("first", [1, 5000])
+def test_small_groups_open_large_ones(spark, first):
+    """The members of a large group do not each open the small groups around it, whichever has the smaller name."""
+    large, small = [(1000 + i, 1000) for i in range(300)], [(first + i, first + i) for i in range(20)]
+    groups = spark.createDataFrame(large + small, "cls long, g long")
+    hits = spark.createDataFrame([(c, 60, 0.2, list(range(12))) for c, _ in large + small], "cls long, n long, w double, items array<long>")
+    got = sorted((r.a, r.b) for r in near_dup._opened(hits, groups, 90).collect())
+    assert [p for p in got if p[1] == 1000] == [(c, 1000) for c, _ in small]
+    assert len(got) == 20 + 20 * 19 // 2
+
+
 def test_cutting_repeats_keeps_one_copy(spark):
     passage = " ".join(f"q{i}" for i in range(60))
     rows = [(1, f"a b c {passage} d e", "s"), (2, f"f {passage} g", "s"), (3, " ".join(f"r{i}" for i in range(90)), "s"), (4, None, "s")]
