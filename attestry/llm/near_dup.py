@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .kernels import mix, shingles, text_parts, words
 from .mapped import key_files, repeat_filter
@@ -291,8 +291,9 @@ def near_links(sets: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFr
 def _leaders(hits: DataFrame, percent: int) -> DataFrame:
     """(a, b): for each set the leader with which it shares the most shingles; each shingle has one leader, that whose
     set shares the most with others: it is likely what they were copied from."""
-    lead = hits.groupBy("t").agg(F.max(F.struct("w", "cls", "n")).alias("l")).select("t", F.col("l.cls").alias("b"), F.col("l.n").alias("m"))
-    met = hits.select("t", "cls", "n").join(lead, "t").where("cls <> b and 2 * least(n, m) >= greatest(n, m)")
+    lead = F.max(F.struct("w", "cls", "n")).over(Window.partitionBy("t"))
+    met = hits.withColumn("l", lead).select("cls", "n", F.col("l.cls").alias("b"), F.col("l.n").alias("m"))
+    met = met.where("cls <> b and 2 * least(n, m) >= greatest(n, m)")
     met = met.groupBy(F.col("cls").alias("a"), "n", "b").agg(F.count("*").alias("k")).where(2 * F.col("k") >= least_of_any(F.col("n"), percent))
     return met.groupBy("a").agg(F.max(F.struct("k", "b")).alias("m")).select("a", "m.b")
 
@@ -322,6 +323,7 @@ def _opened(hits: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     sizes = groups.groupBy("g").agg(F.count("*").alias("size"))
     placed = keep(join_groups(groups.select("cls", "g"), sizes, "g", "size", groups.count()), "placed")
     named = hits.select("cls", "n", "items").join(placed, "cls").select(F.explode("items").alias("t"), "cls", "n", "g", "size")
+    named = named.repartition("t")  # neither the matrix nor the join deals its rows again
     union = named.groupBy("t", F.col("g").alias("u"), F.col("size").alias("u_size")).agg(F.min("n").alias("n_lo"), F.max("n").alias("n_hi"))
     may = named.join(union, "t").where("size < u_size or (size = u_size and g < u)")
     may = may.where((F.col("n_hi") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("n_lo") * percent))
